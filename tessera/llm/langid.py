@@ -28,13 +28,13 @@ from pyspark.sql.window import Window
 
 from .common import load, map_arrow
 
-SAMPLE_DOCS = 96
-DICT_BYTES = 96 * 1024
+SAMPLE_DOCS = 128
+DICT_BYTES = 64 * 1024
 BLOCK = 4096
-LEVEL = 3
+LEVEL = 6
 #: The margin that counts as certain, and the one under which a text is rejected.
 FULL_MARGIN = 0.10
-MIN_MARGIN = 0.004
+MIN_MARGIN = 0.02
 UND = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
