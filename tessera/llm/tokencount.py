@@ -2,7 +2,7 @@
 
 The pieces of a pre-token do not depend on its surroundings, so they are counted once for each
 distinct pre-token of the corpus and joined to the pre-token frequencies of each document. The
-HEAD most frequent pre-tokens of at most HEAD_BYTES bytes, a table of bounded size, are sent to
+most frequent pre-tokens of at most HEAD_BYTES bytes, HEAD of them at most, are sent to
 every task, where a document's frequencies meet them on the spot; what remains, the long tail,
 meets its counts in a shuffle join on the pre-token. So no frequent word becomes a hot key and
 nothing that grows with the corpus is broadcast. Ids are never stored.
@@ -104,13 +104,26 @@ def piece_counts(pres: DataFrame, path: str) -> DataFrame:
     return map_arrow(pres.select("pre", "n"), run, "pre string, n long, pieces long")
 
 
+def frequent(vocabulary: DataFrame, head: int) -> DataFrame:
+    """The most frequent rows, head of them at most: those above the lowest frequency class that leaves room.
+
+    Classes are sixteenths of powers of two, so there are under 1,100, and no task sorts the candidates."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    classes, total, least = vocabulary.groupBy(level.alias("level")).count().collect(), 0, None
+    for c in sorted(classes, key=lambda c: -c["level"]):
+        total += c["count"]
+        if total > head:
+            break
+        least = c["level"]
+    return vocabulary.where(level >= least) if least is not None else vocabulary.where("false")
+
+
 def token_counts(docs: DataFrame, path: str, pattern: str | None = None, limit: int = LIMIT, head: int = HEAD) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text).
 
     pattern: the pre-tokenizer's own, if it is one; it only speeds plain texts up."""
     vocabulary = written(piece_counts(pretoken_counts(docs, path, pattern), path), "token-pieces")
-    short = vocabulary.where(F.octet_length("pre") <= HEAD_BYTES)
-    top = short.orderBy(F.desc("n"), "pre").limit(head).select("pre", "pieces").toArrow()
+    top = frequent(vocabulary.where(F.octet_length("pre") <= HEAD_BYTES), head).select("pre", "pieces").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
     names = ["k", "doc_id", "n_bytes", "base", "pre", "n"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()]
