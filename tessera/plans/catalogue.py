@@ -1,10 +1,456 @@
-"""Every query by name, with its DuckDB counterpart."""
+"""Every query by name, with its DuckDB counterpart where SQL has one."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import binary, text
+from ..operators import chunk, rag, stats, store, vector
+from ..sources import jira, notion, vault
+from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+#: White space for DuckDB's regular expressions.
+SP = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
+def query(oracle: str | None = None):
+    def put(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return put
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def rep(c: str, *steps: tuple[str, str]) -> str:
+    for pattern, by in steps:
+        c = f"regexp_replace({c}, {q(pattern)}, {q(by)}, 'g')"
+    return c
+
+
+def strip_sql(c: str) -> str:
+    return rep(c, (rf"^{SP}+", ""), (rf"{SP}+$", ""))
+
+
+def clean_sql(c: str) -> str:
+    return strip_sql(f"translate({rep(c, (SP + '+', ' '), (r'^[0-9]+ ?$', ''), (r'- [0-9]+ -', ''))}, '．，', '.,')")
+
+
+def sentences_sql(c: str) -> str:
+    return f"list_filter(list_transform(regexp_extract_all({c}, '[^.!?。]*[.!?。] *|[^.!?。]+$'), lambda s: trim(s)), lambda s: s <> '')"
+
+
+def values(rows: list[tuple], names: str) -> str:
+    show = lambda v: "null" if v is None else q(v) if isinstance(v, str) else str(v)
+    return f"(values {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) as v({names})"
+
+
+# Cleaning and splitting
+
+
+@query(f"select doc_id, {clean_sql('text')} as cleaned from documents")
+def clean_text(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_korean_text(F.col("text")).alias("cleaned"))
+
+
+@query(f"select id, {clean_sql('t')} as cleaned, array_to_string({sentences_sql(clean_sql('t'))}, '|') as sentences from {values(fx.KOREAN, 'id, t')}")
+def clean_korean_fixture(spark, sf_dir):
+    cleaned = text.clean_korean_text(F.col("t"))
+    return spark.createDataFrame(fx.KOREAN, "id int, t string").select("id", cleaned.alias("cleaned"), F.array_join(text.split_sentences(cleaned), "|").alias("sentences"))
+
+
+@query(f"with s as (select doc_id, {sentences_sql(clean_sql('text'))} as ss from documents) select doc_id, unnest(range(len(ss)))::int as pos, unnest(ss) as sentence from s")
+def sentence_split(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(text.split_sentences(text.clean_korean_text(F.col("text")))).alias("pos", "sentence"))
+
+
+CHUNKS = f"""with recursive s as (select doc_id, lang, source, {sentences_sql(clean_sql('text'))} as ss from documents),
+n as (select doc_id, lang, source, ss, len(ss) as n, list_transform(range(len(ss) + 1), lambda i: coalesce(list_sum(list_transform(ss[1:i], lambda x: length(x))), 0)::bigint) as p from s where len(ss) > 0),
+cut as (
+  select doc_id, ss, n, p, 0::bigint as k, 0::bigint as b, coalesce(list_min(list_filter(range(1, n), lambda i: p[i + 2] > 500)), n)::bigint as e from n
+  union all
+  select doc_id, ss, n, p, k + 1, b2, coalesce(list_min(list_filter(range(e + 1, n), lambda i: case when b2 < e then p[e + 1] - p[b2 + 1] + e - b2 - 1 else 0 end + p[i + 2] - p[e + 1] > 500)), n)::bigint
+  from (select *, coalesce(list_min(list_filter(range(b, e), lambda j: p[e + 1] - p[j + 1] + e - j - 1 <= 100)), e)::bigint as b2 from cut where e < n)
+),
+t as (select doc_id, k, array_to_string(ss[b + 1:e], ' ') as chunk from cut),
+chunks as (select doc_id, (row_number() over (partition by doc_id order by k) - 1)::int as chunk_pos, chunk, length(chunk)::int as n_chars from t where length(chunk) > 50)
+"""
+
+
+@query(CHUNKS + "select * from chunks")
+def chunk_documents(spark, sf_dir):
+    return chunk.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(CHUNKS + "select lang, count(*) as n_chunks, sum(chunks.n_chars)::bigint as total_chars, max(chunks.n_chars) as longest, count(distinct doc_id) as n_docs from chunks join documents using (doc_id) group by lang")
+def chunk_stats_by_lang(spark, sf_dir):
+    c = chunk.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    return c.groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("total_chars"), F.max("n_chars").alias("longest"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+@query(CHUNKS + "select 'chunk_' || (row_number() over (order by doc_id * 1000000 + chunk_pos) - 1) as chunk_id, doc_id, chunk_pos from chunks")
+def chunk_ids(spark, sf_dir):
+    c = chunk.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_pos", (F.col("doc_id") * 1000000 + F.col("chunk_pos")).alias("place"))
+    return stats.with_row_number(c, "place").select(F.concat(F.lit("chunk_"), F.col("row_no").cast("string")).alias("chunk_id"), "doc_id", "chunk_pos")
+
+
+@query(f"select doc_id, len(list_filter(regexp_split_to_array(text, '{SP}+'), lambda w: w <> ''))::int as word_count, length(text)::int as char_count from documents")
+def word_char_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).alias("word_count"), text.char_count(F.col("text")).alias("char_count"))
+
+
+SECTIONS = f"""with p as (select doc_id, unnest(string_split(text, chr(10))) as text, generate_subscripts(string_split(text, chr(10)), 1)::int as section_order from documents),
+s as (select doc_id, section_order, left(doc_id::varchar, 80) || '_sec_' || section_order as section_id, text, len(list_filter(regexp_split_to_array(text, '{SP}+'), lambda w: w <> ''))::int as word_count, length(text)::int as char_count from p where {strip_sql('text')} <> '')
+"""
+
+
+@query(SECTIONS + "select * from s")
+def line_sections(spark, sf_dir):
+    return stats.line_sections(table(spark, sf_dir, "documents"))
+
+
+@query(SECTIONS + "select doc_id, string_agg(text, chr(10) || chr(10) order by section_order) as text from s group by doc_id")
+def reassemble_sections(spark, sf_dir):
+    return stats.reassemble(stats.line_sections(table(spark, sf_dir, "documents")), "doc_id")
+
+
+@query(f"select id, {rep('t', ('[一-鿿]+', ''), (r'\p{C}', ''))} as cleaned from (select id, t from {values(fx.HAN, 'id, t')} union all select doc_id + 1000, text from documents)")
+def strip_han_control(spark, sf_dir):
+    rows = spark.createDataFrame(fx.HAN, "id long, t string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("t")))
+    return rows.select("id", text.strip_han_control(F.col("t")).alias("cleaned"))
+
+
+def _duck(steps):
+    return [(p.replace("(?md)", "(?m)").replace(text.S, SP).replace(r"\p{Nd}", "[0-9]").replace(r"\A", "^"), by.replace("$1", r"\1")) for p, by in steps]
+
+
+@query(f"select id, {strip_sql(rep(rep('t', (chr(13) + chr(10) + '?', chr(10))), *_duck(text.MARKDOWN)))} as text from (select id, t from {values(fx.MARKDOWN, 'id, t')} union all select doc_id + 1000, text from documents)")
+def markdown_to_text(spark, sf_dir):
+    rows = spark.createDataFrame(fx.MARKDOWN, "id long, t string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("t")))
+    return rows.select("id", text.markdown_to_text(F.col("t")).alias("text"))
+
+
+@query(f"select id, {strip_sql(rep('''coalesce(t, '')''', *_duck(text.WIKI)))} as text from {values(fx.WIKI, 'id, t')}")
+def jira_markup_clean(spark, sf_dir):
+    return spark.createDataFrame(fx.WIKI, "id int, t string").select("id", text.clean_jira_markup(F.col("t")).alias("text"))
+
+
+@query()
+def adf_to_text(spark, sf_dir):
+    from ..session import ship
+
+    ship(spark)
+    return spark.createDataFrame(fx.ADF, "id int, t string").select("id", jira.adf_to_text(F.col("t")).alias("text"))
+
+
+@query()
+def issue_render(spark, sf_dir):
+    raw = spark.createDataFrame([(json.dumps(i, ensure_ascii=False),) for i in fx.ISSUES], "value string")
+    return jira.issue_metadata(jira.issue_texts(jira.parse_issues(raw))).select("source", "type", "summary", "status", "project", "text")
+
+
+@query()
+def notion_page_content(spark, sf_dir):
+    pages = notion.parse_pages(spark.createDataFrame([(json.dumps(p, ensure_ascii=False),) for p in fx.PAGES], "value string"))
+    blocks = spark.createDataFrame([(parent, pos, json.dumps(b, ensure_ascii=False)) for parent, pos, b in fx.BLOCKS], "parent_id string, pos int, block string")
+    return notion.page_metadata(notion.page_texts(pages, blocks)).select("source", "type", "page_id", "url", "last_edited", "text")
+
+
+_payload = "json_extract(b, '$.' || kind)"
+_rich = lambda name: f"coalesce(array_to_string(list_transform(json_extract_string({_payload}, '$.{name}[*].plain_text'), lambda x: coalesce(x, '')), ''), '')"
+
+
+@query(f"""with v as (select id, b::json as b, json_extract_string(b::json, '$.type') as kind from {values([(i, json.dumps(b, ensure_ascii=False)) for i, (_, _, b) in enumerate(fx.BLOCKS)], 'id, b')}),
+w as (select id, kind, {_rich('rich_text')} as t, {_rich('caption')} as c, json_extract_string({_payload}, '$.language') as language, json_extract_string({_payload}, '$.checked') as checked, json_extract_string({_payload}, '$.title') as title, coalesce(json_extract_string({_payload}, '$.url'), '') as url from v)
+select id, case when kind in ('paragraph', 'quote', 'callout', 'toggle') then t when kind like 'heading_%' then chr(10) || t || chr(10) when kind in ('bulleted_list_item', 'numbered_list_item') then '- ' || t
+when kind = 'code' then '[Code (' || coalesce(language, '') || ')]: ' || t when kind = 'to_do' then case when checked = 'true' then '[x] ' else '[ ] ' end || t
+when kind = 'child_page' then '[Page: ' || coalesce(title, 'Untitled') || ']' when kind = 'child_database' then '[Database: ' || coalesce(title, 'Untitled') || ']'
+when kind in ('bookmark', 'embed', 'link_preview') and url <> '' then '[Link: ' || url || ']'
+when kind in ('image', 'video', 'file', 'pdf') then '[' || upper(kind[1]) || kind[2:] || case when c <> '' then ': ' || c else '' end || ']' else '' end as text from w""")
+def notion_blocks(spark, sf_dir):
+    rows = spark.createDataFrame([(i, json.dumps(b, ensure_ascii=False)) for i, (_, _, b) in enumerate(fx.BLOCKS)], "id int, b string")
+    return rows.select("id", notion.block_text(F.col("b")).alias("text"))
+
+
+# What is to do, and upserts
+
+
+@query("select doc_id, length(text)::int as char_count from documents where text is not null and length(text) > 50")
+def embeddable_sections(spark, sf_dir):
+    return store.embeddable(table(spark, sf_dir, "documents")).select("doc_id", F.length("text").alias("char_count"))
+
+
+@query("select doc_id, lang from documents d where length(text) > 50 and not exists (select 1 from labels l where l.doc_id = d.doc_id)")
+def incremental_anti_join(spark, sf_dir):
+    docs = store.embeddable(table(spark, sf_dir, "documents"))
+    return docs.join(store.existing_ids(table(spark, sf_dir, "labels"), "doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("select doc_id from documents d where length(text) > 50 and not exists (select 1 from labels l where l.doc_id = d.doc_id) order by doc_id limit 25")
+def pending_batch_limit(spark, sf_dir):
+    return store.pending(table(spark, sf_dir, "documents"), store.existing_ids(table(spark, sf_dir, "labels"), "doc_id"), "doc_id", ["doc_id"], 25).select("doc_id")
+
+
+@query("select doc_id from (select doc_id from documents where length(text) > 50 order by doc_id limit 50) d where not exists (select 1 from labels l where l.doc_id = d.doc_id) order by doc_id limit 25")
+def pending_batch_limit_compat(spark, sf_dir):
+    return store.pending(table(spark, sf_dir, "documents"), store.existing_ids(table(spark, sf_dir, "labels"), "doc_id"), "doc_id", ["doc_id"], 25, compat=True).select("doc_id")
+
+
+@query("select user_id, event_id, event_type, value from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events) where n = 1")
+def upsert_latest(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return store.upsert_latest(e.where("event_id % 2 = 0"), e.where("event_id % 2 = 1"), ["user_id"], [F.col("ts"), F.col("event_id")]).select("user_id", "event_id", "event_type", "value")
+
+
+@query("""select coalesce(d.doc_id, n.doc_id) as doc_id, case when n.doc_id is not null then n.lang else d.lang end as lang, case when d.doc_id is not null then d.source else n.source end as source
+from (select * from documents where doc_id % 3 <> 0) d full join (select doc_id, 'q' || quality as lang, 'labels' as source from labels) n on d.doc_id = n.doc_id""")
+def upsert_partial(spark, sf_dir):
+    now = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang", "source")
+    new = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("lang"), F.lit("labels").alias("source"))
+    return store.upsert_partial(now, new, "doc_id", ["lang"])
+
+
+@query("select d.doc_id as document_id, (d.doc_id % 7 = 0 or l.doc_id is not null) as text_extracted, (l.doc_id is not null) as is_processed from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id")
+def mark_processed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 7 == 0).alias("text_extracted"), F.lit(False).alias("is_processed"))
+    return store.mark_processed(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id")))
+
+
+@query("select doc_id, source, length(text)::int as n from documents where doc_id % 5 <> 0 and doc_id % 3 <> 0 union all select doc_id, 'new', length(left(text, 500))::int from documents where doc_id % 3 = 0")
+def sync_union(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    old = d.where("doc_id % 5 <> 0").select("doc_id", "source", F.length("text").alias("n"))
+    new = d.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source"), F.length(text.snippet(F.col("text"))).alias("n"))
+    return store.sync(new, old, ["doc_id"])
+
+
+# Search
+
+
+_first = "(select embedding::double[] from embeddings where vec_id = 0)"
+_sim = "list_cosine_similarity(embedding::double[], q)"
+
+
+def _one(spark, sf_dir, k, least):
+    e = table(spark, sf_dir, "embeddings")
+    found = vector.top_k(e, e.where("vec_id = 0").first()["embedding"], k, least, "vec_id")
+    return found.select("vec_id", "label", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"select vec_id, label, round(s, 6) as similarity from (select *, {_sim} as s from embeddings, (select {_first} as q)) where s >= 0.1 order by s desc, vec_id limit 10")
+def vector_topk(spark, sf_dir):
+    return _one(spark, sf_dir, 10, 0.1)
+
+
+@query(f"select vec_id, label, round(s, 6) as similarity from (select *, {_sim} as s from embeddings, (select {_first} as q)) where s >= 0.5 order by s desc, vec_id limit 5")
+def vector_topk_default(spark, sf_dir):
+    return _one(spark, sf_dir, 5, 0.5)
+
+
+TOP = """select query_id, vec_id, rank, s from (select *, row_number() over (partition by query_id order by s desc, vec_id)::int as rank from
+(select a.vec_id as query_id, b.vec_id, list_cosine_similarity(b.embedding::double[], a.embedding::double[]) as s from embeddings a, embeddings b where a.vec_id < 20)) where rank <= 5"""
+
+
+def _batch(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    return vector.top_k_batch(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), 5)
+
+
+@query(f"select query_id, rank, vec_id, round(s, 6) as similarity from ({TOP})")
+def vector_topk_batch(spark, sf_dir):
+    return _batch(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
+
+
+@query("select vec_id, len(embedding) = 64 as dim_ok, len(embedding) = 1024 as default_ok from embeddings")
+def vector_dim_check(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", vector.dim_ok(F.col("embedding"), 64).alias("dim_ok"), vector.dim_ok(F.col("embedding"), 1024).alias("default_ok"))
+
+
+@query("select doc_id, left(text, 500) as text_snippet, length(text)::int as char_count, length(left(text, 6000))::int as embed_chars from documents")
+def snippet_projection(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("text_snippet"), F.length("text").alias("char_count"), F.length(text.for_embedding(F.col("text"))).alias("embed_chars"))
+
+
+# Questions
+
+
+def _any(c: str, words: list[str]) -> str:
+    return "(" + " or ".join(f"contains({c}, {q(w)})" for w in words) + ")"
+
+
+_low = "lower(text)"
+_intent = " ".join(f"when {_any(_low, w)} then '{name}'" for name, w in rag.INTENT.items())
+
+
+@query(f"select id, case {_intent} end as intent, {_any(_low, rag.LIST_WORDS)} as list_intent, case when {_any(_low, rag.LIST_WORDS)} then least(30, 1000) else 5 end::int as k from (select conv_id * 1000 + turn as id, text from conversations union all select -id, t from {values(fx.PROMPTS, 'id, t')})")
+def intent_router(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").unionByName(spark.createDataFrame(fx.PROMPTS, "id long, text string").withColumn("id", -F.col("id")))
+    t = F.col("text")
+    return rows.select("id", rag.intent(t).alias("intent"), rag.wants_list(t).alias("list_intent"), rag.passages(t, 1000).alias("k"))
+
+
+_status = "case o_orderstatus when 'O' then 'To Do' when 'P' then 'In Progress' else 'Done' end"
+
+
+@query(f"""with o as (select 'AB-' || o_orderkey as key, o_orderpriority as summary, {_status} as cat, lower({_status}) as status from orders)
+select cat as status_category, count(*) as n, min(key) as first_key from o where cat = 'Done' or contains(status, 'done') group by cat
+union all select cat, count(*), min(key) from o where cat = 'In Progress' group by cat union all select cat, count(*), min(key) from o where cat = 'To Do' group by cat""")
+def status_filter(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    cat = F.when(F.col("o_orderstatus") == "O", "To Do").when(F.col("o_orderstatus") == "P", "In Progress").otherwise("Done")
+    issues = o.select(F.concat(F.lit("AB-"), F.col("o_orderkey").cast("string")).alias("key"), cat.alias("status_category"), F.lower(cat).alias("status"))
+    tagged = issues.withColumn("groups", F.array(*[F.when(rag.status_group(F.col("status"), F.col("status_category"), g), g) for g in rag.STATUS]))
+    return tagged.where(F.exists("groups", lambda g: g.isNotNull())).groupBy("status_category").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
+
+
+@query("""select chr(10) || chr(10) || '[완료 상태 이슈 ' || count(*) || '개]' || chr(10) || string_agg('- AB-' || o_orderkey || ': ' || o_orderpriority || ' (상태: done)' || chr(10), '' order by o_orderkey) as status_context
+from orders where o_orderkey < 200 and o_orderstatus = 'F'""")
+def status_context(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").where("o_orderkey < 200 and o_orderstatus = 'F'")
+    issues = o.select("o_orderkey", F.concat(F.lit("AB-"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("summary"), F.lit("done").alias("status"), F.lit("Done").alias("status_category"))
+    return rag.status_context(issues, "done", "o_orderkey")
+
+
+CONTEXT = f"""with top as ({TOP}), c as (select query_id, string_agg('[출처: ' || coalesce(d.source, 'unknown') || ']' || chr(10) || left(d.text, 200), {q(rag.SEPARATOR)} order by rank) as context
+from top join documents d on d.doc_id = top.vec_id group by query_id)"""
+
+
+def _contexts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.left("text", F.lit(200)).alias("text"))
+    return rag.assemble_context(_batch(spark, sf_dir).join(docs, "vec_id"))
+
+
+@query(CONTEXT + " select query_id, context from c")
+def context_assembly(spark, sf_dir):
+    return _contexts(spark, sf_dir)
+
+
+@query(CONTEXT + f" select query_id, {q(rag.PROMPT)} || context as prompt from c")
+def prompt_build(spark, sf_dir):
+    return _contexts(spark, sf_dir).select("query_id", rag.build_prompt(F.col("context")).alias("prompt"))
+
+
+# Statistics, names and paths
+
+
+@query("select source as folder, count(*) as file_count, (sum(n_chars) // 1024)::bigint as size_kb from documents group by source")
+def folder_stats(spark, sf_dir):
+    return stats.folder_stats(table(spark, sf_dir, "documents").select(F.col("source").alias("folder"), F.col("n_chars").alias("size")))
+
+
+@query("select c_custkey, 'rag-0123abcd-' || left(md5(c_name), 8) as collection from customer")
+def collection_name(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.collection_name("0123abcd-ffff", F.col("c_name")).alias("collection"))
+
+
+@query("""select page_id, string_split(url, '/')[-1] as source, string_split(url, '/')[-2] as folder, case when starts_with(url, 'https:/') then url[8:] else url end as path from pages""")
+def file_metadata(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", stats.file_metadata(F.col("url"), "https:/").alias("m")).select("page_id", "m.*")
+
+
+@query(f"select page_id as id, url as p, list_bool_or(list_transform(string_split(url, '/'), lambda x: starts_with(x, '.'))) as hidden from pages union all select -id, t, list_bool_or(list_transform(string_split(t, '/'), lambda x: starts_with(x, '.'))) from {values(fx.PATHS, 'id, t')}")
+def hidden_path_filter(spark, sf_dir):
+    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("p")).unionByName(spark.createDataFrame(fx.PATHS, "id long, p string").withColumn("id", -F.col("id")))
+    return rows.withColumn("hidden", binary.has_hidden_part(F.col("p")))
+
+
+@query("select count(l.doc_id) as extracted, count(*) - count(l.doc_id) as errors, count(*) as total from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id")
+def run_stats(spark, sf_dir):
+    done = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("_l")).distinct()
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return stats.run_stats(d.join(done, F.col("doc_id") == F.col("_l"), "left"), F.col("_l").isNull())
+
+
+@query("select doc_id, row_number() over (order by doc_id) - 1 as row_no, ((row_number() over (order by doc_id) - 1) // 50 + 1)::bigint as batch_no, ceil((select count(*) from documents) / 50)::bigint as n_batches from documents")
+def batch_numbering(spark, sf_dir):
+    return stats.batch_numbers(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
+
+
+@query("select source as container, doc_id, row_number() over (partition by source order by doc_id)::int as section_order, '[' || lang || '] ' || left(text, 20) as section_title from documents")
+def zip_renumber(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("container"), "doc_id", "lang", F.left("text", F.lit(20)).alias("section_title"))
+    return stats.renumber(s, "container", ["doc_id"], "section_title", "lang").select("container", "doc_id", "section_order", "section_title")
+
+
+_bit = lambda n: f"(flags >> {n}) & 1 = 1"
+
+
+@query(f"select flags, {', '.join(f'{_bit(n)} as {name}' for n, name in binary.HEADER_FLAGS.items())}, case when {_bit(1)} or {_bit(8)} then 'password' when {_bit(4)} or {_bit(9)} then 'drm' when {_bit(2)} then 'distribution' end as encryption_type, ({_bit(1)} or {_bit(8)} or {_bit(4)} or {_bit(9)}) as is_encrypted from range(2048) r(flags)")
+def hwp_flag_decode(spark, sf_dir):
+    flags = F.col("flags")
+    return spark.range(2048).select(F.col("id").alias("flags")).select("flags", binary.header_flags(flags).alias("h"), binary.encryption_type(flags).alias("encryption_type"), binary.is_encrypted(flags).alias("is_encrypted")).select("flags", "h.*", "encryption_type", "is_encrypted")
+
+
+_tags = " ".join(f"when {n} then '{name}'" for n, name in binary.TAGS.items())
+
+
+@query(f"with w as (select (i * 2654435761) % 4294967296 as word from range(5000) r(i)) select word, word & 1023 as tag_id, (word >> 10) & 1023 as level, (word >> 20) & 4095 as size, case word & 1023 {_tags} else 'UNKNOWN_0x' || lpad(upper(to_hex(word & 1023)), 3, '0') end as tag_name from w")
+def record_header_split(spark, sf_dir):
+    w = spark.range(5000).select(((F.col("id") * 2654435761) % 4294967296).alias("word"))
+    return w.select("word", binary.record_header(F.col("word")).alias("h")).select("word", "h.*").withColumn("tag_name", binary.tag_name(F.col("tag_id")))
+
+
+@query(f"select id, left(t, 80) || '_sec_3' as section_id, replace(t, chr(92), '/') as path, {rep(strip_sql('t'), ('/+$', ''))} as url, string_split(t, ':')[1] = 'bge-m3' as model, t || ' - name' as label, string_split(t, ' - ')[1] as key from {values(fx.NAMES, 'id, t')}")
+def name_functions(spark, sf_dir):
+    t = F.col("t")
+    return spark.createDataFrame(fx.NAMES, "id int, t string").select(
+        "id", text.section_id(t, F.lit(3)).alias("section_id"), text.unix_path(t).alias("path"), text.trim_url(t).alias("url"), text.model_matches(t, "bge-m3:latest").alias("model"), text.project_label(t, F.lit("name")).alias("label"), text.project_key(t).alias("key")
+    )
+
+
+@query()
+def doc_parsers(spark, sf_dir):
+    """Generated office files through extraction: a row for each file."""
+    from ..sources import files
+
+    rows = spark.createDataFrame(fx.office_files(), "path string, content binary")
+    return files.extract(rows).select("path", "text", "method", "word_count", "char_count", "error", "encrypted", "encryption_type", "files_processed", "files_skipped", F.size("sections").alias("n_sections"))
+
+
+@query()
+def section_table(spark, sf_dir):
+    """Rows of the section table for the generated office files."""
+    from ..sources import files
+
+    rows = spark.createDataFrame(fx.office_files(), "path string, content binary")
+    found = files.extract(rows.withColumn("document_id", F.col("path")).withColumn("bid_id", F.lit("b1")), ("document_id", "bid_id"))
+    return files.section_rows(found)
+
+
+@query()
+def hwp_record_dump(spark, sf_dir):
+    from ..sources import files
+
+    rows = spark.createDataFrame([("DocInfo", fx.hwp_doc_info()), ("Section0", fx.hwp_section())], "path string, content binary")
+    return files.hwp_records(rows).withColumn("tag_name", binary.tag_name(F.col("tag_id"))).withColumn("data", F.hex("data"))
+
+
+@query()
+def vault_markdown(spark, sf_dir):
+    """Texts and metadata of a vault given as rows of path and content."""
+    rows = spark.createDataFrame(fx.vault_files(), "path string, content binary")
+    return vault.vault_texts(rows.where(~binary.has_hidden_part(F.col("path"))), "/vault")
+
+
+@query()
+def embed_sections(spark, sf_dir):
+    """Embeddings of the documents' chunks from a deterministic stand-in model."""
+    from ..operators import embed
+
+    return embed.embed(chunk.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text")), fx.HashEmbedder(), "chunk", 16).drop("chunk")
