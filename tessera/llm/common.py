@@ -56,6 +56,19 @@ def with_key(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def whole_rows(docs: DataFrame, *needed: str) -> DataFrame:
+    """docs as one struct `row` beside the needed columns, so that no other column's name matters; select("row.*") undoes it."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df has not."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(column: pa.Array) -> list[bytes]:
     """The texts as UTF-8 bytes, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

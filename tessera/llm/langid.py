@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import load, map_arrow
+from .common import fresh, load, map_arrow
 
 SAMPLE_DOCS = 128
 DICT_BYTES = 64 * 1024
@@ -86,25 +86,31 @@ class Classifier:
         return self.langs[order[0]], min(1.0, margin / FULL_MARGIN), margin
 
 
-def classify(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = MIN_MARGIN, text: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected appended; the dictionaries (DICT_BYTES a language) go to each task.
+def classify(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = MIN_MARGIN, names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """docs with language, score and rejection appended under these names; the dictionaries (DICT_BYTES a language) go to each task.
 
     Columns of docs with these names are replaced."""
-    docs = docs.drop("lang_pred", "score", "rejected")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(dicts)
-    at = docs.columns.index(text)
+    at = docs.columns.index("text")
 
     def run(batches):
         c = Classifier(shared.value)
         for batch in batches:
             found = [c.predict(t) for t in batch.column(at).to_pylist()]
             extra = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([x[0] == UND or x[2] < min_margin for x in found], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], names=[*batch.schema.names, *names])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
     return map_arrow(docs, run, schema)
 
 
+def keep_certain(docs: DataFrame, dicts: dict[str, bytes], min_margin: float = MIN_MARGIN) -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns as they are."""
+    names = tuple(fresh(docs, x) for x in ("lang_pred", "score", "rejected"))
+    return classify(docs, dicts, min_margin, names).where(~F.col(names[2])).drop(*names)
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     dicts = learn(docs.where(~held_out(F.col("doc_id"))))

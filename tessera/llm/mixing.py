@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, load, with_key, written
+from .common import WORD, load, whole_rows, with_key, written
 
 WEIGHTS = (5, 2, 1)
 RATIO = 1.5
@@ -172,11 +172,13 @@ def assemble(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("start_word", "words", "shard", "order_key"))).alias("b"), (whole & (F.sum("words") == F.first("size"))).alias("whole")
     )
     each = each.select("k", "whole", "b", F.col("b")[0]["shard"].alias("_shard"), F.col("b")[0]["order_key"].alias("_order"))
-    joined = with_key(docs, "k").join(each, "k")
+    joined = with_key(whole_rows(docs, "text"), "k").join(each, "k")
     words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = joined.withColumn("_words", F.when(~F.col("whole"), words))
-    text = F.when(F.col("whole"), F.col("text")).otherwise(F.array_join(F.flatten(F.transform("b", lambda b: F.slice(F.col("_words"), (b["start_word"] + 1).cast("int"), b["words"].cast("int")))), " "))
-    out = part.withColumn("text", text)
+    part = joined.withColumn("words", F.when(~F.col("whole"), words))
+    text = F.array_join(F.flatten(F.transform("b", lambda b: F.slice("words", (b["start_word"] + 1).cast("int"), b["words"].cast("int")))), " ")
+    part = part.withColumn("cut", F.when(~F.col("whole"), text))
+    row = F.col("row").withField("text", F.col("cut"))
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.repartition("_shard", F.pmod(F.col("_order"), F.lit(8))).sortWithinPartitions("_shard", "_order").select(columns)
+        row = row.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
+    out = part.select(F.when(F.col("whole"), F.col("row")).otherwise(row).alias("row"), "_shard", "_order")
+    return out.repartition("_shard", F.pmod(F.col("_order"), F.lit(8))).sortWithinPartitions("_shard", "_order").select("row.*")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, with_key
+from .common import load, whole_rows, with_key
 
 WINDOW = 400
 #: kind: pattern, smallest and largest length of what counts, group whose length that is, cheap test.
@@ -92,23 +92,24 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """docs with every reported span of text replaced by the mask, and n_chars (where there is one) counted anew.
 
     Overlapping spans share one mask. Only rows that a cheap test flags are shuffled; the others pass as they are."""
-    columns = docs.columns
     test = F.coalesce(F.col("text").rlike("|".join(f"(?:{KINDS[x][4]})" for x in BASE)), F.lit(False))
-    keyed = with_key(docs, "_k").withColumn("_flag", test)
-    flagged, clean = keyed.where("_flag"), keyed.where("not _flag")
-    found = spans(flagged.select(F.col("_k").alias("k"), F.lit(None).cast("long").alias("doc_id"), "text")).where("kind is not null")
-    in_order = Window.partitionBy("k").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    opens = F.coalesce(F.col("start") > F.max("end").over(in_order), F.lit(True))
-    islands = found.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(Window.partitionBy("k").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
+    keyed = with_key(whole_rows(docs, "text"), "k").withColumn("flag", test)
+    flagged, clean = keyed.where("flag"), keyed.where("not flag")
+    found = spans(flagged.select("k", F.lit(None).cast("long").alias("doc_id"), "text")).where("kind is not null")
+    in_order = Window.partitionBy("k").orderBy("start", "end")
+    opens = F.coalesce(F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    islands = found.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     islands = islands.groupBy("k", "island").agg(F.min("start").alias("a"), F.max("end").alias("b")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
-    joined = flagged.join(islands, flagged["_k"] == islands["k"], "left")
-    kept = F.expr("transform(cuts, (c, i) -> substring(text, cast(if(i = 0, 0, cuts[greatest(i - 1, 0)].b) as int) + 1, cast(c.a - if(i = 0, 0, cuts[greatest(i - 1, 0)].b) as int)))")
+    joined = flagged.join(islands, "k", "left")
+    before = "if(i = 0, 0, cuts[greatest(i - 1, 0)].b)"
+    kept = F.expr(f"transform(cuts, (c, i) -> substring(text, cast({before} as int) + 1, cast(c.a - {before} as int)))")
     rest = F.expr("substring(text, cast(element_at(cuts, -1).b as int) + 1)")
-    text = F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.concat(F.array_join(kept, mask), F.lit(mask), rest))
-    joined = joined.withColumn("text", text)
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("cuts").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return clean.select(columns).unionByName(joined.select(columns))
+    masked = F.concat(F.array_join(kept, mask), F.lit(mask), rest)
+    row = F.col("row").withField("text", masked)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(masked).cast(docs.schema["n_chars"].dataType))
+    joined = joined.select(F.when(F.col("cuts").isNull(), F.col("row")).otherwise(row).alias("row"))
+    return clean.select("row").unionByName(joined).select("row.*")
 
 
 def oracle() -> str:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, map_arrow, utf8, written
+from .common import load, map_arrow, utf8, whole_rows, written
 
 RADIUS = 3
 SHINGLE = 3
@@ -258,6 +258,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     All columns are returned as they are. The text crosses one shuffle, by doc_id."""
     ids = near_components(written(fingerprints(docs), "simhash-fps"))
     keep = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(keep["_keep"])).drop("_keep")
+    kept = whole_rows(docs, "doc_id", "text").join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")))
     one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(one)).where("_n = 1").drop("_n")
+    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
