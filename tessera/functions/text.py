@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: The characters that count as white space (the body of a character class).
 SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 S = f"[{SPACE}]"
-SENTENCE = r"[^.!?。]*[.!?。] *|[^.!?。]+\z"
+SENTENCE = r"[^.!?。]*+[.!?。] *+|[^.!?。]++\z"
 #: Lengths after which a stored snippet, a text to embed, and an id's prefix are cut.
 SNIPPET, EMBED_CHARS, ID_PREFIX = 500, 6000, 80
 
@@ -21,13 +21,14 @@ def _chain(c: Column, *steps: tuple[str, str]) -> Column:
 
 def strip(c: Column) -> Column:
     """Without white space (Unicode's) at either end."""
-    return F.regexp_replace(c, rf"\A{S}+|{S}+\z", "")
+    return F.regexp_replace(c, rf"\A{S}++|{S}++\z", "")
 
 
 def clean_korean_text(c: Column) -> Column:
     """White space collapsed; a text of digits only emptied; page footers removed; full-width stops replaced; stripped."""
-    c = _chain(c, (f"{S}+", " "), (r"\A\p{Nd}+ ?\z", ""), (r"- \p{Nd}+ -", ""))
-    return strip(F.translate(c, "．，", ".,"))
+    # Lone spaces stay as they are, so only other runs of white space cost a replacement.
+    c = _chain(c, (f"[{SPACE}&&[^ ]]{S}*+| {S}++", " "), (r"\A\p{Nd}++ ?\z", ""), (r"- \p{Nd}++ -", ""))
+    return F.trim(F.translate(c, "．，", ".,"))
 
 
 def split_sentences(cleaned: Column) -> Column:
@@ -41,7 +42,7 @@ def strip_han_control(c: Column, keep_newlines: bool = False) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, f"{S}+"), lambda w: w != ""))
+    return F.regexp_count(c, F.lit(f"[^{SPACE}]++"))
 
 
 def char_count(c: Column) -> Column:

@@ -56,6 +56,7 @@ def chunk_documents(docs: DataFrame, text: str = "text", size: int = SIZE, overl
     """The other columns of docs, with chunk_pos (from 0), chunk and n_chars of each chunk kept."""
     others = [c for c in docs.columns if c not in (text, "chunk_pos", "chunk", "n_chars")]
     df = docs.select(*others, split_sentences(clean_korean_text(F.col(text))).alias("_ss"))
-    df = df.withColumn("_cut", pack(F.transform("_ss", lambda s: F.length(s)), size, overlap))
+    df = df.withColumn("_len", F.transform("_ss", lambda s: F.length(s)))
+    df = df.withColumn("_cut", pack(F.col("_len"), size, overlap))
     texts = F.filter(F.transform("_cut", lambda c: F.array_join(F.slice("_ss", c["s"] + 1, c["e"] - c["s"]), " ")), lambda t: F.length(t) > longer_than)
     return df.select(*others, F.posexplode(texts).alias("chunk_pos", "chunk")).withColumn("n_chars", F.length("chunk"))
