@@ -83,7 +83,7 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", dim: int | No
 def embedding_job(sections: DataFrame, store: ParquetVectorStore, embedder: Embedder, limit: int | None = None, compat: bool = False) -> dict[str, int]:
     """Embeds the sections that the store lacks and upserts them; returns generated, errors and total."""
     todo = pending(sections, store.existing_ids(embedder.model), limit=limit, compat=compat)
-    path = f"{store.path}/_run"
+    path = f"{store.path}/run"
     embed(todo, embedder, dim=None).write.mode("overwrite").parquet(path)
     done = sections.sparkSession.read.parquet(path)
     counts = done.agg(F.count("embedding").alias("generated"), F.count_if(F.col("embedding").isNull()).alias("errors"), F.count(F.lit(1)).alias("total")).first().asDict()

@@ -85,27 +85,27 @@ def sync(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("section_i
 
 
 def write_version(df: DataFrame, path: str) -> str:
-    """Writes the next version under path and points _current at it."""
+    """Writes the next version under path and points CURRENT at it."""
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs_path = jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(conf)
-    out = fs.create(fs_path(f"{path}/_next"), True)
+    out = fs.create(fs_path(f"{path}/NEXT"), True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    fs.delete(fs_path(f"{path}/_current"), False)
-    fs.rename(fs_path(f"{path}/_next"), fs_path(f"{path}/_current"))
+    fs.delete(fs_path(f"{path}/CURRENT"), False)
+    fs.rename(fs_path(f"{path}/NEXT"), fs_path(f"{path}/CURRENT"))
     return version
 
 
 def read_version(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The current version, or None (or an empty table of `schema`) if there is none yet."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     if not pointer.getFileSystem(conf).exists(pointer):
         return None if schema is None else spark.createDataFrame([], schema)
-    line = spark.read.text(f"{path}/_current").first()[0]
+    line = spark.read.text(f"{path}/CURRENT").first()[0]
     return spark.read.parquet(f"{path}/{json.loads(line)['version']}")
 
 
