@@ -76,10 +76,19 @@ def adf_to_text(c: Column) -> Column:
     return run(c)
 
 
-def _body(c: Column) -> Column:
-    """Wiki markup is cleaned in place; only document trees go through Python."""
-    tree = F.startswith(F.ltrim(c), F.lit("{\"")) & F.get_json_object(c, "$.type").isNotNull()
-    return F.when(tree, adf_to_text(F.when(tree, c))).otherwise(clean_jira_markup(c))
+def _is_tree(c: Column) -> Column:
+    return F.startswith(F.ltrim(c), F.lit('{"')) & F.get_json_object(c, "$.type").isNotNull()
+
+
+def _bodies(c: Column) -> Column:
+    """Texts of an array of bodies: wiki markup is cleaned in place; only document trees go through Python."""
+
+    @F.pandas_udf("array<string>")
+    def trees(s: pd.Series) -> pd.Series:
+        return s.map(lambda bodies: [_adf_json(b) for b in bodies])
+
+    found = trees(F.transform(c, lambda b: F.when(_is_tree(b), b)))
+    return F.zip_with(c, found, lambda b, t: F.when(_is_tree(b), t).otherwise(clean_jira_markup(b)))
 
 
 def parse_issues(raw: DataFrame, column: str = "value") -> DataFrame:
@@ -87,10 +96,6 @@ def parse_issues(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.select(F.from_json(column, f"struct<{ISSUE.replace('key string', 'key:string').replace('fields struct', 'fields:struct')}>").alias("i")).select("i.*")
 
 
-def _not_empty(c: Column) -> Column:
-    return F.when(c != "", c)
-
-
 def issue_texts(issues: DataFrame) -> DataFrame:
     """issues (key, fields) with `text`: summary with status, status words, assignee, description, comments."""
     ship(issues.sparkSession)
@@ -101,13 +106,10 @@ def issue_texts(issues: DataFrame) -> DataFrame:
     summary = F.concat(F.lit("["), F.coalesce("key", F.lit("Unknown")), F.lit("]"), F.when(name != "", F.concat(F.lit(" (상태: "), name, F.lit(")"))).otherwise(""), F.lit(" "), f["summary"])
     status = F.concat(F.lit("이슈 상태: "), name, F.when(category != "", F.concat(F.lit(" ("), category, F.lit(")"))).otherwise(""), words)
     assignee = F.coalesce(f["assignee"]["displayName"], f["assignee"]["name"])
-    rows = issues.withColumn("_no", F.monotonically_increasing_id())
-    bodies = rows.select("_no", F.posexplode("fields.comment.comments").alias("_p", "_c")).select("_no", "_p", _body(F.col("_c.body")).alias("_t"))
-    joined = bodies.groupBy("_no").agg(F.array_sort(F.collect_list(F.struct("_p", "_t"))).alias("_bodies"))
-    rows = rows.join(joined, "_no", "left")
-    comments = F.filter(F.transform(F.coalesce("_bodies", F.expr("cast(array() as array<struct<_p:int,_t:string>>)")), lambda b: b["_t"]), lambda t: t != "")
-    parts = F.array(F.when(f["summary"] != "", summary), F.when(name != "", status), F.when(assignee != "", F.concat(F.lit("담당자: "), assignee)), _not_empty(_body(F.coalesce(f["description"], F.lit("")))))
-    return rows.withColumn("text", F.array_join(F.concat(F.filter(parts, lambda p: p.isNotNull()), comments), "\n\n")).drop("_no", "_bodies")
+    comments = F.coalesce(F.transform(f["comment"]["comments"], lambda c: c["body"]), F.expr("cast(array() as array<string>)"))
+    rows = issues.withColumn("text", _bodies(F.concat(F.array(f["description"]), comments)))  # the description, then the comments
+    parts = F.array(F.when(f["summary"] != "", summary), F.when(name != "", status), F.when(assignee != "", F.concat(F.lit("담당자: "), assignee)))
+    return rows.withColumn("text", F.array_join(F.concat(F.filter(parts, lambda p: p.isNotNull()), F.filter("text", lambda t: t != "")), "\n\n"))
 
 
 def issue_metadata(issues: DataFrame) -> DataFrame:
