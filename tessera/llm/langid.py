@@ -34,7 +34,7 @@ BLOCK = 4096
 LEVEL = 6
 #: The margin that counts as certain, and the one under which a text is rejected.
 FULL_MARGIN = 0.10
-MIN_MARGIN = 0.02
+MIN_MARGIN = 0.005
 UND = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 

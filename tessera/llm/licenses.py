@@ -153,4 +153,36 @@ def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> Data
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(load(spark, sf_dir, "documents"))
+    return license_scan(load(spark, sf_dir, "documents")).drop("n_templates", "spans")
+
+
+def _regex(template: str) -> str:
+    """The template as a regular expression over words that each end in a space."""
+    out = ""
+    for part in re.findall(r"<<.*?>>|[^<]+", template):
+        if part == "<<optional>>":
+            out += "(?:"
+        elif part == "<</optional>>":
+            out += ")?"
+        elif part.startswith("<<var:"):
+            out += "(?:[^ ]+ ){1," + part[6:-2] + "}"
+        else:
+            out += "".join(w.decode() + " " for w in words_of(part.encode()))
+    return out
+
+
+def oracle() -> str:
+    """The same result in DuckDB, for op10's columns."""
+    places = " or ".join("(" + " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split(), 1)) + ")" for p in BASE.values())
+    label = lambda name, test: f"case when {test} then '{name}' end"
+    base = ", ".join(label(name, f"contains(s, ' {p} ')") for name, p in BASE.items())
+    found = ", ".join(label(name, f"regexp_matches(s, ' {_regex(t)}')") for name, t in TEMPLATES.items())
+    mandatory = ", ".join(f"case when regexp_matches(s, ' {_regex(t)}') then {Automaton(t).n_mandatory} else 0 end" for t in TEMPLATES.values())
+    return f"""with a as (select doc_id, ' ' || trim(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g')) || ' ' as s from documents),
+    b as (select *, list_filter(string_split(s, ' '), lambda x: x <> '') as w, list_filter([{base}], lambda x: x is not null) as bl, list_filter([{found}], lambda x: x is not null) as fl, greatest({mandatory}) as m from a),
+    c as (select *, list_filter(range(len(w)), lambda i: {places}) as places from b)
+    select doc_id, len(w)::bigint as n_words, len(places)::bigint as n_base, list_min(places)::bigint as first_word, list_max(places)::bigint as last_word, array_to_string(list_sort(bl), ',') as base_labels, array_to_string(list_sort(list_concat(bl, fl)), ',') as labels,
+      greatest(case when len(fl) > 0 then 1 - power(0.5, m) else 0 end, case when len(places) > 0 then 0.5 else 0 end)::double as score from c"""
+
+
+ORACLE = oracle()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import secrets, urlfilter
+from . import licenses, secrets, urlfilter
 from .langid import op1_language_id
 from .licenses import op10_license_scan
 from .media import op4_media_columns
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_license_scan": op10_license_scan,
 }
-ORACLES: dict[str, str] = {"op5_secret_scan": secrets.ORACLE, "op7_url_filter": urlfilter.ORACLE}
+ORACLES: dict[str, str] = {"op10_license_scan": licenses.ORACLE, "op5_secret_scan": secrets.ORACLE, "op7_url_filter": urlfilter.ORACLE}
