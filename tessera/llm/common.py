@@ -28,15 +28,32 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    """A new place in the shared folder, which release() deletes."""
+    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    sc._tessera_scratch = [*getattr(sc, "_tessera_scratch", ()), path]
+    return path
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and there when executors are lost."""
+def release(spark: SparkSession) -> int:
+    """Deletes everything that operators of this application have put in the shared folder; results that were not written are lost with it."""
+    paths = getattr(spark.sparkContext, "_tessera_scratch", [])
+    for path in paths:
+        remove(spark, path)
+    spark.sparkContext._tessera_scratch = []
+    return len(paths)
+
+
+def written_at(df: DataFrame, label: str) -> tuple[str, DataFrame]:
     spark = df.sparkSession
     path = scratch(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a Parquet table in the shared folder: computed once, and there when executors are lost."""
+    return written_at(df, label)[1]
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -34,7 +34,7 @@ K = 20
 EVERY = 20
 #: Rows a partition should have, the most partitions, and sample vectors for each partition.
 PART_ROWS = 4096
-MAX_PARTS = 64
+MAX_PARTS = 256
 SAMPLE_PER = 128
 MIN_SAMPLE = 2048
 RECALL = 0.97

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, map_arrow, utf8, whole_rows, written
+from .common import load, map_arrow, remove, utf8, whole_rows, written, written_at
 
 RADIUS = 3
 SHINGLE = 3
@@ -219,7 +219,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """node and root for every node of edges (a, b) (long): root is the smallest node it is connected with.
 
     Large-star and small-star rounds; each round is a table in the shared folder."""
-    now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
+    path, now = written_at(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), label)
     state = None
     while True:
         mark = now.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
@@ -232,7 +232,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        now = written(small, label)
+        old, (path, now) = path, written_at(small, label)
+        remove(edges.sparkSession, old)
 
 
 def near_components(fps: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tessera.llm import media, neighbours, simhash, urlfilter
-from tessera.llm.common import scratch
+from tessera.llm.common import release, remove, scratch, written
 
 from . import helpers as h
 
@@ -229,6 +229,16 @@ def test_no_rules_and_no_pages(spark):
     assert urlfilter.filter_urls(pages.where("false"), urlfilter.rule_frame(spark, urlfilter.RULES)).count() == 0
 
 
+def test_scratch_is_released(spark):
+    sc = spark.sparkContext
+    before, sc._tessera_scratch = getattr(sc, "_tessera_scratch", []), []
+    df = written(spark.range(3), "x")
+    path = df.inputFiles()[0].rpartition("/")[0].removeprefix("file:").lstrip("/")
+    assert release(spark) == 1 and pafs.LocalFileSystem().get_file_info("/" + path).type == pafs.FileType.NotFound and sc._tessera_scratch == []
+    remove(spark, scratch(spark, "never-written"))
+    sc._tessera_scratch = before
+
+
 # Empty tables and the pipeline
 
 
