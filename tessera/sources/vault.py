@@ -38,3 +38,11 @@ def folders(files: DataFrame, root: str) -> DataFrame:
 
 def vault_corpus(files: DataFrame, root: str, chunk_fn) -> DataFrame:
     return chunk_fn(vault_texts(files, root).where(F.col("text") != ""))
+
+
+def vault_stats(files: DataFrame, root: str) -> DataFrame:
+    """One row: files, whole KiB, and the folders right below root that hold files and are not hidden."""
+    base = root.rstrip("/")
+    below = F.split(F.substring("path", len(base) + 2, 2**31 - 1), "/")
+    first = F.when((F.size(below) > 1) & ~F.startswith(below[0], F.lit(".")), below[0])
+    return files.agg(F.count(F.lit(1)).alias("file_count"), F.expr("coalesce(sum(size), 0) div 1024").alias("total_size_kb"), F.countDistinct(first).alias("subfolders"))

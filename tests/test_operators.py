@@ -4,8 +4,10 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.config import Config
 from tessera.operators import embed, rag, stats, store, vector
 from tessera.plans.fixtures import HashEmbedder
+from tessera.plans import ask
 from tessera.streaming.incremental import run_incremental
 
 
@@ -92,3 +94,26 @@ def test_incremental_stream(spark, tmp_path):
     put([("b", 5), ("c", 1)])
     assert run() == 1
     assert sorted(map(tuple, store.read_version(spark, target).collect())) == [("a", 1), ("b", 5), ("c", 1)]
+
+
+def test_index_and_answer(spark, tmp_path):
+    chunks = spark.createDataFrame([(i, f"text {i}", f"s{i}") for i in range(40)], "place int, chunk string, source string")
+    path, n = ask.index_chunks(chunks, HashEmbedder(), f"file://{tmp_path}/index", "place")
+    assert n == 40 and ask.index_chunks(chunks.where("false"), HashEmbedder(), f"file://{tmp_path}/none", "place") == (None, 0)
+    index = store.read_version(spark, path)
+    assert {r["chunk_id"]: r["place"] for r in index.collect()} == {f"chunk_{i}": i for i in range(40)}
+    issues = spark.createDataFrame([("AB-1", "a", "done", "Done")], "key string, summary string, status string, status_category string")
+    context = ask.find_context(index, HashEmbedder(), "text 7", issues).first()["context"]
+    assert context.startswith("[출처: s7]\ntext 7") and context.count("출처") == 5
+    listed = ask.find_context(index, HashEmbedder(), "완료 목록", issues).first()["context"]
+    assert listed.startswith("\n\n[완료 상태 이슈 1개]") and listed.count("출처") == 30
+
+    class Echo:
+        def chat(self, system, prompt):
+            yield from (system[:3], prompt)
+
+    assert list(ask.answer(index, HashEmbedder(), Echo(), "text 7")) == [rag.PROMPT[:3], "text 7"]
+
+
+def test_config():
+    assert Config.from_env({"CHUNK_SIZE": "300", "OTHER": "x"}).chunk_size == 300 and Config().top_k_results == 5

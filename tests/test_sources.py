@@ -82,6 +82,7 @@ def test_vault(spark, tmp_path):
     flat, deep = vault.markdown_files(spark, root), vault.markdown_files(spark, root, recursive=True)
     assert flat.count() == 1 and deep.count() == 3
     assert {r["source"]: (r["folder"], r["path"], r["text"]) for r in vault.vault_texts(deep, root).collect()} == {"a.md": (tmp_path.name, "a.md", "가\n나"), "b.md": ("sub", "sub/b.md", "다"), "c.md": ("deep", "sub/deep/c.md", "x")}
+    assert vault.vault_stats(deep, root).first().asDict() == {"file_count": 3, "total_size_kb": 0, "subfolders": 1}
     assert [r["folder"].removeprefix(root) for r in vault.folders(deep, root).collect()] == ["", "/sub", "/sub/deep"]
 
 
