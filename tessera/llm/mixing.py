@@ -34,7 +34,7 @@ CAP = 2.0
 BLOCK_WORDS = 256
 #: Blocks in a hash bucket and in a shard, about.
 BUCKET = 16_384
-SHARD_BLOCKS = 65_536
+SHARD_BLOCKS = 32_768
 SEED = 17
 
 
@@ -109,12 +109,17 @@ def split_tree(draws: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
     return nodes.select(F.col("node").alias("shard"), F.col("q").alias("quotas"))
 
 
+def shard_count(src: DataFrame) -> int:
+    """A power of two, so that shards have SHARD_BLOCKS draws at most, about."""
+    n_blocks = src.agg(F.sum("n_blocks")).first()[0] or 0
+    return 1 << max(0, (int(RATIO * n_blocks) // SHARD_BLOCKS)).bit_length()
+
+
 def mix_blocks(rows: DataFrame, src: DataFrame, seed: int = SEED) -> DataFrame:
     """The draws of the mix: k, doc_id, src, block, start_word, words, pass, shard, order_key.
 
     rows: what sizes() gives; src: what targets() gives, as written tables."""
-    n_blocks = src.agg(F.sum("n_blocks")).first()[0] or 0
-    shards = 1 << max(0, (int(RATIO * n_blocks) // SHARD_BLOCKS)).bit_length()
+    shards = shard_count(src)
     src = src.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("n_blocks"), F.lit(1)) / BUCKET))).cast("int"))
     src = src.withColumn("full", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0)).withColumn("part", F.col("words") - F.col("full") * F.col("source_size"))
     blocks = rows.where("size > 0").join(src.select(F.col("source").alias("s_source"), "src", "bits", "full", "part"), F.col("source").eqNullSafe(F.col("s_source")))
@@ -160,7 +165,7 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def assemble(docs: DataFrame) -> DataFrame:
-    """docs as the mix takes them: a row for each document and pass, with its columns; sorted within output shards.
+    """docs as the mix takes them: a row for each document and pass, with its columns; a partition for each output shard, shuffled.
 
     A whole pass keeps the text as it is; a pass in part keeps the words of the blocks drawn, in their
     order, with single spaces between blocks, and n_chars (where there is one) is counted anew.
@@ -181,4 +186,4 @@ def assemble(docs: DataFrame) -> DataFrame:
     if "n_chars" in columns:
         row = row.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
     out = part.select(F.when(F.col("whole"), F.col("row")).otherwise(row).alias("row"), "_shard", "_order")
-    return out.repartition("_shard", F.pmod(F.col("_order"), F.lit(8))).sortWithinPartitions("_shard", "_order").select("row.*")
+    return out.repartitionById(shard_count(src), F.col("_shard").cast("int")).sortWithinPartitions("_order").select("row.*")
