@@ -177,8 +177,8 @@ def assemble(docs: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("start_word", "words", "shard", "order_key"))).alias("b"), (whole & (F.sum("words") == F.first("size"))).alias("whole")
     )
     each = each.select("k", "whole", "b", F.col("b")[0]["shard"].alias("_shard"), F.col("b")[0]["order_key"].alias("_order"))
-    joined = with_key(whole_rows(docs, "text"), "k").join(each, "k")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    joined = with_key(whole_rows(docs), "k").join(each, "k")  # the text is in the row alone, so it is shuffled once
+    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
     part = joined.withColumn("words", F.when(~F.col("whole"), words))
     text = F.array_join(F.flatten(F.transform("b", lambda b: F.slice("words", (b["start_word"] + 1).cast("int"), b["words"].cast("int")))), " ")
     part = part.withColumn("cut", F.when(~F.col("whole"), text))

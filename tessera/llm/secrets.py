@@ -100,7 +100,7 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     opens = F.coalesce(F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
     islands = found.withColumn("opens", opens.cast("int")).withColumn("island", F.sum("opens").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
     islands = islands.groupBy("k", "island").agg(F.min("start").alias("a"), F.max("end").alias("b")).groupBy("k").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("cuts"))
-    joined = flagged.join(islands, "k", "left")
+    joined = flagged.drop("text").join(islands, "k", "left").withColumn("text", F.col("row.text"))
     before = "if(i = 0, 0, cuts[greatest(i - 1, 0)].b)"
     kept = F.expr(f"transform(cuts, (c, i) -> substring(text, cast({before} as int) + 1, cast(c.a - {before} as int)))")
     rest = F.expr("substring(text, cast(element_at(cuts, -1).b as int) + 1)")

@@ -259,6 +259,6 @@ def keep_first(docs: DataFrame) -> DataFrame:
     All columns are returned as they are. The text crosses one shuffle, by doc_id."""
     ids = near_components(written(fingerprints(docs), "simhash-fps"))
     keep = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = whole_rows(docs, "doc_id", "text").join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")))
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    kept = whole_rows(docs, "doc_id").join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")))
+    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"))
     return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
