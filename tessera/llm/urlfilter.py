@@ -21,6 +21,8 @@ from .common import load, with_key
 PREFIX_HEX = 8
 #: Rules are broadcast up to this many; more are joined by shuffling distinct expressions.
 BROADCAST_RULES = 100_000
+#: Combinations of label count and path length that rules may have; more would expand a url too far, and is an error.
+MAX_SHAPES = 10_000
 RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -47,7 +49,9 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     rules = rules.select(
         F.translate("rule_host", UPPER, LOWER).alias("r_host"), F.col("rule_path").alias("r_path"), F.col("verdict").alias("r_verdict")
     ).dropDuplicates()
-    shapes = rules.select(F.size(F.split("r_host", r"\.")).alias("n"), F.length("r_path").alias("m")).distinct().limit(10_000).collect()
+    shapes = rules.select(F.size(F.split("r_host", r"\.")).alias("n"), F.length("r_path").alias("m")).distinct().collect()
+    if len(shapes) > MAX_SHAPES:
+        raise ValueError(f"rules have {len(shapes)} combinations of label count and path length; {MAX_SHAPES} at most")
     n_rules = rules.count()
     host, path = url_parts(F.col("url"))
     rows = with_key(pages.select("page_id", "url"), "k").withColumn("host", host).withColumn("path", path).drop("url")
