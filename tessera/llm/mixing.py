@@ -10,7 +10,8 @@ one cut to meet the target. The draws are dealt to output shards by a binary tre
 exact number of draws of every source, and its left half takes a multivariate-hypergeometric share
 of them, source by source, the right half the rest. Running sums of the leaves give every shard a
 range of each source's permuted draws, so shards are disjoint and their quotas exact. order_key
-shuffles locally: sort by it within a shard.
+shuffles locally: sort by it within a shard. A draw finds its shard by an equi-join on chunks of these
+ranges, a few shares wide, so its cost does not grow with the number of shards.
 
 Ranks in a permutation are taken within hash buckets of about BUCKET blocks and shifted by running
 sums over buckets, so no source, however large, is ordered in one task. DataFrame and SQL functions only.
@@ -35,6 +36,8 @@ BLOCK_WORDS = 256
 #: Blocks in a hash bucket and in a shard, about.
 BUCKET = 16_384
 SHARD_BLOCKS = 32_768
+#: Average shares of a source that a chunk of its draws spans; a draw looks its shard up in its chunk.
+CHUNK_SHARES = 4
 SEED = 17
 
 
@@ -136,17 +139,19 @@ def mix_blocks(rows: DataFrame, src: DataFrame, seed: int = SEED) -> DataFrame:
     partial = F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), F.col("part") - F.col("w_start")))
     drawn = ranked.withColumn("partial", partial).withColumn("passes", F.expr("full + if(partial > 0, 1, 0)")).where("passes > 0")
     drawn = written(drawn.select("k", "doc_id", "src", "block", "n", "full", "partial", "passes", "rank"), "mix-draws")
-    quota = split_tree(drawn.groupBy("src").agg(F.sum("passes").alias("n")), shards, seed)
+    totals = drawn.groupBy("src").agg(F.sum("passes").alias("n")).join(src.select("src", "n_blocks"), "src")
+    totals = written(totals.withColumn("width", F.expr(f"greatest(1L, {CHUNK_SHARES} * n div {shards})")), "mix-totals")
+    quota = split_tree(totals.select("src", "n"), shards, seed)
     per = quota.select("shard", F.explode("quotas").alias("q")).select("shard", "q.src", F.col("q.n").cast("long").alias("n"))
     upto = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    ends = per.withColumn("end", F.sum("n").over(upto)).groupBy("src").agg(F.array_sort(F.collect_list("end")).alias("ends"))
-    ends = written(ends.join(src.select("src", "n_blocks"), "src"), "mix-quotas")
-    out = drawn.join(ends, "src").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
-    index = (F.col("pass") - 1) * F.col("n_blocks") + F.col("rank")
-    shard = F.expr("cast(array_size(filter(ends, e -> e <= idx)) as long)")
-    return out.withColumn("idx", index).select(
-        "k", "doc_id", "src", "block", (F.col("block") * BLOCK_WORDS).alias("start_word"), F.when(F.col("pass") <= F.col("full"), F.col("n")).otherwise(F.col("partial")).alias("words"), "pass", shard.alias("shard"),
-        F.xxhash64(F.lit(seed + 1), "src", "idx").alias("order_key"),
+    ranges = per.withColumn("end", F.sum("n").over(upto)).where("n > 0").join(totals.select("src", "width"), "src")
+    chunks = ranges.select("src", "shard", "end", F.explode(F.sequence(F.expr("(end - n) div width"), F.expr("(end - 1) div width"))).alias("chunk"))
+    lookup = written(chunks.groupBy("src", "chunk").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends")), "mix-quotas")
+    out = drawn.join(totals.select("src", "n_blocks", "width"), "src").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
+    out = out.withColumn("idx", (F.col("pass") - 1) * F.col("n_blocks") + F.col("rank")).withColumn("chunk", F.expr("idx div width")).join(lookup, ["src", "chunk"])
+    return out.select(
+        "k", "doc_id", "src", "block", (F.col("block") * BLOCK_WORDS).alias("start_word"), F.when(F.col("pass") <= F.col("full"), F.col("n")).otherwise(F.col("partial")).alias("words"), "pass",
+        F.expr("filter(ends, e -> e.end > idx)[0].shard").alias("shard"), F.xxhash64(F.lit(seed + 1), "src", "idx").alias("order_key"),
     )
 
 

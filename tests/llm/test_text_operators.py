@@ -211,19 +211,21 @@ def test_mix_meets_targets(spark, docs, tmp_path):
     assert Counter(map(tuple, got)) == Counter(map(tuple, mixing.op6_source_mix(spark, folder).collect()))
 
 
-def test_mix_shards_are_disjoint_and_exact(spark):
-    rows = [(i, h.prose("en", 300 + i, i), "en", f"s{i % 4}", 1) for i in range(200)]
-    old = mixing.BLOCK_WORDS, mixing.SHARD_BLOCKS, mixing.BUCKET
-    mixing.BLOCK_WORDS, mixing.SHARD_BLOCKS, mixing.BUCKET = 16, 512, 256
-    try:
-        _, src, draws = mixing.mix(h.documents(spark, rows))
-        got = draws.toPandas()
-    finally:
-        mixing.BLOCK_WORDS, mixing.SHARD_BLOCKS, mixing.BUCKET = old
+@pytest.mark.parametrize("shard_blocks", [512, 8])
+def test_mix_shards_are_disjoint_and_exact(spark, monkeypatch, shard_blocks):
+    rows = [(i, h.prose("en", 300 + i, i), "en", f"s{i % 4}" if i > 1 else "rare", 1) for i in range(200)]
+    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", shard_blocks)
+    monkeypatch.setattr(mixing, "BUCKET", 256)
+    _, src, draws = mixing.mix(h.documents(spark, rows))
+    got = draws.toPandas()
     assert not got.duplicated(["k", "block", "pass"]).any()
     per = got.groupby("shard").size()
     assert len(per) > 4 and per.max() - per.min() <= len(per)
     assert abs(got.groupby("src")["words"].sum().sum() - src.agg(F.sum("target")).first()[0]) < 5
+    totals = spark.createDataFrame([(int(k), int(n)) for k, n in got.groupby("src").size().items()], "src int, n long")
+    quotas = mixing.split_tree(totals, mixing.shard_count(src)).selectExpr("shard", "explode(quotas) as q").selectExpr("shard", "q.src", "cast(q.n as int) as n").where("n > 0").collect()
+    assert got.groupby(["shard", "src"]).size().to_dict() == {(r["shard"], r["src"]): r["n"] for r in quotas}
 
 
 def test_hypergeometric_has_the_right_distribution(spark):
