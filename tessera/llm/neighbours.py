@@ -1,6 +1,6 @@
 """Approximate nearest neighbours over learned partitions.
 
-Learning, on a bounded sample of SAMPLE_PER vectors for each partition: the exact neighbour graph of
+Learning, on a bounded sample of SAMPLE_PER distinct vectors for each partition: the exact neighbour graph of
 the sample; its balanced partitioning (balanced seeds, then rounds in which vectors move to the part
 where most of their neighbours are, as far as room allows); a small classifier (one hidden layer)
 that learns the parts from the vectors. Every row is then put in its most probable partition, and a
@@ -161,15 +161,21 @@ class Index:
 
 
 def learn(vectors: DataFrame) -> Index | None:
-    """The index for vectors (vec_id, vec), from the sample rows with the smallest hash of vec_id."""
-    n = vectors.count()
+    """The index for vectors (vec_id, vec), from the distinct vectors with the smallest hashes.
+
+    A threshold on the hash leaves about twice the sample, so neither copies nor the number of rows or
+    partitions decide what is shuffled or reaches the driver."""
+    h = F.xxhash64("vec")
+    n = vectors.agg(F.approx_count_distinct(h)).first()[0]
     parts = int(min(MAX_PARTS, max(1, -(-n // PART_ROWS))))
     size = max(MIN_SAMPLE, SAMPLE_PER * parts)
-    rows = [r["vec"] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).collect()]
+    drawn = vectors.select("vec", F.pmod(h, F.lit(1 << 40)).alias("h")).where(F.col("h") < int(min(1.0, 2 * size / max(n, 1)) * (1 << 40))).distinct()
+    rows = [r["vec"] for r in drawn.orderBy("h", "vec").limit(size).collect()]
     if not rows:
         return None
     dim = min(Counter(map(len, rows)).items(), key=lambda c: (-c[1], c[0]))[0]
-    return Index(np.array([r for r in rows if len(r) == dim]), parts if len(rows) > 4 * K * 2 else 1)
+    sample = np.array([r for r in rows if len(r) == dim])
+    return Index(sample, parts if len(sample) > 4 * K * 2 else 1)
 
 
 def _matrix(column, dim: int) -> np.ndarray:

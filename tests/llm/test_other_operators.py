@@ -150,6 +150,16 @@ def test_many_equal_vectors(spark):
     assert best == [1004, *range(19)] and got.columns == ["query_id", "rank", "vec_id", "score"]
 
 
+def test_a_third_of_the_rows_are_copies(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "PART_ROWS", 200)
+    monkeypatch.setattr(neighbours, "MIN_SAMPLE", 300)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors(1000))] + [(5000 + i, [1.0] * 16) for i in range(300)] + [(7, [0.5] * 16)] * 300
+    index = neighbours.learn(neighbours.usable(spark.createDataFrame(rows, "vec_id long, embedding array<double>")))
+    homes = index.homes(vectors(1000))
+    assert index.parts > 3 and np.bincount(homes, minlength=index.parts).max() < 1000 * 2 / index.parts
+    assert np.isfinite(index.router.scores(vectors(10))).all()
+
+
 def test_balanced_parts():
     x = vectors(1000)
     label = neighbours.balanced(x, neighbours.graph(x, 10), 8)
