@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,8 @@ from pyspark.sql.window import Window
 from ..functions.text import S, section_id, strip, word_count
 
 BATCH = 50
+#: Rows of a range that is ranked in one task, about, and the most ranges.
+RANGE_ROWS, MAX_RANGES = 100_000, 4096
 
 
 def line_sections(docs: DataFrame, key: str = "doc_id", text: str = "text", separator: str = "\n") -> DataFrame:
@@ -29,22 +33,27 @@ def batch_numbers(rows: DataFrame, order: str, size: int = BATCH) -> DataFrame:
     return with_row_number(rows, order).withColumn("batch_no", F.floor(F.col("row_no") / size) + 1).withColumn("n_batches", F.lit(-(-rows.count() // size)).cast("long"))
 
 
-def with_row_number(rows: DataFrame, order: str, name: str = "row_no") -> DataFrame:
-    """rows numbered from 0 in the order of a unique column: ranges by quantiles, counts per range, ranks within."""
+def with_row_number(rows: DataFrame, order: str, name: str = "row_no", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """rows numbered from 0 in the order of a unique numeric column: ranges by quantiles, counts per range, ranks within.
+
+    There are MAX_RANGES ranges at most, so plan and counts stay small; larger ranges are sorted with spilling."""
     n = rows.count()
-    ranges = max(1, n // 100_000)
-    cuts = rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 0.001) if ranges > 1 else []
-    bucket = F.lit(0)
-    for c in cuts:
-        bucket = bucket + F.when(F.col(order) > c, 1).otherwise(0)
-    placed = rows.withColumn("_b", bucket)
-    counts = dict(placed.groupBy("_b").count().collect()) if ranges > 1 else {0: n}
-    starts, total = [], 0
-    for b in range(ranges):
-        starts.append(F.lit(total))
-        total += counts.get(b, 0)
+    ranges = min(MAX_RANGES, max(1, n // range_rows))
+    cuts = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    placed = rows.withColumn("_b", _cuts_below(F.col(order), cuts))
+    counts = dict(placed.groupBy("_b").count().collect()) if cuts else {0: n}
+    starts = [0, *accumulate(counts.get(b, 0) for b in range(len(cuts)))]
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return placed.withColumn(name, (rank + F.element_at(F.array(*starts), F.col("_b") + 1)).cast("long")).drop("_b")
+    return placed.withColumn(name, (rank + F.element_at(F.lit(starts).cast("array<long>"), F.col("_b") + 1)).cast("long")).drop("_b")
+
+
+def _cuts_below(x: Column, cuts: list[float]) -> Column:
+    """How many of the sorted cuts are under x (0 for null), by halving."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.lit([1 << k for k in reversed(range(len(cuts).bit_length()))])
+    under = lambda at: (at <= len(cuts)) & (F.get(F.lit(cuts), at - 1) < x)
+    return F.aggregate(steps, F.lit(0), lambda low, s: F.when(under(low + s), low + s).otherwise(low))
 
 
 def renumber(sections: DataFrame, container: str, order: list[str], title: str, member: str) -> DataFrame:

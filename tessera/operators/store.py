@@ -85,28 +85,47 @@ def sync(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("section_i
 
 
 def write_version(df: DataFrame, path: str) -> str:
-    """Writes the next version under path and points CURRENT at it."""
+    """Writes the next version under path and points CURRENT at it.
+
+    NEXT is whole before CURRENT goes, so a swap that breaks off leaves one of them to read."""
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
     df.write.parquet(f"{path}/{version}")
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    fs_path = jvm.org.apache.hadoop.fs.Path
-    fs = fs_path(path).getFileSystem(conf)
-    out = fs.create(fs_path(f"{path}/NEXT"), True)
+    fs, place = _files(spark, path)
+    if not fs.exists(place("CURRENT")) and _version(spark, path):
+        fs.rename(place("NEXT"), place("CURRENT"))
+    out = fs.create(place("NEXT"), True)
     out.write(bytearray(json.dumps({"version": version}).encode()))
     out.close()
-    fs.delete(fs_path(f"{path}/CURRENT"), False)
-    fs.rename(fs_path(f"{path}/NEXT"), fs_path(f"{path}/CURRENT"))
+    fs.delete(place("CURRENT"), False)
+    fs.rename(place("NEXT"), place("CURRENT"))
     return version
 
 
+def _files(spark: SparkSession, path: str):
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs_path = jvm.org.apache.hadoop.fs.Path
+    return fs_path(path).getFileSystem(conf), lambda name: fs_path(f"{path}/{name}")
+
+
+def _version(spark: SparkSession, path: str) -> str | None:
+    """The version that CURRENT names, or NEXT where CURRENT is gone; None where neither is whole."""
+    fs, place = _files(spark, path)
+    name = next((x for x in ("CURRENT", "NEXT") if fs.exists(place(x))), None)
+    line = spark.read.text(f"{path}/{name}").first() if name else None
+    try:
+        return json.loads(line[0])["version"] if line else None
+    except ValueError:
+        if name == "CURRENT":
+            raise
+        return None  # a first version whose pointer broke off while it was written
+
+
 def read_version(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The current version, or None (or an empty table of `schema`) if there is none yet."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
-    if not pointer.getFileSystem(conf).exists(pointer):
+    version = _version(spark, path)
+    if version is None:
         return None if schema is None else spark.createDataFrame([], schema)
-    line = spark.read.text(f"{path}/CURRENT").first()[0]
-    return spark.read.parquet(f"{path}/{json.loads(line)['version']}")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 class ParquetVectorStore:

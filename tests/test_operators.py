@@ -78,6 +78,30 @@ def test_status_block_goes_first(spark):
     assert rag.assemble_context(hits, status="status").first()["context"] == rag.SEPARATOR.join([block, "[출처: s]\n하나", "[출처: unknown]\n둘"])
 
 
+def test_a_swap_that_broke_off_loses_nothing(spark, tmp_path):
+    path = tmp_path / "t"
+    assert store.read_version(spark, str(path)) is None
+    path.mkdir()
+    (path / "NEXT").write_text('{"ver')  # the first pointer, cut off
+    assert store.read_version(spark, str(path)) is None
+    store.write_version(spark.range(3), str(path))
+    (path / ".CURRENT.crc").unlink(missing_ok=True)
+    (path / "CURRENT").rename(path / "NEXT")  # a later swap, between delete and rename
+    assert store.read_version(spark, str(path)).count() == 3
+    store.write_version(spark.range(5), str(path))
+    assert store.read_version(spark, str(path)).count() == 5 and not (path / "NEXT").exists()
+
+
+@pytest.mark.parametrize("most", [4096, 7])
+def test_row_numbers_over_many_ranges(spark, monkeypatch, most):
+    monkeypatch.setattr(stats, "MAX_RANGES", most)
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5003 - 2000).alias("v")).unionByName(spark.sql("select cast(null as long) as v"))
+    got = stats.with_row_number(df, "v", range_rows=100).collect()
+    want = [None, *sorted((i * 7919) % 5003 - 2000 for i in range(5000))]
+    assert [r["v"] for r in sorted(got, key=lambda r: r["row_no"])] == want and sorted(r["row_no"] for r in got) == list(range(5001))
+    assert stats.with_row_number(df.where("false"), "v").count() == 0
+
+
 def test_row_numbers_over_ranges(spark, monkeypatch):
     df = spark.range(0, 250_000, 1, 4).select((F.col("id") * 7 % 250_000).alias("v"))
     got = stats.with_row_number(df, "v")
