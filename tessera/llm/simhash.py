@@ -15,8 +15,8 @@ over tables in the shared folder.
 
 Defined results: null and empty texts have fingerprint zero and are linked as any other; one or two
 words make one shingle; repeated rows fall in one group; rows with null doc_id keep their row and take
-the group's smallest id (null if it has none; keep_first keeps one row without an id at most); an empty table gives an empty result; other columns
-are ignored, whatever their names.
+the group's smallest id (null if it has none); keep_first keeps one row of every group, with or without
+an id; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -63,16 +63,16 @@ def fingerprint(text: bytes) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of each row of docs (doc_id, text)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
+def fingerprints(docs: DataFrame, *beside: str) -> DataFrame:
+    """doc_id and fp (signed 64 bits) of each row of docs (doc_id, text), and the long columns named beside."""
+    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "fp", *beside)])
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t) for t in utf8(b.column(1))], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp)], schema=schema)
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(fp), *b.columns[2:]], schema=schema)
 
-    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long")
+    return map_arrow(docs.select("doc_id", "text", *beside), run, ", ".join(f"{c} long" for c in schema.names))
 
 
 def planes(fps: np.ndarray) -> np.ndarray:
@@ -236,13 +236,17 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         remove(edges.sparkSession, old)
 
 
-def near_components(fps: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id for each row of fps (doc_id, fp), which should be a written table."""
-    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups")
+def with_roots(groups: DataFrame) -> DataFrame:
+    """groups, a written table with a row for each fp, and the root of the component that fp takes part in."""
     edges = links(groups.select("fp"), groups.count())
     roots = components(edges, "simhash-rounds")
     # A group takes part in a component under its root; the others are their own.
-    named = groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return groups.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_components(fps: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id for each row of fps (doc_id, fp), which should be a written table."""
+    named = with_roots(written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups"))
     lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     table = written(named.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "simhash-ids")
     return fps.join(table, "fp").select("doc_id", "fp", "component_id")
@@ -254,11 +258,16 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component the row of the smallest doc_id stays (of equal ids, one).
-
-    All columns are returned as they are. The text crosses one shuffle, by doc_id."""
-    ids = near_components(written(fingerprints(docs), "simhash-fps"))
-    keep = ids.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = whole_rows(docs, "doc_id").join(keep, F.col("doc_id").eqNullSafe(F.col("_keep")))
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("row.text"))
+    """docs without near-duplicates: of each component one row stays, that of the smallest doc_id (a null one goes last).
+
+    Among rows of equal ids two hashes of the text decide; rows with both alike are repeated rows. All
+    columns are returned as they are. The text crosses one shuffle, by id and hashes."""
+    no_id, some_id = F.col("doc_id").isNull().cast("long").alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id")
+    h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2")
+    key = ["no_id", "id", "h1", "h2"]
+    fps = written(fingerprints(docs.select("doc_id", "text", no_id, some_id, h1, h2), *key), "simhash-fps")
+    groups = written(fps.groupBy("fp").agg(F.min(F.struct(*key)).alias("first")), "simhash-groups")
+    keep = with_roots(groups).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
+    kept = whole_rows(docs, no_id, some_id, h1, h2).join(keep, key, "left_semi")
+    one = Window.partitionBy(*key).orderBy("h1")
     return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")

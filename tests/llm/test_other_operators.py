@@ -99,6 +99,13 @@ def test_keep_first(spark, docs):
     assert {r["doc_id"] for r in rows} == {min(x[0] for x, c in zip(h.awkward(), comp, strict=True) if c == k and x[0] is not None) for k in set(comp) if any(x[0] is not None for x, c in zip(h.awkward(), comp, strict=True) if c == k)} | ({None} if any(r["doc_id"] is None for r in rows) else set())
 
 
+def test_keep_first_keeps_a_row_of_every_group(spark):
+    texts = [h.prose("en", 60, 900 + i) for i in range(6)]
+    rows = [(None, t, "en", "a", i) for i, t in enumerate(texts[:4]) for _ in range(3)] + [(5, t, "en", "a", 9) for t in texts[4:]] + [(6, texts[4], "en", "a", 9), (7, texts[3], "en", "a", 9)]
+    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_first(h.documents(spark, rows)).collect())
+    assert got == Counter([*((None, t) for t in texts[:3]), (7, texts[3]), (5, texts[4]), (5, texts[5])])
+
+
 # Neighbours
 
 
