@@ -189,16 +189,18 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
     unique, inverse, counts = np.unique(x + 0.0, axis=0, return_inverse=True, return_counts=True)
     members = np.argsort(inverse.ravel(), kind="stable")
     first = np.r_[0, np.cumsum(counts)]
-    best = min(k + 1, len(unique))
+    own = np.searchsorted(ids, q_ids, "right") - np.searchsorted(ids, q_ids, "left")  # rows that are no candidates of the query
     out_q, out_v, out_s = [], [], []
     for at in range(0, len(q), 256):
         approx = q[at : at + 256] @ unique.T
+        best = min(k + max(1, int(own[at : at + 256].max())), len(unique))
         kth = np.partition(approx, len(unique) - best, axis=1)[:, len(unique) - best]
         for r in range(len(approx)):
             near = np.flatnonzero(approx[r] >= kth[r] - 1e-9 * max(1.0, abs(kth[r])))
             score = (unique[near] * q[at + r]).sum(axis=1)
-            cand = np.concatenate([members[first[u] : min(first[u + 1], first[u] + k + 1)] for u in near])
-            s = np.repeat(score, np.minimum(counts[near], k + 1))
+            most = k + own[at + r]
+            cand = np.concatenate([members[first[u] : min(first[u + 1], first[u] + most)] for u in near])
+            s = np.repeat(score, np.minimum(counts[near], most))
             keep = ids[cand] != q_ids[at + r]
             cand, s = cand[keep], s[keep]
             top = np.lexsort((ids[cand], -s))[:k]

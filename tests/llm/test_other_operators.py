@@ -157,6 +157,13 @@ def test_many_equal_vectors(spark):
     assert best == [1004, *range(19)] and got.columns == ["query_id", "rank", "vec_id", "score"]
 
 
+@pytest.mark.parametrize("own", [[[1.0, 0.0]] * 25, [[1.0 + i, 0.0] for i in range(25)]])
+def test_own_rows_take_no_place(own):
+    x = np.array(own + [[1.0, 0.0]] * 30)
+    ids = np.array([0] * len(own) + list(range(1, 31)))
+    assert neighbours.nearest(np.array([0]), np.array([[1.0, 0.0]]), ids, x, 20)[1].tolist() == list(range(1, 21))
+
+
 def test_a_third_of_the_rows_are_copies(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "PART_ROWS", 200)
     monkeypatch.setattr(neighbours, "MIN_SAMPLE", 300)
