@@ -31,10 +31,10 @@ TEMPLATES = {
     "gpl-notice": "this <<var:2>> is licensed under the <<optional>>gnu<</optional>> general public license <<optional>>, version 3<</optional>>",
     "cc-by-nc-notice": "licensed under <<optional>>the<</optional>> <<optional>>creative commons<</optional>> cc by nc <<optional>>4.0<</optional>>",
     "mit-notice": "<<optional>>released<</optional>> <<optional>>licensed<</optional>> under the <<optional>>terms of the<</optional>> mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this <<var:6>> to deal in the <<var:2>> without restriction",
+    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this <<var:12>> to deal in the <<var:2>> without restriction",
     "bsd-redistribution": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "spdx-tag": "spdx license identifier <<var:3>>",
-    "copyright-line": "copyright <<optional>>c<</optional>> <<var:4>> all rights reserved",
+    "copyright-line": "copyright <<optional>>c<</optional>> <<var:40>> all rights reserved",
 }
 _KEEP = bytes(i for i in range(256) if i >= 128 or chr(i).isalnum())
 #: Lower-cases A-Z and blanks every byte that is in no word.

@@ -112,6 +112,31 @@ def test_automaton(template, text, end):
     assert licenses.Automaton(template).match(licenses.words_of(text.encode()), 0) == end
 
 
+CANONICAL = {
+    "apache-2.0-notice": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
+    "gpl-notice": ["This program is licensed under the GNU General Public License, version 3."],
+    "cc-by-nc-notice": ["Licensed under the Creative Commons CC BY-NC 4.0 license."],
+    "mit-notice": ["Released under the MIT License.", "Licensed under the terms of the MIT license."],
+    "mit-grant": [
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and/or associated documentation files (the \"Materials\"), to deal in the Materials without restriction",
+    ],
+    "bsd-redistribution": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"],
+    "spdx-tag": ["SPDX-License-Identifier: Apache-2.0"],
+    "copyright-line": [
+        "Copyright (c) 2010-2020, The Regents of the University of California. All rights reserved.",
+        "Copyright © 1998, 1999, 2000-2006 Example Networks, Inc., Example Software GmbH and the other contributors to the project.\nAll rights reserved.",
+    ],
+}
+
+
+def test_canonical_texts():
+    assert set(CANONICAL) == set(licenses.TEMPLATES)
+    for label, texts in CANONICAL.items():
+        for t in texts:
+            assert label in {f[2] for f in licenses.scan(t.encode())["found"]}, t
+
+
 # Language
 
 
