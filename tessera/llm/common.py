@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,13 +36,17 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes everything that operators of this application have put in the shared folder; results that were not written are lost with it."""
-    paths = getattr(spark.sparkContext, "_tessera_scratch", [])
-    for path in paths:
+def placed(spark: SparkSession) -> list[str]:
+    """What operators of this application have in the shared folder."""
+    return list(getattr(spark.sparkContext, "_tessera_scratch", ()))
+
+
+def release(spark: SparkSession, keep: Collection[str] = ()) -> int:
+    """Deletes what operators of this application have put in the shared folder, but for the paths to keep; results that were not written are lost with it."""
+    gone = [path for path in placed(spark) if path not in keep]
+    for path in gone:
         remove(spark, path)
-    spark.sparkContext._tessera_scratch = []
-    return len(paths)
+    return len(gone)
 
 
 def written_at(df: DataFrame, label: str) -> tuple[str, DataFrame]:
@@ -60,6 +65,7 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    spark.sparkContext._tessera_scratch = [x for x in placed(spark) if x != path]
 
 
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
@@ -69,10 +75,51 @@ def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
 
 
 def with_key(df: DataFrame, name: str) -> DataFrame:
-    """A number for each row, repeated rows included; a scan that is run again gives the same ones."""
+    """A number for each row, repeated rows included, for use within one scan: another scan may cut the input otherwise and number it otherwise."""
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def _plain_scan(df: DataFrame) -> bool:
+    """Whether df only selects and filters rows of one relation, so that each row of it is a row of the relation."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.children().size() == 1 and plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.children().isEmpty()
+
+
+def keyed(df: DataFrame, name: str) -> DataFrame:
+    """A key for each row, repeated rows included, that every scan gives alike: struct (file long, row long).
+
+    A table read from Parquet has its rows' files (as a hash of the path) and places there, however the
+    scan is cut and whoever runs it. Any other input is written once, with numbered rows."""
+    if _plain_scan(df):
+        try:
+            meta = df.metadataColumn("_metadata")
+            return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].cast("long").alias("row")))
+        except AnalysisException:  # no table of files
+            pass
+    return written(df.withColumn(name, F.struct(F.lit(0).cast("long").alias("file"), F.monotonically_increasing_id().alias("row"))), "keyed")
+
+
+#: A key is hot if it holds more rows than this and than one in HOT_KEYS of all, so there are HOT_KEYS hot keys at most.
+HOT_ROWS = 1_000_000
+HOT_KEYS = 1000
+
+
+def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
+    """The hot ones of counts (key, n), where total is the sum of n."""
+    least = max(HOT_ROWS, total // HOT_KEYS)
+    return [r[0] for r in counts.where(F.col("n") > least).select(key).collect()] if total > least else []
+
+
+def join_one(many: DataFrame, one: DataFrame, key: str, hot: list[int]) -> DataFrame:
+    """many joined to one, which has a row for each key: rows of hot keys stay where they are, and what `one` has for these goes to every task."""
+    if not hot:
+        return many.join(one, key)
+    is_hot = F.col(key).isin(hot)
+    return many.where(~is_hot).join(one.where(~is_hot), key).unionByName(many.where(is_hot).join(F.broadcast(one.where(is_hot)), key))
+
+
 def whole_rows(docs: DataFrame, *needed: str) -> DataFrame:
     """docs as one struct `row` beside the needed columns, so that no other column's name matters; select("row.*") undoes it."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)

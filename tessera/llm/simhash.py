@@ -11,7 +11,8 @@ carry-save adders, and a block is abandoned once all its lanes exceed the radius
 a spanning forest of its links. Buckets of more than CELL fingerprints are cut into cells, and every
 pair of cells is compared in a task of its own. Equal fingerprints are one from the start, so groups
 of copies cost nothing. Components of the forest edges are found by large-star and small-star rounds
-over tables in the shared folder.
+over tables in the shared folder; the pairs of a node that has very many (a hub) are not moved by its
+joins, nor are the rows of a very frequent fingerprint.
 
 Defined results: null and empty texts have fingerprint zero and are linked as any other; one or two
 words make one shingle; repeated rows fall in one group; rows with null doc_id keep their row and take
@@ -29,9 +30,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import load, map_arrow, remove, utf8, whole_rows, written, written_at
+from .common import hot_keys, join_one, keyed, load, map_arrow, remove, utf8, whole_rows, written, written_at
 
 RADIUS = 3
 SHINGLE = 3
@@ -227,10 +227,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
         state = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        degree = lambda pairs, total: hot_keys(pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")), "u", total)
         least = both.groupBy("u").agg(F.min("v").alias("m0")).select("u", F.least("u", "m0").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = join_one(both, least, "u", degree(both, 2 * mark["n"])).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
+        small = join_one(large, low, "u", degree(large, 2 * mark["n"]))
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
         old, (path, now) = path, written_at(small, label)
         remove(edges.sparkSession, old)
@@ -246,10 +247,12 @@ def with_roots(groups: DataFrame) -> DataFrame:
 
 def near_components(fps: DataFrame) -> DataFrame:
     """doc_id, fp and component_id for each row of fps (doc_id, fp), which should be a written table."""
-    named = with_roots(written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-groups"))
-    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    table = written(named.select("fp", "root").join(lowest, "root").select("fp", "component_id"), "simhash-ids")
-    return fps.join(table, "fp").select("doc_id", "fp", "component_id")
+    groups = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n")), "simhash-groups")
+    total, n_groups = groups.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    named = with_roots(groups)
+    lowest = named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    table = written(join_one(named.select("fp", "root"), lowest.drop("n"), "root", hot_keys(lowest, "root", n_groups)).select("fp", "component_id"), "simhash-ids")
+    return join_one(fps.select("doc_id", "fp"), table, "fp", hot_keys(groups, "fp", total)).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,14 +263,13 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """docs without near-duplicates: of each component one row stays, that of the smallest doc_id (a null one goes last).
 
-    Among rows of equal ids two hashes of the text decide; rows with both alike are repeated rows. All
-    columns are returned as they are. The text crosses one shuffle, by id and hashes."""
+    Among rows of equal ids two hashes of the text decide, then the row's place in its table, so repeated
+    rows leave one. All columns are returned as they are. The text crosses one shuffle, by the row's key."""
     no_id, some_id = F.col("doc_id").isNull().cast("long").alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id")
     h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2")
-    key = ["no_id", "id", "h1", "h2"]
-    fps = written(fingerprints(docs.select("doc_id", "text", no_id, some_id, h1, h2), *key), "simhash-fps")
-    groups = written(fps.groupBy("fp").agg(F.min(F.struct(*key)).alias("first")), "simhash-groups")
-    keep = with_roots(groups).groupBy("root").agg(F.min("first").alias("first")).select("first.*")
-    kept = whole_rows(docs, no_id, some_id, h1, h2).join(keep, key, "left_semi")
-    one = Window.partitionBy(*key).orderBy("h1")
-    return kept.withColumn("n", F.row_number().over(one)).where("n = 1").select("row.*")
+    rows = keyed(whole_rows(docs, "doc_id", "text"), "k")
+    order = ["no_id", "id", "h1", "h2", "file", "place"]
+    fps = written(fingerprints(rows.select("doc_id", "text", no_id, some_id, h1, h2, F.col("k.file").alias("file"), F.col("k.row").alias("place")), *order), "simhash-fps")
+    groups = written(fps.groupBy("fp").agg(F.min(F.struct(*order)).alias("first")), "simhash-groups")
+    keep = with_roots(groups).groupBy("root").agg(F.min("first").alias("first")).select(F.struct(F.col("first.file").alias("file"), F.col("first.place").alias("row")).alias("k"))
+    return rows.select("row", "k").join(keep, "k", "left_semi").select("row.*")
