@@ -4,17 +4,21 @@ Sources, by code point and null last, weigh WEIGHTS repeating; they share `ratio
 and no target exceeds `cap` times its source's words: the excess is reshared by weight, which is
 min(cap_i, level * w_i) for the one level at which the shares add up (found with running sums).
 
-Documents are cut into blocks of BLOCK_WORDS words. A source's blocks are permuted by a seeded hash;
-it gives whole passes over all its blocks, then the first blocks of one more permuted pass, the last
-one cut to meet the target. The draws are dealt to output shards by a binary tree: a node holds an
-exact number of draws of every source, and its left half takes a multivariate-hypergeometric share
-of them, source by source, the right half the rest. Running sums of the leaves give every shard a
-range of each source's permuted draws, so shards are disjoint and their quotas exact. order_key
-shuffles locally: sort by it within a shard. A draw finds its shard by an equi-join on chunks of these
-ranges, a few shares wide, so its cost does not grow with the number of shards.
+Documents are cut into blocks of block_words words (or are blocks themselves, if that is None). A
+source's blocks are permuted by a seeded hash; its draws are whole passes over all its blocks, then
+the first blocks of one more permuted pass, up to its target, and their number is the root's quota of
+the source. A binary tree splits the quotas among the output shards: a node's left half takes a
+multivariate-hypergeometric share of them, source by source, the right half the rest. Running sums of
+the leaves give every shard a range of each source's permuted draws, and a block is taken as often as
+it stands in such ranges: shards are disjoint, each holds exactly its quotas, and what no quota covers
+is not taken. The last draw of a source is cut to meet the target. order_key shuffles locally: sort
+by it within a shard. A draw finds its shard by an equi-join on chunks of the ranges, a few shares
+wide, so its cost does not grow with the number of shards.
 
 Ranks in a permutation are taken within hash buckets of about BUCKET blocks and shifted by running
-sums over buckets, so no source, however large, is ordered in one task. DataFrame and SQL functions only.
+sums over buckets, so no source, however large, is ordered in one task. Sources themselves are ordered
+in one task and stand in every node of the tree; more than MAX_SOURCES of them is an error. DataFrame
+and SQL functions only.
 
 Defined results: null or wordless texts have size 0, no blocks, and take 0; sources without words
 have target 0; repeated rows are documents of their own; an empty table gives an empty result; other
@@ -23,34 +27,43 @@ columns are ignored, whatever their names. Reruns on the same files agree.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, load, whole_rows, with_key, written
+from .common import WORD, keyed, load, whole_rows, written
 
 WEIGHTS = (5, 2, 1)
 RATIO = 1.5
 CAP = 2.0
 BLOCK_WORDS = 256
-#: Blocks in a hash bucket and in a shard, about.
+#: Blocks in a hash bucket, about; words that a shard should have at most, about, and the fewest shards.
 BUCKET = 16_384
-SHARD_BLOCKS = 32_768
+SHARD_WORDS = 8_388_608
+MIN_SHARDS = 8
+MAX_SOURCES = 100_000
 #: Average shares of a source that a chunk of its draws spans; a draw looks its shard up in its chunk.
 CHUNK_SHARES = 4
 SEED = 17
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """k, doc_id, source, size (words of the whole text) as a written table."""
+    """k, doc_id, source, size (words of the whole text) as a written table, for docs (k, doc_id, source, text)."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return written(with_key(docs.select("doc_id", "source", "text"), "k").select("k", "doc_id", "source", size.alias("size")), "mix-sizes")
+    return written(docs.select("k", "doc_id", "source", size.alias("size")), "mix-sizes")
 
 
-def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, cap: float = CAP) -> DataFrame:
+def _n_blocks(size: Column, block_words: int | None) -> Column:
+    """How many blocks a document of this size has."""
+    return (F.ceil(size / block_words) if block_words else (size > 0).cast("long")).cast("long")
+
+
+def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float = RATIO, cap: float = CAP, block_words: int | None = BLOCK_WORDS, max_sources: int = MAX_SOURCES) -> DataFrame:
     """src (a number from 0), source, source_size, n_blocks, target, and the words to take, one row a source."""
-    blocks = F.sum(F.ceil(F.col("size") / BLOCK_WORDS)).cast("long").alias("n_blocks")
-    src = rows.groupBy("source").agg(F.sum("size").alias("source_size"), blocks)
+    blocks = F.sum(_n_blocks(F.col("size"), block_words)).alias("n_blocks")
+    src = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), blocks), "mix-source-sizes")
+    if (n := src.count()) > max_sources:
+        raise ValueError(f"{n} sources; {max_sources} at most can be mixed, group them first")
     every, in_order = Window.partitionBy(F.lit(0)), Window.partitionBy(F.lit(0)).orderBy(F.col("source").isNull(), "source")
     src = src.withColumn("src", F.row_number().over(in_order) - 1)
     src = src.withColumn("w", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("src", F.lit(len(weights))) + 1).cast("int")))
@@ -113,21 +126,24 @@ def split_tree(draws: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
 
 
 def shard_count(src: DataFrame) -> int:
-    """A power of two, so that shards have SHARD_BLOCKS draws at most, about."""
-    n_blocks = src.agg(F.sum("n_blocks")).first()[0] or 0
-    return 1 << max(0, (int(RATIO * n_blocks) // SHARD_BLOCKS)).bit_length()
+    """A power of two, MIN_SHARDS at least, so that shards have about SHARD_WORDS words at most."""
+    words = src.agg(F.sum("words")).first()[0] or 0
+    return max(MIN_SHARDS, 1 << max(0, -(-words // SHARD_WORDS) - 1).bit_length())
 
 
-def mix_blocks(rows: DataFrame, src: DataFrame, seed: int = SEED) -> DataFrame:
-    """The draws of the mix: k, doc_id, src, block, start_word, words, pass, shard, order_key.
+def mix_blocks(rows: DataFrame, src: DataFrame, block_words: int | None = BLOCK_WORDS, seed: int = SEED) -> DataFrame:
+    """The draws of the mix: k, doc_id, src, block, start_word, size, words, pass, shard, order_key.
 
-    rows: what sizes() gives; src: what targets() gives, as written tables."""
+    rows: what sizes() gives; src: what targets() gives for the same block_words, as written tables."""
     shards = shard_count(src)
     src = src.withColumn("bits", F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(F.col("n_blocks"), F.lit(1)) / BUCKET))).cast("int"))
     src = src.withColumn("full", F.when(F.col("source_size") > 0, F.expr("words div source_size")).otherwise(0)).withColumn("part", F.col("words") - F.col("full") * F.col("source_size"))
-    blocks = rows.where("size > 0").join(src.select(F.col("source").alias("s_source"), "src", "bits", "full", "part"), F.col("source").eqNullSafe(F.col("s_source")))
-    blocks = blocks.select("k", "doc_id", "src", "size", "bits", "full", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {BLOCK_WORDS}"))).alias("block"))
-    blocks = blocks.select("k", "doc_id", "src", "full", "part", "bits", "block", F.least(F.lit(BLOCK_WORDS), F.col("size") - F.col("block") * BLOCK_WORDS).cast("long").alias("n"), F.xxhash64(F.lit(seed), "src", "doc_id", "size", "block").alias("perm"))
+    # There are MAX_SOURCES sources at most, so they go to every task.
+    blocks = rows.where("size > 0").join(F.broadcast(src.select(F.col("source").alias("s_source"), "src", "bits", "full", "part")), F.col("source").eqNullSafe(F.col("s_source")))
+    width = F.lit(block_words).cast("long") if block_words else F.col("size")
+    blocks = blocks.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), _n_blocks(F.col("size"), block_words) - 1)))
+    blocks = blocks.withColumn("start_word", F.col("block") * width).withColumn("n", F.least(width, F.col("size") - F.col("start_word")))
+    blocks = blocks.withColumn("perm", F.xxhash64(F.lit(seed), "src", "doc_id", "size", "block"))
     # Unsigned order of the hash, so that its highest bits number the buckets.
     blocks = blocks.withColumn("bucket", F.when(F.col("bits") > 0, F.expr("shiftrightunsigned(perm, 64 - bits)")).otherwise(F.lit(0).cast("long")))
     buckets = blocks.groupBy("src", "bucket").agg(F.sum("n").alias("b_words"), F.count(F.lit(1)).alias("b_blocks"))
@@ -137,58 +153,50 @@ def mix_blocks(rows: DataFrame, src: DataFrame, seed: int = SEED) -> DataFrame:
     ranked = blocks.withColumn("rank", F.row_number().over(inside) - 1).withColumn("w_end", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     ranked = ranked.join(buckets, ["src", "bucket"]).withColumn("rank", F.col("rank") + F.col("r0")).withColumn("w_start", F.col("w_end") + F.col("w0") - F.col("n"))
     partial = F.greatest(F.lit(0).cast("long"), F.least(F.col("n"), F.col("part") - F.col("w_start")))
-    drawn = ranked.withColumn("partial", partial).withColumn("passes", F.expr("full + if(partial > 0, 1, 0)")).where("passes > 0")
-    drawn = written(drawn.select("k", "doc_id", "src", "block", "n", "full", "partial", "passes", "rank"), "mix-draws")
-    totals = drawn.groupBy("src").agg(F.sum("passes").alias("n")).join(src.select("src", "n_blocks"), "src")
+    ranked = written(ranked.select("k", "doc_id", "src", "block", "start_word", "size", "n", "full", partial.alias("partial"), "rank"), "mix-ranks")
+    totals = ranked.groupBy("src").agg(F.sum(F.expr("full + if(partial > 0, 1, 0)")).alias("n")).join(src.select("src", "n_blocks"), "src")
     totals = written(totals.withColumn("width", F.expr(f"greatest(1L, {CHUNK_SHARES} * n div {shards})")), "mix-totals")
     quota = split_tree(totals.select("src", "n"), shards, seed)
     per = quota.select("shard", F.explode("quotas").alias("q")).select("shard", "q.src", F.col("q.n").cast("long").alias("n"))
     upto = Window.partitionBy("src").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = per.withColumn("end", F.sum("n").over(upto)).where("n > 0").join(totals.select("src", "width"), "src")
+    ranges = per.withColumn("end", F.sum("n").over(upto)).where("n > 0").join(F.broadcast(totals.select("src", "width")), "src")
     chunks = ranges.select("src", "shard", "end", F.explode(F.sequence(F.expr("(end - n) div width"), F.expr("(end - 1) div width"))).alias("chunk"))
     lookup = written(chunks.groupBy("src", "chunk").agg(F.array_sort(F.collect_list(F.struct("end", "shard"))).alias("ends")), "mix-quotas")
-    out = drawn.join(totals.select("src", "n_blocks", "width"), "src").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
+    # Every block stands once in each pass; the quotas decide which of these draws are made.
+    out = ranked.join(F.broadcast(totals.select("src", "n_blocks", "width")), "src").withColumn("pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("full") + 1)))
     out = out.withColumn("idx", (F.col("pass") - 1) * F.col("n_blocks") + F.col("rank")).withColumn("chunk", F.expr("idx div width")).join(lookup, ["src", "chunk"])
     return out.select(
-        "k", "doc_id", "src", "block", (F.col("block") * BLOCK_WORDS).alias("start_word"), F.when(F.col("pass") <= F.col("full"), F.col("n")).otherwise(F.col("partial")).alias("words"), "pass",
-        F.expr("filter(ends, e -> e.end > idx)[0].shard").alias("shard"), F.xxhash64(F.lit(seed + 1), "src", "idx").alias("order_key"),
-    )
+        "k", "doc_id", "src", "block", "start_word", "size", F.when(F.col("pass") <= F.col("full"), F.col("n")).otherwise(F.col("partial")).alias("words"), "pass",
+        F.expr("get(filter(ends, e -> e.end > idx), 0).shard").alias("shard"), F.xxhash64(F.lit(seed + 1), "src", "idx").alias("order_key"),
+    ).where("shard is not null")
 
 
-def mix(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Tables of documents (sizes), sources (targets) and draws (mix_blocks)."""
+def mix(docs: DataFrame, block_words: int | None = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tables of documents (sizes), sources (targets) and draws (mix_blocks) for docs (k, doc_id, source, text)."""
     rows = sizes(docs)
-    src = written(targets(rows), "mix-sources")
-    return rows, src, mix_blocks(rows, src)
+    src = written(targets(rows, block_words=block_words), "mix-sources")
+    return rows, src, mix_blocks(rows, src, block_words)
 
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, src, draws = mix(load(spark, sf_dir, "documents"))
+    rows, src, draws = mix(keyed(load(spark, sf_dir, "documents").select("doc_id", "source", "text"), "k"))
     taken = draws.groupBy("k").agg(F.sum("words").alias("taken"), F.min("shard").alias("first_shard"), F.count(F.lit(1)).alias("n_draws"))
-    named = rows.join(src.select(F.col("source").alias("s_source"), "source_size", "target"), F.col("source").eqNullSafe(F.col("s_source")))
+    named = rows.join(F.broadcast(src.select(F.col("source").alias("s_source"), "source_size", "target")), F.col("source").eqNullSafe(F.col("s_source")))
     return named.join(taken, "k", "left").select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "first_shard", F.coalesce("n_draws", F.lit(0)).alias("n_draws"))
 
 
 def assemble(docs: DataFrame) -> DataFrame:
     """docs as the mix takes them: a row for each document and pass, with its columns; a partition for each output shard, shuffled.
 
-    A whole pass keeps the text as it is; a pass in part keeps the words of the blocks drawn, in their
-    order, with single spaces between blocks, and n_chars (where there is one) is counted anew.
-    A document goes to the shard that holds its first block of the pass."""
-    columns = docs.columns
-    rows, src, draws = mix(docs)
-    whole = F.ceil(F.first("size") / BLOCK_WORDS) == F.count(F.lit(1))
-    each = draws.join(rows.select("k", "size"), "k").groupBy("k", "pass").agg(
-        F.array_sort(F.collect_list(F.struct("start_word", "words", "shard", "order_key"))).alias("b"), (whole & (F.sum("words") == F.first("size"))).alias("whole")
-    )
-    each = each.select("k", "whole", "b", F.col("b")[0]["shard"].alias("_shard"), F.col("b")[0]["order_key"].alias("_order"))
-    joined = with_key(whole_rows(docs), "k").join(each, "k")  # the text is in the row alone, so it is shuffled once
-    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
-    part = joined.withColumn("words", F.when(~F.col("whole"), words))
-    text = F.array_join(F.flatten(F.transform("b", lambda b: F.slice("words", (b["start_word"] + 1).cast("int"), b["words"].cast("int")))), " ")
-    part = part.withColumn("cut", F.when(~F.col("whole"), text))
-    row = F.col("row").withField("text", F.col("cut"))
-    if "n_chars" in columns:
-        row = row.withField("n_chars", F.length("cut").cast(docs.schema["n_chars"].dataType))
-    out = part.select(F.when(F.col("whole"), F.col("row")).otherwise(row).alias("row"), "_shard", "_order")
-    return out.repartitionById(shard_count(src), F.col("_shard").cast("int")).sortWithinPartitions("_order").select("row.*")
+    Documents are the blocks, so texts stay whole and a shard holds exactly the documents that its quotas
+    drew. Only the last document of a source can be taken in part: it keeps its first words, with single
+    spaces, and n_chars (where there is one) is counted anew."""
+    table = keyed(whole_rows(docs, "doc_id", "source", "text"), "k")  # the text is in the row alone when it is shuffled
+    _, src, draws = mix(table, None)
+    joined = table.select("row", "k").join(draws.select("k", "size", "words", "shard", "order_key"), "k")
+    cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    row = F.col("row").withField("text", cut)
+    if "n_chars" in docs.columns:
+        row = row.withField("n_chars", F.length(cut).cast(docs.schema["n_chars"].dataType))
+    out = joined.select(F.when(F.col("words") == F.col("size"), F.col("row")).otherwise(row).alias("row"), "shard", "order_key")
+    return out.repartitionById(shard_count(src), F.col("shard").cast("int")).sortWithinPartitions("order_key").select("row.*")
