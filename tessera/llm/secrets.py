@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import load, whole_rows, with_key
+from .common import keyed, load, whole_rows, with_key
 
 WINDOW = 400
 #: kind: pattern, smallest and largest length of what counts, group whose length that is, cheap test.
@@ -93,8 +93,8 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
 
     Overlapping spans share one mask. Only rows that a cheap test flags are shuffled; the others pass as they are."""
     test = F.coalesce(F.col("text").rlike("|".join(f"(?:{KINDS[x][4]})" for x in BASE)), F.lit(False))
-    keyed = with_key(whole_rows(docs, "text"), "k").withColumn("flag", test)
-    flagged, clean = keyed.where("flag"), keyed.where("not flag")
+    rows = keyed(whole_rows(docs, "text"), "k").withColumn("flag", test)
+    flagged, clean = rows.where("flag"), rows.where("not flag")
     found = spans(flagged.select("k", F.lit(None).cast("long").alias("doc_id"), "text")).where("kind is not null")
     in_order = Window.partitionBy("k").orderBy("start", "end")
     opens = F.coalesce(F.col("start") > F.max("end").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
