@@ -1,9 +1,11 @@
 """URL filter: host-suffix and path-prefix expressions, joined to rules on short hash prefixes.
 
 Each url is expanded into every (host suffix, path prefix) pair whose shape occurs among the
-rules. The pairs meet the rules by an equi-join on the first PREFIX_HEX digits of their digest;
-the full digests are then compared, and of the rules that fit the one with the most characters
-wins (ties: block before allow, then the longer host, then the smaller text).
+rules. The pairs meet the rules by an equi-join on the first PREFIX_HEX digits of their digest alone;
+the full digests are confirmed afterwards, so that a pair that only shares the digits with a rule
+falls away, and of the rules that fit the one with the most characters wins (ties: block before
+allow, then the longer host, then the smaller text). Rules of more than MAX_SHAPES combinations of
+label count and path length would expand a url too far and are an error.
 
 Defined results: null urls and urls without "://" have an empty host and path and get the default
 verdict; hosts of any number of labels expand into no more suffixes than rules have label counts;
@@ -55,7 +57,7 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     n_rules = rules.count()
     host, path = url_parts(F.col("url"))
     rows = with_key(pages.select("page_id", "url"), "k").withColumn("host", host).withColumn("path", path).drop("url")
-    labels = F.size(F.split("host", r"\.", 100_000))
+    labels = F.size(F.split("host", r"\.", -1))
     shape = F.array(*[F.struct(F.lit(r["n"]).alias("n"), F.lit(r["m"]).alias("m")) for r in shapes]) if shapes else F.expr("array_remove(array(named_struct('n', 0, 'm', 0)), named_struct('n', 0, 'm', 0))")
     fitting = F.filter(shape, lambda s: (s["n"] <= labels) & (s["m"] <= F.length("path")))
     expanded = rows.select("k", "page_id", "host", "path", F.explode_outer(fitting).alias("s")).select(
@@ -63,19 +65,18 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     )
     expanded = expanded.withColumn("short", F.substring("digest", 1, PREFIX_HEX))
     r = rules.withColumn("r_digest", _digest(F.col("r_host"), F.col("r_path"))).withColumn("r_short", F.substring("r_digest", 1, PREFIX_HEX))
-    if n_rules <= BROADCAST_RULES:
-        joined = expanded.join(F.broadcast(r), (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest")), "left")
-    else:  # a frequent host must not meet in one task: only distinct expressions meet the rules
-        hits = expanded.select("short", "digest").distinct().join(r, (F.col("short") == F.col("r_short")) & (F.col("digest") == F.col("r_digest"))).drop("short", "digest")
-        joined = expanded.join(hits, expanded["digest"] == hits["r_digest"], "left")
     rank = F.struct(
         (F.length("r_host") + F.length("r_path")).alias("a"), (F.col("r_verdict") == "block").alias("b"), F.length("r_host").alias("c"),
         F.concat("r_host", "r_path").alias("rule"), F.col("r_verdict").alias("verdict"),
     )
-    best = joined.groupBy("k").agg(
-        F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"),
-        F.max(F.when(F.col("r_digest").isNotNull(), rank)).alias("best"), F.count("r_digest").alias("n_fits"),
-    )
+    confirmed = F.col("digest") == F.col("r_digest")
+    if n_rules <= BROADCAST_RULES:
+        joined = expanded.join(F.broadcast(r), F.col("short") == F.col("r_short"), "left").select("k", "page_id", "host", "path", F.when(confirmed, rank).alias("fit"), F.when(confirmed, 1).otherwise(0).alias("n"))
+    else:  # a frequent host must not meet many rules in one task: only distinct expressions meet the rules
+        met = expanded.select("short", "digest").distinct().join(r, F.col("short") == F.col("r_short"))
+        hits = met.where(confirmed).groupBy("digest").agg(F.max(rank).alias("fit"), F.count(F.lit(1)).alias("n"))
+        joined = expanded.join(hits, "digest", "left").select("k", "page_id", "host", "path", "fit", F.coalesce("n", F.lit(0)).alias("n"))
+    best = joined.groupBy("k").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("fit").alias("best"), F.sum("n").alias("n_fits"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), "n_fits")
 
 
