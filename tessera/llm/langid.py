@@ -1,65 +1,126 @@
 """Language identification by compression: one raw-content zstandard dictionary per language.
 
-A text is lower-cased, everything but letters is blanked, and the rest is cut into blocks of BLOCK
-bytes, so that the dictionary counts as much at the end of a long text as at its start. Every block
-of the whole text is compressed with each language's dictionary; the language with the smallest sum
-is chosen. score is the margin 1 - best/second, scaled to 0..1 by FULL_MARGIN; a text whose margin
-is under min_margin is rejected (column rejected), though its best guess is still given.
-
-Dictionaries are learned from a bounded sample: of each language the SAMPLE_DOCS rows with the
-smallest hash of doc_id, each giving DICT_BYTES / SAMPLE_DOCS bytes at most. Only text and lang are
-used for learning, only text for prediction.
+A text is lower-cased, everything but letters (categories L, and M after a letter) is blanked, and the
+rest is cut into blocks of BLOCK bytes, so that the dictionary counts as much at the end of a long text
+as at its start. Every block of the whole text is compressed with each language's dictionary; the
+language with the smallest sum is chosen. score is the margin 1 - best/second, scaled to 0..1 by
+FULL_MARGIN; a text whose margin is under min_margin is rejected (column rejected), though its best
+guess is still given.
+
+Dictionaries are learned from a bounded sample: of each language the SAMPLE_DOCS different texts with
+the smallest hash, found in one pass in which every task keeps no more than that. A sampled text is
+cut whole into pieces of PIECE bytes, and the DICT_BYTES / SAMPLE_DOCS bytes of pieces with the
+smallest hashes are learned. Only text and lang are used for learning, only text for prediction.
+More than max_langs languages are an error, so what reaches the driver and each task is bounded.
 
 Defined results: null texts and texts without letters give `und`, score 0, rejected; ties of sizes go
-to the smaller language name; repeated rows give repeated results; with no labelled row every text
-is `und`; other columns of the input are ignored.
+to the smaller language name; repeated rows give repeated results, and are learned once; with no
+labelled row every text is `und`; with one language learned every text with letters is that one,
+with score 1; a language whose sampled texts hold no letter is not learned and never predicted; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
+import sys
+import unicodedata
 import re
 
+from functools import cache
+
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import fresh, load, map_arrow
+from .common import fresh, load, map_arrow, written
 
 SAMPLE_DOCS = 128
 DICT_BYTES = 64 * 1024
+PIECE = 128
+#: Languages that may be learned; each has a dictionary of DICT_BYTES bytes.
+MAX_LANGS = 256
 BLOCK = 4096
 LEVEL = 6
 #: The margin that counts as certain, and the one under which a text is rejected.
 FULL_MARGIN = 0.10
 MIN_MARGIN = 0.005
 UND = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+_ASCII = re.compile(r"[a-z]+")
+
+
+def _class(first: str) -> str:
+    """The characters of a general category, as ranges for a character class."""
+    spans: list[list[int]] = []
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] == first:
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans)
+
+
+@cache
+def _words():
+    letters = _class("L")
+    return re.compile(f"[{letters}][{letters}{_class('M')}]*")
 
 
 def normal(text: str | None) -> bytes:
-    return _NO_LETTERS.sub(" ", (text or "").lower()).strip().encode("utf-8", "replace")
+    low = (text or "").lower()
+    return " ".join((_ASCII if low.isascii() else _words()).findall(low)).encode("utf-8", "replace")
 
 
 def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def learn(docs: DataFrame) -> dict[str, bytes]:
-    """Dictionaries by language from labelled rows (doc_id, text, lang); see the bound above."""
-    narrow = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.xxhash64("doc_id").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h", "doc_id")
-    picked = narrow.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS).select("doc_id", "lang", "h").collect()
-    ids = sorted({r["doc_id"] for r in picked if r["doc_id"] is not None})
-    each = DICT_BYTES // SAMPLE_DOCS
-    rows = docs.where(F.col("doc_id").isin(ids) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.substring("text", 1, 4 * each).alias("text")).collect() if ids else []
+def excerpt(data: bytes, most: int) -> bytes:
+    """At most `most` bytes of a whole normal text: the pieces with the smallest hashes, in their order."""
+    if len(data) <= most:
+        return data
+    pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
+    best = sorted(heapq.nsmallest(most // PIECE, range(len(pieces)), key=lambda i: (xxhash.xxh64_intdigest(pieces[i]), i)))
+    return b" ".join(pieces[i] for i in best)[:most]
+
+
+def _sampled(max_langs: int):
+    """For mapInArrow over (lang, text). lang, h, part: of each language the SAMPLE_DOCS different texts of this task with the smallest hashes."""
+
+    def run(batches):
+        kept: dict[str, list[tuple[int, bytes]]] = {}  # heaps, the largest hash first
+        for b in batches:
+            for lang, raw in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                h, heap = -(xxhash.xxh64_intdigest(raw) >> 1), kept.setdefault(lang, [])
+                if len(kept) > max_langs:
+                    raise ValueError(f"more than {max_langs} languages are labelled")
+                if (len(heap) < SAMPLE_DOCS or h > heap[0][0]) and all(h != x[0] for x in heap):
+                    part = excerpt(normal(raw.decode("utf-8", "replace")), DICT_BYTES // SAMPLE_DOCS)
+                    (heapq.heappush if len(heap) < SAMPLE_DOCS else heapq.heappushpop)(heap, (h, part))
+        rows = [(lang, -h, part) for lang, heap in kept.items() for h, part in heap]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["lang", "h", "part"])
+
+    return run
+
+
+def learn(docs: DataFrame, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
+    """Dictionaries by language from labelled rows (text, lang); see the bounds above."""
+    labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    first = Window.partitionBy("lang").orderBy("h")
+    found = map_arrow(labelled, _sampled(max_langs), "lang string, h long, part binary").dropDuplicates(["lang", "h"])
+    found = written(found.withColumn("n", F.row_number().over(first)).where(F.col("n") <= SAMPLE_DOCS), "language-sample")
+    if (n := found.select("lang").distinct().count()) > max_langs:
+        raise ValueError(f"{n} languages are labelled, more than {max_langs}")
     out: dict[str, list[bytes]] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
-        if part := normal(r["text"])[:each]:
+    for r in sorted(found.collect(), key=lambda r: (r["lang"], r["h"])):
+        if part := bytes(r["part"]):
             out.setdefault(r["lang"], []).append(part)
-    return {lang: b" ".join(parts)[-DICT_BYTES:] for lang, parts in out.items() if sum(map(len, parts)) >= 8}
+    return {lang: b" ".join(parts)[-DICT_BYTES:].rjust(8) for lang, parts in out.items()}  # a dictionary has 8 bytes at least
 
 
 class Classifier:
