@@ -1,11 +1,13 @@
 """Token counts without token ids.
 
 The pieces of a pre-token do not depend on its surroundings, so they are counted once for each
-distinct pre-token of the corpus and joined to the pre-token frequencies of each document. The
-most frequent pre-tokens of at most HEAD_BYTES bytes, HEAD of them at most, are sent to
-every task, where a document's frequencies meet them on the spot; what remains, the long tail,
-meets its counts in a shuffle join on the pre-token. So no frequent word becomes a hot key and
-nothing that grows with the corpus is broadcast. Ids are never stored.
+distinct pre-token of the corpus and joined to the pre-token frequencies of each document. In the
+joins a pre-token goes by its key: itself up to KEY_BYTES bytes, else its digest, which is longer. The
+most frequent keys, HEAD of them at most and so 64 * HEAD bytes, are sent to every task, where a
+document's frequencies meet them on the spot; what remains, the long tail, meets its counts in a
+shuffle join on the key. A key of that tail has less than one in HEAD of all occurrences, about, so no
+word becomes a hot key, however frequent or long, and nothing that grows with the corpus is broadcast.
+Ids are never stored.
 
 Pre-tokens are cut by the tokenizer's own pre-tokenizer, or, for texts made only of characters
 whose classes cannot differ between Unicode versions, by the same pattern in `re`. Strings of
@@ -17,6 +19,7 @@ an empty table gives an empty result; other columns are ignored, whatever their
 
 from __future__ import annotations
 
+import hashlib
 import os
 import re
 from collections import Counter
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from .common import load, map_arrow, utf8, with_key, written
 
 HEAD = 131_072
-HEAD_BYTES = 48
+KEY_BYTES = 48
 LIMIT = 1024
 #: Distinct pre-tokens that a task gathers before it hands them on.
 FLUSH = 200_000
@@ -74,6 +77,13 @@ def _cutter(path: str, pattern: str | None):
     return cut
 
 
+def key_of(pre: str) -> str:
+    """What stands for a pre-token in joins: itself if it has KEY_BYTES bytes at most, else the 64 digits of its digest."""
+    if len(pre) * 4 <= KEY_BYTES or len(raw := pre.encode()) <= KEY_BYTES:
+        return pre
+    return hashlib.blake2b(raw, digest_size=32).hexdigest()
+
+
 def pretoken_counts(docs: DataFrame, path: str, pattern: str | None) -> DataFrame:
     """pre, n: how often each distinct pre-token stands in the corpus."""
 
@@ -92,16 +102,16 @@ def pretoken_counts(docs: DataFrame, path: str, pattern: str | None) -> DataFram
 
 
 def piece_counts(pres: DataFrame, path: str) -> DataFrame:
-    """pre, n, pieces: each distinct pre-token is encoded once."""
+    """key, n, pieces: each distinct pre-token is encoded once."""
 
     def run(batches):
         t = _tokenizer(path)
         for b in batches:
             words = b.column(0).to_pylist()
             found = [len(e.ids) for i in range(0, len(words), 4096) for e in t.encode_batch_fast(words[i : i + 4096], add_special_tokens=False)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.int64())], names=["pre", "n", "pieces"])
+            yield pa.RecordBatch.from_arrays([pa.array([key_of(w) for w in words], pa.string()), b.column(1), pa.array(found, pa.int64())], names=["key", "n", "pieces"])
 
-    return map_arrow(pres.select("pre", "n"), run, "pre string, n long, pieces long")
+    return map_arrow(pres.select("pre", "n"), run, "key string, n long, pieces long")
 
 
 def frequent(vocabulary: DataFrame, head: int) -> DataFrame:
@@ -123,9 +133,9 @@ def token_counts(docs: DataFrame, path: str, pattern: str | None = None, limit:
 
     pattern: the pre-tokenizer's own, if it is one; it only speeds plain texts up."""
     vocabulary = written(piece_counts(pretoken_counts(docs, path, pattern), path), "token-pieces")
-    top = frequent(vocabulary.where(F.octet_length("pre") <= HEAD_BYTES), head).select("pre", "pieces").toArrow()
+    top = frequent(vocabulary, head).select("key", "pieces").toArrow()
     shared = docs.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist(), strict=True)))
-    names = ["k", "doc_id", "n_bytes", "base", "pre", "n"]
+    names = ["k", "doc_id", "n_bytes", "base", "key", "n"]
     types = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.int64()]
 
     def run(batches):
@@ -136,9 +146,9 @@ def token_counts(docs: DataFrame, path: str, pattern: str | None = None, limit:
                 words, total = cut(t) if t else ((), 0)
                 tail = Counter()
                 for w, c in Counter(words).items():
-                    pieces = known.get(w)
+                    pieces = known.get(key := key_of(w))
                     if pieces is None:
-                        tail[w] = c
+                        tail[key] = c
                     else:
                         total += pieces * c
                 rows.append((k, i, len(raw), True, str(k), total))
@@ -149,10 +159,10 @@ def token_counts(docs: DataFrame, path: str, pattern: str | None = None, limit:
                     rows, size = [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], x) for c, x in enumerate(types)], names=names)
 
-    freq = map_arrow(with_key(docs.select("doc_id", "text"), "k").select("k", "doc_id", "text"), run, "k long, doc_id long, n_bytes long, base boolean, pre string, n long")
-    pieces = vocabulary.select("pre", F.lit(False).alias("base"), "pieces")
+    freq = map_arrow(with_key(docs.select("doc_id", "text"), "k").select("k", "doc_id", "text"), run, "k long, doc_id long, n_bytes long, base boolean, key string, n long")
+    pieces = vocabulary.select("key", F.lit(False).alias("base"), "pieces")
     # A document's own row carries a key of its own, so that these rows spread evenly.
-    joined = freq.join(pieces, ["base", "pre"], "left")
+    joined = freq.join(pieces, ["base", "key"], "left")
     each = joined.groupBy("k").agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum(F.col("n") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
     return each.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
