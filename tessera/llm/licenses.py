@@ -7,8 +7,8 @@ it, a replaceable place has a bounded run of any-word arcs. A place of a text is
 mandatory words match exactly, one after the other, from it.
 
 Words: A-Z lower-cased, then maximal runs of ASCII letters, digits and all non-ASCII characters.
-The whole text is scanned; the automata are started only at words that can begin a template, so the
-cost follows the length of the text. Defined results: null and empty texts have no words and no
+The whole text is scanned; an automaton runs only on texts that hold its longest run of mandatory
+words, and starts only at words that can begin its template, so the cost follows the length of the text. Defined results: null and empty texts have no words and no
 labels; repeated rows give repeated results; very long texts take memory in proportion to their
 own length; other columns of the input are ignored.
 """
@@ -25,8 +25,44 @@ from .common import arrow_rows, load, map_arrow
 
 #: Phrases of the base labels.
 BASE = {"mit": "mit license", "apache": "apache license", "gpl": "general public license"}
-#: Templates of the method's labels.
+_BULLET = "<<optional>><<var:1>><</optional>>"
+_BSD_GRANT = f"""redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met
+  {_BULLET} redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer
+  {_BULLET} redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"""
+_BSD_NAMES = f"{_BULLET} neither the name of <<var:24>> nor the names of <<var:8>> may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_DISCLAIMER = """this software is provided by <<var:16>> as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed
+  in no event shall <<var:16>> be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption
+  however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"""
+
+
+def _gnu(name: str) -> str:
+    """The header that files under a licence of this family carry."""
+    return f"""this <<var:6>> is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation
+      <<optional>>either<</optional>> version <<var:2>> of the license <<optional>>or at your option any later version<</optional>>
+      this <<var:6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} for more details
+      <<optional>>you should have received a copy of the gnu {name} along with this <<var:6>> if not<</optional>>"""
+
+
+#: Templates of the method's labels: whole licences and the headers of the long ones, then shorter notices.
 TEMPLATES = {
+    "mit-text": """permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the <<var:4>> to deal in the <<var:4>> without restriction including without limitation
+      the rights to use copy modify merge publish distribute sublicense and or sell copies of the <<var:4>> and to permit persons to whom the <<var:4>> is furnished to do so subject to the following conditions
+      the above copyright notice and this permission notice <<optional>>including the next paragraph<</optional>> shall be included in all copies or substantial portions of the <<var:4>>
+      the <<var:4>> is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement
+      in no event shall <<var:16>> be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the <<var:4>> or the use or other dealings in the <<var:4>>""",
+    "bsd-2-clause": f"{_BSD_GRANT} {_BSD_DISCLAIMER}",
+    "bsd-3-clause": f"{_BSD_GRANT} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "isc": """permission to use copy modify and <<optional>>or<</optional>> distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies
+      the software is provided as is and <<var:12>> disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness
+      in no event shall <<var:12>> be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits
+      whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software""",
+    "apache-2.0-header": """licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at <<var:12>>
+      unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied
+      see the license for the specific language governing permissions and limitations under the license""",
+    "gpl-header": _gnu("general public license"),
+    "lgpl-header": _gnu("lesser general public license"),
+    "agpl-header": _gnu("affero general public license"),
+    "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at",
     "apache-2.0-notice": "licensed under the apache license <<optional>>, version 2.0<</optional>>",
     "gpl-notice": "this <<var:2>> is licensed under the <<optional>>gnu<</optional>> general public license <<optional>>, version 3<</optional>>",
     "cc-by-nc-notice": "licensed under <<optional>>the<</optional>> <<optional>>creative commons<</optional>> cc by nc <<optional>>4.0<</optional>>",
@@ -53,8 +89,10 @@ class Automaton:
         self.arcs: list[list[tuple[bytes | None, int]]] = [[]]
         self.empty: list[list[int]] = [[]]
         self.n_mandatory = 0
-        here, opened = 0, []
+        here, opened, runs = 0, [], [[]]
         for part in re.findall(r"<<.*?>>|[^<]+", template):
+            if part.startswith("<<"):
+                runs.append([])
             if part == "<<optional>>":
                 opened.append(here)
             elif part == "<</optional>>":
@@ -69,10 +107,14 @@ class Automaton:
                 assert start != here, "a replaceable place takes one word or more"
             else:
                 for w in words_of(part.encode()):
-                    self.n_mandatory += not opened
+                    if not opened:
+                        self.n_mandatory += 1
+                        runs[-1].append(w)
                     here = self._arc(here, w)
         assert not opened, "an optional region is left open"
         self.final = here
+        #: The longest run of mandatory words; a text without it holds no match.
+        self.pivot = b" " + b" ".join(max(runs, key=len)) + b" "
         self.closure = [self._close(s) for s in range(len(self.arcs))]
         self.starts = {w for s in self.closure[0] for w, _ in self.arcs[s]}
 
@@ -106,25 +148,28 @@ class Automaton:
 
 
 @cache
-def _compiled(templates: tuple[tuple[str, str], ...]) -> dict[bytes, list[tuple[str, Automaton]]]:
-    by_start: dict[bytes, list[tuple[str, Automaton]]] = {}
-    for label, text in templates:
-        a = Automaton(text)
-        assert ANY not in a.starts, f"{label} must not begin with a replaceable place"
-        for w in a.starts:
-            by_start.setdefault(w, []).append((label, a))
-    return by_start
+def _compiled(templates: tuple[tuple[str, str], ...]) -> list[tuple[str, Automaton]]:
+    out = [(label, Automaton(text)) for label, text in templates]
+    for label, a in out:
+        assert ANY not in a.starts and len(a.pivot) > 2, f"{label} must begin with a word and have a mandatory one"
+    return out
 
 
 def scan(utf8: bytes, templates: dict[str, str] = TEMPLATES) -> dict:
-    """Word count, base places (start, label) and template matches (start, end, label) of one text."""
-    text = utf8.translate(TABLE)
-    words = text.split()
-    by_start = _compiled(tuple(templates.items()))
-    phrases = [(label, [w.encode() for w in p.split()]) for label, p in BASE.items()]
+    """Word count, base places (start, label) and template matches (start, end, label) of one text.
+
+    An automaton runs only on texts that hold its longest run of mandatory words."""
+    words = words_of(utf8)
+    line = b" " + b" ".join(words) + b" "
+    phrases = [(label, p.encode().split()) for label, p in BASE.items() if b" " + p.encode() + b" " in line]
     base, found, mandatory = [], [], 0
-    starts = {*by_start, *(p[0] for _, p in phrases)}
-    if any(w in text for w in starts):
+    by_start: dict[bytes, list[tuple[str, Automaton]]] = {}
+    for label, a in _compiled(tuple(templates.items())):
+        if a.pivot in line:
+            for w in a.starts:
+                by_start.setdefault(w, []).append((label, a))
+    if phrases or by_start:
+        starts = {*by_start, *(p[0] for _, p in phrases)}
         for i, w in enumerate(words):
             if w in starts:
                 base += [(i, label) for label, p in phrases if words[i : i + len(p)] == p]
