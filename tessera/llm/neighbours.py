@@ -3,23 +3,32 @@
 Learning, on a bounded sample of SAMPLE_PER distinct vectors for each partition: the exact neighbour graph of
 the sample; its balanced partitioning (balanced seeds, then rounds in which vectors move to the part
 where most of their neighbours are, as far as room allows); a small classifier (one hidden layer)
-that learns the parts from the vectors. Every row is then put in its most probable partition, and a
-query is routed to the several most probable ones, as many as find RECALL of the sample's own
-neighbours. Candidates there are reranked by exact inner products in double precision.
-
-Routing goes by partition and block: partitions of more than ROWS rows are cut into blocks by hash,
-and so are their queries beyond QUERIES, so that no task holds more than one block of each. Equal
-vectors of a block are one candidate with its smallest ids, so groups of copies cost nothing.
-
-Defined results: vectors that are null, empty, zero, of another length than most of the sample, or
-hold null or non-finite components take no part; ties go to the smaller vec_id; rows with the query's
-own vec_id are no candidates of it; repeated query rows count as one query; rows without vec_id take no
-part; an empty table gives an empty result; other columns are ignored, whatever their names.
+that learns from the vectors in which parts their neighbours are. Every row is then put in its most
+probable partition, and a query is routed to its most probable ones: as many as have a probability of
+`mass` together, which is chosen on sample vectors that the classifier has not seen so that RECALL of
+their neighbours are found. So a query that lies within one part visits few, one between parts more.
+Candidates there are reranked by exact inner products in double precision.
+
+There is a partition for about PART_ROWS distinct vectors, MIN_PARTS at least from MIN_LEARN distinct
+vectors on (fewer are one partition). Above MAX_PARTS partitions the router has two levels: the parts
+of the first one are partitioned again, each by a router learned from a bounded sample of its own, in
+tasks of their own. So partitions keep their size up to MAX_PARTS squared of them.
+
+Search goes by partition and block: partitions of more than ROWS rows are cut into blocks by hash,
+and so are their queries beyond QUERIES, so that no task holds more than one block of each. A query
+whose partitions hold too few rows visits the next probable ones as well. Equal vectors of a block are scored once. A query's own rows are left out before the best are taken.
+
+Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no
+part; vectors of another length than the commonest are searched whole, among those of their own length; ties go to
+the smaller vec_id; rows with the query's own vec_id are no candidates of it; repeated query rows
+count as one query, but each different vector of a repeated vec_id is a query of its own, with its own
+ranks; repeated candidate rows are listed each; rows without vec_id take no part; an empty table gives
+an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +41,16 @@ from .common import load, map_arrow, written
 
 K = 20
 EVERY = 20
-#: Rows a partition should have, the most partitions, and sample vectors for each partition.
+#: Distinct vectors a partition should have, the fewest and most partitions of a level, and sample vectors for each partition.
 PART_ROWS = 4096
+MIN_PARTS = 8
 MAX_PARTS = 256
 SAMPLE_PER = 128
 MIN_SAMPLE = 2048
-RECALL = 0.97
+#: Numbers in a sample at most, and distinct vectors from which on partitions are learned.
+MAX_SAMPLE = 1 << 24
+MIN_LEARN = 256
+RECALL = 0.94
 ROWS = 8192
 QUERIES = 2048
 
@@ -128,62 +141,129 @@ class Router:
     def scores(self, x: np.ndarray) -> np.ndarray:
         return np.maximum((x * self.scale) @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
 
+    def before(self, x: np.ndarray) -> np.ndarray:
+        """For each vector and part: the probability of all parts that are more probable."""
+        p = self.scores(x)
+        p = np.exp(p - p.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        order = np.argsort(-p, axis=1, kind="stable")
+        ranked = np.take_along_axis(p, order, axis=1)
+        out = np.empty_like(p)
+        np.put_along_axis(out, order, np.cumsum(ranked, axis=1) - ranked, axis=1)
+        return out
+
 
 class Index:
-    """What is learned: the router, the length of vectors, and how many partitions a query visits."""
+    """What is learned from a sample: the router, and the probability that a query's partitions have together.
+
+    children: indices of parts that are partitioned again, by part. A partition's number is part * stride + the child's part."""
 
     def __init__(self, sample: np.ndarray, parts: int, k: int = K, recall: float = RECALL):
-        self.dim, self.parts = sample.shape[1], parts
-        self.router, self.probes = None, parts
-        if parts == 1:
-            return
+        self.parts, self.router, self.mass, self.children, self.stride = parts, None, 1.0, {}, MAX_PARTS
         x = np.unique(sample, axis=0)
+        if parts == 1 or len(x) < 2 * parts:
+            self.parts = 1
+            return
         k = min(k, len(x) - 1)
         near = graph(x, k)
         label = balanced(x, near, parts)
-        soft = 0.5 * np.eye(parts)[label] + 0.5 * np.stack([np.bincount(r, minlength=parts) for r in label[near]]) / k
-        fit, test = np.arange(len(x)) % 5 != 0, np.arange(len(x)) % 5 == 0  # probes are chosen on rows the router has not seen
+        soft = 0.2 * np.eye(parts)[label] + 0.8 * np.stack([np.bincount(r, minlength=parts) for r in label[near]]) / k
+        fit, test = np.arange(len(x)) % 5 != 0, np.arange(len(x)) % 5 == 0  # mass is chosen on rows the router has not seen
         trial = Router(x[fit], soft[fit])
         home = trial.scores(x).argmax(axis=1)
-        order = np.argsort(-trial.scores(x[test]), axis=1, kind="stable")
-        rank = np.empty_like(order)
-        rank[np.arange(len(order))[:, None], order] = np.arange(parts)
-        at = rank[np.arange(len(order))[:, None], home[near[test]]]
-        found = np.cumsum(np.bincount(at.ravel(), minlength=parts)) / at.size
-        self.probes = min(parts, int(np.searchsorted(found, recall)) + 1)
+        needed = np.take_along_axis(trial.before(x[test]), home[near[test]], axis=1)
+        self.mass = float(np.quantile(needed, recall, method="higher"))
         self.router = Router(x, soft)
 
     def homes(self, x: np.ndarray) -> np.ndarray:
-        return self.router.scores(x).argmax(axis=1) if self.router else np.zeros(len(x), np.int64)
-
-    def routes(self, x: np.ndarray) -> np.ndarray:
-        return np.argsort(-self.router.scores(x), axis=1, kind="stable")[:, : self.probes] if self.router else np.zeros((len(x), 1), np.int64)
+        """The partition of each vector."""
+        part = self.router.scores(x).argmax(axis=1) if self.router else np.zeros(len(x), np.int64)
+        out = part * self.stride
+        for p, child in self.children.items():
+            at = np.flatnonzero(part == p)
+            if len(at):
+                out[at] += child.homes(x[at]) // self.stride
+        return out
+
+    def routes(self, x: np.ndarray) -> list[list[int]]:
+        """The partitions that each vector's query visits."""
+        if not self.router:
+            return [[0]] * len(x)
+        visit = self.router.before(x) <= self.mass
+        out = [(np.flatnonzero(v) * self.stride).tolist() for v in visit]
+        for p, child in self.children.items():
+            at = np.flatnonzero(visit[:, p])
+            for i, below in zip(at, child.routes(x[at]) if len(at) else (), strict=True):
+                out[i] = [q for q in out[i] if q != p * self.stride] + [p * self.stride + q // self.stride for q in below]
+        return out
+
+    def routes_to(self, x: np.ndarray, least: list[int], rows: dict[int, int]) -> list[list[int]]:
+        """routes(), with the next probable parts added where the partitions hold fewer rows than a query needs; rows: of each partition."""
+        out = self.routes(x)
+        short = [i for i, parts in enumerate(out) if sum(rows.get(p, 0) for p in parts) < least[i]]
+        if short and self.router:
+            within: dict[int, list[int]] = {}
+            for p in rows:
+                within.setdefault(p // self.stride, []).append(p)
+            for i, order in zip(short, np.argsort(self.router.before(x[short]), axis=1, kind="stable"), strict=True):
+                parts, have = list(out[i]), sum(rows.get(p, 0) for p in out[i])
+                for part in order.tolist():
+                    more = [p for p in within.get(part, ()) if p not in parts] if have < least[i] else []
+                    parts += more
+                    have += sum(rows[p] for p in more)
+                out[i] = parts
+        return out
+
+
+def n_parts(n: int) -> int:
+    """How many partitions of one level n distinct vectors get."""
+    return 1 if n < MIN_LEARN else int(min(MAX_PARTS, max(MIN_PARTS, -(-n // PART_ROWS))))
+
+
+def sample_size(parts: int, dim: int) -> int:
+    return min(max(MIN_SAMPLE, SAMPLE_PER * parts), MAX_SAMPLE // dim)
 
 
 def learn(vectors: DataFrame) -> Index | None:
-    """The index for vectors (vec_id, vec), from the distinct vectors with the smallest hashes.
+    """The first level of the index for vectors (vec) of one length, from the distinct ones with the smallest hashes.
 
     A threshold on the hash leaves about twice the sample, so neither copies nor the number of rows or
     partitions decide what is shuffled or reaches the driver."""
     h = F.xxhash64("vec")
-    n = vectors.agg(F.approx_count_distinct(h)).first()[0]
-    parts = int(min(MAX_PARTS, max(1, -(-n // PART_ROWS))))
-    size = max(MIN_SAMPLE, SAMPLE_PER * parts)
-    drawn = vectors.select("vec", F.pmod(h, F.lit(1 << 40)).alias("h")).where(F.col("h") < int(min(1.0, 2 * size / max(n, 1)) * (1 << 40))).distinct()
-    rows = [r["vec"] for r in drawn.orderBy("h", "vec").limit(size).collect()]
-    if not rows:
+    n, dim = vectors.agg(F.approx_count_distinct(h), F.max(F.size("vec"))).first()
+    if not n:
         return None
-    dim = min(Counter(map(len, rows)).items(), key=lambda c: (-c[1], c[0]))[0]
-    sample = np.array([r for r in rows if len(r) == dim])
-    return Index(sample, parts if len(sample) > 4 * K * 2 else 1)
+    parts = n_parts(n)
+    size = sample_size(parts, dim)
+    drawn = vectors.select("vec", F.pmod(h, F.lit(1 << 40)).alias("h")).where(F.col("h") < int(min(1.0, 2 * size / n) * (1 << 40))).distinct()
+    return Index(np.array([r["vec"] for r in drawn.orderBy("h", "vec").limit(size).collect()]), parts)
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return np.stack(column.to_numpy()).reshape(-1, dim) if len(column) else np.zeros((0, dim))
+def learn_children(index: Index, homes: DataFrame, dim: int) -> dict[int, Index]:
+    """Indices of the parts of index that have more than 2 * PART_ROWS distinct vectors, each learned in a task of its own; homes: vec, part."""
+    h = F.xxhash64("vec")
+    counts = {r["part"] // index.stride: r["n"] for r in homes.groupBy("part").agg(F.approx_count_distinct(h).alias("n")).collect()}
+    large = {p: n for p, n in counts.items() if n > 2 * PART_ROWS}
+    if index.parts < MAX_PARTS or not large:
+        return {}
+    parts = {p: n_parts(n) for p, n in large.items()}
+    size, stride = {p: sample_size(n, dim) for p, n in parts.items()}, index.stride
+    least = F.element_at(F.array(*[F.lit(int(min(1.0, 1.2 * size[p] / large[p]) * (1 << 40)) if p in large else 0) for p in range(index.parts)]), (F.col("part") / index.stride).cast("int") + 1)
+    drawn = homes.where(F.pmod(h, F.lit(1 << 40)) < least).select("part", "vec").distinct()
+
+    def fit(rows):
+        import pandas as pd
+
+        p = int(rows["part"].iloc[0]) // stride
+        return pd.DataFrame({"part": [p], "model": [pickle.dumps(Index(np.stack(rows["vec"].to_numpy()), parts[p]))]})
+
+    ship(homes.sparkSession)
+    models = written(drawn.groupBy("part").applyInPandas(fit, "part long, model binary"), "ann-routers")
+    return {r["part"]: pickle.loads(r["model"]) for r in models.collect()}  # MAX_PARTS routers at most
 
 
 def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """query_id, vec_id, score of each query's k nearest; equal vectors are scored once and alike."""
+    """Row of the query, vec_id, score of each query's k nearest; equal vectors are scored once and alike."""
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     unique, inverse, counts = np.unique(x + 0.0, axis=0, return_inverse=True, return_counts=True)
@@ -204,53 +284,72 @@ def nearest(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k:
             keep = ids[cand] != q_ids[at + r]
             cand, s = cand[keep], s[keep]
             top = np.lexsort((ids[cand], -s))[:k]
-            out_q.append(np.full(len(top), q_ids[at + r]))
+            out_q.append(np.full(len(top), at + r))
             out_v.append(ids[cand[top]])
             out_s.append(s[top])
     return tuple(np.concatenate(o) if o else np.array([], t) for o, t in ((out_q, np.int64), (out_v, np.int64), (out_s, np.float64)))
 
 
+def _mapped(run):
+    """For mapInArrow over (vec_id, vec, own), vectors of one length: run(matrix, own) gives the partitions of each as a list."""
+
+    def mapped(batches):
+        for b in batches:
+            x = np.stack([np.asarray(v) for v in b.column("vec").to_numpy(zero_copy_only=False)]) if b.num_rows else np.zeros((0, 1))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(run(x, b.column("own").to_pylist()) if len(x) else [], pa.list_(pa.int64()))], names=["vec_id", "vec", "parts"])
+
+    return mapped
+
+
 def search(rows: DataFrame, is_query, k: int = K) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest of every row for which is_query (a Column over vec_id) holds."""
     spark = rows.sparkSession
     vectors = usable(rows)
-    index = learn(vectors)
-    if index is None:
+    length = F.size("vec")
+    lengths = vectors.groupBy(length.alias("length")).count()
+    common = lengths.orderBy(F.desc("count"), "length").first()
+    if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, parts = index.dim, index.parts
-    shared = spark.sparkContext.broadcast(index)
-    vectors = vectors.where(F.size("vec") == dim)
-
-    def place(name: str, several: bool):
-        def run(batches):
-            index = shared.value
-            for b in batches:
-                x = np.array(b.column("vec").flatten()).reshape(-1, dim)
-                to = index.routes(x) if several else index.homes(x)[:, None]
-                yield pa.RecordBatch.from_arrays([b.column("vec_id"), b.column("vec"), pa.array(list(to.astype(np.int32)), pa.list_(pa.int32()))], names=["vec_id", "vec", name])
-
-        return run
-
-    homes = written(map_arrow(vectors, place("part", False), "vec_id long, vec array<double>, part array<int>").select("vec_id", "vec", F.col("part")[0].alias("part")), "ann-rows")
-    queries = homes.where(is_query).dropDuplicates(["vec_id", "vec"]).select("vec_id", "vec")
-    routed = written(map_arrow(queries, place("parts", True), "vec_id long, vec array<double>, parts array<int>").select("vec_id", "vec", F.explode("parts").alias("part")), "ann-queries")
-    # Blocks of each partition; there are MAX_PARTS partitions at most.
-    n_rows, n_queries = (dict(t.groupBy("part").count().collect()) for t in (homes, routed))
-    blocks = lambda counts, most: F.element_at(F.array(*[F.lit(max(1, -(-counts.get(p, 0) // most))) for p in range(parts)]), F.col("part") + 1)
+    dim = common["length"]
+    usual, schema = vectors.where(length == dim), "vec_id long, vec array<double>, parts array<long>"
+    index = learn(usual)
+
+    def placed(index: Index) -> DataFrame:
+        shared = spark.sparkContext.broadcast(index)
+        homes = map_arrow(usual.withColumn("own", F.lit(0)), _mapped(lambda x, _: shared.value.homes(x)[:, None].tolist()), schema).select("vec_id", "vec", F.col("parts")[0].alias("part"))
+        others = vectors.where(length != dim).select("vec_id", "vec", (-length).cast("long").alias("part"))  # a partition for each other length
+        return written(homes.unionByName(others), "ann-rows")
+
+    homes = placed(index)
+    index.children = learn_children(index, homes.where("part >= 0"), dim)
+    if index.children:
+        homes = placed(index)
+    sizes = written(homes.groupBy("part").agg(F.count(F.lit(1)).alias("r")), "ann-sizes")
+    # MAX_PARTS squared partitions at most. A query needs k rows besides its own.
+    shared = spark.sparkContext.broadcast((index, {r["part"]: r["r"] for r in sizes.where("part >= 0").collect()}))
+    queries = homes.where(is_query).groupBy("vec_id", "vec").agg(F.min("part").alias("part"), F.count(F.lit(1)).alias("n"))
+    queries = queries.join(queries.groupBy("vec_id").agg(F.sum("n").alias("own")), "vec_id")
+    usual = queries.where("part >= 0").select("vec_id", "vec", "own")
+    routed = map_arrow(usual, _mapped(lambda x, own: shared.value[0].routes_to(x, [k + n for n in own], shared.value[1])), schema).select("vec_id", "vec", F.explode("parts").alias("part"))
+    routed = written(routed.unionByName(queries.where("part < 0").select("vec_id", "vec", "part")), "ann-queries")
+    # Blocks of each partition, a row each.
+    blocks = sizes.join(routed.groupBy("part").agg(F.count(F.lit(1)).alias("q")), "part").select("part", F.ceil(F.col("r") / ROWS).cast("int").alias("rbs"), F.ceil(F.col("q") / QUERIES).cast("int").alias("qbs"))
+    blocks = written(blocks, "ann-blocks")
     cell = lambda n: F.pmod(F.xxhash64("vec_id", "vec"), n).cast("int")
-    left = routed.withColumn("qb", cell(blocks(n_queries, QUERIES))).withColumn("rb", F.explode(F.sequence(F.lit(0), blocks(n_rows, ROWS) - 1)))
-    right = homes.withColumn("rb", cell(blocks(n_rows, ROWS))).withColumn("qb", F.explode(F.sequence(F.lit(0), blocks(n_queries, QUERIES) - 1)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = routed.join(blocks, "part").withColumn("qb", cell(F.col("qbs"))).withColumn("rb", every("rbs")).select("part", "rb", "qb", "vec_id", "vec", F.xxhash64("vec").alias("qh"))
+    right = homes.join(blocks, "part").withColumn("rb", cell(F.col("rbs"))).withColumn("qb", every("qbs")).select("part", "rb", "qb", "vec_id", "vec")
 
     def cells(q, x):
         import pandas as pd
 
-        a, b, s = nearest(q["vec_id"].to_numpy(), _matrix(q["vec"], dim), x["vec_id"].to_numpy(), _matrix(x["vec"], dim), k) if len(q) and len(x) else ([], [], [])
-        return pd.DataFrame({"query_id": np.asarray(a, np.int64), "vec_id": np.asarray(b, np.int64), "score": np.asarray(s, np.float64)})
+        i, v, s = nearest(q["vec_id"].to_numpy(), np.stack(q["vec"].to_numpy()), x["vec_id"].to_numpy(), np.stack(x["vec"].to_numpy()), k) if len(q) and len(x) else (np.array([], int), [], [])
+        return pd.DataFrame({"query_id": q["vec_id"].to_numpy(np.int64)[i], "qh": q["qh"].to_numpy(np.int64)[i], "vec_id": np.asarray(v, np.int64), "score": np.asarray(s, np.float64)})
 
     key = ["part", "rb", "qb"]
     ship(spark)
-    found = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(cells, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = left.groupBy(key).cogroup(right.groupBy(key)).applyInPandas(cells, "query_id long, qh long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "qh").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
