@@ -50,3 +50,20 @@ def rows_of(df):
 def table(df, folder, name="documents"):
     df.write.mode("overwrite").parquet(f"{folder}/{name}.parquet")
     return str(folder)
+
+
+def brute_targets(sizes, weights, ratio, cap):
+    """Words to take of each source, the excess of capped ones shared again until none is above."""
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    w = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    target, open_, left = {}, set(names), ratio * sum(sizes.values())
+    while open_:
+        share = {s: left * w[s] / sum(w[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] >= cap * sizes[s]}
+        if not over:
+            return target | share
+        for s in over:
+            target[s] = cap * sizes[s]
+            left -= target[s]
+        open_ -= over
+    return target

@@ -87,10 +87,27 @@ def test_token_counts_equal_the_library(spark, docs):
 
 
 def test_frequent_is_bounded(spark):
-    v = spark.createDataFrame([(f"w{i}", i % 50 + 1, 1) for i in range(1000)], "pre string, n long, pieces long")
+    v = spark.createDataFrame([(f"w{i}", i % 50 + 1, 1) for i in range(1000)], "key string, n long, pieces long")
     assert 0 < tokencount.frequent(v, 100).count() <= 100 and tokencount.frequent(v, 10**6).count() == 1000 and tokencount.frequent(v, 1).count() <= 1
 
 
+def test_no_frequent_pretoken_meets_in_the_join(spark, monkeypatch):
+    """A long run in every row goes by its digest, so it is in the head as any other frequent word."""
+    import public_tokenizers
+
+    run, met, path = "=" * 61, [], public_tokenizers.path("byte_bpe_50k.json")
+    rows = [(i, f"{run} word{i} {run} " + "-" * (50 + i), "en", "a", 1) for i in range(300)]
+    docs = h.documents(spark, rows)
+    assert tokencount.key_of(" " + run) == hashlib.blake2b((" " + run).encode(), digest_size=32).hexdigest() and tokencount.key_of("é" * 24) == "é" * 24 and len(tokencount.key_of("é" * 25)) == 64
+    real = tokencount.map_arrow
+    monkeypatch.setattr(tokencount, "map_arrow", lambda df, f, schema: met.append(real(df, f, schema)) or met[-1])
+    got = dict(h.rows_of(tokencount.token_counts(docs, path, public_tokenizers.PATTERN, head=40).select("doc_id", "n_tokens")))
+    t = tokencount._tokenizer(path)
+    assert got == {r[0]: len(t.encode(r[1], add_special_tokens=False).ids) for r in rows}
+    tail = met[-1].where("not base").groupBy("key").count().collect()
+    assert tail and max(r["count"] for r in tail) == 1
+
+
 # Licences
 
 
@@ -112,7 +129,101 @@ def test_automaton(template, text, end):
     assert licenses.Automaton(template).match(licenses.words_of(text.encode()), 0) == end
 
 
+MIT = """Copyright (c) 2020 Jane Roe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD_GRANT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_DISCLAIMER = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND
+FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT,
+INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM
+LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR
+OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR
+PERFORMANCE OF THIS SOFTWARE."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GNU = """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU {name} as published by
+# the Free Software Foundation, either version {version} of the License, or
+# (at your option) any later version.
+#
+# This program is distributed in the hope that it will be useful,
+# but WITHOUT ANY WARRANTY; without even the implied warranty of
+# MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+# GNU {name} for more details.
+#
+# You should have received a copy of the GNU {name}
+# along with this program.  If not, see <https://www.gnu.org/licenses/>."""
+GPL = GNU.format(name="General Public License", version="3")
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+#: By label: genuine wording, also without optional parts or with others in the replaceable places.
 CANONICAL = {
+    "mit-text": [MIT, MIT.replace("notice shall", "notice (including the next paragraph) shall"), MIT.replace("AUTHORS OR COPYRIGHT HOLDERS", "FOUNDATION, ITS MEMBERS AND ALL OTHER CONTRIBUTORS")],
+    "bsd-2-clause": [BSD_GRANT + BSD_DISCLAIMER, (BSD_GRANT + BSD_DISCLAIMER).replace("1. ", "* ").replace("2. ", "* "), BSD_GRANT + BSD_DISCLAIMER.replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "REGENTS AND CONTRIBUTORS")],
+    "bsd-3-clause": [BSD_GRANT + BSD_NAMES + BSD_DISCLAIMER, BSD_GRANT + BSD_NAMES.replace("the copyright holder", "the University of Example, Department of Physics,") + BSD_DISCLAIMER],
+    "isc": [ISC, ISC.replace("and/or", "and"), ISC.replace("THE AUTHOR", "EXAMPLE CONSORTIUM, INC.")],
+    "apache-2.0-header": [APACHE, APACHE.replace("http://www.apache.org", "https://apache.org")],
+    "gpl-header": [GPL, GPL.replace("either version 3", "version 2").replace(", or\n# (at your option) any later version", ""), GPL.replace("This program", "This file of Example").partition("# You")[0]],
+    "lgpl-header": [GNU.format(name="Lesser General Public License", version="2.1")],
+    "agpl-header": [GNU.format(name="Affero General Public License", version="3")],
+    "mpl-2.0-header": [MPL],
     "apache-2.0-notice": ["Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License."],
     "gpl-notice": ["This program is licensed under the GNU General Public License, version 3."],
     "cc-by-nc-notice": ["Licensed under the Creative Commons CC BY-NC 4.0 license."],
@@ -130,6 +241,39 @@ CANONICAL = {
 }
 
 
+@pytest.mark.parametrize(("label", "old", "new"), [("mit-text", "sublicense", "license"), ("mit-text", "FITNESS FOR", "USE FOR"), ("bsd-2-clause", "retain", "keep"), ("bsd-3-clause", "endorse", "praise"), ("isc", "hereby granted", "granted"), ("apache-2.0-header", "Unless required by", "If required by"), ("gpl-header", "useful", "of use"), ("lgpl-header", "redistribute", "distribute"), ("agpl-header", "WITHOUT ANY", "WITH ALL"), ("mpl-2.0-header", "Source Code Form", "Source Form")])
+def test_a_changed_mandatory_word_is_rejected(label, old, new):
+    t = CANONICAL[label][0]
+    assert old in t and label not in {f[2] for f in licenses.scan(t.replace(old, new).encode())["found"]}
+
+
+def test_whole_licences_are_told_apart():
+    got = {label: {f[2] for f in licenses.scan(t[0].encode())["found"]} for label, t in CANONICAL.items()}
+    headers = {"mit-text", "bsd-2-clause", "bsd-3-clause", "isc", "apache-2.0-header", "gpl-header", "lgpl-header", "agpl-header", "mpl-2.0-header"}
+    assert all(got[x] & headers == {x} for x in headers)
+
+
+def test_long_texts_and_nested_regions():
+    filler = "permission is hereby granted copyright this licensed under " * 20_000
+    assert "mit-text" in {f[2] for f in licenses.scan((filler + MIT + filler).encode())["found"]}
+    a = licenses.Automaton("a <<optional>>b <<optional>>c <<var:2>><</optional>> d<</optional>> e")
+    assert [a.match(t.split(), 0) for t in (b"a e", b"a b d e", b"a b c x y d e", b"a b c d e", b"a d e")] == [2, 4, 7, -1, -1]
+
+
+def test_templates_agree_with_sql(spark, tmp_path):
+    """The SQL counterpart finds the same in genuine and changed texts as the automata."""
+    import duckdb
+
+    texts = [t for x in CANONICAL.values() for t in x] + [t.replace("copy", "duplicate") for x in CANONICAL.values() for t in x] + [None, "", MIT * 3]
+    folder = h.table(h.documents(spark, [(i, t, "en", "a", 1) for i, t in enumerate(texts)]), tmp_path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{folder}/documents.parquet/*.parquet'")
+    want = con.execute(licenses.ORACLE).fetchdf().sort_values("doc_id")
+    got = licenses.op10_license_scan(spark, folder).toPandas().sort_values("doc_id")
+    for c in ("n_words", "n_base", "base_labels", "labels", "score"):
+        assert got[c].tolist() == want[c].tolist(), c
+
+
 def test_canonical_texts():
     assert set(CANONICAL) == set(licenses.TEMPLATES)
     for label, texts in CANONICAL.items():
@@ -156,6 +300,49 @@ def test_language_held_out_is_crc(spark):
     assert all(r["h"] == (zlib.crc32(str(r["id"]).encode()) % 4 == 2) for r in got)
 
 
+def test_normal_keeps_letters_only():
+    assert langid.normal("½ ² ① Ⅷ 123 _-!") == b"" and langid.normal(None) == b"" and langid.normal("\u0301\u093f") == b""
+    assert langid.normal("Ab1cé_Ü ２x") == "ab cé ü x".encode() and langid.normal("हिन्दी, किताब") == "हिन्दी किताब".encode()
+
+
+def test_language_by_brute_force(spark):
+    """Sizes, ties, margin and rejection are those of one compressor a language, recomputed from the rules."""
+    import zstandard
+
+    dicts = {"b": b"alpha beta gamma delta ", "a": b"alpha beta gamma delta ", "c": " ".join(h.WORDS["de"]).encode()}
+    texts = [None, "", "½ ²", "alpha beta", "und nicht ist auch", "Größe alpha " * 3000, "x", *[h.prose("de", n, n) for n in (3, 40, 3000)]]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: r for r in langid.classify(h.clashing(h.documents(spark, rows)), dicts, 0.2).collect()}
+    for i, t in enumerate(texts):
+        words = re.findall(r"[^\W\d_]+", (t or "").lower())
+        data = " ".join(words).encode() if i != 2 else b""
+        if not data:
+            assert (got[i]["lang_pred"], got[i]["score"], got[i]["rejected"]) == ("und", 0.0, True)
+            continue
+        size = {}
+        for lang, d in dicts.items():
+            c = zstandard.ZstdCompressor(level=langid.LEVEL, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False, write_dict_id=False)
+            size[lang] = sum(len(c.compress(data[k : k + langid.BLOCK])) for k in range(0, len(data), langid.BLOCK))
+        best, second = sorted(size.items(), key=lambda x: (x[1], x[0]))[:2]
+        margin = 1 - best[1] / second[1]
+        assert got[i]["lang_pred"] == best[0] != "b" and abs(got[i]["score"] - min(1, margin / langid.FULL_MARGIN)) < 1e-12 and got[i]["rejected"] == (margin < 0.2)
+
+
+def test_learning_is_bounded_and_from_whole_texts(spark, monkeypatch):
+    # One id for all rows, and a third of them copies: the sample still has SAMPLE_DOCS different texts.
+    rows = [(7, h.prose("en", 30, i), "en", "a", 1) for i in range(400)] + [(7, "copy " * 20, "en", "a", 1)] * 200
+    found = langid.learn(h.documents(spark, rows).repartition(8))
+    assert set(found) == {"en"} and found["en"].count(b"copy copy") <= 20 and found == langid.learn(h.documents(spark, rows).repartition(3))
+    # What stands only after the first kilobytes of a long text is learned too.
+    long = langid.learn(h.documents(spark, [(1, "aaa " * 5000 + "zebra " * 20_000, "en", "a", 1)]))
+    assert b"zebra" in long["en"] and len(long["en"]) <= langid.DICT_BYTES // langid.SAMPLE_DOCS
+    # One language is always the answer; one without letters is not learned, one with few is.
+    few = h.documents(spark, [(1, "ab", "x", "a", 1), (2, "123", "y", "a", 1)])
+    assert langid.learn(few) == {"x": b"      ab"} and {r["lang_pred"] for r in langid.classify(few, langid.learn(few)).collect()} == {"x", "und"}
+    with pytest.raises(Exception, match="more than 2"):
+        langid.learn(h.documents(spark, [(i, "some words", f"l{i}", "a", 1) for i in range(3)]), max_langs=2)
+
+
 def test_language_without_labels(spark):
     rows = [(1, "some words", None, None, None), (2, None, None, None, None)]
     docs = h.documents(spark, rows)
@@ -165,22 +352,84 @@ def test_language_without_labels(spark):
 # Packing
 
 
-def test_packing_is_whole(spark, docs):
-    got = packing.pack_documents(docs, (16, 64, 256), shard_rows=20).collect()
-    want = Counter()
-    for r in h.awkward():
-        want[r[0]] += len((r[1] or "").encode().split())
-    have, bins = Counter(), {}
+def check_places(got, lengths):
+    bins = {}
     for r in got:
-        have[r["doc_id"]] += r["n_words"]
         bins.setdefault(r["bin"], []).append((r["offset"], r["n_words"], r["used"], r["capacity"]))
-    assert have == +want
     for rows in bins.values():
         at = 0
         for offset, n, used, capacity in sorted(rows):
             assert offset == at
             at += n
-        assert at == used <= capacity and capacity == packing.smallest((16, 64, 256), used)
+        assert at == used <= capacity and capacity == packing.smallest(lengths, used)
+
+
+def test_packing_is_whole(spark, docs):
+    got = packing.pack_documents(docs, (16, 64, 256), shard_pieces=20).collect()
+    want = Counter((r[0], a, min(256, n - a)) for r in h.awkward() for n in [len((r[1] or "").encode().split())] for a in range(0, n, 256))
+    assert Counter((r["doc_id"], r["start_word"], r["n_words"]) for r in got) == want
+    assert len({(r["row_file"], r["row_number"], r["piece"]) for r in got}) == len(got)  # repeated rows are told apart
+    check_places(got, (16, 64, 256))
+    per = Counter(r["shard"] for r in got)
+    assert len(per) > 10 and max(per.values()) < 60  # one long text alone has more pieces than that
+
+
+def test_packing_other_units(spark):
+    docs = h.documents(spark).withColumn("tokens", F.when(F.col("doc_id") < 100, F.col("doc_id") * 10))
+    got = packing.pack_documents(docs, (16, 64), size="tokens").collect()
+    want = Counter()
+    for r in h.awkward():
+        want[r[0]] += (r[0] or 0) * 10 if (r[0] or 0) < 100 else 0
+    have = Counter()
+    for r in got:
+        have[r["doc_id"]] += r["n_words"]
+    assert +have == +want
+    check_places(got, (16, 64))
+
+
+def test_packed_texts_are_whole(spark, docs):
+    got = packing.pack_texts(docs, (16, 64, 256), shard_pieces=50).collect()
+    want = Counter((r[0], a, tuple(w[a : a + 256])) for r in h.awkward() for w in [re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")] for a in range(0, len(w), 256))
+    assert Counter((r["doc_id"], r["start_word"], tuple(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in got) == want
+    check_places(got, (16, 64, 256))
+    assert set(got[0].asDict()) == {*docs.columns, *packing.PLACE} and all(r["lang_pred"] == "clash" for r in got)
+    assert all(r["text"] in {x[1] for x in h.awkward()} for r in got if len(re.findall(r"[^\x20\x09-\x0D]+", r["text"])) < 256 and r["start_word"] == 0)
+
+
+def naive(ns, lengths, floor):
+    """Best fit decreasing with plain lists, the last touched bin first: what each bin holds."""
+    bins = []
+    for n in ns:
+        fits = [k for k, b in enumerate(bins) if b[0] - b[1] >= n]
+        best = min(fits, key=lambda k: (bins[k][0] - bins[k][1], -k), default=None)
+        size, used = (min(c for c in lengths if c >= max(n, floor)), 0) if best is None else bins.pop(best)
+        bins.append([size, used + n])
+    return [b[1] for b in bins]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_packing_is_never_worse_than_fixed_floors(seed):
+    import random
+
+    r = random.Random(seed)
+    lengths = (32, 64, 128, 256)
+    ns = sorted((min(256, int(r.expovariate(1 / r.choice((8, 30, 90)))) + 1) for _ in range(r.choice((1, 5, 60, 700)))), reverse=True)
+    got = packing.pack(ns, lengths)
+    cost = packing.total_cost([used for used in dict((k, u) for k, _, u, _ in got).values()], lengths)
+    for floor in lengths:
+        used = naive(ns, lengths, floor)
+        assert sorted(used) == sorted(packing.place(ns, lengths, floor)[1])  # the same packing as by plain lists
+        assert cost <= packing.total_cost(used, lengths)
+
+
+def test_opening_is_chosen_each_time():
+    """Joint choice: large bins as long as small pieces are left to fill them, small ones after that."""
+    lengths = (10, 100)
+    assert packing.opening(6, packing.Left([4] + [1] * 90), lengths) == 100 and packing.opening(6, packing.Left([4]), lengths) == 10 and packing.opening(60, packing.Left([]), lengths) == 100
+    left = packing.Left([5, 5, 3])
+    assert left.fill(9) == 8 and left.fill(4) == 3 and left.fill(2) == 0
+    left.remove(3)
+    assert left.fill(9) == 5 and left.fill(20) == 10
 
 
 def test_room_takes_the_tightest_bin():
@@ -200,22 +449,6 @@ def test_packing_beats_one_document_a_bin(spark):
 # Mixing
 
 
-def brute_targets(sizes):
-    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
-    w = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
-    target, open_, left = {}, set(names), mixing.RATIO * sum(sizes.values())
-    while open_:
-        share = {s: left * w[s] / sum(w[x] for x in open_) for s in open_}
-        over = {s for s in open_ if share[s] >= mixing.CAP * sizes[s]}
-        if not over:
-            return target | share
-        for s in over:
-            target[s] = mixing.CAP * sizes[s]
-            left -= target[s]
-        open_ -= over
-    return target
-
-
 def test_mix_meets_targets(spark, docs, tmp_path):
     folder = h.table(docs, tmp_path)
     first = mixing.op6_source_mix(spark, folder)
@@ -226,8 +459,8 @@ def test_mix_meets_targets(spark, docs, tmp_path):
     sizes = {}
     for r in h.awkward():
         sizes[r[3]] = sizes.get(r[3], 0) + words(r[1])
-    rows, src, draws = mixing.mix(docs)
-    want = brute_targets(sizes)
+    rows, src, draws = mixing.mix(mixing.keyed(docs, "k0").withColumn("k", F.col("k0")))
+    want = h.brute_targets(sizes, mixing.WEIGHTS, mixing.RATIO, mixing.CAP)
     for s in src.collect():
         assert s["source_size"] == sizes[s["source"]] and abs(s["target"] - want[s["source"]]) < 1e-4
     taken = {r[0]: r[1] for r in draws.groupBy("src").agg(F.sum("words")).collect()}
@@ -239,10 +472,9 @@ def test_mix_meets_targets(spark, docs, tmp_path):
 @pytest.mark.parametrize("shard_blocks", [512, 8])
 def test_mix_shards_are_disjoint_and_exact(spark, monkeypatch, shard_blocks):
     rows = [(i, h.prose("en", 300 + i, i), "en", f"s{i % 4}" if i > 1 else "rare", 1) for i in range(200)]
-    monkeypatch.setattr(mixing, "BLOCK_WORDS", 16)
-    monkeypatch.setattr(mixing, "SHARD_BLOCKS", shard_blocks)
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_blocks * 16)
     monkeypatch.setattr(mixing, "BUCKET", 256)
-    _, src, draws = mixing.mix(h.documents(spark, rows))
+    _, src, draws = mixing.mix(mixing.keyed(h.documents(spark, rows), "k"), 16)
     got = draws.toPandas()
     assert not got.duplicated(["k", "block", "pass"]).any()
     per = got.groupby("shard").size()
@@ -270,12 +502,57 @@ def test_split_tree_keeps_quotas(spark):
     assert len(per) == 16 and per.max() - per.min() <= 4 and (q["n"] >= 0).all()
 
 
+def test_quotas_decide_what_is_taken(spark, monkeypatch, tmp_path):
+    """Without the quotas of all shards but the first, a document's taken words are those of its draws there."""
+    rows = [(i, h.prose("en", 300 + i, i), "en", f"s{i % 4}", 1) for i in range(200)]
+    folder = h.table(h.documents(spark, rows), tmp_path)
+    whole = mixing.op6_source_mix(spark, folder)
+    assert whole.where("first_shard is not null").select("first_shard").distinct().count() > 1
+    _, _, draws = mixing.mix(mixing.keyed(spark.read.parquet(f"{folder}/documents.parquet"), "k"))
+    want = {r["doc_id"]: r["w"] for r in draws.where("shard = 0").groupBy("doc_id").agg(F.sum("words").alias("w")).collect()}
+    tree = mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: tree(*a).where("shard = 0"))
+    got = {r["doc_id"]: r["taken"] for r in mixing.op6_source_mix(spark, folder).collect()}
+    assert {i: n for i, n in got.items() if n} == want and 0 < sum(want.values()) < sum(r["taken"] for r in whole.collect()) / 4
+
+
+def test_many_sources(spark):
+    """More sources than a bound are an error; many sources, tiny ones too, come to their targets."""
+    docs = mixing.keyed(h.documents(spark, [(i, h.prose("en", 1 + i % 7, i), "en", f"host{i:03d}", 1) for i in range(300)]), "k")
+    rows = mixing.sizes(docs)
+    with pytest.raises(ValueError, match="300 sources"):
+        mixing.targets(rows, max_sources=299)
+    _, src, draws = mixing.mix(docs)
+    taken = {r[0]: r[1] for r in draws.groupBy("src").agg(F.sum("words")).collect()}
+    assert all(abs(taken.get(s["src"], 0) - s["target"]) <= 1 for s in src.collect())
+
+
+def test_ties_of_the_permutation(spark, monkeypatch):
+    """Repeated rows share their place in the permutation; each is drawn for itself."""
+    docs = mixing.keyed(h.documents(spark, [(1, "a b c d", "en", "s", 1)] * 50 + [(None, "x y", None, None, None)] * 50), "k")
+    _, src, draws = mixing.mix(docs)
+    assert not draws.groupBy("k", "block", "pass").count().where("count > 1").count()
+    taken = {r[0]: r[1] for r in draws.groupBy("src").agg(F.sum("words")).collect()}
+    assert all(abs(taken.get(s["src"], 0) - s["target"]) <= 1 for s in src.collect())
+
+
 def test_assemble_returns_documents(spark, docs):
     out = mixing.assemble(docs)
     assert out.columns == docs.columns
     text = {r[0]: r[1] for r in h.awkward()}
     for r in out.collect():
-        assert r["text"] == text[r["doc_id"]] or set(r["text"].split()) <= set(text[r["doc_id"]].split())
+        assert r["text"] == text[r["doc_id"]] or text[r["doc_id"]].split()[: len(r["text"].split())] == r["text"].split()
+
+
+def test_assembled_shards_hold_their_quotas(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 4000)
+    docs = h.documents(spark, [(i, h.prose("en", 20 + i % 90, i), "en", f"s{i % 5}", 1) for i in range(600)])
+    quotas, tree = [], mixing.split_tree
+    monkeypatch.setattr(mixing, "split_tree", lambda *a: quotas.append(tree(*a)) or quotas[-1])
+    out = mixing.assemble(docs).withColumn("shard", F.spark_partition_id())
+    want = Counter({(r["shard"], r["src"]): r["n"] for r in quotas[0].selectExpr("shard", "explode(quotas) q").selectExpr("shard", "q.src", "cast(q.n as int) n").where("n > 0").collect()})
+    got = Counter((r["shard"], int(r["source"][1:])) for r in out.select("shard", "source").collect())
+    assert got == want and len({s for s, _ in got}) >= 8
 
 
 # Empty tables
@@ -287,6 +564,6 @@ def test_empty_tables(spark):
     docs = h.clashing(h.empty(spark))
     assert secrets.secret_scan(docs).count() == secrets.redact(docs).count() == 0
     assert tokencount.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN).count() == 0
-    assert licenses.license_scan(docs).count() == langid.classify(docs, langid.learn(docs)).count() == packing.pack_documents(docs).count() == 0
-    rows, src, draws = mixing.mix(docs)
+    assert licenses.license_scan(docs).count() == langid.classify(docs, langid.learn(docs)).count() == packing.pack_documents(docs).count() == packing.pack_texts(docs).count() == 0
+    rows, src, draws = mixing.mix(mixing.keyed(docs.select("doc_id", "source", "text"), "k"))
     assert rows.count() == src.count() == draws.count() == mixing.assemble(docs).count() == 0
