@@ -38,7 +38,7 @@ RATIO = 1.5
 CAP = 2.0
 BLOCK_WORDS = 256
 #: Blocks in a hash bucket, about; words that a shard should have at most, about, and the fewest shards.
-BUCKET = 16_384
+BUCKET = 4096
 SHARD_WORDS = 8_388_608
 MIN_SHARDS = 8
 MAX_SOURCES = 100_000
