@@ -50,7 +50,8 @@ LEVEL = 6
 FULL_MARGIN = 0.10
 MIN_MARGIN = 0.005
 UND = "und"
-_ASCII = re.compile(r"[a-z]+")
+#: Blanks the ASCII characters that are no lower-case letters.
+_TABLE = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
 def _class(first: str) -> str:
@@ -66,14 +67,19 @@ def _class(first: str) -> str:
 
 
 @cache
-def _words():
-    letters = _class("L")
-    return re.compile(f"[{letters}][{letters}{_class('M')}]*")
+def _patterns():
+    """What is neither ASCII nor a letter; that and no mark either; marks that follow no letter."""
+    letters, marks = _class("L"), _class("M")
+    return re.compile(f"[^\\x00-\\x7f{letters}]"), re.compile(f"[^\\x00-\\x7f{letters}{marks}]+"), re.compile(f"(?<![{letters}{marks}])[{marks}]+")
 
 
 def normal(text: str | None) -> bytes:
     low = (text or "").lower()
-    return " ".join((_ASCII if low.isascii() else _words()).findall(low)).encode("utf-8", "replace")
+    if not low.isascii():
+        any_other, other, stray = _patterns()
+        if any_other.search(low):
+            low = stray.sub(" ", other.sub(" ", low))
+    return b" ".join(low.encode("utf-8", "replace").translate(_TABLE).split())
 
 
 def held_out(doc_id: Column) -> Column:
