@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import time
 import urllib.request
+import uuid
 from collections.abc import Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import for_embedding, strip
-from ..session import ship
+from ..session import remove, ship
 from .store import ParquetVectorStore, embedding_rows, pending
 
 DIMENSIONS, BATCH = 1024, 50
@@ -34,22 +36,31 @@ class Generator(Protocol):
 
 
 class HttpEmbedder:
-    """A model server's /api/embeddings, with up to `concurrency` requests at once; a failed one gives None."""
+    """A model server's /api/embeddings: groups of `concurrency` requests at once with a pause between groups; a
+    request that fails is tried again up to `retries` times, and then gives None."""
 
-    def __init__(self, url: str, model: str = "bge-m3", concurrency: int = BATCH, timeout: float = 120):
-        self.url, self.model, self.concurrency, self.timeout = url.rstrip("/"), model, concurrency, timeout
+    def __init__(self, url: str, model: str = "bge-m3", concurrency: int = BATCH, timeout: float = 120, pause: float = 0.1, retries: int = 2):
+        self.url, self.model, self.concurrency, self.timeout, self.pause, self.retries = url.rstrip("/"), model, concurrency, timeout, pause, retries
 
     def _one(self, text: str) -> list[float] | None:
         request = urllib.request.Request(f"{self.url}/api/embeddings", json.dumps({"model": self.model, "prompt": text}).encode(), {"Content-Type": "application/json"})
-        try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as r:
-                return json.loads(r.read()).get("embedding") or None
-        except (OSError, ValueError):
-            return None
+        for n in range(self.retries + 1):
+            try:
+                with urllib.request.urlopen(request, timeout=self.timeout) as r:
+                    return json.loads(r.read()).get("embedding") or None
+            except (OSError, ValueError):
+                if n < self.retries:
+                    time.sleep(self.pause * 2**n)
+        return None
 
     def embed(self, texts: Sequence[str]) -> list[list[float] | None]:
+        out: list[list[float] | None] = []
         with ThreadPoolExecutor(self.concurrency) as pool:
-            return list(pool.map(self._one, texts))
+            for at in range(0, len(texts), self.concurrency):
+                if at:
+                    time.sleep(self.pause)
+                out += pool.map(self._one, texts[at : at + self.concurrency])
+        return out
 
     def available(self) -> bool:
         """Whether the server has the model, tags aside."""
@@ -83,12 +94,13 @@ def embed(rows: DataFrame, embedder: Embedder, text: str = "text", dim: int | No
 def embedding_job(sections: DataFrame, store: ParquetVectorStore, embedder: Embedder, limit: int | None = None, compat: bool = False) -> dict[str, int]:
     """Embeds the sections that the store lacks and upserts them; returns generated, errors and total."""
     todo = pending(sections, store.existing_ids(embedder.model), limit=limit, compat=compat)
-    path = f"{store.path}/run"
-    embed(todo, embedder, dim=None).write.mode("overwrite").parquet(path)
+    path = f"{store.path}/run-{uuid.uuid4().hex}"  # a folder for each run, so that two jobs on one store do not meet
+    embed(todo, embedder, dim=None).write.parquet(path)
     done = sections.sparkSession.read.parquet(path)
     counts = done.agg(F.count("embedding").alias("generated"), F.count_if(F.col("embedding").isNull()).alias("errors"), F.count(F.lit(1)).alias("total")).first().asDict()
     if counts["generated"]:
         store.upsert(embedding_rows(done, embedder.model, F.current_timestamp()))
+    remove(sections.sparkSession, path)
     return counts | {"backend": "parquet"}
 
 

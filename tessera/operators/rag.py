@@ -60,14 +60,14 @@ def filter_issues(issues: DataFrame, group: str) -> DataFrame:
     return issues.where(status_group(F.col("status"), F.col("status_category"), group))
 
 
-def status_context(issues: DataFrame, group: str, order: str = "key") -> DataFrame:
-    """One row, `status_context`: a header with the count and a line for each issue (key, summary, status), in order.
+def status_context(issues: DataFrame, group: str, order: str = "key", *by: str) -> DataFrame:
+    """`status_context` for each value of `by` (one row without any): a header with the count and a line for each issue (key, summary, status), in order.
 
-    Meant for the issues of one session, which the header lists in full."""
+    Meant for the issues of one session at a time, which the header lists in full."""
     found = filter_issues(issues, group)
     lines = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.concat(F.lit("- "), "key", F.lit(": "), "summary", F.lit(" (상태: "), "status", F.lit(")\n")).alias("line"))))
     head = F.concat(F.lit(f"\n\n[{STATUS[group][2]} 상태 이슈 "), F.count(F.lit(1)).cast("string"), F.lit("개]\n"))
-    return found.agg(F.when(F.count(F.lit(1)) > 0, F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), ""))).alias("status_context"))
+    return found.groupBy(*by).agg(F.when(F.count(F.lit(1)) > 0, F.concat(head, F.array_join(F.transform(lines, lambda x: x["line"]), ""))).alias("status_context"))
 
 
 def context_part(source: Column, text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import S, section_id, strip, word_count
+from ..session import plain_scan, written
 
 BATCH = 50
 #: Rows of a range that is ranked in one task, about, and the most ranges.
@@ -30,20 +32,29 @@ def reassemble(sections: DataFrame, key: str, order: str = "section_order", text
 
 def batch_numbers(rows: DataFrame, order: str, size: int = BATCH) -> DataFrame:
     """rows with row_no (from 0 by order), batch_no and n_batches; ranks are taken per range of `order` and shifted, so no task sees all rows."""
+    rows = once(rows)
     return with_row_number(rows, order).withColumn("batch_no", F.floor(F.col("row_no") / size) + 1).withColumn("n_batches", F.lit(-(-rows.count() // size)).cast("long"))
 
 
-def with_row_number(rows: DataFrame, order: str, name: str = "row_no", range_rows: int = RANGE_ROWS) -> DataFrame:
-    """rows numbered from 0 in the order of a unique numeric column: ranges by quantiles, counts per range, ranks within.
+def once(rows: DataFrame) -> DataFrame:
+    """rows, as a written table unless they only read one."""
+    return rows if plain_scan(rows) else written(rows, "rows")
 
-    There are MAX_RANGES ranges at most, so plan and counts stay small; larger ranges are sorted with spilling."""
+
+def with_row_number(rows: DataFrame, order: str, name: str = "row_no", range_rows: int = RANGE_ROWS, then: Sequence[str] = ()) -> DataFrame:
+    """rows numbered from 0 in the order of a numeric column, then of others, that are unique together: ranges by
+    quantiles of the first, counts per range, ranks within.
+
+    The input is evaluated once. There are MAX_RANGES ranges at most, so plan and counts stay small; larger ranges are
+    sorted with spilling."""
+    rows = once(rows)
     n = rows.count()
     ranges = min(MAX_RANGES, max(1, n // range_rows))
     cuts = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
     placed = rows.withColumn("_b", _cuts_below(F.col(order), cuts))
     counts = dict(placed.groupBy("_b").count().collect()) if cuts else {0: n}
     starts = [0, *accumulate(counts.get(b, 0) for b in range(len(cuts)))]
-    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy(order, *then)) - 1
     return placed.withColumn(name, (rank + F.element_at(F.lit(starts).cast("array<long>"), F.col("_b") + 1)).cast("long")).drop("_b")
 
 

@@ -84,8 +84,12 @@ def sync(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("section_i
     return target.join(source.select(*keys).distinct(), list(keys), "left_anti").select(target.columns).unionByName(source.select(target.columns))
 
 
+#: Versions of a table that stay.
+KEPT = 3
+
+
 def write_version(df: DataFrame, path: str) -> str:
-    """Writes the next version under path and points CURRENT at it.
+    """Writes the next version under path and points CURRENT at it; of older ones the last KEPT - 1 stay for readers.
 
     NEXT is whole before CURRENT goes, so a swap that breaks off leaves one of them to read."""
     spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
@@ -98,6 +102,9 @@ def write_version(df: DataFrame, path: str) -> str:
     out.close()
     fs.delete(place("CURRENT"), False)
     fs.rename(place("NEXT"), place("CURRENT"))
+    versions = [f for f in fs.listStatus(place("CURRENT").getParent()) if f.getPath().getName().startswith("v-") and f.getPath().getName() != version]
+    for old in sorted(versions, key=lambda f: -f.getModificationTime())[KEPT - 1 :]:
+        fs.delete(old.getPath(), True)
     return version
 
 

@@ -1,20 +1,25 @@
 """Exact cosine search over stored vectors.
 
 A single query vector is a literal, so the search is a scan with a top-k. Many queries are held in a
-broadcast block of bounded size (QUERY_BLOCK): each row meets the block inside its own task and only
-a partial top-k of every partition is shuffled.
+block of bounded size (QUERY_BLOCK) that every task has: a task multiplies its rows with the block and
+hands on its k best rows for each query.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import heapq
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import ship
+
 TOP_K, LIST_K, MIN_SIMILARITY = 5, 30, 0.5
-QUERY_BLOCK = 512
+QUERY_BLOCK = 2048
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -48,18 +53,56 @@ def top_k(corpus: DataFrame, query: Sequence[float], k: int = TOP_K, min_similar
 def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, min_similarity: float | None = None, key: str = "vec_id", query_key: str = "query_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, key, similarity): the k best rows of corpus for each row of queries (query_id, query_embedding).
 
-    Queries go through in blocks of QUERY_BLOCK, found by hash, so what is broadcast has a bound."""
-    n = queries.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    Queries go through in blocks of QUERY_BLOCK, found by hash, so what is sent to the tasks has a bound. A
+    task scores a batch of rows against its block as one matrix product and keeps k rows a query, so only these are
+    shuffled. Vectors of another length than a query's, null ones and those without direction are no candidates."""
+    spark = corpus.sparkSession
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    asked = queries.select(F.col(query_key).alias("q"), F.col("query_embedding").cast("array<double>").alias("e"))
+    rows = corpus.select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("e"))
+    kinds = f"q {asked.schema['q'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, similarity double"
+    best = Window.partitionBy("q").orderBy(F.desc("similarity"), "key")
     found = None
-    unit = corpus.select(F.col(key), F.col(embedding).alias("_e"), norm(F.col(embedding)).alias("_n"))
-    asked = queries.select(query_key, F.col("query_embedding").alias("_q"), norm(F.col("query_embedding")).alias("_m"))
-    best = Window.partitionBy(query_key).orderBy(F.desc("similarity"), key)
+    ship(spark)
     for b in range(blocks):
-        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == b)
-        scored = unit.crossJoin(F.broadcast(block)).select(query_key, key, (dot(F.col("_e"), F.col("_q")) / (F.col("_n") * F.col("_m"))).alias("similarity"))
-        if min_similarity is not None:
-            scored = scored.where(F.col("similarity") >= min_similarity)
-        part = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+        block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
+        shared = spark.sparkContext.broadcast([(r["q"], r["e"]) for r in block.collect() if r["e"] and None not in r["e"] and any(r["e"])])
+
+        def run(batches, shared=shared):
+            return best_of(batches, shared.value, k, min_similarity)
+
+        part = rows.mapInPandas(run, kinds)
         found = part if found is None else found.unionByName(part)
-    return found.select(query_key, "rank", key, "similarity")
+    ranked = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.select(F.col("q").alias(query_key), "rank", F.col("key").alias(key), "similarity")
+
+
+def best_of(batches: Iterator[pd.DataFrame], asked: list[tuple], k: int, least: float | None) -> Iterator[pd.DataFrame]:
+    """q, key, similarity: of all batches (key, e) the k best rows for each query (q, e). Scores of those that can be among
+    them are taken one by one, so that equal vectors score alike and ties go by key."""
+    dims = {len(e) for _, e in asked}
+    queries = {d: np.array([e for _, e in asked if len(e) == d]) for d in dims}
+    names = {d: [q for q, e in asked if len(e) == d] for d in dims}
+    kept: dict[int, list[list[tuple]]] = {d: [[] for _ in names[d]] for d in dims}
+    for batch in batches:
+        batch = batch[batch["e"].notna()]
+        for d in dims:
+            part = batch[batch["e"].map(len) == d]
+            if part.empty:
+                continue
+            x, ids = np.stack(part["e"].to_numpy()).astype(float), part["key"].tolist()
+            size = np.sqrt((x * x).sum(axis=1))
+            good = np.flatnonzero(np.isfinite(size) & (size > 0))
+            if not len(good):
+                continue
+            x, size, ids = x[good], size[good], [ids[i] for i in good]
+            unit = queries[d] / np.sqrt((queries[d] ** 2).sum(axis=1, keepdims=True))
+            rough = unit @ (x / size[:, None]).T
+            kth = np.partition(rough, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+            for i in range(len(unit)):
+                have = kept[d][i]
+                near = np.flatnonzero(rough[i] >= max(kth[i], have[-1][0] * -1 if len(have) == k else -2.0) - 1e-9)
+                s = (x[near] * queries[d][i]).sum(axis=1) / (size[near] * np.sqrt((queries[d][i] ** 2).sum()))
+                kept[d][i] = heapq.nsmallest(k, [*have, *((-v, ids[j]) for j, v in zip(near, s.tolist(), strict=True) if least is None or v >= least)])
+    out = [(q, key, -v) for d in dims for q, rows in zip(names[d], kept[d], strict=True) for v, key in rows]
+    yield pd.DataFrame(out, columns=["q", "key", "similarity"])

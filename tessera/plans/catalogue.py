@@ -57,10 +57,15 @@ def sentences_sql(c: str) -> str:
 
 
 def values(rows: list[tuple], names: str) -> str:
-    show = lambda v: "null" if v is None else q(v) if isinstance(v, str) else str(v)
+    show = lambda v: "null" if v is None else q(v) if isinstance(v, str) else f"{v}::bigint" if isinstance(v, int) and abs(v) >= 2**31 else str(v)
     return f"(values {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) as v({names})"
 
 
+def expected(names: str, *rows: tuple) -> str:
+    """Expected rows, written out by hand from the rules."""
+    return f"select * from {values(list(rows), names)}"
+
+
 # Cleaning and splitting
 
 
@@ -104,10 +109,10 @@ def chunk_stats_by_lang(spark, sf_dir):
     return c.groupBy("lang").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("n_chars").alias("total_chars"), F.max("n_chars").alias("longest"), F.countDistinct("doc_id").alias("n_docs"))
 
 
-@query(CHUNKS + "select 'chunk_' || (row_number() over (order by doc_id * 1000000 + chunk_pos) - 1) as chunk_id, doc_id, chunk_pos from chunks")
+@query(CHUNKS + "select 'chunk_' || (row_number() over (order by doc_id, chunk_pos) - 1) as chunk_id, doc_id, chunk_pos from chunks")
 def chunk_ids(spark, sf_dir):
-    c = chunk.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_pos", (F.col("doc_id") * 1000000 + F.col("chunk_pos")).alias("place"))
-    return stats.with_row_number(c, "place").select(F.concat(F.lit("chunk_"), F.col("row_no").cast("string")).alias("chunk_id"), "doc_id", "chunk_pos")
+    c = chunk.chunk_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "chunk_pos")
+    return stats.with_row_number(c, "doc_id", then=("chunk_pos",)).select(F.concat(F.lit("chunk_"), F.col("row_no").cast("string")).alias("chunk_id"), "doc_id", "chunk_pos")
 
 
 @query(f"select doc_id, len(list_filter(regexp_split_to_array(text, '{SP}+'), lambda w: w <> ''))::int as word_count, length(text)::int as char_count from documents")
@@ -151,7 +156,7 @@ def jira_markup_clean(spark, sf_dir):
     return spark.createDataFrame(fx.WIKI, "id int, t string").select("id", text.clean_jira_markup(F.col("t")).alias("text"))
 
 
-@query()
+@query(expected("id, text", (1, "hello @kim :ok:\n 하나"), (2, ""), (3, ""), (4, "")))
 def adf_to_text(spark, sf_dir):
     from ..session import ship
 
@@ -159,17 +164,28 @@ def adf_to_text(spark, sf_dir):
     return spark.createDataFrame(fx.ADF, "id int, t string").select("id", jira.adf_to_text(F.col("t")).alias("text"))
 
 
-@query()
+@query(expected(
+    "source, type, summary, status, project, text",
+    ("AB-1", "jira_issue", "로그인 오류", "완료", "AB", "[AB-1] (상태: 완료) 로그인 오류\n\n이슈 상태: 완료 (Done) - 완료된 작업, done task, completed\n\n담당자: Kim\n\nhello @kim :ok:\n 하나\n\nbold site"),
+    ("AB-2", "jira_issue", "느림", "진행 중", "Unknown", "[AB-2] (상태: 진행 중) 느림\n\n이슈 상태: 진행 중 - 진행중인 작업, in progress task, working\n\n그냥 글"),
+    ("AB-3", "jira_issue", "", "할일", "Unknown", "이슈 상태: 할일 (To Do) - 대기중인 작업, pending task, todo"),
+    ("AB-4", "jira_issue", "x" * 100, "Unknown", "Unknown", "[AB-4] " + "x" * 120),
+))
 def issue_render(spark, sf_dir):
     raw = spark.createDataFrame([(json.dumps(i, ensure_ascii=False),) for i in fx.ISSUES], "value string")
     return jira.issue_metadata(jira.issue_texts(jira.parse_issues(raw))).select("source", "type", "summary", "status", "project", "text")
 
 
-@query()
+@query(expected(
+    "source, type, page_id, url, last_edited, text",
+    ("회의록", "notion_page", "p1", "https://n/p1", "2024-01-01T00:00:00Z", "# 회의록\n문단\n  인용\n\n머리\n\n- 점\n[Code (python)]: x=1\n[x] 할 일\n[Page: 아래]\n[Database: Untitled]\n[Link: http://x]\n[Pdf: 그림]\n[Image]"),
+    ("기타", "notion_page", "p2", "", "", "# 기타\n- 수\n[ ] 남음"),
+    ("Untitled", "notion_page", "p3", "", "", "# Untitled"),
+))
 def notion_page_content(spark, sf_dir):
     pages = notion.parse_pages(spark.createDataFrame([(json.dumps(p, ensure_ascii=False),) for p in fx.PAGES], "value string"))
     blocks = spark.createDataFrame([(parent, pos, json.dumps(b, ensure_ascii=False)) for parent, pos, b in fx.BLOCKS], "parent_id string, pos int, block string")
-    return notion.page_metadata(notion.page_texts(pages, blocks)).select("source", "type", "page_id", "url", "last_edited", "text")
+    return notion.page_metadata(notion.page_texts(notion.only_pages(pages), blocks)).select("source", "type", "page_id", "url", "last_edited", "text")
 
 
 _payload = "json_extract(b, '$.' || kind)"
@@ -219,11 +235,12 @@ def upsert_latest(spark, sf_dir):
 
 
 @query("""select coalesce(d.doc_id, n.doc_id) as doc_id, case when n.doc_id is not null then n.lang else d.lang end as lang, case when d.doc_id is not null then d.source else n.source end as source
-from (select * from documents where doc_id % 3 <> 0) d full join (select doc_id, 'q' || quality as lang, 'labels' as source from labels) n on d.doc_id = n.doc_id""")
+from (select * from documents where doc_id % 3 <> 0) d full join (select doc_id, 'new ' || lang as lang, 'new' as source from documents where doc_id % 3 = 0 or doc_id % 2 = 0) n on d.doc_id = n.doc_id""")
 def upsert_partial(spark, sf_dir):
-    now = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0").select("doc_id", "lang", "source")
-    new = table(spark, sf_dir, "labels").select("doc_id", F.concat(F.lit("q"), F.col("quality").cast("string")).alias("lang"), F.lit("labels").alias("source"))
-    return store.upsert_partial(now, new, "doc_id", ["lang"])
+    """Two sides that cover all documents between them: rows to keep, rows to update, and new ones."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    new = d.where("doc_id % 3 = 0 or doc_id % 2 = 0").select("doc_id", F.concat(F.lit("new "), "lang").alias("lang"), F.lit("new").alias("source"))
+    return store.upsert_partial(d.where("doc_id % 3 <> 0"), new, "doc_id", ["lang"])
 
 
 @query("select d.doc_id as document_id, (d.doc_id % 7 = 0 or l.doc_id is not null) as text_extracted, (l.doc_id is not null) as is_processed from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id")
@@ -232,11 +249,11 @@ def mark_processed(spark, sf_dir):
     return store.mark_processed(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id")))
 
 
-@query("select doc_id, source, length(text)::int as n from documents where doc_id % 5 <> 0 and doc_id % 3 <> 0 union all select doc_id, 'new', length(left(text, 500))::int from documents where doc_id % 3 = 0")
+@query("select doc_id, source, length(text)::int as n from documents where doc_id % 5 <> 0 and doc_id % 3 <> 0 union all select doc_id, 'new', length(left(text, 500))::int from documents where doc_id % 3 = 0 or doc_id % 5 = 0")
 def sync_union(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     old = d.where("doc_id % 5 <> 0").select("doc_id", "source", F.length("text").alias("n"))
-    new = d.where("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source"), F.length(text.snippet(F.col("text"))).alias("n"))
+    new = d.where("doc_id % 3 = 0 or doc_id % 5 = 0").select("doc_id", F.lit("new").alias("source"), F.length(text.snippet(F.col("text"))).alias("n"))
     return store.sync(new, old, ["doc_id"])
 
 
@@ -264,12 +281,12 @@ def vector_topk_default(spark, sf_dir):
 
 
 TOP = """select query_id, vec_id, rank, s from (select *, row_number() over (partition by query_id order by s desc, vec_id)::int as rank from
-(select a.vec_id as query_id, b.vec_id, list_cosine_similarity(b.embedding::double[], a.embedding::double[]) as s from embeddings a, embeddings b where a.vec_id < 20)) where rank <= 5"""
+(select a.vec_id as query_id, b.vec_id, list_cosine_similarity(b.embedding::double[], a.embedding::double[]) as s from embeddings a, embeddings b where a.vec_id % 20 = 0)) where rank <= 5"""
 
 
 def _batch(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return vector.top_k_batch(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), 5)
+    return vector.top_k_batch(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding")), 5)
 
 
 @query(f"select query_id, rank, vec_id, round(s, 6) as similarity from ({TOP})")
@@ -319,20 +336,21 @@ def status_filter(spark, sf_dir):
     return tagged.where(F.exists("groups", lambda g: g.isNotNull())).groupBy("status_category").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("first_key"))
 
 
-@query("""select chr(10) || chr(10) || '[완료 상태 이슈 ' || count(*) || '개]' || chr(10) || string_agg('- AB-' || o_orderkey || ': ' || o_orderpriority || ' (상태: done)' || chr(10), '' order by o_orderkey) as status_context
-from orders where o_orderkey < 200 and o_orderstatus = 'F'""")
+@query("""select o_custkey, chr(10) || chr(10) || '[완료 상태 이슈 ' || count(*) || '개]' || chr(10) || string_agg('- AB-' || o_orderkey || ': ' || o_orderpriority || ' (상태: done)' || chr(10), '' order by o_orderkey) as status_context
+from orders where o_orderstatus = 'F' group by o_custkey""")
 def status_context(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").where("o_orderkey < 200 and o_orderstatus = 'F'")
-    issues = o.select("o_orderkey", F.concat(F.lit("AB-"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("summary"), F.lit("done").alias("status"), F.lit("Done").alias("status_category"))
-    return rag.status_context(issues, "done", "o_orderkey")
+    """The finished issues of every customer, who stands for a session."""
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    issues = o.select("o_custkey", "o_orderkey", F.concat(F.lit("AB-"), F.col("o_orderkey").cast("string")).alias("key"), F.col("o_orderpriority").alias("summary"), F.lit("done").alias("status"), F.lit("Done").alias("status_category"))
+    return rag.status_context(issues, "done", "o_orderkey", "o_custkey")
 
 
-CONTEXT = f"""with top as ({TOP}), c as (select query_id, string_agg('[출처: ' || coalesce(d.source, 'unknown') || ']' || chr(10) || left(d.text, 200), {q(rag.SEPARATOR)} order by rank) as context
+CONTEXT = f"""with top as ({TOP}), c as (select query_id, string_agg('[출처: ' || coalesce(d.source, 'unknown') || ']' || chr(10) || d.text, {q(rag.SEPARATOR)} order by rank) as context
 from top join documents d on d.doc_id = top.vec_id group by query_id)"""
 
 
 def _contexts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", F.left("text", F.lit(200)).alias("text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "source", "text")
     return rag.assemble_context(_batch(spark, sf_dir).join(docs, "vec_id"))
 
 
@@ -382,9 +400,9 @@ def batch_numbering(spark, sf_dir):
     return stats.batch_numbers(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
 
 
-@query("select source as container, doc_id, row_number() over (partition by source order by doc_id)::int as section_order, '[' || lang || '] ' || left(text, 20) as section_title from documents")
+@query("select source as container, doc_id, row_number() over (partition by source order by doc_id)::int as section_order, '[' || lang || '] ' || text as section_title from documents")
 def zip_renumber(spark, sf_dir):
-    s = table(spark, sf_dir, "documents").select(F.col("source").alias("container"), "doc_id", "lang", F.left("text", F.lit(20)).alias("section_title"))
+    s = table(spark, sf_dir, "documents").select(F.col("source").alias("container"), "doc_id", "lang", F.col("text").alias("section_title"))
     return stats.renumber(s, "container", ["doc_id"], "section_title", "lang").select("container", "doc_id", "section_order", "section_title")
 
 
@@ -441,14 +459,14 @@ def hwp_record_dump(spark, sf_dir):
     return files.hwp_records(rows).withColumn("tag_name", binary.tag_name(F.col("tag_id"))).withColumn("data", F.hex("data"))
 
 
-@query()
+@query(expected("source, folder, path, text", ("a.md", "vault", "a.md", "제목\n본문"), ("b.md", "sub", "sub/b.md", "t b"), ("d.md", "other", "/other/d.md", "")))
 def vault_markdown(spark, sf_dir):
     """Texts and metadata of a vault given as rows of path and content."""
     rows = spark.createDataFrame(fx.vault_files(), "path string, content binary")
     return vault.vault_texts(rows.where(~binary.has_hidden_part(F.col("path"))), "/vault")
 
 
-@query()
+@query(CHUNKS + "select doc_id, chunk_pos, n_chars, list_transform(range(16), lambda i: ((('0x' || substr(sha256(left(chunk, 6000)), (2 * i + 1)::int, 2))::int - 127.5::double) / 127.5::double)::float) as embedding, true as dim_ok from chunks")
 def embed_sections(spark, sf_dir):
     """Embeddings of the documents' chunks from a deterministic stand-in model."""
     from ..operators import embed

@@ -43,6 +43,8 @@ PAGES = [
     {"id": "p1", "object": "page", "url": "https://n/p1", "last_edited_time": "2024-01-01T00:00:00Z", "properties": {"이름": {"type": "title", "title": [{"plain_text": "회의록"}]}}},
     {"id": "p2", "object": "page", "properties": {"Etc": {"type": "title", "title": [{"plain_text": "기타"}]}, "Name": {"type": "text"}}},
     {"id": "p3", "object": "page", "properties": {}},
+    {"id": "d1", "object": "database", "properties": {"Name": {"type": "title", "title": [{"plain_text": "목록"}]}}},
+    {"id": "u1", "properties": {}},
 ]
 
 

@@ -2,21 +2,25 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.text import remove_nul, section_id, unix_path
 from ..operators.stats import run_stats
 from ..operators.store import mark_processed, unprocessed, upsert_partial
-from ..session import ship
+from ..session import ship, written
 from . import parsers
 from .vault import plain_path
 
 SECTION = "struct<section_type:string,section_title:string,text:string,page_number:int,section_order:int,word_count:int,char_count:int,source_file:string>"
 RESULT = f"text string, method string, page_count int, word_count int, char_count int, error string, encrypted boolean, encryption_type string, files_processed int, files_skipped int, sections array<{SECTION}>"
+#: Files that are read by name at once.
+MAX_PATHS = 10_000
 _COLUMNS = [c.split()[0] for c in RESULT.split(", ")]
 
 
@@ -53,20 +57,37 @@ def section_rows(results: DataFrame, document_id: str = "document_id", bid_id: s
     )
 
 
+def contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
+    """path and content of the files under root that stand in wanted (path); others are listed, not read.
+
+    Up to MAX_PATHS files are read by name; more meet the whole folder in a join on the path."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    listed = raw.select("path", plain_path(F.col("path")).alias("_plain"))  # without content no file is opened
+    paths = [r["path"] for r in listed.join(wanted.select(F.col("path").alias("_plain")).distinct(), "_plain", "left_semi").limit(MAX_PATHS + 1).collect()]
+    if len(paths) > MAX_PATHS:
+        return read_files(spark, root).join(wanted.select("path").distinct(), "path", "left_semi")
+    if not paths:
+        return raw.select(plain_path(F.col("path")).alias("path"), "content").limit(0)
+    by_name = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
+    return by_name.select(plain_path(F.col("path")).alias("path"), "content")
+
+
 def extraction_job(documents: DataFrame, sections: DataFrame, root: str, limit: int | None = None) -> dict[str, DataFrame]:
     """One run over unprocessed documents: the next versions of both tables and the run's statistics.
 
-    Documents meet their files by path, so a missing file is an error row, and files that no document
-    names are not parsed. Failed documents stay unmarked. Use the results as written tables: each
-    evaluates the extraction."""
+    Documents meet their files by path, so a missing file is an error row, and files that no pending document
+    names are not read. Failed documents stay unmarked. The extraction is written once, and all results read it.
+    Of sections with one id the first by document, order and text stays."""
     spark = documents.sparkSession
-    todo = unprocessed(documents, limit).withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), unix_path(F.col("file_path"))))
-    files = read_files(spark, root)
-    found = extract(todo.select("document_id", "bid_id", "path").join(files, "path", "left"), ("document_id", "bid_id"))
+    todo = unprocessed(documents, limit).withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), unix_path(F.col("file_path")))).select("document_id", "bid_id", "path")
+    found = written(extract(todo.join(contents(spark, root, todo), "path", "left"), ("document_id", "bid_id")), "extraction")
     done = found.where(F.col("error").isNull())
+    rows = section_rows(found)
+    first = Window.partitionBy("section_id").orderBy("document_id", "section_order", "text")
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
     return {
         "results": found,
-        "sections": upsert_partial(sections, section_rows(found).dropDuplicates(["section_id"]), "section_id", ("text", "word_count", "char_count")),
+        "sections": upsert_partial(sections, rows, "section_id", ("text", "word_count", "char_count")),
         "documents": mark_processed(documents, done),
         "stats": run_stats(found, F.col("error").isNotNull()),
     }

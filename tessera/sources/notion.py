@@ -51,6 +51,11 @@ def parse_pages(raw: DataFrame, column: str = "value") -> DataFrame:
     return raw.select(F.from_json(column, PAGE).alias("p")).select("p.*")
 
 
+def only_pages(found: DataFrame) -> DataFrame:
+    """The pages among search results, which hold databases as well."""
+    return found.where(F.col("object") == "page")
+
+
 def page_texts(pages: DataFrame, blocks: DataFrame) -> DataFrame:
     """pages (id, ...) with title and text: title line, then blocks (parent_id, pos, block) in order.
 
@@ -73,8 +78,8 @@ def page_metadata(pages: DataFrame) -> DataFrame:
 
 
 def page_corpus(pages: DataFrame, blocks: DataFrame, chunk_fn) -> DataFrame:
-    """Chunks of page texts of LEAST characters or more, with their metadata."""
-    rows = page_metadata(page_texts(pages, blocks)).where(F.length("text") >= LEAST)
+    """Chunks of the texts of pages (not databases) of LEAST characters or more, with their metadata."""
+    rows = page_metadata(page_texts(only_pages(pages), blocks)).where(F.length("text") >= LEAST)
     return chunk_fn(rows.select("text", "source", "type", "page_id", "url", "last_edited"))
 
 

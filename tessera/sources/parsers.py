@@ -7,6 +7,7 @@ PDF and XLS, which use an optional reader when there is one.
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import re
 import struct
@@ -386,7 +387,44 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def sheet_rows(xml: bytes, shared: list[str]) -> Iterator[list[str]]:
+def shared_text(si: ET.Element) -> str:
+    """A shared string: its runs without the phonetic ones."""
+    return "".join(t.text or "" for e in si if local(e) in ("t", "r") for t in ([e] if local(e) == "t" else e) if local(t) == "t")
+
+
+#: Numbers of the built-in formats that show a date or a time.
+DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def date_styles(xml: bytes) -> dict[int, bool]:
+    """Cell styles (by index) whose number format shows a date or time; True for elapsed hours, minutes or seconds."""
+    root, out = ET.fromstring(xml), {}
+    codes = {int(f.get("numFmtId")): f.get("formatCode", "") for f in root.iter() if local(f) == "numFmt"}
+    for i, xf in enumerate(x for part in root if local(part) == "cellXfs" for x in part if local(x) == "xf"):
+        number = int(xf.get("numFmtId", "0"))
+        code = codes.get(number, "").split(";")[0].lower()
+        elapsed = bool(re.search(r"\[(h+|m+|s+)\]", code)) or number == 46
+        bare = re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", code)
+        if number in DATE_FORMATS and number not in codes or re.search("[dmhysaeg]", bare) and bare != "general":
+            out[i] = elapsed
+    return out
+
+
+def shown_date(raw: str, elapsed: bool, since_1904: bool) -> str:
+    """A stored day number as a date, time or span prints; fractions to the millisecond."""
+    x = float(raw)
+    days, part = divmod(x, 1)
+    span = dt.timedelta(milliseconds=round(part * 86_400_000))
+    if elapsed:
+        return str(dt.timedelta(days=days) + span)
+    if 0 <= x < 1 and not span.days:
+        return str((dt.datetime.min + span).time())
+    if 0 < x < 60 and not since_1904:
+        days += 1  # the day that the calendar of 1900 has too many
+    return str(dt.datetime(1904, 1, 1) + dt.timedelta(days=days) + span if since_1904 else dt.datetime(1899, 12, 30) + dt.timedelta(days=days) + span)
+
+
+def sheet_rows(xml: bytes, shared: list[str], dates: dict[int, bool] | None = None, since_1904: bool = False) -> Iterator[list[str]]:
     width, rows = 0, {}
     for row in (e for e in ET.fromstring(xml).iter() if local(e) == "row"):
         cells = {}
@@ -395,7 +433,12 @@ def sheet_rows(xml: bytes, shared: list[str]) -> Iterator[list[str]]:
             value = next((v.text or "" for v in c if local(v) == "v"), None)
             kind = c.get("t", "n")
             if kind == "inlineStr":
-                value = "".join(t.text or "" for t in c.iter() if local(t) == "t")
+                value = "".join(shared_text(e) for e in c if local(e) == "is")
+            elif value and kind == "n" and (style := int(c.get("s", "0"))) in (dates or {}):
+                try:
+                    value = shown_date(value, dates[style], since_1904)
+                except (OverflowError, ValueError):
+                    value = "#VALUE!"
             elif value is not None:
                 value = shared[int(value)] if kind == "s" else ("True" if value == "1" else "False") if kind == "b" else _number(value) if kind == "n" and value else value
             cells[at] = value or ""
@@ -408,13 +451,15 @@ def sheet_rows(xml: bytes, shared: list[str]) -> Iterator[list[str]]:
 def parse_xlsx(data: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         names = set(z.namelist())
-        shared = ["".join(t.text or "" for t in si.iter() if local(t) == "t") for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"] if "xl/sharedStrings.xml" in names else []
+        shared = [shared_text(si) for si in ET.fromstring(z.read("xl/sharedStrings.xml")) if local(si) == "si"] if "xl/sharedStrings.xml" in names else []
+        dates = date_styles(z.read("xl/styles.xml")) if "xl/styles.xml" in names else {}
+        since_1904 = any(local(e) == "workbookPr" and e.get("date1904") in ("1", "true") for e in ET.fromstring(z.read("xl/workbook.xml")).iter())
         rels = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         found = []
         for order, s in enumerate((e for e in ET.fromstring(z.read("xl/workbook.xml")).iter() if local(e) == "sheet"), 1):
             target = rels.get(next((v for k, v in s.attrib.items() if k.endswith("}id")), ""), "")
             path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
-            lines = ["\t".join(r) for r in sheet_rows(z.read(path), shared)] if path in names else []
+            lines = ["\t".join(r) for r in sheet_rows(z.read(path), shared, dates, since_1904)] if path in names else []
             text = "\n".join(x for x in lines if x.strip())
             if text.strip():
                 found.append(section("sheet", s.get("name", ""), text, order))
@@ -441,12 +486,28 @@ def docx_paragraph(p: ET.Element) -> str:
     return "".join((e.text or "") if local(e) == "t" else {"tab": "\t", "br": "\n", "cr": "\n"}.get(local(e), "") for r in p.iter() if local(r) == "r" for e in r)
 
 
+def table_rows(table: ET.Element) -> Iterator[list[str]]:
+    """The texts of a table by grid column: a merged cell stands in each column and row it covers."""
+    above: list[str] = []
+    for row in (r for r in table if local(r) == "tr"):
+        now: list[str] = []
+        for cell in (c for c in row if local(c) == "tc"):
+            set_ = {local(e): e for p in cell if local(p) == "tcPr" for e in p}
+            value = lambda name, s=set_: next((v for k, v in s[name].attrib.items() if k.endswith("}val") or k == "val"), None) if name in s else None
+            text = "\n".join(docx_paragraph(p) for p in cell if local(p) == "p")
+            if "vMerge" in set_ and value("vMerge") != "restart" and len(now) < len(above):
+                text = above[len(now)]
+            now += [text] * max(1, int(value("gridSpan") or 1))
+        yield now
+        above = now
+
+
 def parse_docx(data: bytes) -> dict:
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         body = next(e for e in ET.fromstring(z.read("word/document.xml")) if local(e) == "body")
     parts = [t for p in body if local(p) == "p" and (t := docx_paragraph(p)).strip()]
     for n, table in enumerate((t for t in body if local(t) == "tbl"), 1):
-        rows = ["\t".join("\n".join(docx_paragraph(p) for p in cell if local(p) == "p") for cell in row if local(cell) == "tc") for row in table if local(row) == "tr"]
+        rows = ["\t".join(row) for row in table_rows(table)]
         parts.append(f"\n[Table {n}]\n" + "\n".join(rows) + "\n")
     text = "\n".join(parts)
     return result(text, "docx", [section("document", "Full Document", text, 1)])

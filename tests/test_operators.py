@@ -56,6 +56,39 @@ def test_choose_store():
         embed.choose_store([("pg", broken)])
 
 
+def test_embedding_requests_go_in_groups_and_again(monkeypatch):
+    calls, naps = [], []
+    e = embed.HttpEmbedder("http://none", concurrency=2, pause=0.5, retries=1)
+
+    class Answer:
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+        def read(self):
+            return b'{"embedding": [1.0]}'
+
+    def send(request, timeout):
+        calls.append(request.data)
+        if b"bad" in request.data or calls.count(request.data) == 1 and b"flaky" in request.data:
+            raise OSError("refused")
+        return Answer()
+
+    monkeypatch.setattr(embed.urllib.request, "urlopen", send)
+    monkeypatch.setattr(embed.time, "sleep", naps.append)
+    assert e.embed(["a", "flaky", "bad", "b", "c"]) == [[1.0], [1.0], None, [1.0], [1.0]] and len(calls) == 7 and naps == [0.5] * 4
+
+
+def test_batch_search_of_odd_vectors(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, 0.0, 0.0]), (6, [None, 1.0]), (7, [0.0, 3.0]), (1, [1.0, 0.0])], "vec_id long, embedding array<float>")
+    queries = spark.createDataFrame([("a", [3.0, 0.0]), ("b", [0.0, 0.0, 1.0]), ("c", None), ("d", [0.0, 0.0])], "query_id string, query_embedding array<float>")
+    got = sorted(map(tuple, vector.top_k_batch(corpus, queries, 3).collect()))
+    assert got == [("a", 1, 1, 1.0), ("a", 2, 1, 1.0), ("a", 3, 2, 1.0), ("b", 1, 5, 0.0)]
+    assert vector.top_k_batch(corpus.where("false"), queries, 3).count() == 0 and vector.top_k_batch(corpus, queries, 3, 0.5).count() == 3
+
+
 def test_batch_search_in_blocks(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.where("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
@@ -102,6 +135,19 @@ def test_row_numbers_over_many_ranges(spark, monkeypatch, most):
     assert stats.with_row_number(df.where("false"), "v").count() == 0
 
 
+def test_old_versions_go(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    names = [store.write_version(spark.range(i), path) for i in range(1, 6)]
+    left = {p.name for p in (tmp_path / "t").iterdir() if p.name.startswith("v-")}
+    assert len(left) == store.KEPT and names[-1] in left
+
+
+def test_row_numbers_with_ties(spark):
+    rows = spark.createDataFrame([(i // 7, i % 7) for i in range(500)], "a long, b int")
+    got = stats.with_row_number(rows, "a", range_rows=40, then=("b",)).collect()
+    assert all(r["row_no"] == r["a"] * 7 + r["b"] for r in got) and len(got) == 500
+
+
 def test_row_numbers_over_ranges(spark, monkeypatch):
     df = spark.range(0, 250_000, 1, 4).select((F.col("id") * 7 % 250_000).alias("v"))
     got = stats.with_row_number(df, "v")

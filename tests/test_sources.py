@@ -74,6 +74,41 @@ def test_extraction_job(spark, tmp_path):
     assert {r["document_id"] for r in out["documents"].where("is_processed").collect()} == {"d0", "d2", "d4", "d5", "old"}
 
 
+def test_extraction_reads_named_files_only(spark, tmp_path, monkeypatch):
+    """Odd names are found, other files are not opened, and the join for many files gives the same."""
+    names = ["a b.zip", "x[1]{2}*.zip", "plain.zip", "other.zip"]
+    for n in names:
+        (tmp_path / n).write_bytes(n.encode())
+    wanted = spark.createDataFrame([(f"{tmp_path}/{n}",) for n in [*names[:3], "none.zip"]], "path string")
+    few = sorted((r["path"].rpartition("/")[2], bytes(r["content"])) for r in files.contents(spark, str(tmp_path), wanted).collect())
+    assert few == sorted((n, n.encode()) for n in names[:3])
+    assert "other.zip" not in str(files.contents(spark, str(tmp_path), wanted).inputFiles())
+    monkeypatch.setattr(files, "MAX_PATHS", 1)
+    assert sorted((r["path"].rpartition("/")[2], bytes(r["content"])) for r in files.contents(spark, str(tmp_path), wanted).collect()) == few
+    assert files.contents(spark, str(tmp_path), wanted.where("false")).count() == 0
+
+
+def test_dates_and_phonetic_runs():
+    """Cells with a date format print as dates, times or spans; phonetic runs are no text."""
+    styles = b'<styleSheet xmlns="x"><numFmts><numFmt numFmtId="164" formatCode="yyyy\\-mm"/><numFmt numFmtId="165" formatCode="[Red]0.0&quot;days&quot;"/><numFmt numFmtId="166" formatCode="[h]:mm"/></numFmts><cellStyleXfs><xf numFmtId="14"/></cellStyleXfs><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="164"/><xf numFmtId="165"/><xf numFmtId="166"/><xf numFmtId="21"/></cellXfs></styleSheet>'
+    dates = parsers.date_styles(styles)
+    assert dates == {1: False, 2: False, 4: True, 5: False}
+    sheet = b'<worksheet xmlns="x"><sheetData><row r="1"><c r="A1" s="1"><v>45292</v></c><c r="B1" s="2"><v>45292.5</v></c><c r="C1" s="3"><v>45292</v></c><c r="D1" s="4"><v>1.5</v></c><c r="E1" s="5"><v>0.25</v></c><c r="F1" s="1"><v>1</v></c><c r="G1" t="s"><v>0</v></c></row></sheetData></worksheet>'
+    import xml.etree.ElementTree as ET
+
+    shared = parsers.shared_text(ET.fromstring("<si><r><t>한</t></r><r><t>국</t></r><rPh sb='0' eb='1'><t>PHON</t></rPh></si>"))
+    assert list(parsers.sheet_rows(sheet, [shared], dates)) == [["2024-01-01 00:00:00", "2024-01-01 12:00:00", "45292", "1 day, 12:00:00", "06:00:00", "1900-01-01 00:00:00", "한국"]]
+    assert parsers.shown_date("0", False, True) == "00:00:00" and parsers.shown_date("1", False, True) == "1904-01-02 00:00:00"
+
+
+def test_merged_cells_stand_in_every_column():
+    import xml.etree.ElementTree as ET
+
+    cell = lambda text, more="": f"<w:tc><w:tcPr>{more}</w:tcPr><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:tc>"
+    xml = f"""<w:tbl xmlns:w="w"><w:tr>{cell("a", '<w:gridSpan w:val="2"/>')}{cell("b", '<w:vMerge w:val="restart"/>')}</w:tr><w:tr>{cell("c")}{cell("d")}{cell("", "<w:vMerge/>")}</w:tr></w:tbl>"""
+    assert list(parsers.table_rows(ET.fromstring(xml))) == [["a", "a", "b"], ["c", "d", "b"]]
+
+
 def test_vault(spark, tmp_path):
     for path, data in {"a.md": "# 가\r\n나", "sub/b.md": "**다**", "sub/deep/c.md": "x", ".git/d.md": "no", "e.txt": "no"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
@@ -93,7 +128,7 @@ def test_issue_corpus(spark):
 
 
 def test_page_corpus_boundary(spark):
-    pages = [{"id": f"p{n}", "properties": {"title": {"type": "title", "title": [{"plain_text": "x" * (n - 2)}]}}} for n in (49, 50, 51)]
+    pages = [{"id": f"p{n}", "object": "database" if n == 60 else "page", "properties": {"title": {"type": "title", "title": [{"plain_text": "x" * (n - 2)}]}}} for n in (49, 50, 51, 60)]
     df = notion.parse_pages(spark.createDataFrame([(json.dumps(p),) for p in pages], "value string"))
     blocks = spark.createDataFrame([], "parent_id string, pos int, block string")
     assert {r["page_id"] for r in notion.page_corpus(df, blocks, lambda d: d).collect()} == {"p50", "p51"}
