@@ -2,72 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Collection, Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import placed, plain_scan, release, remove, scratch, shared_dir, ship, written, written_at  # noqa: F401
 
 #: Maximal runs that are not ASCII white space; bytes.split() cuts UTF-8 the same way.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only a local session may fall back on a temporary one."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="tessera-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new place in the shared folder, which release() deletes."""
-    path = f"{shared_dir(spark)}/tessera/{label}-{uuid.uuid4().hex}"
-    sc = spark.sparkContext
-    sc._tessera_scratch = [*getattr(sc, "_tessera_scratch", ()), path]
-    return path
-
-
-def placed(spark: SparkSession) -> list[str]:
-    """What operators of this application have in the shared folder."""
-    return list(getattr(spark.sparkContext, "_tessera_scratch", ()))
-
-
-def release(spark: SparkSession, keep: Collection[str] = ()) -> int:
-    """Deletes what operators of this application have put in the shared folder, but for the paths to keep; results that were not written are lost with it."""
-    gone = [path for path in placed(spark) if path not in keep]
-    for path in gone:
-        remove(spark, path)
-    return len(gone)
-
-
-def written_at(df: DataFrame, label: str) -> tuple[str, DataFrame]:
-    spark = df.sparkSession
-    path = scratch(spark, label)
-    df.write.parquet(path)
-    return path, spark.read.schema(df.schema).parquet(path)
-
-
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, and there when executors are lost."""
-    return written_at(df, label)[1]
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    spark.sparkContext._tessera_scratch = [x for x in placed(spark) if x != path]
-
-
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     """df.mapInArrow with this package at hand in the workers."""
     ship(df.sparkSession)
@@ -79,20 +26,12 @@ def with_key(df: DataFrame, name: str) -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
-def _plain_scan(df: DataFrame) -> bool:
-    """Whether df only selects and filters rows of one relation, so that each row of it is a row of the relation."""
-    plan = df._jdf.queryExecution().analyzed()
-    while plan.children().size() == 1 and plan.getClass().getSimpleName() in ("Project", "Filter", "SubqueryAlias"):
-        plan = plan.children().head()
-    return plan.children().isEmpty()
-
-
 def keyed(df: DataFrame, name: str) -> DataFrame:
     """A key for each row, repeated rows included, that every scan gives alike: struct (file long, row long).
 
     A table read from Parquet has its rows' files (as a hash of the path) and places there, however the
     scan is cut and whoever runs it. Any other input is written once, with numbered rows."""
-    if _plain_scan(df):
+    if plain_scan(df):
         try:
             meta = df.metadataColumn("_metadata")
             return df.withColumn(name, F.struct(F.xxhash64(meta["file_path"]).alias("file"), meta["row_index"].cast("long").alias("row")))
