@@ -7,7 +7,8 @@ byte ranges over the archives of a folder from their sizes alone; a task reads a
 directory, takes the members whose header lies in its range, and streams their payloads in Arrow
 batches of BATCH_BYTES. Each member is read by its offset, checked against its checksum, and tried
 again by itself up to RETRIES times with the file opened anew; one that cannot be read gives a row
-with `error` and no payload.
+with `error` and no payload. An archive's directory is tried again as well; an archive without a
+readable one gives a single row with `error` and no member.
 
 Defined results: null and empty texts have a payload of 64 zero bytes; repeated rows are members of
 their own; members of any size are batches of their own when larger than a batch; an empty table
@@ -150,22 +151,43 @@ class ArchiveReader(DataSourceReader):
                 time.sleep(self.wait * attempt)
         return None, error, self.retries
 
+    def directory(self, fs: pafs.FileSystem, archive: str) -> tuple[list[zipfile.ZipInfo], str | None]:
+        for attempt in range(self.retries):
+            try:
+                with fs.open_input_file(archive) as f, zipfile.ZipFile(f) as z:
+                    return z.infolist(), None
+            except (OSError, ValueError, zipfile.BadZipFile) as e:
+                error = f"{type(e).__name__}: {e}"
+                time.sleep(self.wait * attempt)
+        return [], error
+
     def read(self, partition: ByteRange):
         if not partition.archive:
             return
         fs, _ = _place(self.path)
         schema = pa.schema([("archive", pa.string()), ("member", pa.string()), ("offset", pa.int64()), ("payload", pa.binary()), ("error", pa.string()), ("attempts", pa.int32())])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x.type) for k, x in enumerate(schema)], schema=schema)
         rows, size = [], 0
-        with fs.open_input_file(partition.archive) as f, zipfile.ZipFile(f) as z:
-            infos = sorted((x for x in z.infolist() if partition.start <= x.header_offset < partition.stop), key=lambda x: x.header_offset)
+        infos, error = self.directory(fs, partition.archive)
+        if error and partition.start == 0:
+            rows.append((partition.archive, None, None, None, error, self.retries))
+        infos = sorted((x for x in infos if partition.start <= x.header_offset < partition.stop), key=lambda x: x.header_offset)
+        try:
+            f = fs.open_input_file(partition.archive)
+        except OSError:
+            f = None  # every member opens the file for itself
+        try:
             for info in infos:
                 data, error, attempts = self.member(fs, partition.archive, info, f)
                 rows.append((partition.archive, info.filename, info.header_offset, data, error, attempts))
                 size += len(data or b"")
                 if size >= self.batch_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x.type) for k, x in enumerate(schema)], schema=schema)
+                    yield batch(rows)
                     rows, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], x.type) for k, x in enumerate(schema)], schema=schema)
+        finally:
+            if f is not None:
+                f.close()
+        yield batch(rows)
 
 
 class ArchiveSource(DataSource):

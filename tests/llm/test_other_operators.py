@@ -1,6 +1,8 @@
 import hashlib
+import io
 import random
 import re
+import wave
 import zlib
 from collections import Counter
 
@@ -269,6 +271,20 @@ def test_media_round_trip(spark, docs):
     by = {}
     for r in got:
         assert by.setdefault(r["payload_sha256"], (r["feature"], r["media_sha256"])) == (r["feature"], r["media_sha256"]) and r["media_bytes"] == r["payload_bytes"] + 44
+    # The stored form as another writer makes it, and the features from their definitions.
+    for _, text, *_ in h.awkward():
+        raw = (text or "").encode()
+        p = raw + bytes(-len(raw) % 64 if raw else 64)
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1)
+            w.setsampwidth(1)
+            w.setframerate(8000)
+            w.writeframes(p)
+        x = [b - 128 for b in p]
+        crossings = sum((a >= 0) != (b >= 0) for a, b in zip(x, x[1:], strict=False))
+        feature = f"mean={sum(x) / len(x):.6f};rms={(sum(v * v for v in x) / len(x)) ** 0.5:.6f};zcr={crossings / (len(x) - 1):.6f};peak={max(map(abs, x))}"
+        assert by[hashlib.sha256(p).hexdigest()] == (feature, hashlib.sha256(out.getvalue()).hexdigest())
 
 
 def test_members_fail_one_by_one(spark, docs):
@@ -283,6 +299,17 @@ def test_members_fail_one_by_one(spark, docs):
     assert len(got) == 20 and got[0]["error"] and got[0]["payload"] is None and all(r["error"] is None and r["payload"] for r in got[1:])
 
 
+def test_damaged_directory_is_one_error(spark, docs):
+    path = scratch(spark, "media-cut")
+    media.write_archives(docs.where("doc_id >= 100 and doc_id < 130").repartition(2), path)
+    names = sorted(f.path for f in pafs.LocalFileSystem().get_file_info(pafs.FileSelector(path.removeprefix("file://"))) if f.path.endswith(".zip"))
+    data = open(names[0], "rb").read()
+    open(names[0], "wb").write(data[:-30])  # the end of the directory is gone
+    got = media.read_archives(spark, path, retries=2, retrySeconds=0, rangeBytes=900).collect()
+    bad = [r for r in got if r["error"]]
+    assert len(bad) == 1 and bad[0]["member"] is None and "BadZipFile" in bad[0]["error"] and len(got) > 5 and all(r["payload"] for r in got if not r["error"])
+
+
 def test_member_is_tried_again(monkeypatch):
     calls = []
 
