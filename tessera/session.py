@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if getattr(sc, "_tessera_shipped", False):
         return
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-"), "tessera.zip")
+    folder = tempfile.mkdtemp(prefix="tessera-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "tessera.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(HERE.rglob("*.py")):
             z.write(f, f.relative_to(HERE.parent))
