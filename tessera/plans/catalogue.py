@@ -451,7 +451,21 @@ def section_table(spark, sf_dir):
     return files.section_rows(found)
 
 
-@query()
+_PARA = "03000000000000000000000001000000010007000000"
+
+
+@query("select path, \"offset\"::bigint as \"offset\", tag_id::bigint as tag_id, level, size::bigint as size, data, tag_name from (" + expected(
+    "path, \"offset\", tag_id, level, size, data, tag_name",
+    ("DocInfo", 0, 16, 0, 26, "0100" * 7 + "00000000" * 2 + "05000000", "DOCUMENT_PROPERTIES"),
+    ("DocInfo", 30, 17, 0, 72, "01000000" * 2 + "00000000" * 16, "ID_MAPPINGS"),
+    ("DocInfo", 106, 18, 0, 12, "010003000300" + "70006E006700", "BIN_DATA"),
+    ("DocInfo", 122, 19, 0, 7, "00" + "0200" + "14BCD5D0", "FACE_NAME"),
+    ("Section0", 0, 66, 0, 22, _PARA, "PARA_HEADER"),
+    ("Section0", 26, 67, 1, 48, "48C555B12000226F575B2000" + "680065006C006C006F00" + "0900" + "0B00" + "00" * 14 + "5DB03DD800DE0D00", "PARA_TEXT"),
+    ("Section0", 78, 66, 0, 22, _PARA, "PARA_HEADER"),
+    ("Section0", 104, 66, 0, 22, _PARA, "PARA_HEADER"),
+    ("Section0", 130, 67, 1, 10, "58B4F8C9200038BBE8B2", "PARA_TEXT"),
+) + ")")
 def hwp_record_dump(spark, sf_dir):
     from ..sources import files
 

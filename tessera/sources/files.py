@@ -105,6 +105,23 @@ def hwp_records(streams: DataFrame) -> DataFrame:
     return streams.select("path", "content").mapInPandas(run, "path string, offset long, tag_id long, level int, size long, data binary")
 
 
+def pdf_texts(files: DataFrame) -> DataFrame:
+    """path, text and error of each row of files (path, content): the texts of the pages that have one, a line break between pages."""
+    ship(files.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                try:
+                    rows.append((path, "\n".join(t for t in parsers.pdf_pages(content or b"")[0] if t), None))
+                except Exception as e:  # noqa: BLE001 - a file that cannot be read is a row with its error
+                    rows.append((path, "", str(e)))
+            yield pd.DataFrame(rows, columns=["path", "text", "error"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, text string, error string")
+
+
 def preview(content: Column) -> Column:
     """A file's bytes as base64, for showing it in place."""
     return F.base64(content)

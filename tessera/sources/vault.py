@@ -36,13 +36,47 @@ def folders(files: DataFrame, root: str) -> DataFrame:
     return found.where(~has_hidden_part(F.substring("folder", len(base) + 1, 2**31 - 1))).orderBy("folder")
 
 
+def vault_folders(spark: SparkSession, root: str) -> list[str]:
+    """The root and all folders below it, empty ones too, in order; none but the root if any part of the whole path is hidden.
+
+    Folders are listed by the driver, level by level: meant for one person's notes."""
+    jvm, base = spark.sparkContext._jvm, root.rstrip("/")
+    top = jvm.org.apache.hadoop.fs.Path(base)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
+    found, todo = [base], [top]
+    while todo and not any(part.startswith(".") for part in base.split("/")):
+        for x in fs.listStatus(todo.pop()):
+            if x.isDirectory() and not x.getPath().getName().startswith("."):
+                todo.append(x.getPath())
+                found.append(base + x.getPath().toUri().getPath()[len(top.toUri().getPath()) :])
+    return sorted(found, key=lambda f: f.split("/"))
+
+
+def file_preview(files: DataFrame, limit: int = 10) -> list[str]:
+    """Names of the first files by path, and a line that counts the rest."""
+    names = [r["path"].rpartition("/")[2] for r in files.select("path").orderBy("path").limit(limit).collect()]
+    more = files.count() - len(names)
+    return names + ([f"... 외 {more}개"] if more else [])
+
+
 def vault_corpus(files: DataFrame, root: str, chunk_fn) -> DataFrame:
     return chunk_fn(vault_texts(files, root).where(F.col("text") != ""))
 
 
-def vault_stats(files: DataFrame, root: str) -> DataFrame:
-    """One row: files, whole KiB, and the folders right below root that hold files and are not hidden."""
+def vault_stats(files: DataFrame, root: str, folders_below: int | None = None) -> DataFrame:
+    """One row: files, whole KiB, and the folders right below root that are not hidden.
+
+    These are the ones that hold files, unless their number is given (see subfolder_count)."""
     base = root.rstrip("/")
     below = F.split(F.substring("path", len(base) + 2, 2**31 - 1), "/")
     first = F.when((F.size(below) > 1) & ~F.startswith(below[0], F.lit(".")), below[0])
-    return files.agg(F.count(F.lit(1)).alias("file_count"), F.expr("coalesce(sum(size), 0) div 1024").alias("total_size_kb"), F.countDistinct(first).alias("subfolders"))
+    return files.agg(F.count(F.lit(1)).alias("file_count"), F.expr("coalesce(sum(size), 0) div 1024").alias("total_size_kb"), (F.countDistinct(first) if folders_below is None else F.lit(folders_below).cast("long")).alias("subfolders"))
+
+
+def subfolder_count(spark: SparkSession, root: str) -> int:
+    """The folders right below root that are not hidden, empty ones too."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    return sum(x.isDirectory() and not x.getPath().getName().startswith(".") for x in top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(top))

@@ -121,6 +121,43 @@ def test_vault(spark, tmp_path):
     assert [r["folder"].removeprefix(root) for r in vault.folders(deep, root).collect()] == ["", "/sub", "/sub/deep"]
 
 
+def test_folders_without_files_and_preview(spark, tmp_path):
+    for path in ("b/empty", "a", ".git/x", "b/.hid"):
+        (tmp_path / path).mkdir(parents=True)
+    for i in range(12):
+        (tmp_path / "a" / f"n{i:02d}.md").write_text("x")
+    root = str(tmp_path)
+    assert [f.removeprefix(root) for f in vault.vault_folders(spark, root)] == ["", "/a", "/b", "/b/empty"] and vault.vault_folders(spark, f"{root}/.git") == [f"{root}/.git"] and vault.vault_folders(spark, f"{root}/none") == []
+    notes = vault.markdown_files(spark, root, recursive=True)
+    assert vault.vault_stats(notes, root, vault.subfolder_count(spark, root)).first()["subfolders"] == 2
+    assert vault.file_preview(notes) == [f"n{i:02d}.md" for i in range(10)] + ["... 외 2개"] and vault.file_preview(notes, 12)[-1] == "n11.md"
+
+
+def test_pdf_pages_through_stand_in_readers(spark, monkeypatch):
+    """The first reader that can read a file wins; pages without text are no sections but count as pages."""
+    import sys
+    import types
+
+    class Page:
+        def __init__(self, text):
+            self.text = text
+
+        def extract_text(self):
+            return self.text
+
+    def broken(f):
+        raise ValueError("no")
+
+    monkeypatch.setitem(sys.modules, "pdfplumber", types.SimpleNamespace(open=broken))
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=lambda f: types.SimpleNamespace(pages=[Page("one two"), Page(None), Page("three")])))
+    got = parsers.parse_file("x.pdf", b"%PDF")
+    assert (got["text"], got["method"], got["page_count"], [(s["section_title"], s["page_number"]) for s in got["sections"]]) == ("one two\n\nthree", "pypdf", 3, [("Page 1", 1), ("Page 3", 3)])
+    monkeypatch.setitem(sys.modules, "pypdf", types.SimpleNamespace(PdfReader=broken))
+    assert parsers.parse_file("x.pdf", b"%PDF")["error"]
+    rows = files.pdf_texts(spark.createDataFrame([("a.pdf", b"x")], "path string, content binary")).collect()
+    assert rows[0]["text"] == "" and rows[0]["error"]
+
+
 def test_issue_corpus(spark):
     raw = spark.createDataFrame([(json.dumps(i),) for i in fx.ISSUES], "value string")
     got = jira.issue_corpus(jira.parse_issues(raw), lambda df: chunk.chunk_documents(df, longer_than=0)).collect()
