@@ -432,7 +432,26 @@ def name_functions(spark, sf_dir):
     )
 
 
-@query()
+_SHEET_1, _DOCX = "이름\t\t42\nab\t1.5\tTrue", "첫 문단\n끝 문단\n\n[Table 1]\n가\t나\n"
+_XLSX = f"Sheet: 하나\n{_SHEET_1}\n\nSheet: 셋\n끝"
+_banner = lambda name: f"\n{'=' * 60}\n📄 {name}\n{'=' * 60}\n"
+_broken = lambda path, error, *kind: (path, "", None, 0, 0, error, *(kind or (None, None)), None, None, 0)
+
+
+@query(expected(
+    "path, text, method, word_count, char_count, error, encrypted, encryption_type, files_processed, files_skipped, n_sections",
+    ("a.hwp", "안녕  hello끝둘째 문단", "hwp_extraction (proper parser)", 3, 15, None, None, None, None, None, 1),
+    _broken("locked.hwp", "HWP file is encrypted (password)", True, "password"),
+    ("b.hwpx", "첫째안쪽안쪽", "hwpx_extraction (XML parser)", 1, 6, None, None, None, None, None, 1),
+    _broken("sealed.hwpx", "HWPX file is encrypted (package)", True, "package"),
+    ("c.xlsx", _XLSX, "xlsx", 10, 40, None, None, None, None, None, 2),
+    ("d.docx", _DOCX, "docx", 8, 25, None, None, None, None, None, 1),
+    ("e.zip", _banner("c.xlsx") + _XLSX + "\n\n" + _banner("d.docx") + _DOCX, "zip_extraction", 26, 331, None, None, None, 2, 1, 3),
+    _broken("f.doc", ".doc format not supported (only .docx)"),
+    _broken("g.txt", "Unsupported file type: .txt"),
+    _broken("h.zip", "Not a valid ZIP file"),
+    _broken("i.hwp", "Not a valid OLE file"),
+))
 def doc_parsers(spark, sf_dir):
     """Generated office files through extraction: a row for each file."""
     from ..sources import files
@@ -441,7 +460,21 @@ def doc_parsers(spark, sf_dir):
     return files.extract(rows).select("path", "text", "method", "word_count", "char_count", "error", "encrypted", "encryption_type", "files_processed", "files_skipped", F.size("sections").alias("n_sections"))
 
 
-@query()
+def _section(path: str, kind: str, title: str, body: str, order: int, n_words: int, n_chars: int) -> tuple:
+    return f"{path}_sec_{order}", "b1", path, kind, title, body, body, "ko", order, n_words, n_chars
+
+
+@query("select *, null::int as page_number from (" + expected(
+    "section_id, bid_id, document_id, section_type, section_title, text, cleaned_text, language, section_order, word_count, char_count",
+    _section("a.hwp", "bodytext", "Section 0", "안녕 漢字 hello\t끝\n둘째 문단", 0, 6, 19),
+    _section("b.hwpx", "bodytext", "Section 0", "첫째\t\n안쪽\n안쪽", 0, 3, 9),
+    _section("c.xlsx", "sheet", "하나", _SHEET_1, 1, 5, 18),
+    _section("c.xlsx", "sheet", "셋", "끝", 3, 1, 1),
+    _section("d.docx", "document", "Full Document", _DOCX, 1, 8, 25),
+    _section("e.zip", "sheet", "[c.xlsx] 하나", _SHEET_1, 1, 5, 18),
+    _section("e.zip", "sheet", "[c.xlsx] 셋", "끝", 2, 1, 1),
+    _section("e.zip", "document", "[d.docx] Full Document", _DOCX, 3, 8, 25),
+) + ")")
 def section_table(spark, sf_dir):
     """Rows of the section table for the generated office files."""
     from ..sources import files
