@@ -1,7 +1,8 @@
-"""Tables kept by key: upserts, what is still to do, and synchronisation, as whole-table operations.
+"""Tables kept by key: upserts, what is still to do, and synchronisation.
 
-Parquet has no MERGE, so each operator returns the table's next version; write_version() writes it
-beside the current one and swaps a pointer file, so that readers never see half a table.
+Parquet has no MERGE, so each operator returns the table's next version. write_version() writes a whole
+one beside the current one, upsert_version() only the buckets that new rows touch; both then swap a
+pointer file, so that readers never see half a table.
 """
 
 from __future__ import annotations
@@ -12,9 +13,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import snippet
+from ..session import remove, written_at
 
 LONGER_THAN = 50
 
@@ -84,28 +87,76 @@ def sync(source: DataFrame, target: DataFrame, keys: Sequence[str] = ("section_i
     return target.join(source.select(*keys).distinct(), list(keys), "left_anti").select(target.columns).unionByName(source.select(target.columns))
 
 
-#: Versions of a table that stay.
+#: Versions of a table that stay for readers, and buckets of a table that is kept by upserts.
 KEPT = 3
+BUCKETS = 16
 
 
 def write_version(df: DataFrame, path: str) -> str:
-    """Writes the next version under path and points CURRENT at it; of older ones the last KEPT - 1 stay for readers.
+    """Writes a whole new version under path and points CURRENT at it."""
+    version = f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{path}/{version}")
+    _point(df.sparkSession, path, {"version": version})
+    return version
+
+
+def upsert_version(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[Column], buckets: int = BUCKETS) -> str | None:
+    """The next version of the table at path, with new put in by key (see upsert_latest).
+
+    The table lies in buckets by hash of the keys; only those that new has rows of are read and written
+    again, the version takes the others from older ones. How many there are is settled when the table is
+    first written so; tables of more than some GB want more than BUCKETS."""
+    spark = new.sparkSession
+    scratch, new = written_at(new, "upsert")
+    state = _state(spark, path)
+    parts = (state or {}).get("parts")
+    if parts is not None and (tuple(keys) != tuple(state["keys"]) or new.schema.names != _schema_of(state).names):
+        raise ValueError(f"the table is kept by {state['keys']} with columns {_schema_of(state).names}")
+    buckets = state["buckets"] if parts is not None else buckets
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # `buckets` numbers at most
+    if parts is None and state:  # a whole table is dealt into buckets
+        current, touched = read_version(spark, path), range(buckets)
+    else:
+        current = _read(spark, path, [parts[str(b)] for b in touched if str(b) in parts] if parts else [], new.schema)
+    version = None
+    if touched:
+        version = f"v-{uuid.uuid4().hex}"
+        upsert_latest(current, new, keys, order).withColumn("_b", bucket).hint("rebalance", "_b").write.partitionBy("_b").parquet(f"{path}/{version}")
+        fs, place = _files(spark, path)
+        there = {str(b): f"{version}/_b={b}" for b in touched if fs.exists(place(f"{version}/_b={b}"))}
+        _point(spark, path, {"version": version, "buckets": buckets, "keys": list(keys), "schema": new.schema.json(), "parts": (parts or {}) | there})
+    remove(spark, scratch)
+    return version
+
+
+def _point(spark: SparkSession, path: str, state: dict) -> None:
+    """Makes state the current one, and deletes what only states before the last KEPT ones hold.
 
     NEXT is whole before CURRENT goes, so a swap that breaks off leaves one of them to read."""
-    spark, version = df.sparkSession, f"v-{uuid.uuid4().hex}"
-    df.write.parquet(f"{path}/{version}")
     fs, place = _files(spark, path)
-    if not fs.exists(place("CURRENT")) and _version(spark, path):
+    old = _state(spark, path)
+    before = [_folders(old), *old.get("before", [])] if old else []
+    state = state | {"before": before[: KEPT - 1]}
+    if not fs.exists(place("CURRENT")) and old:
         fs.rename(place("NEXT"), place("CURRENT"))
     out = fs.create(place("NEXT"), True)
-    out.write(bytearray(json.dumps({"version": version}).encode()))
+    out.write(bytearray(json.dumps(state).encode()))
     out.close()
     fs.delete(place("CURRENT"), False)
     fs.rename(place("NEXT"), place("CURRENT"))
-    versions = [f for f in fs.listStatus(place("CURRENT").getParent()) if f.getPath().getName().startswith("v-") and f.getPath().getName() != version]
-    for old in sorted(versions, key=lambda f: -f.getModificationTime())[KEPT - 1 :]:
-        fs.delete(old.getPath(), True)
-    return version
+    live = {*_folders(state), *(f for x in state["before"] for f in x)}
+    for folder in {f for x in before[KEPT - 1 :] for f in x} - live:
+        fs.delete(place(folder), True)
+
+
+def _folders(state: dict) -> list[str]:
+    """Where a version's rows lie, below the table's path."""
+    return list(state["parts"].values()) if "parts" in state else [state["version"]]
+
+
+def _schema_of(state: dict) -> T.StructType:
+    return T.StructType.fromJson(json.loads(state["schema"]))
 
 
 def _files(spark: SparkSession, path: str):
@@ -114,25 +165,29 @@ def _files(spark: SparkSession, path: str):
     return fs_path(path).getFileSystem(conf), lambda name: fs_path(f"{path}/{name}")
 
 
-def _version(spark: SparkSession, path: str) -> str | None:
-    """The version that CURRENT names, or NEXT where CURRENT is gone; None where neither is whole."""
+def _state(spark: SparkSession, path: str) -> dict | None:
+    """The state that CURRENT holds, or NEXT where CURRENT is gone; None where neither is whole."""
     fs, place = _files(spark, path)
     name = next((x for x in ("CURRENT", "NEXT") if fs.exists(place(x))), None)
     line = spark.read.text(f"{path}/{name}").first() if name else None
     try:
-        return json.loads(line[0])["version"] if line else None
+        return json.loads(line[0]) if line else None
     except ValueError:
         if name == "CURRENT":
             raise
         return None  # a first version whose pointer broke off while it was written
 
 
+def _read(spark: SparkSession, path: str, folders: Sequence[str], schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{path}/{f}" for f in folders]) if folders else spark.createDataFrame([], schema)
+
+
 def read_version(spark: SparkSession, path: str, schema=None) -> DataFrame | None:
     """The current version, or None (or an empty table of `schema`) if there is none yet."""
-    version = _version(spark, path)
-    if version is None:
+    state = _state(spark, path)
+    if state is None:
         return None if schema is None else spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{path}/{version}")
+    return _read(spark, path, _folders(state), _schema_of(state)) if "parts" in state else spark.read.parquet(f"{path}/{state['version']}")
 
 
 class ParquetVectorStore:
@@ -151,7 +206,7 @@ class ParquetVectorStore:
         return read_version(self.spark, self.path, self.SCHEMA)
 
     def upsert(self, rows: DataFrame) -> None:
-        write_version(upsert_latest(self.table(), rows, self.keys, [F.col("created_at")]), self.path)
+        upsert_version(rows.select(self.table().columns), self.path, self.keys, [F.col("created_at")])
 
     def existing_ids(self, model_name: str | None = None) -> DataFrame:
         return existing_ids(self.table(), model_name=model_name)

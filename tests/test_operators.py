@@ -142,6 +142,37 @@ def test_old_versions_go(spark, tmp_path):
     assert len(left) == store.KEPT and names[-1] in left
 
 
+def test_upserts_write_touched_buckets_only(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    rows = lambda ids, value, at: spark.createDataFrame([(i, value, at) for i in ids], "id long, value string, at int")
+    put = lambda df: store.upsert_version(df, path, ["id"], [F.col("at")], buckets=8)
+    got = lambda: {r["id"]: r["value"] for r in store.read_version(spark, path).collect()}
+    put(rows(range(100), "a", 1))
+    first = store._state(spark, path)["parts"]
+    assert len(first) == 8 and got() == dict.fromkeys(range(100), "a")
+    put(rows([5, 200], "b", 2))
+    second = store._state(spark, path)["parts"]
+    assert sum(first[k] != second[k] for k in first) <= 2 and got() == dict.fromkeys(range(100), "a") | {5: "b", 200: "b"}
+    put(rows([5], "old", 0))  # an older row does not win
+    assert got()[5] == "b" and put(rows([], "x", 1)) is None and len(got()) == 101
+    for n in range(4):
+        put(rows([5], f"c{n}", 3 + n))
+    left = {f"{p.parent.name}/{p.name}" for p in (tmp_path / "t").glob("v-*/_b=*")}
+    state = store._state(spark, path)
+    live = {*state["parts"].values(), *(f for x in state["before"] for f in x)}
+    assert left == live and len(left) < 8 + 2 + 5 and got()[5] == "c3" and len(got()) == 101
+    with pytest.raises(ValueError, match="kept by"):
+        store.upsert_version(rows([1], "a", 1), path, ["value"], [F.col("at")])
+
+
+def test_a_whole_table_is_dealt_into_buckets(spark, tmp_path):
+    path = f"{tmp_path}/t"
+    store.write_version(spark.range(50).withColumn("at", F.lit(1)), path)
+    store.upsert_version(spark.range(49, 52).withColumn("at", F.lit(2)), path, ["id"], [F.col("at")], buckets=4)
+    assert {r["id"]: r["at"] for r in store.read_version(spark, path).collect()} == dict.fromkeys(range(49), 1) | dict.fromkeys(range(49, 52), 2)
+    assert len(store._state(spark, path)["parts"]) == 4
+
+
 def test_row_numbers_with_ties(spark):
     rows = spark.createDataFrame([(i // 7, i % 7) for i in range(500)], "a long, b int")
     got = stats.with_row_number(rows, "a", range_rows=40, then=("b",)).collect()
