@@ -62,7 +62,7 @@ def values(rows: list[tuple], names: str) -> str:
 
 
 def expected(names: str, *rows: tuple) -> str:
-    """Expected rows, written out by hand from the rules."""
+    """Expected rows, checked against the rules by reading."""
     return f"select * from {values(list(rows), names)}"
 
 
