@@ -16,8 +16,8 @@ joins, nor are the rows of a very frequent fingerprint.
 
 Defined results: null and empty texts have fingerprint zero and are linked as any other; one or two
 words make one shingle; repeated rows fall in one group; rows with null doc_id keep their row and take
-the group's smallest id (null if it has none); keep_first keeps one row of every group, with or without
-an id; an empty table gives an empty result; other columns are ignored, whatever their names.
+the group's smallest id (null if it has none); an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_one, keyed, load, map_arrow, remove, utf8, whole_rows, written, written_at
+from .common import hot_keys, join_one, load, map_arrow, remove, utf8, written, written_at
 
 RADIUS = 3
 SHINGLE = 3
@@ -258,18 +258,3 @@ def near_components(fps: DataFrame) -> DataFrame:
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     fps = written(fingerprints(load(spark, sf_dir, "documents")), "simhash-fps")
     return near_components(fps).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """docs without near-duplicates: of each component one row stays, that of the smallest doc_id (a null one goes last).
-
-    Among rows of equal ids two hashes of the text decide, then the row's place in its table, so repeated
-    rows leave one. All columns are returned as they are. The text crosses one shuffle, by the row's key."""
-    no_id, some_id = F.col("doc_id").isNull().cast("long").alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id")
-    h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2")
-    rows = keyed(whole_rows(docs, "doc_id", "text"), "k")
-    order = ["no_id", "id", "h1", "h2", "file", "place"]
-    fps = written(fingerprints(rows.select("doc_id", "text", no_id, some_id, h1, h2, F.col("k.file").alias("file"), F.col("k.row").alias("place")), *order), "simhash-fps")
-    groups = written(fps.groupBy("fp").agg(F.min(F.struct(*order)).alias("first")), "simhash-groups")
-    keep = with_roots(groups).groupBy("root").agg(F.min("first").alias("first")).select(F.struct(F.col("first.file").alias("file"), F.col("first.place").alias("row")).alias("k"))
-    return rows.select("row", "k").join(keep, "k", "left_semi").select("row.*")

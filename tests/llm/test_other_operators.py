@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tessera.llm import common, media, mixing, neighbours, packing, simhash, urlfilter
+from tessera.llm import common, media, mixing, near_copies, neighbours, packing, simhash, urlfilter
 from tessera.llm.common import keyed, placed, release, remove, scratch, written
 
 from . import helpers as h
@@ -123,18 +123,71 @@ def test_row_keys(spark, sf, tmp_path):
         assert len({tuple(r["k"]) for r in got}) == other.count() == len(got)
 
 
+def brute_copies(texts, similarity=0.8):
+    """For each text the least place it is linked with through Jaccard similarities of sets of five words."""
+    sets = []
+    for t in texts:
+        w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
+        sets.append({b" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] == sets[j] or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root = [min(root[i], root[j]) if r in (root[i], root[j]) else r for r in root]
+    return root
+
+
+def least_rows(rows):
+    """What keep_first leaves of rows (doc_id, text, ...): doc_id and component."""
+    comp = brute_copies([r[1] for r in rows])
+    return Counter(min((r[0] is None, r[0] or 0) for r, c in zip(rows, comp, strict=True) if c == k) for k in set(comp))
+
+
+def edited(text, every, seed):
+    """text with a new word at some places, `every` words apart on average."""
+    r = random.Random(seed)
+    return " ".join(f"new{seed}x{i}" if r.random() < 1 / every else w for i, w in enumerate(text.split()))
+
+
 def test_keep_first(spark, docs):
-    out = simhash.keep_first(docs)
+    out = near_copies.keep_first(docs)
     rows = out.collect()
-    assert out.columns == docs.columns and len({r["doc_id"] for r in rows}) == len(rows)
-    comp = brute_components([brute_fingerprint(r[1]) for r in h.awkward()])
-    assert {r["doc_id"] for r in rows} == {min(x[0] for x, c in zip(h.awkward(), comp, strict=True) if c == k and x[0] is not None) for k in set(comp) if any(x[0] is not None for x, c in zip(h.awkward(), comp, strict=True) if c == k)} | ({None} if any(r["doc_id"] is None for r in rows) else set())
+    assert out.columns == docs.columns and Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in rows) == least_rows(h.awkward())
+
+
+@pytest.mark.parametrize(("cell", "small"), [(2048, 48), (16, 3), (7, 1000)])
+def test_near_copies_go_and_others_stay(spark, monkeypatch, cell, small):
+    monkeypatch.setattr(near_copies, "CELL", cell)
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    base = [h.prose("en", 200, 5000 + i) for i in range(25)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    rows += [(100 + 10 * i + k, edited(t, 150, 10 * i + k)) for i, t in enumerate(base) for k in range(4)]  # near copies
+    rows += [(500 + i, " ".join(t.split()[:100]) + " " + h.prose("de", 100, i)) for i, t in enumerate(base)]  # half of it shared
+    rows += [(1000 + i, edited(base[0], 400, 7000 + i)) for i in range(60)]  # a large group of unlike copies
+    rows = [(*r, "en", "a", 1) for r in rows]
+    want = least_rows(rows)
+    assert 50 <= len(want) < 100
+    got = Counter((r["doc_id"] is None, r["doc_id"] or 0) for r in near_copies.keep_first(h.documents(spark, rows)).collect())
+    assert got == want
+
+
+def test_wide_distances_by_brute_force():
+    rng = np.random.default_rng(1)
+    f = rng.integers(0, 2**64, (200, near_copies.LONGS), dtype=np.uint64)
+    f[100:] = f[:100]
+    for k in range(100):
+        for b in rng.choice(256, k, replace=False):
+            f[100 + k, b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+    d = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2)
+    for r in (0, 7, 8, 61, 63, 64, 100):
+        assert {(a, b) for i, j in near_copies.close_pairs(f, f, r) for a, b in zip(i.tolist(), j.tolist(), strict=True)} == set(zip(*(x.tolist() for x in np.nonzero(d <= r)), strict=True))
 
 
 def test_keep_first_keeps_a_row_of_every_group(spark):
     texts = [h.prose("en", 60, 900 + i) for i in range(6)]
     rows = [(None, t, "en", "a", i) for i, t in enumerate(texts[:4]) for _ in range(3)] + [(5, t, "en", "a", 9) for t in texts[4:]] + [(6, texts[4], "en", "a", 9), (7, texts[3], "en", "a", 9)]
-    got = Counter((r["doc_id"], r["text"]) for r in simhash.keep_first(h.documents(spark, rows)).collect())
+    got = Counter((r["doc_id"], r["text"]) for r in near_copies.keep_first(h.documents(spark, rows)).collect())
     assert got == Counter([*((None, t) for t in texts[:3]), (7, texts[3]), (5, texts[4]), (5, texts[5])])
 
 
@@ -387,7 +440,7 @@ def test_scratch_is_released(spark):
 
 def test_empty_tables(spark, tmp_path):
     docs = h.clashing(h.empty(spark))
-    assert simhash.near_components(simhash.written(simhash.fingerprints(docs), "t")).count() == simhash.keep_first(docs).count() == 0
+    assert simhash.near_components(simhash.written(simhash.fingerprints(docs), "t")).count() == near_copies.keep_first(docs).count() == 0
     assert media.media_columns(media.read_archives(spark, p)).count() == 0 if (p := scratch(spark, "none")) and media.write_archives(docs, p) == 0 else False
     assert neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
     assert corpus_pipeline.run(spark, h.table(docs, tmp_path)).count() == 0
@@ -463,6 +516,6 @@ def test_pipeline_keeps_unlike_texts_without_ids(spark, tmp_path):
     before = placed(spark)
     out = corpus_pipeline.run(spark, folder)
     left = [p for p in placed(spark) if p not in before]
-    assert sum("pipeline-" in p for p in left) == 1 and not [p for p in left if "/simhash" in p or "/mix-" in p]
+    assert sum("pipeline-" in p for p in left) == 1 and not [p for p in left if "/copies-" in p or "/mix-" in p]
     assert {r["text"] for r in out.collect()} <= {r[1] for r in rows} | {r["text"] for r in out.collect() if len(words(r["text"])) < 60}
     release(spark, keep=before)
