@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -88,5 +89,11 @@ def arrow_rows(schema: pa.Schema, row: Callable[[int, bytes], tuple]) -> Callabl
     return run
 
 
+def settle(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with; else they stay until the driver happens to collect its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
