@@ -46,7 +46,7 @@ GRAM = 64
 #: Bytes of a text that are looked at together.
 CHUNK = 1 << 19
 #: Different segments of one anchor that one task compares.
-HOT = 1000
+HOT = 20_000
 #: Segments in memory at once, and in a sorted run of the queue.
 BLOCK = 20_000
 RADIX_BITS = 16
