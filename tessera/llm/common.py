@@ -46,18 +46,18 @@ HOT_ROWS = 1_000_000
 HOT_KEYS = 1000
 
 
-def hot_keys(counts: DataFrame, key: str, total: int) -> list[int]:
+def hot_keys(counts: DataFrame, key: str, total: int) -> list:
     """The hot ones of counts (key, n), where total is the sum of n."""
     least = max(HOT_ROWS, total // HOT_KEYS)
     return [r[0] for r in counts.where(F.col("n") > least).select(key).collect()] if total > least else []
 
 
-def join_one(many: DataFrame, one: DataFrame, key: str, hot: list[int]) -> DataFrame:
-    """many joined to one, which has a row for each key: rows of hot keys stay where they are, and what `one` has for these goes to every task."""
+def join_one(many: DataFrame, one: DataFrame, key: str, hot: list, how: str = "inner") -> DataFrame:
+    """many joined (inner or left) to one, which has a row for each key: rows of hot keys stay where they are, and what `one` has for these goes to every task."""
     if not hot:
-        return many.join(one, key)
-    is_hot = F.col(key).isin(hot)
-    return many.where(~is_hot).join(one.where(~is_hot), key).unionByName(many.where(is_hot).join(F.broadcast(one.where(is_hot)), key))
+        return many.join(one, key, how)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return many.where(~is_hot).join(one.where(~is_hot), key, how).unionByName(many.where(is_hot).join(F.broadcast(one.where(is_hot)), key, how))
 
 
 def whole_rows(docs: DataFrame, *needed: str) -> DataFrame:

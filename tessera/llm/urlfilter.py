@@ -5,7 +5,9 @@ rules. The pairs meet the rules by an equi-join on the first PREFIX_HEX digits o
 the full digests are confirmed afterwards, so that a pair that only shares the digits with a rule
 falls away, and of the rules that fit the one with the most characters wins (ties: block before
 allow, then the longer host, then the smaller text). Rules of more than MAX_SHAPES combinations of
-label count and path length would expand a url too far and are an error.
+label count and path length would expand a url too far and are an error. Up to BROADCAST_RULES rules go to
+every task; more meet the distinct expressions, by the short prefix as well, and what these fit goes back to
+the urls in a join in which very frequent expressions (such as a large host's) do not move.
 
 Defined results: null urls and urls without "://" have an empty host and path and get the default
 verdict; hosts of any number of labels expand into no more suffixes than rules have label counts;
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, with_key
+from .common import hot_keys, join_one, load, with_key, written
 
 PREFIX_HEX = 8
 #: Rules are broadcast up to this many; more are joined by shuffling distinct expressions.
@@ -73,9 +75,11 @@ def filter_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> D
     if n_rules <= BROADCAST_RULES:
         joined = expanded.join(F.broadcast(r), F.col("short") == F.col("r_short"), "left").select("k", "page_id", "host", "path", F.when(confirmed, rank).alias("fit"), F.when(confirmed, 1).otherwise(0).alias("n"))
     else:  # a frequent host must not meet many rules in one task: only distinct expressions meet the rules
-        met = expanded.select("short", "digest").distinct().join(r, F.col("short") == F.col("r_short"))
-        hits = met.where(confirmed).groupBy("digest").agg(F.max(rank).alias("fit"), F.count(F.lit(1)).alias("n"))
-        joined = expanded.join(hits, "digest", "left").select("k", "page_id", "host", "path", "fit", F.coalesce("n", F.lit(0)).alias("n"))
+        counts = written(expanded.groupBy("short", "digest").agg(F.count(F.lit(1)).alias("n")), "url-expressions")
+        met = counts.select("short", "digest").join(r, F.col("short") == F.col("r_short"))
+        hits = met.groupBy("digest").agg(F.max(F.when(confirmed, rank)).alias("fit"), F.sum(confirmed.cast("long")).alias("n"))
+        hot = hot_keys(counts, "digest", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+        joined = join_one(expanded, hits, "digest", hot, "left").select("k", "page_id", "host", "path", "fit", F.coalesce("n", F.lit(0)).alias("n"))
     best = joined.groupBy("k").agg(F.first("page_id").alias("page_id"), F.first("host").alias("host"), F.first("path").alias("path"), F.max("fit").alias("best"), F.sum("n").alias("n_fits"))
     return best.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"), "n_fits")
 

@@ -519,3 +519,26 @@ def test_pipeline_keeps_unlike_texts_without_ids(spark, tmp_path):
     assert sum("pipeline-" in p for p in left) == 1 and not [p for p in left if "/copies-" in p or "/mix-" in p]
     assert {r["text"] for r in out.collect()} <= {r[1] for r in rows} | {r["text"] for r in out.collect() if len(words(r["text"])) < 60}
     release(spark, keep=before)
+
+
+@pytest.mark.parametrize("bound", [0, 100])
+def test_rules_are_met_on_the_short_prefix_in_both_branches(spark, monkeypatch, bound):
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", bound)
+    rules = [("org", f"/p{i}", "block") for i in range(30)] + urlfilter.RULES
+    pages = spark.createDataFrame([(i, f"http://h{i}.org/p{i % 40}/x") for i in range(50)], "page_id long, url string")
+    plan = urlfilter.filter_urls(pages, urlfilter.rule_frame(spark, rules))._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.split("\n") if "Join" in x and "r_short" in x]
+    assert joins and not any("r_digest" in x for x in joins)
+
+
+def test_large_host_and_many_rules(spark, monkeypatch):
+    """Every url of one host, whose expressions are hot, beside others; as many rules as make the second branch."""
+    rows = [(i, f"http://a.big.com/x{i % 3}/y") for i in range(400)] + [(1000 + i, f"http://h{i}.org/z") for i in range(50)] + [(None, None)] * 2
+    rules = [("com", "/x1", "block"), ("big.com", "/x1/", "allow"), ("big.com", "/", "allow"), ("h3.org", "/", "block")] + [(f"r{i}.net", "/", "block") for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    want = Counter(map(tuple, urlfilter.filter_urls(pages, urlfilter.rule_frame(spark, rules)).collect()))
+    monkeypatch.setattr(urlfilter, "BROADCAST_RULES", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    monkeypatch.setattr(common, "HOT_KEYS", 50)
+    assert Counter(map(tuple, urlfilter.filter_urls(pages, urlfilter.rule_frame(spark, rules)).collect())) == want
+    assert sum(n for r, n in want.items() if r[3] == "big.com/x1/" and r[5] == 3) == 133
