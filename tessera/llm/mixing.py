@@ -45,6 +45,11 @@ MAX_SOURCES = 100_000
 #: Average shares of a source that a chunk of its draws spans; a draw looks its shard up in its chunk.
 CHUNK_SHARES = 4
 SEED = 17
+#: Sources in a group of the tree, values that a draw may look through one by one, deviations from the mean that it looks at, and tries otherwise.
+GROUP = 256
+SEARCHED = 256
+DEVIATIONS = 12
+TRIES = 32
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -78,11 +83,15 @@ def targets(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, ratio: float =
     return src.select("src", "source", "source_size", "n_blocks", "target", F.round("target").cast("long").alias("words"))
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of body, in which name stands for value, taken once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _ln_factorial(x: str) -> str:
-    """ln(x!) as SQL, x a double >= 0: Stirling's series at x + 8, brought back by the product between."""
-    y = f"(({x}) + 8)"
-    product = " * ".join(f"(({x}) + {k})" for k in range(1, 9))
-    return f"(({y} + 0.5) * ln({y}) - {y} + 0.9189385332046728 + 1 / (12 * {y}) - 1 / (360 * power({y}, 3)) + 1 / (1260 * power({y}, 5)) - ln({product}))"
+    """ln(x!) as SQL, x a double >= 0: Stirling's series at y = x + 8, brought back by the product between."""
+    product = " * ".join(f"(y - {k})" for k in range(8))
+    return _let("y", f"({x}) + 8", f"((y + 0.5) * ln(y) - y + 0.9189385332046728 + 1 / (12 * y) - 1 / (360 * power(y, 3)) + 1 / (1260 * power(y, 5)) - ln({product}))")
 
 
 def _ln_choose(n: str, k: str) -> str:
@@ -90,39 +99,62 @@ def _ln_choose(n: str, k: str) -> str:
 
 
 def hypergeometric(total: str, good: str, draws: str, u: str) -> str:
-    """SQL for how many of `draws` out of `total` are among the `good`: inverse of the distribution at u.
-
-    All are doubles. The search spans twelve deviations on each side of the mean."""
-    var = "named_struct('m', {d} * {g} / greatest({t}, 1D), 's', 12 * sqrt({d} * {g} / greatest({t}, 1D) * (1 - {g} / greatest({t}, 1D)) * ({t} - {d}) / greatest({t} - 1, 1D)) + 3)".format(t=total, g=good, d=draws)
-    lo = f"greatest(0D, {draws} - ({total} - {good}), floor(v.m - v.s))"
-    hi = f"least({draws}, {good}, ceil(v.m + v.s))"
+    """SQL for how many of `draws` out of `total` are among the `good`; u in [0, 1) is the only chance.
+
+    All are doubles. Within SEARCHED deviations of the mean the distribution is inverted at u, value by value, where
+    that is short; else by Stadlober's ratio of uniforms, whose tries are hashes of u, TRIES at most and 1.4 on average
+    (beyond them, in one of 10^12 cases, the most likely value). So the steps are bounded however large the numbers are."""
+    var = "named_struct('m', {d} * {g} / greatest({t}, 1D), 's', sqrt({d} * {g} / greatest({t}, 1D) * (1 - {g} / greatest({t}, 1D)) * ({t} - {d}) / greatest({t} - 1, 1D)))".format(t=total, g=good, d=draws)
+    lo = f"greatest(0D, {draws} - ({total} - {good}), floor(v.m - {DEVIATIONS} * v.s - 3))"
+    hi = f"least({draws}, {good}, ceil(v.m + {DEVIATIONS} * v.s + 3))"
     p0 = f"exp({_ln_choose(good, 'b.lo')} + {_ln_choose(f'({total} - {good})', f'({draws} - b.lo)')} - {_ln_choose(total, draws)})"
     step = f"a.p * (({good} - x + 1) * ({draws} - x + 1)) / (x * ({total} - {good} - {draws} + x))"
     search = f"""aggregate(if(b.hi > b.lo, sequence(cast(b.lo as bigint) + 1, cast(b.hi as bigint)), cast(array() as array<bigint>)),
       named_struct('k', b.lo, 'p', {p0}, 'c', {p0}),
-      (a, i) -> element_at(transform(array(cast(i as double)), x -> if(a.c >= {u}, a, named_struct('k', x, 'p', {step}, 'c', a.c + {step}))), 1),
+      (a, i) -> {_let("x", "cast(i as double)", f"if(a.c >= {u}, a, named_struct('k', x, 'p', {step}, 'c', a.c + {step}))")},
       a -> a.k)"""
-    bounds = f"element_at(transform(transform(array({var}), v -> named_struct('lo', cast({lo} as double), 'hi', cast({hi} as double))), b -> {search}), 1)"
-    return f"(case when {good} <= 0 or {draws} <= 0 then 0D when {draws} >= {total} then {good} else {bounds} end)"
+    searched = _let("b", f"named_struct('lo', cast({lo} as double), 'hi', cast({hi} as double))", search)
+    # Of the symmetric forms of the distribution the one with fewest draws and good ones.
+    few = f"named_struct('g', least({good}, {total} - {good}), 'h', greatest({good}, {total} - {good}), 'm', least({draws}, {total} - {draws}))"
+    weight = lambda x: f"({_ln_factorial(x)} + {_ln_factorial(f'f.g - ({x})')} + {_ln_factorial(f'f.m - ({x})')} + {_ln_factorial(f'f.h - f.m + ({x})')})"
+    uniform = lambda salt: f"((cast(shiftrightunsigned(xxhash64({u}, i, {salt}), 11) as double) + 0.5D) / 9007199254740992D)"
+    # 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e), the constants of the method.
+    tried = _let("w", f"named_struct('x', {uniform(1)}, 'z', f.m * f.g / {total} + 0.5D + (1.7155277699214135D * sqrt(v.s * v.s + 0.5D) + 0.8989161620588988D) * ({uniform(2)} - 0.5D) / {uniform(1)})",
+                 f"if(w.z < 0 or w.z >= least(f.m, f.g) + 1, cast(null as double), {_let('z', 'floor(w.z) + 0D', f'if(2 * ln(w.x) <= top - {weight("z")}, z, cast(null as double))')})")
+    tries = f"aggregate(sequence(1, {TRIES}), cast(null as double), (a, i) -> if(a is not null, a, {tried}), a -> coalesce(a, f.mode))"
+    back = _let("k", tries, f"{_let('k2', f'if({good} > {total} - {good}, f.m - k, k)', f'if({draws} > f.m, {good} - k2, k2)')}")
+    mode = f"floor((f0.m + 1) * (f0.g + 1) / ({total} + 2)) + 0D"
+    by_ratio = _let("f0", few, _let("f", f"named_struct('g', f0.g, 'h', f0.h, 'm', f0.m, 'mode', {mode})", _let("top", weight("f.mode"), back)))
+    return f"(case when {good} <= 0 or {draws} <= 0 then 0D when {draws} >= {total} then {good} else {_let('v', var, f'if(v.s * {2 * DEVIATIONS} <= {SEARCHED}, {searched}, {by_ratio})')} end)"
 
 
 def split_tree(draws: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
-    """shard and quotas (array of (src, n)) for draws (src, n): exact quotas of each source for each of 2^k shards."""
+    """shard and quotas (array of (src, n > 0)) for draws (src, n): exact quotas of each source for each of 2^k shards.
+
+    Sources stand in groups of GROUP. A node's draws are dealt to groups first and then, within each group, to its
+    sources, so that what is carried on grows by a group's length only; a node keeps the sources that it draws from."""
     assert shards & (shards - 1) == 0
-    nodes = draws.agg(F.array_sort(F.collect_list(F.struct(F.col("src").alias("src"), F.col("n").cast("double").alias("n")))).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
-    u = f"(cast(shiftrightunsigned(xxhash64({seed}L, level, node, s.src), 11) as double) / 9007199254740992D)"
-    share = hypergeometric("acc.total", "s.n", "acc.draws", u)
-    left = f"""aggregate(q, named_struct('total', total, 'draws', floor(total / 2) + 0D, 'out', cast(array() as array<double>)),
-      (acc, s) -> element_at(transform(array({share}), l -> named_struct('total', acc.total - s.n, 'draws', acc.draws - l, 'out', concat(acc.out, array(l)))), 1), acc -> acc.out)"""
+    pair = F.struct(F.col("src").alias("src"), F.col("n").cast("double").alias("n"))
+    groups = draws.where("n > 0").groupBy(F.floor(F.col("src") / GROUP).alias("g")).agg(F.array_sort(F.collect_list(pair)).alias("q"))
+    nodes = groups.agg(F.transform(F.array_sort(F.collect_list(F.struct("g", "q"))), lambda x: x["q"]).alias("q")).select(F.lit(0).cast("long").alias("node"), "q")
+
+    def dealt(parts: str, part: str, n: str, number: str, total: str, given: str) -> str:
+        """Draws of each of parts, one after the other, when `given` of `total` are drawn."""
+        u = f"(cast(shiftrightunsigned(xxhash64({seed}L, level, node, {number}), 11) as double) / 9007199254740992D)"
+        share = hypergeometric("acc.total", n, "acc.draws", u)
+        step = _let("l", share, f"named_struct('total', acc.total - {n}, 'draws', acc.draws - l, 'out', concat(acc.out, array(l)))")
+        return f"aggregate({parts}, named_struct('total', {total}, 'draws', {given}, 'out', cast(array() as array<double>)), (acc, {part}) -> {step}, acc -> acc.out)"
+
     for level in range(shards.bit_length() - 1):
         if level and level % 6 == 0:
             nodes = nodes.repartition("node")
-        nodes = nodes.withColumn("level", F.lit(level)).withColumn("total", F.expr("aggregate(q, 0D, (a, s) -> a + s.n)"))
-        halves = nodes.withColumn("l", F.expr(left)).select(
-            "node", F.expr("transform(q, (s, i) -> named_struct('src', s.src, 'n', l[i]))").alias("lq"), F.expr("transform(q, (s, i) -> named_struct('src', s.src, 'n', s.n - l[i]))").alias("rq")
-        )
-        nodes = halves.select(F.expr("stack(2, node * 2, lq, node * 2 + 1, rq) as (node, q)"))
-    return nodes.select(F.col("node").alias("shard"), F.col("q").alias("quotas"))
+        sums = "transform(q, g -> named_struct('n', aggregate(g, 0D, (a, s) -> a + s.n), 'first', g[0].src))"
+        within = f"transform(q, (g, i) -> {dealt('g', 's', 's.n', 's.src', 't[i].n', 'd[i]')})"
+        l = _let("t", sums, _let("total", "aggregate(t, 0D, (a, x) -> a + x.n)", _let("d", dealt("t", "s", "s.n", "-1L - s.first", "total", "floor(total / 2) + 0D"), within)))  # noqa: E741
+        nodes = nodes.withColumn("level", F.lit(level)).withColumn("l", F.expr(l))
+        half = lambda n: F.expr(f"filter(transform(q, (g, i) -> filter(transform(g, (s, j) -> named_struct('src', s.src, 'n', {n})), s -> s.n > 0)), g -> size(g) > 0)")
+        nodes = nodes.select("node", half("l[i][j]").alias("lq"), half("s.n - l[i][j]").alias("rq")).select(F.expr("stack(2, node * 2, lq, node * 2 + 1, rq) as (node, q)"))
+    return nodes.select(F.col("node").alias("shard"), F.flatten("q").alias("quotas"))
 
 
 def shard_count(src: DataFrame) -> int:

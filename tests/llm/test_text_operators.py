@@ -494,10 +494,42 @@ def test_hypergeometric_has_the_right_distribution(spark):
     assert all(abs(have.get(k, 0) - comb(15, k) * comb(25, 10 - k) / comb(40, 10)) < 1e-3 for k in range(11))
 
 
+@pytest.mark.parametrize(("total", "good", "draws"), [(4000, 1500, 1000), (4000, 2600, 1000), (4000, 1500, 3100), (4000, 2600, 3100), (100_000, 700, 50_000)])
+def test_hypergeometric_of_large_numbers(spark, total, good, draws):
+    """By ratio of uniforms: shares of the values near the mean, and mean and deviation."""
+    from math import exp, lgamma, sqrt
+
+    e = mixing.hypergeometric(f"{total}D", f"{good}D", f"{draws}D", "u")
+    n = 20_000
+    got = spark.range(n).selectExpr(f"(id + 0.5) / {n} as u").selectExpr(f"{e} as x").groupBy("x").count().collect()
+    have = {int(r["x"]): r["count"] / n for r in got}
+    choose = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    want = {k: exp(choose(good, k) + choose(total - good, draws - k) - choose(total, draws)) for k in range(max(0, draws - total + good), min(good, draws) + 1)}
+    mean, var = draws * good / total, draws * good / total * (1 - good / total) * (total - draws) / (total - 1)
+    assert 2 * mixing.DEVIATIONS * sqrt(var) > mixing.SEARCHED and min(have) >= min(want) and max(have) <= max(want)
+    assert abs(sum(k * p for k, p in have.items()) - mean) < 5 * sqrt(var / n) and abs(sum((k - mean) ** 2 * p for k, p in have.items()) / var - 1) < 0.06
+    assert all(abs(have.get(k, 0) - p) < 5 * sqrt(p / n) + 1e-4 for k, p in want.items())
+
+
+def test_many_sources_are_split_in_proportion_to_their_number(spark):
+    import time
+
+    took = {}
+    for n in (5_000, 20_000):
+        draws = spark.range(n).selectExpr("cast(id as int) as src", "id % 50 as n")
+        began = time.time()
+        q = mixing.split_tree(draws, 2).selectExpr("shard", "explode(quotas) as q").selectExpr("shard", "q.src", "cast(q.n as long) as n").toPandas()
+        took[n] = time.time() - began
+        assert q.groupby("src")["n"].sum().to_dict() == {i: i % 50 for i in range(n) if i % 50}
+        per = q.groupby("shard")["n"].sum()
+        assert per.max() - per.min() <= 1 and (q["n"] > 0).all()
+    assert took[20_000] < 8 * took[5_000] + 2
+
+
 def test_split_tree_keeps_quotas(spark):
     draws = spark.createDataFrame([(0, 1000), (1, 37), (2, 0), (3, 123_456)], "src int, n long")
     q = mixing.split_tree(draws, 16).selectExpr("shard", "explode(quotas) as q").selectExpr("shard", "q.src", "q.n").toPandas()
-    assert q.groupby("src")["n"].sum().to_dict() == {0: 1000, 1: 37, 2: 0, 3: 123_456}
+    assert q.groupby("src")["n"].sum().to_dict() == {0: 1000, 1: 37, 3: 123_456}  # none of 2, which has no draws
     per = q.groupby("shard")["n"].sum()
     assert len(per) == 16 and per.max() - per.min() <= 4 and (q["n"] >= 0).all()
 
