@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions import binary, text
 from ..operators import chunk, rag, stats, store, vector
+from ..operators.index import VectorIndex
+from ..session import scratch
 from ..sources import jira, notion, vault
 from . import fixtures as fx
 
@@ -294,6 +296,36 @@ def vector_topk_batch(spark, sf_dir):
     return _batch(spark, sf_dir).withColumn("similarity", F.round("similarity", 6))
 
 
+def _index(spark, sf_dir):
+    """An index of the even vectors, extended by the odd ones, and the queries."""
+    e = table(spark, sf_dir, "embeddings")
+    found = VectorIndex(spark, scratch(spark, "index"))
+    found.build(e.where("vec_id % 2 = 0"))
+    found.upsert(e.where("vec_id % 2 = 1"))
+    return found, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+
+
+@query()
+def indexed_topk(spark, sf_dir):
+    """The five nearest vectors by the stored index, from four fifths of its lists: the given vectors are random directions, so less does not reach the recall."""
+    found, queries = _index(spark, sf_dir)
+    return found.top_k(queries, 5, probes=max(1, len(found.state()["lists"]) * 4 // 5)).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"select query_id, rank, vec_id, round(s, 6) as similarity from ({TOP})")
+def pruned_topk(spark, sf_dir):
+    """The five nearest vectors exactly, without the lists that cannot hold any."""
+    found, queries = _index(spark, sf_dir)
+    return found.exact(queries, 5).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(f"select a.vec_id as query_id, b.vec_id, round(list_cosine_similarity(b.embedding::double[], a.embedding::double[]), 6) as similarity from embeddings a, embeddings b where a.vec_id % 20 = 0 and list_cosine_similarity(b.embedding::double[], a.embedding::double[]) >= {vector.MIN_SIMILARITY}")
+def pruned_threshold(spark, sf_dir):
+    """Every vector as similar as the threshold asks for, however many there are."""
+    found, queries = _index(spark, sf_dir)
+    return found.exact(queries, found.count(), vector.MIN_SIMILARITY).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("select vec_id, len(embedding) = 64 as dim_ok, len(embedding) = 1024 as default_ok from embeddings")
 def vector_dim_check(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", vector.dim_ok(F.col("embedding"), 64).alias("dim_ok"), vector.dim_ok(F.col("embedding"), 1024).alias("default_ok"))
