@@ -172,6 +172,47 @@ def test_near_copies_go_and_others_stay(spark, monkeypatch, cell, small):
     assert got == want
 
 
+def test_failed_links_do_not_hide_others(spark, monkeypatch):
+    """With a radius that lets everything pass, most proposed links fail; forests are made again until all true ones are found."""
+    monkeypatch.setattr(near_copies, "radius_of", lambda s: 256)
+    monkeypatch.setattr(near_copies, "signature", lambda x, real=near_copies.signature: (*real(x)[:2], np.array([7], np.uint64)))  # all in one bucket
+    monkeypatch.setattr(near_copies, "HUB", 3)
+    base = [h.prose("en", 60, 8000 + i) for i in range(3)]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(base)] + [(10 + 10 * i + k, edited(t, 200, 100 * i + k), "en", "a", 1) for i, t in enumerate(base) for k in range(2)]
+    got = Counter((False, r["doc_id"]) for r in near_copies.keep_first(h.documents(spark, rows), rounds=20).collect())
+    assert got == least_rows(rows) and len(got) < 9
+
+
+def test_copies_of_a_given_table_by_all_pairs(spark):
+    """sf0.01, five words, 0.8: what stays is what comparing all pairs leaves."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    sets = [near_copies.shingle_set((t or "").encode()) for _, t in rows]
+    holders, root = {}, list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for v in x.tolist():
+            holders.setdefault(v, []).append(i)
+
+    def find(a):
+        while root[a] != a:
+            a = root[a]
+        return a
+
+    empty = [i for i, x in enumerate(sets) if not len(x)]
+    pairs = Counter((a, b) for at in holders.values() for n, b in enumerate(at) for a in at[:n])
+    near = [p for p, both in pairs.items() if both >= 0.8 * (len(sets[p[0]]) + len(sets[p[1]]) - both)] + list(zip(empty, empty[1:], strict=False))
+    for a, b in near:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    want = {min(rows[i][0] for i in range(len(rows)) if find(i) == k) for k in {find(i) for i in range(len(rows))}}
+    got = [r["doc_id"] for r in near_copies.keep_first(docs).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(near) > 50
+
+
+def test_signatures_alone(spark):
+    assert near_copies.signatures(spark.createDataFrame([("a b c d e f",), (None,)], "text string"), 5).count() == 2
+
+
 def test_wide_distances_by_brute_force():
     rng = np.random.default_rng(1)
     f = rng.integers(0, 2**64, (200, near_copies.LONGS), dtype=np.uint64)
