@@ -189,6 +189,7 @@ class Transaction:
         self.lake, self.base = lake, lake.version()
         self.state = lake._state(self.base)
         self.seen: set[str] = set()
+        self.looked: list[tuple[str, set[str]]] = []
         self.added: list[tuple[str, dict[str, dict]]] = []
         self.made: dict[str, dict] = {}
         self.replaced: dict[str, tuple[dict, set[str]]] = {}
@@ -216,6 +217,18 @@ class Transaction:
         one = rows.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in table.schema]).withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n")
         self.added.append((name, self._written(one.withColumn("_gone", F.lit(False)), table, table.buckets, False)))
 
+    def update(self, name: str, rows: DataFrame, columns: Sequence[str]) -> None:
+        """New keys are inserted; known ones get `columns` of rows and keep all others. Only the buckets that rows fall into are read."""
+        table = self.table(name)
+        touched = {r[0] for r in rows.select(bucket_of(table.buckets, table.keys)).distinct().collect()}  # a bucket each at most
+        if name in self.state:
+            self.looked.append((name, touched))
+        known, old = F.col("_old").isNotNull(), table.rows(touched).select(*table.keys, F.struct(*table.schema.names).alias("_old"))
+        both = rows.select(*table.keys, F.struct(*rows.columns).alias("_new")).join(old, list(table.keys), "left")
+        new = lambda c: F.col(f"_new.{c}") if c in rows.columns else F.lit(None)
+        put = [c if c in table.keys else (new(c) if c in columns and c in rows.columns else F.when(known, F.col(f"_old.{c}")).otherwise(new(c))).alias(c) for c in table.schema.names]
+        self.upsert(name, both.select(*put))
+
     def delete(self, name: str, keys: DataFrame) -> None:
         """Ends the rows whose keys stand in `keys`."""
         table = self.table(name)
@@ -244,6 +257,9 @@ class Transaction:
         for name in self.seen:
             if head.get(name) != self.state.get(name):
                 raise Conflict(f"{name} has changed")
+        for name, touched in self.looked:
+            if any(head[name]["buckets"].get(b) != self.state[name]["buckets"][b] for b in touched):
+                raise Conflict(f"buckets of {name} have changed")
         for name, state in self.made.items():
             if name in head:
                 raise Conflict(f"{name} was made meanwhile")

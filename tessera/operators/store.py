@@ -11,6 +11,8 @@ import json
 import uuid
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,20 +58,57 @@ def embeddable(sections: DataFrame, text: str = "text") -> DataFrame:
 
 
 def unprocessed(documents: DataFrame, limit: int | None = None, order: Sequence[str] = ("created_at", "document_id")) -> DataFrame:
-    found = documents.where(~F.col("text_extracted")).orderBy(*order)
-    return found if limit is None else found.limit(limit)
+    found = documents.where(~F.col("text_extracted"))
+    return found if limit is None else found.orderBy(*order).limit(limit)
 
 
 def pending(sections: DataFrame, existing: DataFrame, key: str = "section_id", order: Sequence[str] = ("extracted_at", "section_id"), limit: int | None = None, compat: bool = False) -> DataFrame:
-    """Embeddable sections without an embedding, oldest first.
+    """Embeddable sections without an embedding; with a limit the oldest ones.
 
     compat: the limit is applied to twice as many of the oldest sections before the known ones are
     left out, which can give nothing for ever once the oldest are done."""
     found = embeddable(sections)
     if limit is not None and compat:
         found = found.orderBy(*order).limit(2 * limit)
-    found = found.join(existing, key, "left_anti").orderBy(*order)
-    return found if limit is None else found.limit(limit)
+    found = without(found, existing, key)
+    return found if limit is None else found.orderBy(*order).limit(limit)
+
+
+#: Bits of a filter of known ids, places that an id has in it, and ids that only seem known and are sent to every task at most.
+FILTER_BITS, PLACES = 1 << 23, 4
+SEEMING = 100_000
+
+
+def _place(key: str, i: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(i), key), F.lit(FILTER_BITS))
+
+
+def without(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """rows whose key is not in known (key), as by an anti join; what rows hold besides does not cross a shuffle.
+
+    A Bloom filter over the known ids, summed up by words of 64 bits and of fixed size (a megabyte), goes to every task.
+    A row whose id it does not know passes at once. Other ids, alone, meet the known ones; those that only seemed
+    known are few and go to every task, or, if they are more than SEEMING, meet the rows in a join."""
+    spark = rows.sparkSession
+    ids = known.select(key).where(F.col(key).isNotNull())
+    at = ids.select(F.explode(F.array(*[_place(key, i) for i in range(PLACES)])).alias("p"))
+    words = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect()  # FILTER_BITS / 64 at most
+    filled = np.zeros(FILTER_BITS // 64, np.int64)
+    filled[[r["w"] for r in words]] = [r["bits"] for r in words]
+    shared = spark.sparkContext.broadcast(filled)
+
+    @F.pandas_udf("boolean")
+    def seems(*places: pd.Series) -> pd.Series:
+        found = np.ones(len(places[0]), bool)
+        for p in places:
+            p = p.to_numpy(np.int64)
+            found &= (shared.value[p >> 6] >> (p & 63)) & 1 == 1
+        return pd.Series(found)
+
+    marked = rows.withColumn("_seems", F.col(key).isNotNull() & seems(*[_place(key, i) for i in range(PLACES)]))
+    path, wrong = written_at(marked.where("_seems").select(key).distinct().join(ids, key, "left_anti"), "seeming")
+    wrong = F.broadcast(wrong) if wrong.count() <= SEEMING else wrong
+    return marked.where("not _seems").drop("_seems").unionByName(marked.where("_seems").drop("_seems").join(wrong, key, "left_semi"))
 
 
 def embedding_rows(sections: DataFrame, model_name: str, now: Column, text: str = "text") -> DataFrame:
@@ -191,22 +230,32 @@ def read_version(spark: SparkSession, path: str, schema=None) -> DataFrame | Non
 
 
 class ParquetVectorStore:
-    """A vector store over versioned Parquet: initialize, upsert, existing_ids, search, count, close."""
+    """A vector store over a table of a Lake: initialize, upsert, existing_ids, search, count, close."""
 
     SCHEMA = "section_id string, bid_id string, embedding array<float>, model_name string, model_version string, text_snippet string, char_count int, created_at timestamp"
+    TABLE = "vectors"
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str] = ("section_id", "model_name")):
-        self.spark, self.path, self.keys = spark, path, tuple(keys)
+        from .lake import Lake
+
+        self.spark, self.path, self.keys, self.lake = spark, path, tuple(keys), Lake(spark, path)
 
     def initialize(self) -> None:
-        if read_version(self.spark, self.path) is None:
-            write_version(self.spark.createDataFrame([], self.SCHEMA), self.path)
+        if not self.lake.version():
+            self.lake.create(self.TABLE, self.SCHEMA, self.keys, ["created_at"])
 
     def table(self) -> DataFrame:
-        return read_version(self.spark, self.path, self.SCHEMA)
+        self.initialize()
+        return self.lake.read(self.TABLE)
 
     def upsert(self, rows: DataFrame) -> None:
-        upsert_version(rows.select(self.table().columns), self.path, self.keys, [F.col("created_at")])
+        """Writes as much as it is given; a key's latest row by created_at stays."""
+        self.initialize()
+        self.lake.upsert(self.TABLE, rows)
+
+    def changes(self, since: int) -> DataFrame:
+        """What has changed since a version of the store, for keeping another one in step."""
+        return self.lake.changes(self.TABLE, since)
 
     def existing_ids(self, model_name: str | None = None) -> DataFrame:
         return existing_ids(self.table(), model_name=model_name)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import embed, rag, store, vector
 from ..operators.stats import with_row_number
+from ..session import remove
 
 
 def index_chunks(chunks: DataFrame, embedder: embed.Embedder, path: str, place: str) -> tuple[str | None, int]:
@@ -16,13 +18,14 @@ def index_chunks(chunks: DataFrame, embedder: embed.Embedder, path: str, place:
 
     Chunks without an embedding are left out. Returns the path and the count; (None, 0) without chunks."""
     spark = chunks.sparkSession
-    embed.embed(chunks, embedder, "chunk", dim=None).where("embedding is not null").write.mode("overwrite").parquet(f"{path}/embedded")
-    rows = with_row_number(spark.read.parquet(f"{path}/embedded"), place)
+    own = f"{path}/run-{uuid.uuid4().hex}"  # a folder for each run, so that two do not meet
+    embed.embed(chunks, embedder, "chunk", dim=None).where("embedding is not null").write.parquet(own)
+    rows = with_row_number(spark.read.parquet(own), place)
     n = rows.count()
-    if not n:
-        return None, 0
-    store.write_version(rows.withColumn("chunk_id", F.concat(F.lit("chunk_"), F.col("row_no").cast("string"))).drop("row_no"), path)
-    return path, n
+    if n:
+        store.write_version(rows.withColumn("chunk_id", F.concat(F.lit("chunk_"), F.col("row_no").cast("string"))).drop("row_no"), path)
+    remove(spark, own)
+    return (path, n) if n else (None, 0)
 
 
 def find_context(index: DataFrame, embedder: embed.Embedder, question: str, issues: DataFrame | None = None) -> DataFrame:

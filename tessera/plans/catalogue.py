@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import binary, text
 from ..operators import chunk, rag, stats, store, vector
 from ..operators.index import VectorIndex
+from ..operators.lake import Lake
 from ..session import scratch
 from ..sources import jira, notion, vault
 from . import fixtures as fx
@@ -217,7 +218,7 @@ def embeddable_sections(spark, sf_dir):
 @query("select doc_id, lang from documents d where length(text) > 50 and not exists (select 1 from labels l where l.doc_id = d.doc_id)")
 def incremental_anti_join(spark, sf_dir):
     docs = store.embeddable(table(spark, sf_dir, "documents"))
-    return docs.join(store.existing_ids(table(spark, sf_dir, "labels"), "doc_id"), "doc_id", "left_anti").select("doc_id", "lang")
+    return store.without(docs, store.existing_ids(table(spark, sf_dir, "labels"), "doc_id"), "doc_id").select("doc_id", "lang")
 
 
 @query("select doc_id from documents d where length(text) > 50 and not exists (select 1 from labels l where l.doc_id = d.doc_id) order by doc_id limit 25")
@@ -259,6 +260,71 @@ def sync_union(spark, sf_dir):
     return store.sync(new, old, ["doc_id"])
 
 
+# Tables that grow
+
+_LATEST = "(select user_id, event_id, event_type, value, ts from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as n from events{where}) where n = 1)"
+_EVENTS = "user_id long, event_id long, event_type string, value double, ts timestamp"
+
+
+def _events(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.col("value").cast("double").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+@query(f"select user_id, event_id, event_type, value::double as value from {_LATEST.format(where='')}")
+def lake_upserts(spark, sf_dir):
+    """The latest event of every user, put in by ten upserts."""
+    lake, events = Lake(spark, scratch(spark, "lake")), _events(spark, sf_dir)
+    lake.create("latest", _EVENTS, ["user_id"], ["ts", "event_id"])
+    for batch in range(10):
+        lake.upsert("latest", events.where(F.col("event_id") % 10 == batch))
+    return lake.read("latest").drop("ts")
+
+
+@query(f"""with a as {_LATEST.format(where=' where event_id % 2 = 0')}, b as (select * from {_LATEST.format(where='')} where user_id % 7 <> 0)
+select coalesce(b.user_id, a.user_id) as user_id, coalesce(b.event_id, a.event_id) as event_id, case when a.user_id is null then 'insert' when b.user_id is null then 'delete' else 'update' end as change
+from a full join b on a.user_id = b.user_id where a.event_id is distinct from b.event_id""")
+def change_feed(spark, sf_dir):
+    """What leads from the users' latest even events to the latest of all, when every seventh user has left."""
+    lake, events = Lake(spark, scratch(spark, "lake")), _events(spark, sf_dir)
+    lake.create("latest", _EVENTS, ["user_id"], ["ts", "event_id"])
+    since = lake.upsert("latest", events.where("event_id % 2 = 0"))
+    lake.upsert("latest", events.where("event_id % 2 = 1"))
+    lake.transact(lambda t: t.delete("latest", events.where("user_id % 7 = 0")))
+    return lake.changes("latest", since).select("user_id", "event_id", F.col("_change").alias("change"))
+
+
+@query(f"select user_id, event_id, event_type, value::double as value from {_LATEST.format(where='')} where user_id % 7 <> 0")
+def feed_sync(spark, sf_dir):
+    """A second table kept in step with the first by its feeds alone."""
+    source, target, events = Lake(spark, scratch(spark, "lake")), Lake(spark, scratch(spark, "lake")), _events(spark, sf_dir)
+    for lake in (source, target):
+        lake.create("latest", _EVENTS, ["user_id"], ["ts", "event_id"])
+    first = source.upsert("latest", events.where("event_id % 2 = 0"))
+    target.apply("latest", source.changes("latest", 0, first))
+    source.upsert("latest", events.where("event_id % 2 = 1"))
+    source.transact(lambda t: t.delete("latest", events.where("user_id % 7 = 0")))
+    target.apply("latest", source.changes("latest", first))
+    return target.read("latest").drop("ts")
+
+
+@query("""select d.doc_id, l.doc_id is not null as processed, case when l.doc_id is not null then length(coalesce(d.text, ''))::int end as section_chars
+from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id""")
+def sections_and_flags(spark, sf_dir):
+    """Sections of the labelled documents and the documents' flags, put in by one commit."""
+    lake, docs = Lake(spark, scratch(spark, "lake")), table(spark, sf_dir, "documents")
+    lake.transact(lambda t: (t.create("documents", "doc_id long, lang string, processed boolean", ["doc_id"]), t.create("sections", "doc_id long, text string", ["doc_id"])))
+    lake.upsert("documents", docs.select("doc_id", "lang", F.lit(False).alias("processed")))
+    done = docs.join(table(spark, sf_dir, "labels").select("doc_id").distinct(), "doc_id", "left_semi")
+
+    def both(t):
+        t.upsert("sections", done.select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
+        t.update("documents", done.select("doc_id", F.lit(True).alias("processed")), ["processed"])
+
+    lake.transact(both)
+    sections = lake.read("sections").select("doc_id", F.length("text").alias("section_chars"))
+    return lake.read("documents").join(sections, "doc_id", "left").select("doc_id", "processed", "section_chars")
+
+
 # Search
 
 

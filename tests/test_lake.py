@@ -178,3 +178,23 @@ def test_errors(spark, tmp_path):
     assert t.upsert("t", rows(spark, [])) and got(t.read("t")) == {}
     t.upsert("t", rows(spark, [(1, 1, "a"), (1, 1, "a")]))
     assert got(t.read("t")) == {1: (1, "a")}
+
+
+def test_partial_updates_keep_other_columns(spark, tmp_path, small):
+    t = Lake(spark, str(tmp_path / "l"))
+    t.create("t", SCHEMA, ["id"])
+    t.upsert("t", rows(spark, [(i, i, f"v{i}") for i in range(500)]))
+    t.compact("t")
+    one = spark.createDataFrame([(7, "seven"), (900, "new")], "id long, v string")
+    t.transact(lambda x: x.update("t", one, ["v"]))
+    now = got(t.read("t"))
+    assert now[7] == (7, "seven") and now[900] == (None, "new") and now[8] == (8, "v8") and len(now) == 501
+    t.transact(lambda x: x.update("t", rows(spark, [(7, 70, "again"), (901, 1, "x")]), ["at"]))
+    now = got(t.read("t"))
+    assert now[7] == (70, "seven") and now[901] == (1, "x")
+    a, b = t.begin(), t.begin()
+    for x in (a, b):
+        x.update("t", one, ["v"])
+    a.commit()
+    with pytest.raises(Conflict):
+        b.commit()
