@@ -167,6 +167,21 @@ def adf_to_text(spark, sf_dir):
     return spark.createDataFrame(fx.ADF, "id int, t string").select("id", jira.adf_to_text(F.col("t")).alias("text"))
 
 
+@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
+select doc_id, {strip_sql("string_agg(case when i % 3 = 0 then t || repeat(chr(10), 3) when i % 3 = 1 then t || chr(10) else t || case when t <> '' then ' ' else '' end || '@' || i || chr(10) end, ' ' order by i)")} as text from l group by doc_id""")
+def document_trees(spark, sf_dir):
+    """Every document as a tree of paragraphs, mentions and lists, and its text again."""
+    line = F.col("line")
+    node = lambda kind, *inside: F.concat(F.lit(f'{{"type":"{kind}","content":['), *[x for i, c in enumerate(inside) for x in ([F.lit(","), c] if i else [c])], F.lit("]}"))
+    quoted = F.expr("substring(to_json(named_struct('t', line)), 6, length(to_json(named_struct('t', line))) - 6)")  # the line as a JSON string
+    word = F.concat(F.lit('{"type":"text","text":'), quoted, F.lit("}"))
+    mention = F.concat(F.lit('{"type":"mention","attrs":{"text":"@'), (F.col("at") + 1).cast("string"), F.lit('"}}'))
+    shown = F.when(F.col("at") % 3 == 2, node("bulletList", node("listItem", node("paragraph", word)))).when(F.col("at") % 3 == 0, node("paragraph", word)).otherwise(node("paragraph", word, mention))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("line", line)
+    parts = lines.select("doc_id", "at", shown.alias("node")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]).alias("nodes"))
+    return jira.tree_texts(parts.select("doc_id", F.concat(F.lit('{"type":"doc","content":['), F.array_join("nodes", ","), F.lit("]}")).alias("tree")), "doc_id", "tree")
+
+
 @query(expected(
     "source, type, summary, status, project, text",
     ("AB-1", "jira_issue", "로그인 오류", "완료", "AB", "[AB-1] (상태: 완료) 로그인 오류\n\n이슈 상태: 완료 (Done) - 완료된 작업, done task, completed\n\n담당자: Kim\n\nhello @kim :ok:\n 하나\n\nbold site"),

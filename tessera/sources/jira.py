@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_jira_markup
-from ..session import ship
+from ..functions.text import clean_jira_markup, strip
+from ..session import ship, written
 from .rest import RestSource
 
 #: Fields asked for, and query templates.
@@ -76,6 +76,39 @@ def adf_to_text(c: Column) -> Column:
     return run(c)
 
 
+def tree_texts(rows: DataFrame, key: str, tree: str) -> DataFrame:
+    """key and text of document trees given as JSON, for rows (key, unique; tree) whose tree is an object, as adf_to_text() gives them.
+
+    Trees become VARIANTs and are opened level by level, each level a table with a row for each node and the node's path;
+    then texts are put together from the deepest level up, the children of a node in the order of their places. Nodes
+    of one tree, however large, are spread over all tasks, and no Python runs. As many jobs as the deepest tree has levels."""
+    levels = []
+    now = rows.select(F.col(key).alias("key"), F.expr("cast(array() as array<int>)").alias("path"), F.try_parse_json(tree).alias("v")).where("schema_of_variant(v) like 'OBJECT%'")
+    while True:
+        kind = F.coalesce(F.try_variant_get("v", "$.type", "string"), F.lit(""))
+        leaf = F.when(F.col("shape") == "STRING", F.try_variant_get("v", "$", "string"))
+        for name, path in (("text", "$.text"), ("mention", "$.attrs.text"), ("emoji", "$.attrs.shortName")):
+            leaf = leaf.when(F.col("kind") == name, F.coalesce(F.try_variant_get("v", path, "string"), F.lit("")))
+        opened = now.withColumn("shape", F.schema_of_variant("v")).where("shape = 'STRING' or shape like 'OBJECT%'").withColumn("kind", kind).withColumn("leaf", leaf)
+        content = F.when(F.col("leaf").isNull(), F.try_variant_get("v", "$.content", "array<variant>"))
+        level = written(opened.select("key", "path", "kind", "leaf", content.alias("content")), "tree-level")
+        levels.append(level)
+        now = level.select("key", "path", F.posexplode("content").alias("at", "v")).select("key", F.concat("path", F.array("at")).alias("path"), "v")
+        if level.where(F.size("content") > 0).isEmpty():
+            break
+    texts = None
+    for level in reversed(levels):
+        own = level.select("key", "path", "leaf", F.when(F.col("kind").isin(*BLOCKS, *LISTS), "\n").otherwise("").alias("end"))
+        if texts is not None:
+            children = texts.where("text <> ''").groupBy("key", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("path", -1).alias("at"), "text"))).alias("c"))
+            own = own.join(children, ["key", "path"], "left")
+            joined = F.coalesce(F.array_join(F.transform("c", lambda x: x["text"]), " "), F.lit(""))
+        else:
+            joined = F.lit("")
+        texts = own.select("key", "path", F.coalesce("leaf", F.concat(joined, "end")).alias("text"))
+    return texts.select(F.col("key").alias(key), strip(F.col("text")).alias("text"))
+
+
 def _is_tree(c: Column) -> Column:
     return F.startswith(F.ltrim(c), F.lit('{"')) & F.get_json_object(c, "$.type").isNotNull()
 

@@ -185,3 +185,29 @@ def test_rest_sources(spark):
 def test_record_rows(spark):
     df = files.hwp_records(spark.createDataFrame([("s", fx.hwp_section())], "path string, content binary"))
     assert [r["tag_name"] for r in df.withColumn("tag_name", binary.tag_name(F.col("tag_id"))).orderBy("offset").collect()] == ["PARA_HEADER", "PARA_TEXT", "PARA_HEADER", "PARA_HEADER", "PARA_TEXT"]
+
+
+def test_trees_level_by_level_equal_the_walk(spark):
+    """Random trees, deep ones, and odd nodes: as the walk over one tree gives them, without Python in the plan."""
+    import random
+
+    r = random.Random(4)
+
+    def tree(depth):
+        kind = r.choice(["paragraph", "heading", "bulletList", "listItem", "panel", "text", "mention", "emoji"])
+        if kind == "text":
+            return {"type": "text", "text": r.choice(["a", "", "두 말", "x\ny"])}
+        if kind in ("mention", "emoji"):
+            return {"type": kind, "attrs": {"text": "@kim", "shortName": ":ok:"}} if r.random() < 0.8 else {"type": kind}
+        inside = [tree(depth - 1) if depth else {"type": "text", "text": "end"} for _ in range(r.randrange(4))]
+        return {"type": kind, "content": [*inside, *r.choice([[], ["loose"], [None, 3, []]])]} if r.random() < 0.9 else {"type": kind, "content": "no list"}
+
+    deep = {"type": "text", "text": "bottom"}
+    for _ in range(12):
+        deep = {"type": "listItem", "content": [deep, {"type": "text", "text": "t"}]}
+    rows = [(i, json.dumps({"type": "doc", "content": [tree(3) for _ in range(3)]}, ensure_ascii=False)) for i in range(40)]
+    rows += [(100, json.dumps(deep)), (101, "{}"), (102, '{"content": [{"text": "no type"}, "s"]}')]
+    out = jira.tree_texts(spark.createDataFrame([*rows, (200, None), (201, "no json"), (202, "[1]"), (203, '"s"')], "id long, tree string"), "id", "tree")
+    assert {r["id"]: r["text"] for r in out.collect()} == {i: jira.adf_text(json.loads(t)) for i, t in rows}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan
