@@ -7,6 +7,7 @@ from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.text import S, section_id, strip, word_count
@@ -49,14 +50,18 @@ def with_row_number(rows: DataFrame, order: str, name: str = "row_no", range_row
     sorted with spilling."""
     rows = once(rows)
     n = rows.count()
-    ranges = min(MAX_RANGES, max(1, n // range_rows))
-    cuts = sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+    cuts = _cuts(rows, order, n, range_rows)
     placed = rows.withColumn("_b", _cuts_below(F.col(order), cuts))
     counts = dict(placed.groupBy("_b").count().collect()) if cuts else {0: n}
     starts = [0, *accumulate(counts.get(b, 0) for b in range(len(cuts)))]
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(order, *then)) - 1
     return placed.withColumn(name, (rank + F.element_at(F.lit(starts).cast("array<long>"), F.col("_b") + 1)).cast("long")).drop("_b")
 
+def _cuts(rows: DataFrame, order: str, n: int, range_rows: int) -> list[float]:
+    """Values of a numeric column that cut n rows into ranges of about range_rows, MAX_RANGES at most."""
+    ranges = min(MAX_RANGES, max(1, n // range_rows))
+    return sorted(set(rows.approxQuantile(order, [k / ranges for k in range(1, ranges)], 1 / (4 * ranges)))) if ranges > 1 else []
+
 
 def _cuts_below(x: Column, cuts: list[float]) -> Column:
     """How many of the sorted cuts are under x (0 for null), by halving."""
@@ -67,10 +72,22 @@ def _cuts_below(x: Column, cuts: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0), lambda low, s: F.when(under(low + s), low + s).otherwise(low))
 
 
-def renumber(sections: DataFrame, container: str, order: list[str], title: str, member: str) -> DataFrame:
-    """Sections of a container's members in one row of numbers from 1; titles say the member."""
-    rank = F.row_number().over(Window.partitionBy(container).orderBy(*order))
-    return sections.withColumn("section_order", rank).withColumn(title, F.concat(F.lit("["), F.col(member), F.lit("] "), F.coalesce(F.col(title), F.lit(""))))
+def renumber(sections: DataFrame, container: str, order: list[str], title: str, member: str, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Sections of a container's members in one row of numbers from 1; titles say the member.
+
+    Where the first column of `order` is a number, a large container is numbered in ranges of it, each in a task of its own,
+    and shifted by the rows of the container's ranges before; else a container is sorted in one task, with spilling."""
+    sections = once(sections)
+    numeric = isinstance(sections.schema[order[0]].dataType, T.NumericType)
+    cuts = _cuts(sections, order[0], sections.count(), range_rows) if numeric else []
+    placed = sections.withColumn("_b", _cuts_below(F.col(order[0]), cuts))
+    rank = F.row_number().over(Window.partitionBy(container, "_b").orderBy(*order))
+    numbered = placed.withColumn("section_order", rank)
+    if cuts:
+        before = F.sum("_n").over(Window.partitionBy("_c").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+        counts = placed.groupBy(F.col(container).alias("_c"), "_b").agg(F.count(F.lit(1)).alias("_n")).select("_c", F.col("_b").alias("_r"), F.coalesce(before, F.lit(0)).alias("_before"))
+        numbered = numbered.join(counts, F.col(container).eqNullSafe(F.col("_c")) & (F.col("_b") == F.col("_r"))).withColumn("section_order", (F.col("section_order") + F.col("_before")).cast("int")).drop("_c", "_r", "_before")
+    return numbered.drop("_b").withColumn(title, F.concat(F.lit("["), F.col(member), F.lit("] "), F.coalesce(F.col(title), F.lit(""))))
 
 
 def run_stats(results: DataFrame, failed: Column) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 from ..functions.text import remove_nul, section_id, unix_path
 from ..operators.stats import run_stats
 from ..operators.store import mark_processed, unprocessed, upsert_partial
-from ..session import ship, written
+from ..session import scratch, ship, written
 from . import parsers
 from .vault import plain_path
 
@@ -58,29 +58,32 @@ def section_rows(results: DataFrame, document_id: str = "document_id", bid_id: s
 
 
 def contents(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
-    """path and content of the files under root that stand in wanted (path); others are listed, not read.
-
-    Up to MAX_PATHS files are read by name; more meet the whole folder in a join on the path."""
+    """path and content of the files under root that stand in wanted (path), read by name, MAX_PATHS in a scan; others are listed, not read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     listed = raw.select("path", plain_path(F.col("path")).alias("_plain"))  # without content no file is opened
-    paths = [r["path"] for r in listed.join(wanted.select(F.col("path").alias("_plain")).distinct(), "_plain", "left_semi").limit(MAX_PATHS + 1).collect()]
-    if len(paths) > MAX_PATHS:
-        return read_files(spark, root).join(wanted.select("path").distinct(), "path", "left_semi")
-    if not paths:
-        return raw.select(plain_path(F.col("path")).alias("path"), "content").limit(0)
-    by_name = spark.read.format("binaryFile").load([re.sub(r"([\\{}\[\]*?])", r"\\\1", p) for p in paths])
-    return by_name.select(plain_path(F.col("path")).alias("path"), "content")
+    paths = [re.sub(r"([\\{}\[\]*?])", r"\\\1", r["path"]) for r in listed.join(wanted.select(F.col("path").alias("_plain")).distinct(), "_plain", "left_semi").collect()]
+    found = raw.limit(0)
+    for i in range(0, len(paths), MAX_PATHS):
+        part = spark.read.format("binaryFile").load(paths[i : i + MAX_PATHS])
+        found = found.unionByName(part) if i else part
+    return found.select(plain_path(F.col("path")).alias("path"), "content")
 
 
 def extraction_job(documents: DataFrame, sections: DataFrame, root: str, limit: int | None = None) -> dict[str, DataFrame]:
     """One run over unprocessed documents: the next versions of both tables and the run's statistics.
 
     Documents meet their files by path, so a missing file is an error row, and files that no pending document
-    names are not read. Failed documents stay unmarked. The extraction is written once, and all results read it.
+    names are not read; more than MAX_PATHS go in groups, one after the other. Failed documents stay unmarked. The extraction is written once, and all results read it.
     Of sections with one id the first by document, order and text stays."""
     spark = documents.sparkSession
     todo = unprocessed(documents, limit).withColumn("path", F.concat(F.lit(root.rstrip("/") + "/"), unix_path(F.col("file_path")))).select("document_id", "bid_id", "path")
-    found = written(extract(todo.join(contents(spark, root, todo), "path", "left"), ("document_id", "bid_id")), "extraction")
+    todo = written(todo, "extraction-todo")
+    groups = max(1, -(-todo.count() // MAX_PATHS))
+    place = scratch(spark, "extraction")
+    for g in range(groups):  # so the driver knows some MAX_PATHS names at a time, and no file is read that no document names
+        part = todo.where(F.pmod(F.xxhash64("path"), F.lit(groups)) == g)
+        extract(part.join(contents(spark, root, part), "path", "left"), ("document_id", "bid_id")).write.mode("append").parquet(place)
+    found = spark.read.parquet(place)
     done = found.where(F.col("error").isNull())
     rows = section_rows(found)
     first = Window.partitionBy("section_id").orderBy("document_id", "section_order", "text")

@@ -218,3 +218,14 @@ def test_index_and_answer(spark, tmp_path):
 
 def test_config():
     assert Config.from_env({"CHUNK_SIZE": "300", "OTHER": "x"}).chunk_size == 300 and Config().top_k_results == 5
+
+
+@pytest.mark.parametrize("range_rows", [7, 10_000])
+def test_large_containers_are_numbered_in_ranges(spark, range_rows):
+    rows = [("big", i * 7 % 101, f"m{i}", None if i % 9 == 0 else f"t{i}") for i in range(101)] + [(None, i, "m", "t") for i in range(5)] + [("small", None, "m", "t"), ("small", 3, "m", "t")]
+    out = stats.renumber(spark.createDataFrame(rows, "c string, o int, m string, t string"), "c", ["o"], "t", "m", range_rows).collect()
+    got = {(r["c"], r["o"]): (r["section_order"], r["t"]) for r in out}
+    for c in ("big", None, "small"):
+        own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1]))
+        assert [got[c, r[1]] for r in own] == [(n, f"[{r[2]}] {r[3] or ''}") for n, r in enumerate(own, 1)]
+    assert len(out) == len(rows)
