@@ -37,8 +37,8 @@ _BSD_DISCLAIMER = """this software is provided by <<var:16>> as is and any expre
 
 def _gnu(name: str) -> str:
     """The header that files under a licence of this family carry."""
-    return f"""this <<var:6>> is free software you can redistribute it and or modify it under the terms of the gnu {name} as published by the free software foundation
-      <<optional>>either<</optional>> version <<var:2>> of the license <<optional>>or at your option any later version<</optional>>
+    return f"""this <<var:6>> is free software you can redistribute it and or modify it under the terms of the gnu {name} <<optional>>version <<var:2>><</optional>> as published by the free software foundation
+      <<optional>>either<</optional>> <<optional>>version <<var:2>> of the license<</optional>> <<optional>>or at your option any later version<</optional>>
       this <<var:6>> is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu {name} for more details
       <<optional>>you should have received a copy of the gnu {name} along with this <<var:6>> if not<</optional>>"""
 
@@ -63,6 +63,21 @@ TEMPLATES = {
     "lgpl-header": _gnu("lesser general public license"),
     "agpl-header": _gnu("affero general public license"),
     "mpl-2.0-header": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at",
+    "unlicense": """this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means
+      <<optional>>in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain
+      we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law<</optional>>
+      the software is provided as is without warranty of any kind""",
+    "zlib": """this software is provided as is without any express or implied warranty in no event will <<var:12>> be held liable for any damages arising from the use of this software
+      permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions
+      <<optional>><<var:1>><</optional>> the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment <<optional>>see the following<</optional>> in the product documentation would be appreciated but is not required
+      <<optional>><<var:1>><</optional>> altered source versions must be plainly marked as such and must not be misrepresented as being the original software
+      <<optional>><<var:1>><</optional>> this notice may not be removed or altered from any source distribution""",
+    "bsl-1.0": """permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software
+      and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following
+      the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software
+      unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor
+      the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement
+      in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software""",
     "apache-2.0-notice": "licensed under the apache license <<optional>>, version 2.0<</optional>>",
     "gpl-notice": "this <<var:2>> is licensed under the <<optional>>gnu<</optional>> general public license <<optional>>, version 3<</optional>>",
     "cc-by-nc-notice": "licensed under <<optional>>the<</optional>> <<optional>>creative commons<</optional>> cc by nc <<optional>>4.0<</optional>>",

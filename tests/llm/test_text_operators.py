@@ -209,6 +209,59 @@ GNU = """# This program is free software: you can redistribute it and/or modify
 # You should have received a copy of the GNU {name}
 # along with this program.  If not, see <https://www.gnu.org/licenses/>."""
 GPL = GNU.format(name="General Public License", version="3")
+GPL_2_ONLY = """This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License version 2 as
+ * published by the Free Software Foundation.
+ *
+ * This program is distributed in the hope that it will be useful, but
+ * WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+ * General Public License for more details."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND,
+EXPRESS OR IMPLIED"""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:
+
+1. The origin of this software must not be misrepresented; you must not
+   claim that you wrote the original software. If you use this software
+   in a product, an acknowledgment in the product documentation would be
+   appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be
+   misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution."""
+BSL = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including
+the above license grant, this restriction and the following disclaimer,
+must be included in all copies of the Software, in whole or in part, and
+all derivative works of the Software, unless such copies or derivative
+works are solely in the form of machine-executable object code generated by
+a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT
+SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE
+FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE,
+ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER
+DEALINGS IN THE SOFTWARE."""
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
@@ -220,7 +273,10 @@ CANONICAL = {
     "bsd-3-clause": [BSD_GRANT + BSD_NAMES + BSD_DISCLAIMER, BSD_GRANT + BSD_NAMES.replace("the copyright holder", "the University of Example, Department of Physics,") + BSD_DISCLAIMER],
     "isc": [ISC, ISC.replace("and/or", "and"), ISC.replace("THE AUTHOR", "EXAMPLE CONSORTIUM, INC.")],
     "apache-2.0-header": [APACHE, APACHE.replace("http://www.apache.org", "https://apache.org")],
-    "gpl-header": [GPL, GPL.replace("either version 3", "version 2").replace(", or\n# (at your option) any later version", ""), GPL.replace("This program", "This file of Example").partition("# You")[0]],
+    "gpl-header": [GPL, GPL_2_ONLY, GPL_2_ONLY.replace("License version 2 as", "License as").replace("Foundation.", "Foundation; either version 2 of the License, or (at your option) any later version.", 1), GPL.replace("either version 3", "version 2").replace(", or\n# (at your option) any later version", ""), GPL.replace("This program", "This file of Example").partition("# You")[0]],
+    "unlicense": [UNLICENSE],
+    "zlib": [ZLIB, ZLIB.replace("product, an acknowledgment", "product, an acknowledgment (see the following)")],
+    "bsl-1.0": [BSL],
     "lgpl-header": [GNU.format(name="Lesser General Public License", version="2.1")],
     "agpl-header": [GNU.format(name="Affero General Public License", version="3")],
     "mpl-2.0-header": [MPL],
@@ -253,6 +309,23 @@ def test_whole_licences_are_told_apart():
     assert all(got[x] & headers == {x} for x in headers)
 
 
+def genuine():
+    """Licence files that stand on this machine: a package manager's, and those of installed packages."""
+    from importlib.metadata import distributions
+    from pathlib import Path
+
+    common = {"GPL-2": "gpl-header", "GPL-3": "gpl-header", "LGPL-2.1": "lgpl-header", "Apache-2.0": "apache-2.0-header", "BSD": "bsd-3-clause"}
+    found = [(Path("/usr/share/common-licenses") / f, label) for f, label in common.items()]
+    packages = {"pytest": "mit-text", "charset-normalizer": "mit-text", "urllib3": "mit-text", "zstandard": "bsd-3-clause", "psutil": "bsd-3-clause", "xxhash": "bsd-2-clause", "numpy": "bsd-3-clause", "pandas": "bsd-3-clause"}
+    found += [(f.locate(), label) for d in distributions() if (label := packages.get((d.metadata["Name"] or "").lower())) for f in d.files or [] if f.name.startswith("LICENSE") and ".dist-info" in str(f) and f.name in ("LICENSE", "LICENSE.txt")]
+    return [(p, label) for p, label in found if Path(p).is_file()]
+
+
+@pytest.mark.parametrize(("path", "label"), genuine())
+def test_genuine_licence_files(path, label):
+    assert label in {f[2] for f in licenses.scan(open(path, "rb").read())["found"]}
+
+
 def test_long_texts_and_nested_regions():
     filler = "permission is hereby granted copyright this licensed under " * 20_000
     assert "mit-text" in {f[2] for f in licenses.scan((filler + MIT + filler).encode())["found"]}
