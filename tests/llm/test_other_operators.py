@@ -235,6 +235,30 @@ def test_keep_first_keeps_a_row_of_every_group(spark):
 # Neighbours
 
 
+def test_clustered_vectors_are_found_in_few_partitions(spark, monkeypatch):
+    """Around centres a query has no need to see more than a quarter of the rows; a router that visits everything fails."""
+    rng = np.random.default_rng(11)
+    c = rng.normal(size=(40, 32))
+    x = c[rng.integers(0, 40, 8000)] + 0.1 * rng.normal(size=(8000, 32))
+    table = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got, learned, homes, routes = {}, [], [], []
+    monkeypatch.setattr(neighbours, "PART_ROWS", 1000)
+    real = neighbours.learn
+    monkeypatch.setattr(neighbours, "learn", lambda v: learned.append(real(v)) or learned[-1])
+    for r in neighbours.search(table, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    index = learned[0]
+    homes = index.homes(x)
+    sizes = dict(enumerate(np.bincount(homes, minlength=index.parts).tolist()))
+    routes = index.routes_to(x[::20], [21] * 400, sizes)
+    assert np.mean([sum(sizes.get(p, 0) for p in r) for r in routes]) <= 0.25 * len(x)
+    queries = np.arange(0, 8000, 20)
+    score = x[queries] @ x.T
+    score[np.arange(len(queries)), queries] = -np.inf
+    want = np.argsort(-score, axis=1, kind="stable")[:, :20]
+    assert np.mean([len(got[q] & set(w.tolist())) / 20 for q, w in zip(queries.tolist(), want, strict=True)]) >= 0.9
+
+
 def vectors(n, dim=16, seed=3):
     rng = np.random.default_rng(seed)
     centres = rng.standard_normal((8, dim))
