@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import json
+import operator
+import re
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, IsNotNull, LessThan, LessThanOrEqual, Not
 
 from ..functions.text import clean_jira_markup, strip
 from ..session import ship, written
-from .rest import RestSource
+from .rest import RestPartition, RestReader, RestSource
 
 #: Fields asked for, and query templates.
 FIELDS = ["summary", "description", "comment", "status", "assignee", "reporter", "created", "updated"]
@@ -158,8 +162,94 @@ def issue_corpus(issues: DataFrame, chunk_fn) -> DataFrame:
     return chunk_fn(issue_metadata(issue_texts(issues)).where(F.col("text") != "").drop("key", "fields"))
 
 
+#: Columns of kind=issues, and what the tracker's language calls those that it can select by.
+ISSUE_COLUMNS = "key string, project string, status string, assignee string, summary string, updated timestamp, value string, error string"
+SELECTABLE = {"key": "key", "project": "project", "status": "status", "updated": "updated"}
+#: The tracker reads times in a zone of its own, so bounds in its language are a day wider.
+SLACK = timedelta(days=1)
+_COMPARE = {EqualTo: operator.eq, GreaterThan: operator.gt, GreaterThanOrEqual: operator.ge, LessThan: operator.lt, LessThanOrEqual: operator.le}
+
+
+def jql_text(v: str) -> str:
+    return '"' + v.replace("\\", "\\\\").replace('"', '\\"') + '"'
+
+
+def jql_of(f: Filter) -> str | None:
+    """A condition in the tracker's language that holds for all issues that f holds for (empty if all do); None if there is none."""
+    if isinstance(f, Not) or len(getattr(f, "attribute", ())) != 1 or (name := SELECTABLE.get(f.attribute[0])) is None:
+        return None
+    if isinstance(f, IsNotNull):
+        return f"{name} is not EMPTY" if name != "key" else ""
+    if isinstance(f, In) and name != "updated" and all(isinstance(v, str) for v in f.value):
+        return f"{name} in ({', '.join(map(jql_text, f.value))})"
+    if name == "updated" and type(f) in _COMPARE and isinstance(f.value, datetime):
+        low, high = ((f.value + d).strftime("%Y/%m/%d %H:%M") for d in (-SLACK, SLACK))
+        parts = [f'updated >= "{low}"'] * isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)) + [f'updated <= "{high}"'] * isinstance(f, (EqualTo, LessThan, LessThanOrEqual))
+        return " AND ".join(parts)
+    return f"{name} = {jql_text(f.value)}" if isinstance(f, EqualTo) and isinstance(f.value, str) else None
+
+
+def holds(f: Filter, row: dict) -> bool:
+    """Whether a pushed filter holds for a row, exactly: the tracker's own comparison is wider (letters' case, minutes)."""
+    v = row[f.attribute[0]]
+    if isinstance(f, IsNotNull):
+        return v is not None
+    if v is None:
+        return False
+    if isinstance(f, In):
+        return v in f.value
+    return _COMPARE[type(f)](*(x.timestamp() if isinstance(x, datetime) else x for x in (v, f.value)))
+
+
+class IssueReader(RestReader):
+    """Issues as columns; conditions on SELECTABLE columns are put into the query, and what the tracker gives is compared again."""
+
+    def __init__(self, base: str, options: dict, headers: dict):
+        super().__init__([], headers, options.get("opener"))
+        self.base, self.options, self.pushed = base, options, []
+
+    def pushFilters(self, filters):  # noqa: N802 - Spark's name
+        for f in filters:
+            if jql_of(f) is None:
+                yield f
+            else:
+                self.pushed.append(f)
+
+    def jql(self) -> str:
+        given = re.split(r"(?i)\border by\b", self.options.get("jql", ""), maxsplit=1)
+        parts = [f"({given[0].strip()})"] * bool(given[0].strip()) + list(dict.fromkeys(filter(None, map(jql_of, self.pushed))))
+        return (" AND ".join(parts) + (" ORDER BY " + given[1].strip() if len(given) > 1 else "")).strip()
+
+    def partitions(self) -> list[RestPartition]:
+        fields = ",".join(dict.fromkeys([*FIELDS, "project"]))
+        return [RestPartition({"url": f"{self.base}/rest/api/3/search/jql", "params": {"jql": self.jql(), "maxResults": self.options.get("max_results", "50"), "fields": fields}, "list": "issues", "cursor": True, "token": True})]
+
+    def read(self, partition: RestPartition):
+        for _, _, value, error in super().read(partition):
+            if error:
+                yield (None,) * 7 + (error,)
+                continue
+            issue = json.loads(value)
+            f = issue.get("fields") or {}
+            who = f.get("assignee") or {}
+            at = datetime.fromisoformat(f["updated"]) if f.get("updated") else None
+            row = {"key": issue.get("key"), "project": (f.get("project") or {}).get("key"), "status": (f.get("status") or {}).get("name"), "assignee": who.get("displayName") or who.get("name"), "summary": f.get("summary"), "updated": at}
+            if all(holds(x, row) for x in self.pushed):
+                yield (*row.values(), value, None)
+
+
 class JiraSource(RestSource):
-    """format("jira"); options url, email, token, and jql + max_results (one page), or kind=projects, or key=<issue>. Column value: JSON."""
+    """format("jira"); options url, email, token, and jql + max_results (one page), or kind=projects, or key=<issue>. Column value: JSON.
+
+    kind=issues: all pages of the issues that jql (if given) selects, with the columns ISSUE_COLUMNS. Where Spark is set
+    to push filters to Python sources (spark.sql.python.filterPushdown.enabled), the tracker selects by them."""
+
+    def schema(self) -> str:
+        return ISSUE_COLUMNS if self.options.get("kind") == "issues" else super().schema()
+
+    def reader(self, schema) -> RestReader:
+        base = self.options.get("url", "").strip().rstrip("/")
+        return IssueReader(base, dict(self.options), self.headers()) if self.options.get("kind") == "issues" else super().reader(schema)
 
     @classmethod
     def name(cls) -> str:

@@ -44,25 +44,38 @@ class RestReader(DataSourceReader):
         return [RestPartition(r) for r in self.requests]
 
     def read(self, partition: RestPartition):
-        ask, request, pos = open_url, dict(partition.request), 0
-        if self.opener:
-            module, name = self.opener.split(":")
-            ask = getattr(importlib.import_module(module), name)
-        while True:
-            status, text = ask(request, self.headers)
-            if status != 200:
-                yield (request.get("parent"), pos, None, f"{status}: {text[:ERROR_CHARS]}")
-                return
-            data = json.loads(text)
-            where = request.get("list")
-            items = data if where is None else [data] if where == "" else data.get(where, [])
-            for item in items:
-                yield (request.get("parent"), pos, json.dumps(item, ensure_ascii=False), None)
-                pos += 1
-            if not (request.get("cursor") and data.get("has_more") and data.get("next_cursor")):
-                return
-            place = "body" if "body" in request else "params"
-            request = request | {place: request.get(place, {}) | {"start_cursor": data["next_cursor"]}}
+        yield from rows_of(partition.request, self.headers, self.opener)
+
+
+def rows_of(request: dict, headers: dict, opener: str | None):
+    """(parent, pos, JSON, error) for each item of the pages that a request gives."""
+    ask, request, pos = asker(opener), dict(request), 0
+    while True:
+        status, text = ask(request, headers)
+        if status != 200:
+            yield (request.get("parent"), pos, None, f"{status}: {text[:ERROR_CHARS]}")
+            return
+        data = json.loads(text)
+        where = request.get("list")
+        items = data if where is None else [data] if where == "" else data.get(where, [])
+        for item in items:
+            yield (request.get("parent"), pos, json.dumps(item, ensure_ascii=False), None)
+            pos += 1
+        if request.get("token"):  # a page token instead of a cursor
+            more, name = data.get("nextPageToken"), "nextPageToken"
+        else:
+            more, name = data.get("has_more") and data.get("next_cursor"), "start_cursor"
+        if not (request.get("cursor") and more):
+            return
+        place = "body" if "body" in request else "params"
+        request = request | {place: request.get(place, {}) | {name: more}}
+
+
+def asker(opener: str | None):
+    if not opener:
+        return open_url
+    module, name = opener.split(":")
+    return getattr(importlib.import_module(module), name)
 
 
 class RestSource(DataSource):

@@ -211,3 +211,59 @@ def test_trees_level_by_level_equal_the_walk(spark):
     assert {r["id"]: r["text"] for r in out.collect()} == {i: jira.adf_text(json.loads(t)) for i, t in rows}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan
+
+
+@pytest.fixture
+def pushing(spark):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(jira.JiraSource)
+    yield
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+@pytest.mark.parametrize(("condition", "asked", "left"), [
+    ("key = 'AB-3'", 'key = "AB-3"', False), ("project = 'Q\"X' and status = 'Done'", 'project = "Q\\"X"', False), ("status in ('done', 'To Do')", 'status in ("done", "To Do")', False),
+    ("updated >= timestamp '2024-03-01 00:00:00'", 'updated >= "2024/02/2', False), ("updated < timestamp '2024-02-15 00:00:00'", 'updated <= "2024/02/1', False), ("summary = 's4' and project = 'AB'", 'project = "AB"', True),
+    ("status = 'Done' or key = 'AB-1'", "", True), ("assignee is null", "", True), ("status <> 'Done'", "", True),
+])
+def test_conditions_are_pushed_into_the_trackers_language(spark, pushing, tmp_path, condition, asked, left):
+    """The rows of a read whose condition the tracker selects by are those of a read of everything."""
+    log = tmp_path / "asked"
+    read = lambda: spark.read.format("jira").options(url=f"file:{log}", email="a", token="b", kind="issues", jql="text ~ x ORDER BY updated DESC", opener="tests.fake_rest:tracker").load()
+    every = {r["key"]: r for r in read().collect()}
+    assert len(every) == 24
+    log.unlink()
+    df = read().where(condition)
+    got = {r["key"] for r in df.collect()}
+    queries = set(log.read_text().splitlines())
+    assert len(queries) == 1 and queries.pop().startswith("(text ~ x)" + (" AND " if asked else ""))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert (") Filter " in plan) == left
+    table = spark.createDataFrame([tuple(r) for r in every.values()], jira.ISSUE_COLUMNS)
+    assert got == {r["key"] for r in table.where(condition).collect()} and 0 < len(got) < 24
+    queries = log.read_text().splitlines()
+    assert all(asked in x for x in queries) and queries[0].endswith("ORDER BY updated DESC")
+
+
+def test_edited_pages_as_a_stream(spark, tmp_path):
+    """A run reads the pages edited since the last one, and those of its last minute; a restart goes on from the checkpoint."""
+    spark.dataSource.register(notion.NotionSource)
+    pages, asked = tmp_path / "wiki.json", tmp_path / "wiki.asked"
+
+    def run():
+        asked.unlink(missing_ok=True)
+        stream = spark.readStream.format("notion").options(token="t", url=f"file:{pages}", opener="tests.fake_rest:wiki", page_size="2").load()
+        query = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "point")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return sorted(set(asked.read_text().split())) if asked.exists() else []
+
+    at = {f"p{i}": f"2024-01-0{i}T00:00:00.000Z" for i in range(1, 6)}
+    pages.write_text(json.dumps(at))
+    assert run() == sorted(at)
+    assert run() == []
+    at |= {"p2": "2024-02-01T00:00:00.000Z", "p9": "2024-02-02T00:00:00.000Z"}
+    pages.write_text(json.dumps(at))
+    assert run() == ["p2", "p5", "p9"]
+    rows = spark.read.parquet(str(tmp_path / "out"))
+    last = {(r["parent"], json.loads(r["value"])["at"]) for r in rows.collect()}
+    assert {(p, t) for p, t in last if at[p] == t} == set(at.items()) and rows.where("error is not null").isEmpty()
