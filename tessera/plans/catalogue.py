@@ -14,6 +14,7 @@ from ..operators.index import VectorIndex
 from ..operators.lake import Lake
 from ..session import scratch
 from ..sources import jira, notion, vault
+from ..streaming.latest import keep_latest
 from . import fixtures as fx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -295,6 +296,16 @@ def lake_upserts(spark, sf_dir):
     return lake.read("latest").drop("ts")
 
 
+@query(f"select user_id, event_id, event_type, value::double as value from {_LATEST.format(where='')}")
+def stateful_latest(spark, sf_dir):
+    """The latest event of every user, from a stream that keeps them in its state; four files, two in a batch."""
+    lake, place = Lake(spark, scratch(spark, "lake")), scratch(spark, "events")
+    _events(spark, sf_dir).repartition(4).write.parquet(place)
+    lake.create("latest", _EVENTS, ["user_id"], ["ts", "event_id"])
+    keep_latest(spark, place, _EVENTS, lake, "latest", scratch(spark, "stream"), ["user_id"], ["ts", "event_id"], files=2)
+    return lake.read("latest").drop("ts")
+
+
 @query(f"""with a as {_LATEST.format(where=' where event_id % 2 = 0')}, b as (select * from {_LATEST.format(where='')} where user_id % 7 <> 0)
 select coalesce(b.user_id, a.user_id) as user_id, coalesce(b.event_id, a.event_id) as event_id, case when a.user_id is null then 'insert' when b.user_id is null then 'delete' else 'update' end as change
 from a full join b on a.user_id = b.user_id where a.event_id is distinct from b.event_id""")
