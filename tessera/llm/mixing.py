@@ -47,7 +47,7 @@ CHUNK_SHARES = 4
 SEED = 17
 #: Sources in a group of the tree, values that a draw may look through one by one, deviations from the mean that it looks at, and tries otherwise.
 GROUP = 256
-SEARCHED = 256
+SEARCHED = 128
 DEVIATIONS = 12
 TRIES = 32
 
@@ -94,38 +94,32 @@ def _ln_factorial(x: str) -> str:
     return _let("y", f"({x}) + 8", f"((y + 0.5) * ln(y) - y + 0.9189385332046728 + 1 / (12 * y) - 1 / (360 * power(y, 3)) + 1 / (1260 * power(y, 5)) - ln({product}))")
 
 
-def _ln_choose(n: str, k: str) -> str:
-    return f"({_ln_factorial(n)} - {_ln_factorial(k)} - {_ln_factorial(f'({n}) - ({k})')})"
-
-
 def hypergeometric(total: str, good: str, draws: str, u: str) -> str:
     """SQL for how many of `draws` out of `total` are among the `good`; u in [0, 1) is the only chance.
 
-    All are doubles. Within SEARCHED deviations of the mean the distribution is inverted at u, value by value, where
-    that is short; else by Stadlober's ratio of uniforms, whose tries are hashes of u, TRIES at most and 1.4 on average
-    (beyond them, in one of 10^12 cases, the most likely value). So the steps are bounded however large the numbers are."""
-    var = "named_struct('m', {d} * {g} / greatest({t}, 1D), 's', sqrt({d} * {g} / greatest({t}, 1D) * (1 - {g} / greatest({t}, 1D)) * ({t} - {d}) / greatest({t} - 1, 1D)))".format(t=total, g=good, d=draws)
-    lo = f"greatest(0D, {draws} - ({total} - {good}), floor(v.m - {DEVIATIONS} * v.s - 3))"
-    hi = f"least({draws}, {good}, ceil(v.m + {DEVIATIONS} * v.s + 3))"
-    p0 = f"exp({_ln_choose(good, 'b.lo')} + {_ln_choose(f'({total} - {good})', f'({draws} - b.lo)')} - {_ln_choose(total, draws)})"
-    step = f"a.p * (({good} - x + 1) * ({draws} - x + 1)) / (x * ({total} - {good} - {draws} + x))"
-    search = f"""aggregate(if(b.hi > b.lo, sequence(cast(b.lo as bigint) + 1, cast(b.hi as bigint)), cast(array() as array<bigint>)),
-      named_struct('k', b.lo, 'p', {p0}, 'c', {p0}),
-      (a, i) -> {_let("x", "cast(i as double)", f"if(a.c >= {u}, a, named_struct('k', x, 'p', {step}, 'c', a.c + {step}))")},
-      a -> a.k)"""
-    searched = _let("b", f"named_struct('lo', cast({lo} as double), 'hi', cast({hi} as double))", search)
-    # Of the symmetric forms of the distribution the one with fewest draws and good ones.
-    few = f"named_struct('g', least({good}, {total} - {good}), 'h', greatest({good}, {total} - {good}), 'm', least({draws}, {total} - {draws}))"
-    weight = lambda x: f"({_ln_factorial(x)} + {_ln_factorial(f'f.g - ({x})')} + {_ln_factorial(f'f.m - ({x})')} + {_ln_factorial(f'f.h - f.m + ({x})')})"
+    All are doubles. Of the symmetric forms of the distribution that with fewest draws and good ones is taken. Where it is
+    narrow, it is inverted at u, value by value within DEVIATIONS of the mean; else by Stadlober's ratio of uniforms, whose
+    tries are hashes of u, TRIES at most and 1.4 on average (beyond them, in one of 10^12 cases, the most likely value).
+    So the steps are bounded however large the numbers are."""
+    few = f"named_struct('t', {total} + 0D, 'g', least({good}, {total} - {good}), 'm', least({draws}, {total} - {draws}))"
+    var = "named_struct('m', f.m * f.g / f.t, 's', sqrt(f.m * f.g / f.t * (1 - f.g / f.t) * (f.t - f.m) / greatest(f.t - 1, 1D)))"
+    bounds = f"named_struct('lo', greatest(0D, floor(v.m - {DEVIATIONS} * v.s - 3) + 0D), 'hi', least(f.m, f.g, ceil(v.m + {DEVIATIONS} * v.s + 3) + 0D))"
+    values = "if(b.hi > b.lo, transform(sequence(cast(b.lo as bigint) + 1, cast(b.hi as bigint)), i -> cast(i as double)), cast(array() as array<double>))"
+    # Of each value its weight in units of that of the first one: within the bounds they span some e^72.
+    next_weight = "w * ((f.g - x + 1) * (f.m - x + 1)) / (x * (f.t - f.g - f.m + x))"
+    weights = f"aggregate(xs, array(1D), (ws, x) -> {_let('w', 'ws[size(ws) - 1]', f'concat(ws, array({next_weight}))')})"
+    search = f"aggregate(ws, named_struct('k', b.lo - 1, 'c', 0D), (a, w) -> if(a.k >= b.lo and a.c > goal, a, named_struct('k', a.k + 1, 'c', a.c + w)), a -> a.k)"
+    searched = _let("b", bounds, _let("xs", values, _let("ws", weights, _let("goal", f"{u} * aggregate(ws, 0D, (a, w) -> a + w)", search))))
+    weight = f"aggregate(array(x, f.g - x, f.m - x, f.t - f.g - f.m + x), 0D, (a, y0) -> a + {_ln_factorial('y0')})"
+    mode = "floor((f.m + 1) * (f.g + 1) / (f.t + 2)) + 0D"
     uniform = lambda salt: f"((cast(shiftrightunsigned(xxhash64({u}, i, {salt}), 11) as double) + 0.5D) / 9007199254740992D)"
     # 2 sqrt(2 / e) and 3 - 2 sqrt(3 / e), the constants of the method.
-    tried = _let("w", f"named_struct('x', {uniform(1)}, 'z', f.m * f.g / {total} + 0.5D + (1.7155277699214135D * sqrt(v.s * v.s + 0.5D) + 0.8989161620588988D) * ({uniform(2)} - 0.5D) / {uniform(1)})",
-                 f"if(w.z < 0 or w.z >= least(f.m, f.g) + 1, cast(null as double), {_let('z', 'floor(w.z) + 0D', f'if(2 * ln(w.x) <= top - {weight("z")}, z, cast(null as double))')})")
-    tries = f"aggregate(sequence(1, {TRIES}), cast(null as double), (a, i) -> if(a is not null, a, {tried}), a -> coalesce(a, f.mode))"
-    back = _let("k", tries, f"{_let('k2', f'if({good} > {total} - {good}, f.m - k, k)', f'if({draws} > f.m, {good} - k2, k2)')}")
-    mode = f"floor((f0.m + 1) * (f0.g + 1) / ({total} + 2)) + 0D"
-    by_ratio = _let("f0", few, _let("f", f"named_struct('g', f0.g, 'h', f0.h, 'm', f0.m, 'mode', {mode})", _let("top", weight("f.mode"), back)))
-    return f"(case when {good} <= 0 or {draws} <= 0 then 0D when {draws} >= {total} then {good} else {_let('v', var, f'if(v.s * {2 * DEVIATIONS} <= {SEARCHED}, {searched}, {by_ratio})')} end)"
+    place = "floor(v.m + 0.5D + (1.7155277699214135D * sqrt(v.s * v.s + 0.5D) + 0.8989161620588988D) * (c.y - 0.5D) / c.x) + 0D"
+    fits = f"{_let('r', f'transform(array(top, z), x -> {weight})', '2 * ln(c.x) <= r[0] - r[1]')}"
+    tried = _let("c", f"named_struct('x', {uniform(1)}, 'y', {uniform(2)})", _let("z", place, f"if(z >= 0 and z <= least(f.m, f.g) and {fits}, z, cast(null as double))"))
+    by_ratio = _let("top", mode, f"aggregate(sequence(1, {TRIES}), cast(null as double), (a, i) -> if(a is not null, a, {tried}), a -> coalesce(a, top))")
+    back = _let("k", f"if(v.s * {2 * DEVIATIONS} <= {SEARCHED}, {searched}, {by_ratio})", _let("k2", f"if({good} > f.g, f.m - k, k)", f"if({draws} > f.m, {good} - k2, k2)"))
+    return f"(case when {good} <= 0 or {draws} <= 0 then 0D when {draws} >= {total} then {good} else {_let('f', few, _let('v', var, back))} end)"
 
 
 def split_tree(draws: DataFrame, shards: int, seed: int = SEED) -> DataFrame:
