@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,10 +11,11 @@ from ..functions import binary, text
 from ..operators import chunk, rag, stats, store, vector
 from ..operators.index import VectorIndex
 from ..operators.lake import Lake
-from ..session import scratch
+from ..session import scratch, ship
 from ..sources import jira, notion, vault
 from ..streaming.latest import keep_latest
 from . import fixtures as fx
+from . import inputs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -65,11 +65,6 @@ def values(rows: list[tuple], names: str) -> str:
     return f"(values {', '.join('(' + ', '.join(map(show, r)) + ')' for r in rows)}) as v({names})"
 
 
-def expected(names: str, *rows: tuple) -> str:
-    """Expected rows, checked against the rules by reading."""
-    return f"select * from {values(list(rows), names)}"
-
-
 # Cleaning and splitting
 
 
@@ -78,10 +73,15 @@ def clean_text(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.clean_korean_text(F.col("text")).alias("cleaned"))
 
 
-@query(f"select id, {clean_sql('t')} as cleaned, array_to_string({sentences_sql(clean_sql('t'))}, '|') as sentences from {values(fx.KOREAN, 'id, t')}")
+_korean = "(translate(replace(text, chr(10), chr(12288) || '- 12 -' || chr(9)), 'aeinorst.,', '가에이나오라사타．，') || '。 ' || chr(10))"
+
+
+@query(f"select id, {clean_sql('t')} as cleaned, array_to_string({sentences_sql(clean_sql('t'))}, '|') as sentences from (select id, t from {values(fx.KOREAN, 'id, t')} union all select doc_id + 1000, {_korean} from documents)")
 def clean_korean_fixture(spark, sf_dir):
+    """The documents in Korean letters, with full-width stops and page footers, and a few odd texts."""
+    rows = spark.createDataFrame(fx.KOREAN, "id long, t string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), inputs.korean(F.col("text")).alias("t")))
     cleaned = text.clean_korean_text(F.col("t"))
-    return spark.createDataFrame(fx.KOREAN, "id int, t string").select("id", cleaned.alias("cleaned"), F.array_join(text.split_sentences(cleaned), "|").alias("sentences"))
+    return rows.select("id", cleaned.alias("cleaned"), F.array_join(text.split_sentences(cleaned), "|").alias("sentences"))
 
 
 @query(f"with s as (select doc_id, {sentences_sql(clean_sql('text'))} as ss from documents) select doc_id, unnest(range(len(ss)))::int as pos, unnest(ss) as sentence from s")
@@ -145,82 +145,86 @@ def strip_han_control(spark, sf_dir):
     return rows.select("id", text.strip_han_control(F.col("t")).alias("cleaned"))
 
 
-def _duck(steps):
-    return [(p.replace("(?md)", "(?m)").replace(text.S, SP).replace(r"\p{Nd}", "[0-9]").replace(r"\A", "^"), by.replace("$1", r"\1")) for p, by in steps]
+def markdown_sql(c: str) -> str:
+    """The rules for markdown, written for DuckDB."""
+    return strip_sql(rep(
+        f"replace(replace({c}, chr(13) || chr(10), chr(10)), chr(13), chr(10))",
+        (r"^---\n(?s:.*?)\n---\n", ""), (r"\[([^\]]+)\]\([^)]+\)", r"\1"), (r"\[\[([^\]|]+)(\|[^\]]+)?\]\]", r"\1"), (r"!\[[^\]]*\]\([^)]+\)", ""), (r"```(?s:.*?)```", ""), (r"`[^`]+`", ""),
+        (rf"(?m)^##?#?#?#?#?{SP}+", ""), (r"\*\*?([^*]+)\*\*?", r"\1"), (r"__?([^_]+)__?", r"\1"), (rf"(?m)^>{SP}*", ""), (rf"(?m)^[-_*][-_*][-_*]+{SP}*$", ""), (rf"(?m)^{SP}*[-+*]{SP}+", ""), (rf"(?m)^{SP}*[0-9]+\.{SP}+", ""),
+        ("#[A-Za-z가-힣][A-Za-z0-9가-힣_/-]*", ""),
+    ))
 
 
-@query(f"select id, {strip_sql(rep(rep('t', (chr(13) + chr(10) + '?', chr(10))), *_duck(text.MARKDOWN)))} as text from (select id, t from {values(fx.MARKDOWN, 'id, t')} union all select doc_id + 1000, text from documents)")
+@query(f"select id, {markdown_sql('t')} as text from (select id, t from {values(fx.MARKDOWN, 'id, t')} union all select doc_id + 1000, text from documents)")
 def markdown_to_text(spark, sf_dir):
     rows = spark.createDataFrame(fx.MARKDOWN, "id long, t string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), F.col("text").alias("t")))
     return rows.select("id", text.markdown_to_text(F.col("t")).alias("text"))
 
 
-@query(f"select id, {strip_sql(rep('''coalesce(t, '')''', *_duck(text.WIKI)))} as text from {values(fx.WIKI, 'id, t')}")
+#: What the made inputs are made of, in SQL: words of a text, and the words of each line.
+_words = lambda c: f"trim(regexp_replace(coalesce({c}, ''), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+_lines = f"list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: {_words('x')})"
+
+
+@query(f"""select doc_id, trim(coalesce(array_to_string(list_transform({_lines}, lambda w, i: case when w = '' or i % 6 = 3 then null when i % 6 = 4 and doc_id % 2 <> 0 then '~' || w when i % 6 = 5 then w || ' '
+when i % 6 = 0 then w || ' ' || w else w end), chr(10) || chr(10)), '')) as text from documents""")
 def jira_markup_clean(spark, sf_dir):
-    return spark.createDataFrame(fx.WIKI, "id int, t string").select("id", text.clean_jira_markup(F.col("t")).alias("text"))
+    """The documents' lines under wiki markup, and without it again."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.clean_jira_markup(inputs.wiki_markup(F.col("doc_id"), F.col("text"))).alias("text"))
 
 
-@query(expected("id, text", (1, "hello @kim :ok:\n 하나"), (2, ""), (3, ""), (4, "")))
-def adf_to_text(spark, sf_dir):
-    from ..session import ship
+TREE_TEXTS = f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
+select doc_id, {strip_sql("string_agg(case when i % 3 = 0 then t || repeat(chr(10), 3) when i % 3 = 1 then t || chr(10) else t || case when t <> '' then ' ' else '' end || '@' || i || chr(10) end, ' ' order by i)")} as text from l group by doc_id"""
+
 
+@query(TREE_TEXTS)
+def adf_to_text(spark, sf_dir):
+    """As document_trees, each tree in one row's expression."""
     ship(spark)
-    return spark.createDataFrame(fx.ADF, "id int, t string").select("id", jira.adf_to_text(F.col("t")).alias("text"))
+    return inputs.document_trees(table(spark, sf_dir, "documents")).select("doc_id", jira.adf_to_text(F.col("tree")).alias("text"))
 
 
-@query(f"""with l as (select doc_id, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents)
-select doc_id, {strip_sql("string_agg(case when i % 3 = 0 then t || repeat(chr(10), 3) when i % 3 = 1 then t || chr(10) else t || case when t <> '' then ' ' else '' end || '@' || i || chr(10) end, ' ' order by i)")} as text from l group by doc_id""")
+@query(TREE_TEXTS)
 def document_trees(spark, sf_dir):
     """Every document as a tree of paragraphs, mentions and lists, and its text again."""
-    line = F.col("line")
-    node = lambda kind, *inside: F.concat(F.lit(f'{{"type":"{kind}","content":['), *[x for i, c in enumerate(inside) for x in ([F.lit(","), c] if i else [c])], F.lit("]}"))
-    quoted = F.expr("substring(to_json(named_struct('t', line)), 6, length(to_json(named_struct('t', line))) - 6)")  # the line as a JSON string
-    word = F.concat(F.lit('{"type":"text","text":'), quoted, F.lit("}"))
-    mention = F.concat(F.lit('{"type":"mention","attrs":{"text":"@'), (F.col("at") + 1).cast("string"), F.lit('"}}'))
-    shown = F.when(F.col("at") % 3 == 2, node("bulletList", node("listItem", node("paragraph", word)))).when(F.col("at") % 3 == 0, node("paragraph", word)).otherwise(node("paragraph", word, mention))
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("at", "line")).withColumn("line", line)
-    parts = lines.select("doc_id", "at", shown.alias("node")).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "node"))), lambda x: x["node"]).alias("nodes"))
-    return jira.tree_texts(parts.select("doc_id", F.concat(F.lit('{"type":"doc","content":['), F.array_join("nodes", ","), F.lit("]}")).alias("tree")), "doc_id", "tree")
-
-
-@query(expected(
-    "source, type, summary, status, project, text",
-    ("AB-1", "jira_issue", "로그인 오류", "완료", "AB", "[AB-1] (상태: 완료) 로그인 오류\n\n이슈 상태: 완료 (Done) - 완료된 작업, done task, completed\n\n담당자: Kim\n\nhello @kim :ok:\n 하나\n\nbold site"),
-    ("AB-2", "jira_issue", "느림", "진행 중", "Unknown", "[AB-2] (상태: 진행 중) 느림\n\n이슈 상태: 진행 중 - 진행중인 작업, in progress task, working\n\n그냥 글"),
-    ("AB-3", "jira_issue", "", "할일", "Unknown", "이슈 상태: 할일 (To Do) - 대기중인 작업, pending task, todo"),
-    ("AB-4", "jira_issue", "x" * 100, "Unknown", "Unknown", "[AB-4] " + "x" * 120),
-))
-def issue_render(spark, sf_dir):
-    raw = spark.createDataFrame([(json.dumps(i, ensure_ascii=False),) for i in fx.ISSUES], "value string")
-    return jira.issue_metadata(jira.issue_texts(jira.parse_issues(raw))).select("source", "type", "summary", "status", "project", "text")
+    return jira.tree_texts(inputs.document_trees(table(spark, sf_dir, "documents")), "doc_id", "tree")
 
 
-@query(expected(
-    "source, type, page_id, url, last_edited, text",
-    ("회의록", "notion_page", "p1", "https://n/p1", "2024-01-01T00:00:00Z", "# 회의록\n문단\n  인용\n\n머리\n\n- 점\n[Code (python)]: x=1\n[x] 할 일\n[Page: 아래]\n[Database: Untitled]\n[Link: http://x]\n[Pdf: 그림]\n[Image]"),
-    ("기타", "notion_page", "p2", "", "", "# 기타\n- 수\n[ ] 남음"),
-    ("Untitled", "notion_page", "p3", "", "", "# Untitled"),
-))
-def notion_page_content(spark, sf_dir):
-    pages = notion.parse_pages(spark.createDataFrame([(json.dumps(p, ensure_ascii=False),) for p in fx.PAGES], "value string"))
-    blocks = spark.createDataFrame([(parent, pos, json.dumps(b, ensure_ascii=False)) for parent, pos, b in fx.BLOCKS], "parent_id string, pos int, block string")
-    return notion.page_metadata(notion.page_texts(notion.only_pages(pages), blocks)).select("source", "type", "page_id", "url", "last_edited", "text")
+@query(f"""with d as (select doc_id, {_words('left(text, 150)')} as s, {_words('text')} as w, lang, 'AB-' || doc_id as key, case doc_id % 5 when 0 then '완료' when 1 then '진행 중' when 2 then '할일' when 3 then 'Closed' end as st from documents)
+select key as source, 'jira_issue' as type, left(s, 100) as summary, coalesce(st, 'Unknown') as status, case when doc_id % 3 = 0 then 'Unknown' else 'AB' end as project,
+concat_ws(chr(10) || chr(10), case when s <> '' then '[' || key || ']' || coalesce(' (상태: ' || st || ')', '') || ' ' || s end,
+  case doc_id % 5 when 0 then '이슈 상태: 완료 (Done) - 완료된 작업, done task, completed' when 1 then '이슈 상태: 진행 중 - 진행중인 작업, in progress task, working' when 2 then '이슈 상태: 할일 (To Do) - 대기중인 작업, pending task, todo'
+    when 3 then '이슈 상태: Closed - 완료된 작업, done task, completed' end,
+  case when doc_id % 2 = 0 and lang <> '' then '담당자: ' || lang end, case when doc_id % 3 <> 2 and w <> '' then w end, coalesce(lang, 'none') || ' site') as text from d""")
+def issue_render(spark, sf_dir):
+    """An issue of the tracker for each document, as text with metadata."""
+    found = jira.parse_issues(inputs.issues(table(spark, sf_dir, "documents")))
+    return jira.issue_metadata(jira.issue_texts(found)).select("source", "type", "summary", "status", "project", "text")
 
 
-_payload = "json_extract(b, '$.' || kind)"
-_rich = lambda name: f"coalesce(array_to_string(list_transform(json_extract_string({_payload}, '$.{name}[*].plain_text'), lambda x: coalesce(x, '')), ''), '')"
+BLOCKS = f"""with l as (select doc_id, source, lang, unnest({_lines}) as w, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i from documents),
+k as (select *, (i % 22)::int as k from l),
+b as (select *, case when k in (0, 13, 14, 15) then w || '!' when k in (1, 16, 17) then chr(10) || w || '!' || chr(10) when k in (2, 18) then '- ' || w || '!' when k = 3 then '[Code (' || case when i % 4 = 0 then '' else 'python' end || ')]: ' || w || '!'
+when k = 4 then case when i % 2 = 0 then '[x] ' else '[ ] ' end || w || '!' when k in (6, 7) then case k when 6 then '[Page: ' else '[Database: ' end || case when i % 2 = 0 then w else 'Untitled' end || ']'
+when k in (8, 9, 10) and i % 5 <> 0 then '[Link: http://x]' when k in (11, 12, 19, 20) then '[' || case k when 11 then 'Pdf' when 12 then 'Image' when 19 then 'Video' else 'File' end || case when i % 3 <> 0 and w <> '' then ': ' || w else '' end || ']' else '' end as t from k)
+"""
 
 
-@query(f"""with v as (select id, b::json as b, json_extract_string(b::json, '$.type') as kind from {values([(i, json.dumps(b, ensure_ascii=False)) for i, (_, _, b) in enumerate(fx.BLOCKS)], 'id, b')}),
-w as (select id, kind, {_rich('rich_text')} as t, {_rich('caption')} as c, json_extract_string({_payload}, '$.language') as language, json_extract_string({_payload}, '$.checked') as checked, json_extract_string({_payload}, '$.title') as title, coalesce(json_extract_string({_payload}, '$.url'), '') as url from v)
-select id, case when kind in ('paragraph', 'quote', 'callout', 'toggle') then t when kind like 'heading_%' then chr(10) || t || chr(10) when kind in ('bulleted_list_item', 'numbered_list_item') then '- ' || t
-when kind = 'code' then '[Code (' || coalesce(language, '') || ')]: ' || t when kind = 'to_do' then case when checked = 'true' then '[x] ' else '[ ] ' end || t
-when kind = 'child_page' then '[Page: ' || coalesce(title, 'Untitled') || ']' when kind = 'child_database' then '[Database: ' || coalesce(title, 'Untitled') || ']'
-when kind in ('bookmark', 'embed', 'link_preview') and url <> '' then '[Link: ' || url || ']'
-when kind in ('image', 'video', 'file', 'pdf') then '[' || upper(kind[1]) || kind[2:] || case when c <> '' then ': ' || c else '' end || ']' else '' end as text from w""")
+@query(BLOCKS + "select doc_id, i::int as pos, t as text from b")
 def notion_blocks(spark, sf_dir):
-    rows = spark.createDataFrame([(i, json.dumps(b, ensure_ascii=False)) for i, (_, _, b) in enumerate(fx.BLOCKS)], "id int, b string")
-    return rows.select("id", notion.block_text(F.col("b")).alias("text"))
+    """A block of the wiki for each line of the documents, of every kind in turn."""
+    rows = inputs.blocks(table(spark, sf_dir, "documents")).where(F.startswith("parent_id", F.lit("p")))
+    return rows.select("doc_id", "pos", notion.block_text(F.col("block")).alias("text"))
+
+
+@query(BLOCKS + """, p as (select doc_id, source, lang, string_agg(case when k = 0 then t || chr(10) || '  ' || w || '!' when t <> '' then t end, chr(10) order by i) as body from b group by all),
+h as (select *, case doc_id % 3 when 0 then coalesce(source, '') when 1 then coalesce(lang, '') else 'Untitled' end as title from p where doc_id % 10 <> 9)
+select title as source, 'notion_page' as type, 'p' || doc_id as page_id, case when doc_id % 2 = 0 then 'https://n/' || doc_id else '' end as url, '2024-01-01T00:00:00Z' as last_edited, coalesce(concat_ws(chr(10), case when title <> '' then '# ' || title end, body), '') as text from h""")
+def notion_page_content(spark, sf_dir):
+    """A page of the wiki for each document, of blocks with blocks below them."""
+    docs = table(spark, sf_dir, "documents")
+    found = notion.page_texts(notion.only_pages(notion.parse_pages(inputs.pages(docs))), inputs.blocks(docs).drop("doc_id"))
+    return notion.page_metadata(found).select("source", "type", "page_id", "url", "last_edited", "text")
 
 
 # What is to do, and upserts
@@ -435,11 +439,12 @@ def _any(c: str, words: list[str]) -> str:
     return "(" + " or ".join(f"contains({c}, {q(w)})" for w in words) + ")"
 
 
-_low = "lower(text)"
-_intent = " ".join(f"when {_any(_low, w)} then '{name}'" for name, w in rag.INTENT.items())
+_has = lambda *words: _any("lower(text)", list(words))
+_list = _has("보여", "show me", "list", "리스트", "목록", "전체", "모든", "all")
 
 
-@query(f"select id, case {_intent} end as intent, {_any(_low, rag.LIST_WORDS)} as list_intent, case when {_any(_low, rag.LIST_WORDS)} then least(30, 1000) else 5 end::int as k from (select conv_id * 1000 + turn as id, text from conversations union all select -id, t from {values(fx.PROMPTS, 'id, t')})")
+@query(f"""select id, case when {_has('done', 'closed', 'resolved', 'finished', '완료', '끝난')} then 'done' when {_has('progress', 'working', '진행')} then 'progress' when {_has('pending', 'todo', 'to do', 'open', 'backlog', '대기', '할일')} then 'pending' end as intent,
+{_list} as list_intent, case when {_list} then 30 else 5 end::int as k from (select conv_id * 1000 + turn as id, text from conversations union all select -id, t from {values(fx.PROMPTS, 'id, t')})""")
 def intent_router(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text").unionByName(spark.createDataFrame(fx.PROMPTS, "id long, text string").withColumn("id", -F.col("id")))
     t = F.col("text")
@@ -533,107 +538,43 @@ def zip_renumber(spark, sf_dir):
 _bit = lambda n: f"(flags >> {n}) & 1 = 1"
 
 
-@query(f"select flags, {', '.join(f'{_bit(n)} as {name}' for n, name in binary.HEADER_FLAGS.items())}, case when {_bit(1)} or {_bit(8)} then 'password' when {_bit(4)} or {_bit(9)} then 'drm' when {_bit(2)} then 'distribution' end as encryption_type, ({_bit(1)} or {_bit(8)} or {_bit(4)} or {_bit(9)}) as is_encrypted from range(2048) r(flags)")
+@query(f"with o as (select o_orderkey, o_orderkey % 2048 as flags from orders) select o_orderkey, flags, {', '.join(f'{_bit(n)} as {name}' for n, name in binary.HEADER_FLAGS.items())}, case when {_bit(1)} or {_bit(8)} then 'password' when {_bit(4)} or {_bit(9)} then 'drm' when {_bit(2)} then 'distribution' end as encryption_type, ({_bit(1)} or {_bit(8)} or {_bit(4)} or {_bit(9)}) as is_encrypted from o")
 def hwp_flag_decode(spark, sf_dir):
+    """A file header for each order, whose flags are the low bits of its key."""
+    key = F.format_string("%08X", F.col("o_orderkey") % 2048)
+    header = F.unhex(F.concat(F.lit("00" * 36), *[F.substring(key, p, 2) for p in (7, 5, 3, 1)]))
     flags = F.col("flags")
-    return spark.range(2048).select(F.col("id").alias("flags")).select("flags", binary.header_flags(flags).alias("h"), binary.encryption_type(flags).alias("encryption_type"), binary.is_encrypted(flags).alias("is_encrypted")).select("flags", "h.*", "encryption_type", "is_encrypted")
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", binary.u32(header, 36).alias("flags"))
+    return rows.select("o_orderkey", "flags", binary.header_flags(flags).alias("h"), binary.encryption_type(flags).alias("encryption_type"), binary.is_encrypted(flags).alias("is_encrypted")).select("o_orderkey", "flags", "h.*", "encryption_type", "is_encrypted")
 
 
 _tags = " ".join(f"when {n} then '{name}'" for n, name in binary.TAGS.items())
 
 
-@query(f"with w as (select (i * 2654435761) % 4294967296 as word from range(5000) r(i)) select word, word & 1023 as tag_id, (word >> 10) & 1023 as level, (word >> 20) & 4095 as size, case word & 1023 {_tags} else 'UNKNOWN_0x' || lpad(upper(to_hex(word & 1023)), 3, '0') end as tag_name from w")
+@query(f"with w as (select event_id, (event_id * 2654435761) % 4294967296 as word from events) select event_id, word, word & 1023 as tag_id, (word >> 10) & 1023 as level, (word >> 20) & 4095 as size, case word & 1023 {_tags} else 'UNKNOWN_0x' || lpad(upper(to_hex(word & 1023)), 3, '0') end as tag_name from w")
 def record_header_split(spark, sf_dir):
-    w = spark.range(5000).select(((F.col("id") * 2654435761) % 4294967296).alias("word"))
-    return w.select("word", binary.record_header(F.col("word")).alias("h")).select("word", "h.*").withColumn("tag_name", binary.tag_name(F.col("tag_id")))
+    """A record's first word for each event, from a multiple of its id."""
+    w = table(spark, sf_dir, "events").select("event_id", ((F.col("event_id") * 2654435761) % 4294967296).alias("word"))
+    return w.select("event_id", "word", binary.record_header(F.col("word")).alias("h")).select("event_id", "word", "h.*").withColumn("tag_name", binary.tag_name(F.col("tag_id")))
 
 
-@query(f"select id, left(t, 80) || '_sec_3' as section_id, replace(t, chr(92), '/') as path, {rep(strip_sql('t'), ('/+$', ''))} as url, string_split(t, ':')[1] = 'bge-m3' as model, t || ' - name' as label, string_split(t, ' - ')[1] as key from {values(fx.NAMES, 'id, t')}")
+@query(f"""select id, left(t, 80) || '_sec_3' as section_id, replace(t, chr(92), '/') as path, {rep(strip_sql('t'), ('/+$', ''))} as url, string_split(t, ':')[1] = 'src7' as model, t || ' - name' as label, string_split(t, ' - ')[1] as key
+from (select id, t from {values(fx.NAMES, 'id, t')} union all select doc_id * 2 + 1000, source || ':' || lang || ' - ' || text || '//' || chr(10) from documents union all select page_id * 2 + 1001, replace(url, '/', chr(92)) || '/' from pages)""")
 def name_functions(spark, sf_dir):
+    """Names, paths and labels from documents and pages."""
     t = F.col("t")
-    return spark.createDataFrame(fx.NAMES, "id int, t string").select(
-        "id", text.section_id(t, F.lit(3)).alias("section_id"), text.unix_path(t).alias("path"), text.trim_url(t).alias("url"), text.model_matches(t, "bge-m3:latest").alias("model"), text.project_label(t, F.lit("name")).alias("label"), text.project_key(t).alias("key")
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") * 2 + 1000).alias("id"), F.concat("source", F.lit(":"), "lang", F.lit(" - "), "text", F.lit("//\n")).alias("t"))
+    pages = table(spark, sf_dir, "pages").select((F.col("page_id") * 2 + 1001).alias("id"), F.concat(F.translate("url", "/", "\\"), F.lit("/")).alias("t"))
+    return spark.createDataFrame(fx.NAMES, "id long, t string").unionByName(docs).unionByName(pages).select(
+        "id", text.section_id(t, F.lit(3)).alias("section_id"), text.unix_path(t).alias("path"), text.trim_url(t).alias("url"), text.model_matches(t, "src7:latest").alias("model"), text.project_label(t, F.lit("name")).alias("label"), text.project_key(t).alias("key")
     )
 
 
-_SHEET_1, _DOCX = "이름\t\t42\nab\t1.5\tTrue", "첫 문단\n끝 문단\n\n[Table 1]\n가\t나\n"
-_XLSX = f"Sheet: 하나\n{_SHEET_1}\n\nSheet: 셋\n끝"
-_banner = lambda name: f"\n{'=' * 60}\n📄 {name}\n{'=' * 60}\n"
-_broken = lambda path, error, *kind: (path, "", None, 0, 0, error, *(kind or (None, None)), None, None, 0)
-
-
-@query(expected(
-    "path, text, method, word_count, char_count, error, encrypted, encryption_type, files_processed, files_skipped, n_sections",
-    ("a.hwp", "안녕  hello끝둘째 문단", "hwp_extraction (proper parser)", 3, 15, None, None, None, None, None, 1),
-    _broken("locked.hwp", "HWP file is encrypted (password)", True, "password"),
-    ("b.hwpx", "첫째안쪽안쪽", "hwpx_extraction (XML parser)", 1, 6, None, None, None, None, None, 1),
-    _broken("sealed.hwpx", "HWPX file is encrypted (package)", True, "package"),
-    ("c.xlsx", _XLSX, "xlsx", 10, 40, None, None, None, None, None, 2),
-    ("d.docx", _DOCX, "docx", 8, 25, None, None, None, None, None, 1),
-    ("e.zip", _banner("c.xlsx") + _XLSX + "\n\n" + _banner("d.docx") + _DOCX, "zip_extraction", 26, 331, None, None, None, 2, 1, 3),
-    _broken("f.doc", ".doc format not supported (only .docx)"),
-    _broken("g.txt", "Unsupported file type: .txt"),
-    _broken("h.zip", "Not a valid ZIP file"),
-    _broken("i.hwp", "Not a valid OLE file"),
-))
-def doc_parsers(spark, sf_dir):
-    """Generated office files through extraction: a row for each file."""
-    from ..sources import files
-
-    rows = spark.createDataFrame(fx.office_files(), "path string, content binary")
-    return files.extract(rows).select("path", "text", "method", "word_count", "char_count", "error", "encrypted", "encryption_type", "files_processed", "files_skipped", F.size("sections").alias("n_sections"))
-
-
-def _section(path: str, kind: str, title: str, body: str, order: int, n_words: int, n_chars: int) -> tuple:
-    return f"{path}_sec_{order}", "b1", path, kind, title, body, body, "ko", order, n_words, n_chars
-
-
-@query("select *, null::int as page_number from (" + expected(
-    "section_id, bid_id, document_id, section_type, section_title, text, cleaned_text, language, section_order, word_count, char_count",
-    _section("a.hwp", "bodytext", "Section 0", "안녕 漢字 hello\t끝\n둘째 문단", 0, 6, 19),
-    _section("b.hwpx", "bodytext", "Section 0", "첫째\t\n안쪽\n안쪽", 0, 3, 9),
-    _section("c.xlsx", "sheet", "하나", _SHEET_1, 1, 5, 18),
-    _section("c.xlsx", "sheet", "셋", "끝", 3, 1, 1),
-    _section("d.docx", "document", "Full Document", _DOCX, 1, 8, 25),
-    _section("e.zip", "sheet", "[c.xlsx] 하나", _SHEET_1, 1, 5, 18),
-    _section("e.zip", "sheet", "[c.xlsx] 셋", "끝", 2, 1, 1),
-    _section("e.zip", "document", "[d.docx] Full Document", _DOCX, 3, 8, 25),
-) + ")")
-def section_table(spark, sf_dir):
-    """Rows of the section table for the generated office files."""
-    from ..sources import files
-
-    rows = spark.createDataFrame(fx.office_files(), "path string, content binary")
-    found = files.extract(rows.withColumn("document_id", F.col("path")).withColumn("bid_id", F.lit("b1")), ("document_id", "bid_id"))
-    return files.section_rows(found)
-
-
-_PARA = "03000000000000000000000001000000010007000000"
-
-
-@query("select path, \"offset\"::bigint as \"offset\", tag_id::bigint as tag_id, level, size::bigint as size, data, tag_name from (" + expected(
-    "path, \"offset\", tag_id, level, size, data, tag_name",
-    ("DocInfo", 0, 16, 0, 26, "0100" * 7 + "00000000" * 2 + "05000000", "DOCUMENT_PROPERTIES"),
-    ("DocInfo", 30, 17, 0, 72, "01000000" * 2 + "00000000" * 16, "ID_MAPPINGS"),
-    ("DocInfo", 106, 18, 0, 12, "010003000300" + "70006E006700", "BIN_DATA"),
-    ("DocInfo", 122, 19, 0, 7, "00" + "0200" + "14BCD5D0", "FACE_NAME"),
-    ("Section0", 0, 66, 0, 22, _PARA, "PARA_HEADER"),
-    ("Section0", 26, 67, 1, 48, "48C555B12000226F575B2000" + "680065006C006C006F00" + "0900" + "0B00" + "00" * 14 + "5DB03DD800DE0D00", "PARA_TEXT"),
-    ("Section0", 78, 66, 0, 22, _PARA, "PARA_HEADER"),
-    ("Section0", 104, 66, 0, 22, _PARA, "PARA_HEADER"),
-    ("Section0", 130, 67, 1, 10, "58B4F8C9200038BBE8B2", "PARA_TEXT"),
-) + ")")
-def hwp_record_dump(spark, sf_dir):
-    from ..sources import files
-
-    rows = spark.createDataFrame([("DocInfo", fx.hwp_doc_info()), ("Section0", fx.hwp_section())], "path string, content binary")
-    return files.hwp_records(rows).withColumn("tag_name", binary.tag_name(F.col("tag_id"))).withColumn("data", F.hex("data"))
-
-
-@query(expected("source, folder, path, text", ("a.md", "vault", "a.md", "제목\n본문"), ("b.md", "sub", "sub/b.md", "t b"), ("d.md", "other", "/other/d.md", "")))
+@query(f"""with d as (select doc_id, case when doc_id % 13 <> 0 then text end as text, case when doc_id % 5 = 0 then 'other' else coalesce(source, 'none') end as folder from documents where doc_id % 11 <> 0)
+select doc_id || '.md' as source, folder, case when doc_id % 5 = 0 then '/other' else folder end || '/' || doc_id || '.md' as path, coalesce({markdown_sql('text')}, '') as text from d""")
 def vault_markdown(spark, sf_dir):
-    """Texts and metadata of a vault given as rows of path and content."""
-    rows = spark.createDataFrame(fx.vault_files(), "path string, content binary")
+    """Texts and metadata of a vault with a note for each document."""
+    rows = inputs.vault(table(spark, sf_dir, "documents"))
     return vault.vault_texts(rows.where(~binary.has_hidden_part(F.col("path"))), "/vault")
 
 
