@@ -1,13 +1,12 @@
 """Exact cosine search over stored vectors.
 
 A single query vector is a literal, so the search is a scan with a top-k. Many queries are held in a
-block of bounded size (QUERY_BLOCK) that every task has: a task multiplies its rows with the block and
+block of bounded size (QUERY_BYTES) that every task has: a task multiplies its rows with the block and
 hands on its k best rows for each query.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,7 +18,8 @@ from pyspark.sql.window import Window
 from ..session import ship
 
 TOP_K, LIST_K, MIN_SIMILARITY = 5, 30, 0.5
-QUERY_BLOCK = 2048
+#: Bytes of the query vectors that a task holds; queries multiplied at once, and pairs whose exact score is taken at once.
+QUERY_BYTES, QUERY_STRIP, PAIRS = 32 << 20, 1024, 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,11 +53,12 @@ def top_k(corpus: DataFrame, query: Sequence[float], k: int = TOP_K, min_similar
 def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, min_similarity: float | None = None, key: str = "vec_id", query_key: str = "query_id", embedding: str = "embedding") -> DataFrame:
     """(query_id, rank, key, similarity): the k best rows of corpus for each row of queries (query_id, query_embedding).
 
-    Queries go through in blocks of QUERY_BLOCK, found by hash, so what is sent to the tasks has a bound. A
-    task scores a batch of rows against its block as one matrix product and keeps k rows a query, so only these are
+    Queries go through in blocks of about QUERY_BYTES, found by hash, so what is sent to the tasks has a bound; each
+    block is a scan of the corpus, and nothing of the corpus is shuffled. A task scores a batch of rows against its block as one matrix product and keeps k rows a query, so only these are
     shuffled. Vectors of another length than a query's, null ones and those without direction are no candidates."""
     spark = corpus.sparkSession
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    size = queries.agg(F.sum(F.size("query_embedding").cast("long")).alias("n")).first()["n"] or 0
+    blocks = max(1, -(-8 * size // QUERY_BYTES))
     asked = queries.select(F.col(query_key).alias("q"), F.col("query_embedding").cast("array<double>").alias("e"))
     rows = corpus.select(F.col(key).alias("key"), F.col(embedding).cast("array<double>").alias("e"))
     kinds = f"q {asked.schema['q'].dataType.simpleString()}, key {rows.schema['key'].dataType.simpleString()}, similarity double"
@@ -78,31 +79,48 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, min_simil
 
 
 def best_of(batches: Iterator[pd.DataFrame], asked: list[tuple], k: int, least: float | None) -> Iterator[pd.DataFrame]:
-    """q, key, similarity: of all batches (key, e) the k best rows for each query (q, e). Scores of those that can be among
-    them are taken one by one, so that equal vectors score alike and ties go by key."""
-    dims = {len(e) for _, e in asked}
-    queries = {d: np.array([e for _, e in asked if len(e) == d]) for d in dims}
+    """q, key, similarity: of all batches (key, e) the k best rows for each query (q, e).
+
+    A product of matrices says which rows can be among them; their scores are then taken one by one, so that equal
+    vectors score alike and ties go by key."""
+    dims = sorted({len(e) for _, e in asked})
     names = {d: [q for q, e in asked if len(e) == d] for d in dims}
-    kept: dict[int, list[list[tuple]]] = {d: [[] for _ in names[d]] for d in dims}
+    queries = {d: np.array([e for _, e in asked if len(e) == d], dtype=float) for d in dims}
+    sizes = {d: np.sqrt((x * x).sum(axis=1)) for d, x in queries.items()}
+    floor = {d: np.full(len(names[d]), -2.0 if least is None else least) for d in dims}  # the k-th best score so far
+    kept: dict[tuple, pd.DataFrame] = {}  # by length of the vectors and strip of queries
     for batch in batches:
         batch = batch[batch["e"].notna()]
         for d in dims:
             part = batch[batch["e"].map(len) == d]
             if part.empty:
                 continue
-            x, ids = np.stack(part["e"].to_numpy()).astype(float), part["key"].tolist()
+            x, ids = np.stack(part["e"].to_numpy()).astype(float), part["key"].to_numpy()
             size = np.sqrt((x * x).sum(axis=1))
-            good = np.flatnonzero(np.isfinite(size) & (size > 0))
-            if not len(good):
+            good = np.isfinite(size) & (size > 0)
+            if not good.any():
                 continue
-            x, size, ids = x[good], size[good], [ids[i] for i in good]
-            unit = queries[d] / np.sqrt((queries[d] ** 2).sum(axis=1, keepdims=True))
-            rough = unit @ (x / size[:, None]).T
-            kth = np.partition(rough, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
-            for i in range(len(unit)):
-                have = kept[d][i]
-                near = np.flatnonzero(rough[i] >= max(kth[i], have[-1][0] * -1 if len(have) == k else -2.0) - 1e-9)
-                s = (x[near] * queries[d][i]).sum(axis=1) / (size[near] * np.sqrt((queries[d][i] ** 2).sum()))
-                kept[d][i] = heapq.nsmallest(k, [*have, *((-v, ids[j]) for j, v in zip(near, s.tolist(), strict=True) if least is None or v >= least)])
-    out = [(q, key, -v) for d in dims for q, rows in zip(names[d], kept[d], strict=True) for v, key in rows]
-    yield pd.DataFrame(out, columns=["q", "key", "similarity"])
+            x, size, ids = x[good], size[good], ids[good]
+            unit = (x / size[:, None]).T
+            for at in range(0, len(names[d]), QUERY_STRIP):
+                strip = slice(at, at + QUERY_STRIP)
+                rough = (queries[d][strip] / sizes[d][strip, None]) @ unit
+                kth = np.partition(rough, max(0, len(ids) - k), axis=1)[:, max(0, len(ids) - k)]
+                near = rough >= np.maximum(kth if len(ids) > k else -2.0, floor[d][strip])[:, None] - 1e-9
+                # Many rows can share the k-th score, so queries are taken together as far as their rows go.
+                ends = np.flatnonzero(np.diff(np.cumsum(near.sum(axis=1)) // PAIRS, append=-1)) + 1
+                for first, last in zip([0, *ends[:-1]], ends, strict=True):
+                    i, j = np.nonzero(near[first:last])
+                    if not len(i):
+                        continue
+                    i += at + first
+                    s = np.concatenate([(x[j[n : n + PAIRS]] * queries[d][i[n : n + PAIRS]]).sum(axis=1) for n in range(0, len(i), PAIRS)]) / (size[j] * sizes[d][i])
+                    ok = slice(None) if least is None else s >= least
+                    new = pd.DataFrame({"i": i[ok], "key": ids[j][ok], "similarity": s[ok]})
+                    top = pd.concat([kept[d, at], new]) if (d, at) in kept else new
+                    kept[d, at] = top.sort_values(["i", "similarity", "key"], ascending=[True, False, True]).groupby("i", sort=False).head(k)
+                    full = kept[d, at].groupby("i")["similarity"].agg(["size", "min"])
+                    full = full[full["size"] == k]
+                    floor[d][full.index.to_numpy()] = full["min"].to_numpy()
+    for (d, _), best in kept.items():
+        yield pd.DataFrame({"q": np.array(names[d], dtype=object)[best["i"].to_numpy()], "key": best["key"].to_numpy(), "similarity": best["similarity"].to_numpy()})

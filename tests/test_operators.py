@@ -1,6 +1,8 @@
 import datetime
 import math
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,10 +95,28 @@ def test_batch_search_in_blocks(spark, sf, monkeypatch):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     q = e.where("vec_id < 30").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     whole = sorted(map(tuple, vector.top_k_batch(e, q, 3).collect()))
-    monkeypatch.setattr(vector, "QUERY_BLOCK", 7)
+    for name, value in (("QUERY_BYTES", 7 * 64 * 8), ("QUERY_STRIP", 3), ("PAIRS", 5)):
+        monkeypatch.setattr(vector, name, value)
     assert sorted(map(tuple, vector.top_k_batch(e, q, 3).collect())) == whole
 
 
+@pytest.mark.parametrize(("k", "least"), [(1, None), (4, None), (50, None), (4, 0.3), (400, 0.0)])
+def test_best_of_batches(monkeypatch, k, least):
+    """Batches with copies, zero, short and missing vectors, and many ties, as all scores sorted give them."""
+    monkeypatch.setattr(vector, "QUERY_STRIP", 7)
+    monkeypatch.setattr(vector, "PAIRS", 40)
+    r = np.random.default_rng(k)
+    rows = [(f"k{i:03d}", None if i % 29 == 0 else [0.0] * 4 if i % 31 == 0 else [1.0, 2.0] if i % 37 == 0 else [1.0, 1.0, 0.0, 0.0] if i % 3 == 0 else r.normal(size=4).tolist()) for i in range(300)]
+    asked = [(i, r.normal(size=4).tolist()) for i in range(19)] + [(20, [1.0, 1.0, 0.0, 0.0]), (21, [2.0, 1.0])]
+    batches = (pd.DataFrame(rows[n : n + 40], columns=["key", "e"]).assign(e=lambda d: d["e"].map(lambda e: e if e is None else np.array(e))) for n in range(0, 300, 40))
+    got = pd.concat(list(vector.best_of(batches, asked, k, least)))
+    for q, e in asked:
+        scores = [(-(np.array(x) * np.array(e)).sum() / (np.sqrt((np.array(x) ** 2).sum()) * np.sqrt((np.array(e) ** 2).sum())), key) for key, x in rows if x and len(x) == len(e) and any(x)]
+        want = sorted((s, key) for s, key in scores if least is None or -s >= least)[:k]
+        mine = got[got["q"] == q]
+        assert list(mine["key"]) == [key for _, key in want] and np.allclose(mine["similarity"], [-s for s, _ in want])
+
+
 def test_routing(spark):
     cases = {"완료된 작업 목록": ("done", True), "진행중인 이슈": ("progress", False), "SEND-22에 대해 설명해줘": (None, False), "done or in progress": ("done", False), "small": (None, True), "할일": ("pending", False)}
     got = spark.createDataFrame([(p,) for p in cases], "p string").select("p", rag.intent(F.col("p")).alias("i"), rag.wants_list(F.col("p")).alias("l"), rag.passages(F.col("p"), 12).alias("k")).collect()
