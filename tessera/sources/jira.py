@@ -105,7 +105,8 @@ def tree_texts(rows: DataFrame, key: str, tree: str) -> DataFrame:
         own = level.select("key", "path", "leaf", F.when(F.col("kind").isin(*BLOCKS, *LISTS), "\n").otherwise("").alias("end"))
         if texts is not None:
             children = texts.where("text <> ''").groupBy("key", F.slice("path", F.lit(1), F.size("path") - 1).alias("path")).agg(F.array_sort(F.collect_list(F.struct(F.element_at("path", -1).alias("at"), "text"))).alias("c"))
-            own = own.join(children, ["key", "path"], "left")
+            # Columns of nodes are estimated far too small beside `content`, so without the hint whole levels would be broadcast.
+            own = own.join(children.hint("merge"), ["key", "path"], "left")
             joined = F.coalesce(F.array_join(F.transform("c", lambda x: x["text"]), " "), F.lit(""))
         else:
             joined = F.lit("")

@@ -213,6 +213,14 @@ def test_trees_level_by_level_equal_the_walk(spark):
     assert "Python" not in plan and "Pandas" not in plan
 
 
+def test_levels_of_trees_are_not_broadcast(spark):
+    """A level has a row for each node, so it grows with the table, however small its estimate is."""
+    rows = spark.range(2000).select("id", F.concat(F.lit('{"type":"doc","content":[{"type":"paragraph","content":[{"type":"text","text":"t'), "id", F.lit('"}]}]}')).alias("tree"))
+    out = jira.tree_texts(rows, "id", "tree")
+    assert out.where("text = concat('t', id)").count() == 2000
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.fixture
 def pushing(spark):
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
