@@ -12,9 +12,14 @@ of a fingerprint select nothing, so it differs from op8's search in three places
   the radius.
 - A bucket emits a spanning forest of its links, near ones first, and each link of it is confirmed by
   the exact similarity of both texts, so nothing less similar is linked. A link that fails may have stood for
-  others, so forests are made again over what such links had joined, without them and starting from what is confirmed,
-  until no link is left to propose or `rounds` times (ROUNDS). A pair can be missed if no bucket holds it, if it lies beyond the
-  radius, or if after the rounds a less similar link still stands in its place.
+  others, so forests can be made again over what such links had joined, without them and starting from what is confirmed,
+  until no link is left to propose or `rounds` times (ROUNDS).
+
+What SimHash leaves out (a pair that no bucket holds, or beyond the radius, or in whose place a less similar link
+stands) is found exactly by left_out(), among texts that are not joined yet: the groups are those of all pairs of the
+threshold. Texts of similarity t share t of the shingles of each, so of their least hashes
+(1 - t + SHARED of all) they share SHARED of all; texts that have less in common with all others are set aside, and of
+the rest those hashes meet that fewest texts have.
 
 Equal sets of shingles are one from the start. Buckets of more than CELL fingerprints are compared as
 pairs of cells, each in a task of its own. Components as in simhash.
@@ -35,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, map_arrow, utf8, whole_rows, written
+from .common import hot_keys, join_one, keyed, map_arrow, utf8, whole_rows, written
 from .simhash import components
 
 SHINGLE = 5
@@ -49,8 +54,10 @@ CELL = 2048
 SMALL = 48
 #: Links of one text that are compared in one place.
 HUB = 500
-#: Forests made again after links have failed.
-ROUNDS = 1
+#: Forests made again after links have failed; left_out() finds what they stood for as well.
+ROUNDS = 0
+#: Share of a text's shingles that must be among the least hashes of both texts of a pair.
+SHARED = 0.05
 QUERIES = 128
 #: Shares of the radius within which links are taken, one after the other.
 STEPS = (0.3, 0.55, 0.8, 1.0)
@@ -99,6 +106,17 @@ def signature(shingles: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
     return int(shingles.sum(dtype=np.uint64)), fp, mixed(bands)
 
 
+def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
+    """Of a set of n shingles: how many of its least hashes are compared, and how many of them a set as similar has among its own.
+
+    A similar set has at least ceil(similarity * n) of the n, so the first hashes in common lie within the n less that of the start, and as many
+    more as are asked for; the other set, which has similarity * n shingles at least, asks for as many at least."""
+    # A little less than the product, so that rounding keeps pairs in.
+    common = lambda m: math.ceil(similarity * m - 1e-9)
+    asked = lambda m: min(common(m), int(SHARED * m) + 1)
+    return n - common(n) + asked(n), asked(common(n))
+
+
 def csa(a, b, c):
     x = a ^ b
     return x ^ c, (a & b) | (x & c)
@@ -259,19 +277,43 @@ def proposed(groups: DataFrame, radius: int) -> DataFrame:
     return map_arrow(placed, run, "a long, b long").distinct()
 
 
-def signatures(docs: DataFrame, words: int, *beside: str) -> DataFrame:
-    """gid, fp and keys of each row of docs (text), and the long columns named beside."""
+def signatures(docs: DataFrame, words: int, *beside: str, similarity: float = SIMILARITY) -> DataFrame:
+    """gid, fp and keys of each row of docs (text), its number of shingles n, `shared` and the least hashes of prefix_sizes(), and the long columns named beside."""
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("gid", pa.int64()), ("fp", longs), ("keys", longs), *((c, pa.int64()) for c in beside)])
+    schema = pa.schema([("gid", pa.int64()), ("fp", longs), ("keys", longs), ("n", pa.int64()), ("shared", pa.int64()), ("least", longs), *((c, pa.int64()) for c in beside)])
 
     def run(batches):
         for b in batches:
-            got = [signature(shingle_set(t, words)) for t in utf8(b.column(0))]
+            sets = [shingle_set(t, words) for t in utf8(b.column(0))]
+            got = [signature(x) for x in sets]
             gid = pa.array(np.array([g for g, _, _ in got], np.uint64).view(np.int64))
             lists = [pa.array([x[k].view(np.int64) for x in got], longs) for k in (1, 2)]
-            yield pa.RecordBatch.from_arrays([gid, *lists, *b.columns[1:]], schema=schema)
-
-    return map_arrow(docs.select("text", *beside), run, ", ".join(["gid long, fp array<long>, keys array<long>", *(f"{c} long" for c in beside)]))
+            sizes = [(len(x), *prefix_sizes(len(x), similarity)) for x in sets]
+            n, shared = (pa.array([z[k] for z in sizes], pa.int64()) for k in (0, 2))
+            least = pa.array([x[: z[1]].view(np.int64) for x, z in zip(sets, sizes, strict=True)], longs)  # sets are sorted
+            yield pa.RecordBatch.from_arrays([gid, *lists, n, shared, least, *b.columns[1:]], schema=schema)
+
+    return map_arrow(docs.select("text", *beside), run, ", ".join(["gid long, fp array<long>, keys array<long>, n long, shared long, least array<long>", *(f"{c} long" for c in beside)]))
+
+
+def left_out(groups: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) to be confirmed that hold every pair of groups (gid, n, shared, least) of the similarity with different roots (gid, root; others are alone)."""
+    rooted = written(groups.join(roots, "gid", "left").select("gid", F.coalesce("root", "gid").alias("root"), "n", "shared", "least"), "copies-least")
+    # A hash within one root joins nothing new and counts as one that no other text has.
+    counts = rooted.select("root", F.explode("least").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+    counts = written(counts.where("low <> high").select("key", "n"), "copies-counts")
+    hot = hot_keys(counts, "key", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    met = join_one(rooted.select("gid", F.explode("least").alias("key")), counts.hint("merge"), "key", hot).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("count"), "key"))).alias("keys"))
+    # By rarity, hashes that no other root has come first; a pair shares `shared` of a text's hashes, so the rarest of these is not among its last shared - 1.
+    met = rooted.drop("least").join(met.where(F.size("keys") > 0).hint("merge"), "gid").where(F.size("keys") >= F.col("shared"))
+    kept = met.select("gid", "root", "n", F.explode(F.slice("keys", F.lit(1), (F.size("keys") - F.col("shared") + 1).cast("int"))).alias("k")).select("gid", "root", "n", "k.key", "k.count")
+    kept = written(kept, "copies-rare")
+    cells = F.ceil(F.col("count") / CELL).cast("int")
+    cell, other = F.pmod(F.xxhash64("gid"), cells).cast("int"), F.explode(F.sequence(F.lit(0), cells - 1))
+    x = kept.select(F.col("gid").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), "key", cell.alias("i"), other.alias("j"))
+    y = kept.select(F.col("gid").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), "key", cell.alias("j"), other.alias("i"))
+    alike = F.least("n_a", "n_b") >= F.lit(float(similarity)) * F.greatest("n_a", "n_b") - F.lit(1e-9)
+    return x.join(y.hint("merge"), ["key", "i", "j"]).where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike).select("a", "b").distinct()
 
 
 def confirmed(edges: DataFrame, groups: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
@@ -305,11 +347,11 @@ def linked(groups: DataFrame, rows: DataFrame, similarity: float, words: int, ro
     radius = radius_of(similarity)
     edges = written(proposed(groups, radius), "copies-proposed")
     good = written(confirmed(edges, groups, rows, similarity, words), "copies-links")
-    failed = written(edges.join(good, ["a", "b"], "left_anti"), "copies-failed")
+    failed = written(edges.join(good, ["a", "b"], "left_anti"), "copies-failed") if rounds else None
     for left in range(rounds, -1, -1):
         roots = components(good, "copies-rounds").withColumnRenamed("node", "gid")
         if not left or failed.isEmpty():
-            return roots
+            break
         # What failing links had joined may hold others that they stood for.
         roots = written(roots, "copies-roots")
         joined = components(good.unionByName(failed), "copies-rounds").withColumnRenamed("root", "whole")
@@ -319,11 +361,14 @@ def linked(groups: DataFrame, rows: DataFrame, similarity: float, words: int, ro
         again = groups.join(affected, "gid", "left_semi").join(roots, "gid", "left").join(apart, "gid", "left").select("gid", "fp", "keys", F.coalesce("root", "gid").alias("root"), "failed")
         edges = written(proposed(written(again, "copies-again"), radius), "copies-proposed")
         if edges.isEmpty():
-            return roots
+            break
         new = written(confirmed(edges, groups, rows, similarity, words), "copies-links")
         failed = written(failed.unionByName(edges.join(new, ["a", "b"], "left_anti")), "copies-failed")
         good = written(good.unionByName(new), "copies-links")
-    raise AssertionError
+    roots = written(roots, "copies-roots")
+    edges = written(left_out(groups, roots, similarity), "copies-proposed")
+    new = written(confirmed(edges, groups, rows, similarity, words), "copies-links")
+    return roots if new.isEmpty() else components(good.unionByName(new), "copies-rounds").withColumnRenamed("node", "gid")
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHINGLE, rounds: int = ROUNDS) -> DataFrame:
@@ -335,9 +380,10 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHI
     h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2")
     rows = keyed(whole_rows(docs, "doc_id", "text"), "k")
     order = ["no_id", "id", "h1", "h2", "file", "place"]
-    signed = signatures(rows.select("text", no_id, some_id, h1, h2, F.col("k.file").alias("file"), F.col("k.row").alias("place")), words, *order)
+    signed = signatures(rows.select("text", no_id, some_id, h1, h2, F.col("k.file").alias("file"), F.col("k.row").alias("place")), words, *order, similarity=similarity)
     # Equal sets have equal fingerprints and keys, so those of the first row are the group's.
-    groups = written(signed.groupBy("gid").agg(F.min(F.struct(*order, "fp", "keys")).alias("first")).select("gid", "first", "first.fp", "first.keys"), "copies-groups")
+    groups = signed.groupBy("gid").agg(F.min(F.struct(*order, "fp", "keys", "n", "shared", "least")).alias("first"))
+    groups = written(groups.select("gid", F.struct(*[f"first.{c}" for c in order]).alias("first"), *[f"first.{c}" for c in ("fp", "keys", "n", "shared", "least")]), "copies-groups")
     roots = linked(groups, rows, similarity, words, rounds)
     least = groups.select("gid", F.struct(*[f"first.{c}" for c in order]).alias("first")).join(roots, "gid", "left").groupBy(F.coalesce("root", "gid").alias("root")).agg(F.min("first").alias("first"))
     keep = least.select(F.struct(F.col("first.file").alias("file"), F.col("first.place").alias("row")).alias("k"))

@@ -183,6 +183,37 @@ def test_failed_links_do_not_hide_others(spark, monkeypatch):
     assert got == least_rows(rows) and len(got) < 6
 
 
+@pytest.mark.parametrize("lost", ["buckets", "radius", "forest"])
+def test_links_that_simhash_leaves_out_are_found(spark, monkeypatch, lost):
+    """No bucket, no distance and no link in another's place hides a pair of the threshold."""
+    if lost == "radius":
+        monkeypatch.setattr(near_copies, "radius_of", lambda s: 0)
+    if lost == "forest":
+        monkeypatch.setattr(near_copies, "radius_of", lambda s: 256)
+    keys = np.array([7] if lost == "forest" else [], np.uint64)
+    monkeypatch.setattr(near_copies, "signature", lambda x, real=near_copies.signature: (*real(x)[:2], keys))
+    monkeypatch.setattr(near_copies, "CELL", 4)
+    line, base = h.prose("en", 12, 77), [h.prose("en", n, 8100 + n) for n in (5, 6, 9, 40, 150, 151)]
+    texts = [t for b in base for t in (b, *(edited(b, e, e) for e in (20, 60, 90, 200)), b + " end", b + " " + b)]
+    texts += [line + " " + h.prose("de", 30, i) for i in range(30)] + ["one two three four five six seven", "one two three four five six seven eight"]
+    rows = [(i, t, "en", "a", 1) for i, t in enumerate(texts)]
+    got = Counter((False, r["doc_id"]) for r in near_copies.keep_first(h.documents(spark, rows)).collect())
+    assert got == least_rows(rows) and len(got) < len(rows) - 12
+
+
+def test_similar_sets_share_least_hashes():
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 40), 100, 333]:
+        for m in range(n, int(n / 0.8) + 1):
+            common = next(c for c in range(m + 1) if c >= 0.8 * (n + m - c))
+            if common > n:
+                continue
+            x = rng.permutation(10 * m)[: n + m - common]
+            a, b = np.sort(x[:n]), np.sort(x[n - common :])
+            (size_a, shared_a), (size_b, shared_b) = near_copies.prefix_sizes(n, 0.8), near_copies.prefix_sizes(m, 0.8)
+            assert len(np.intersect1d(a[:size_a], b[:size_b])) >= max(shared_a, shared_b) >= 1
+
+
 def test_copies_of_a_given_table_by_all_pairs(spark):
     """sf0.01, five words, 0.8: what stays is what comparing all pairs leaves."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
