@@ -36,8 +36,10 @@ from .store import _files, _point, _read, _state
 SAMPLE_PER, MIN_LISTS, MAX_LISTS = 64, 4, 1024
 ROUNDS = 8
 #: Rows and queries that meet in one group.
-CELL, QUERIES = 16_384, 1024
+CELL, QUERIES = 16_384, 4096
 KEY_BUCKETS = 64
+#: Scores that a Python worker holds at once.
+PAIRS = 1 << 18
 #: What rounding may add to a bound.
 SLACK = 1e-9
 
@@ -70,44 +72,81 @@ def learn(vectors: np.ndarray, lists: int, seed: int = 1) -> np.ndarray:
 
 
 def _near_lists(df: DataFrame, centroids: np.ndarray, n: int, columns: Sequence[str]) -> DataFrame:
-    """columns, e, and for each row its n nearest centroids as list and cosine."""
+    """columns, e, and for each row its n nearest centroids as list and cosine; PAIRS rows at once."""
     shared = df.sparkSession.sparkContext.broadcast(centroids)  # MAX_LISTS rows at most
     ship(df.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c = shared.value
-        for p in batches:
-            if p.empty:
-                continue
-            score = unit(np.stack(p["e"].to_numpy()).astype(float)) @ c.T
-            near = np.argsort(-score, axis=1, kind="stable")[:, :n]
-            out = p.loc[p.index.repeat(near.shape[1])].reset_index(drop=True)
-            yield out.assign(list=near.ravel().astype(np.int32), cos=np.take_along_axis(score, near, axis=1).ravel())
+        step = max(1, PAIRS // max(1, len(c)))
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                p = whole.iloc[at : at + step]
+                score = unit(np.stack(p["e"].to_numpy()).astype(float)) @ c.T
+                near = np.argsort(-score, axis=1, kind="stable")[:, :n]
+                out = p.loc[p.index.repeat(near.shape[1])].reset_index(drop=True)
+                yield out.assign(list=near.ravel().astype(np.int32), cos=np.take_along_axis(score, near, axis=1).ravel())
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*columns, "e").schema)
     return df.select(*columns, "e").mapInPandas(run, f"{schema}, list int, cos double")
 
 
+def _visited(asked: DataFrame, centroids: np.ndarray, numbers: np.ndarray, angles: np.ndarray | None, probes: int, floor: float) -> DataFrame:
+    """row, q and list of the lists that each query (row, q, e, and with angles near and kth) has to look through: the `probes` nearest ones, or with
+    angles all but `near` whose bound reaches both kth and floor. Vectors are left behind, and PAIRS scores are held at once."""
+    shared = asked.sparkSession.sparkContext.broadcast((centroids, numbers, angles))  # MAX_LISTS rows at most
+    ship(asked.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        c, names, wide = shared.value
+        step = max(1, PAIRS // max(1, len(c)))
+        for whole in batches:
+            for at in range(0, len(whole), step):
+                p = whole.iloc[at : at + step]
+                score = unit(np.stack(p["e"].to_numpy()).astype(float)) @ c.T
+                if wide is None:
+                    lists = np.argsort(-score, axis=1, kind="stable")[:, :probes]
+                    i, lists = np.repeat(np.arange(len(p)), lists.shape[1]), lists.ravel()
+                else:
+                    bound = np.cos(np.maximum(0.0, np.arccos(np.clip(score, -1, 1)) - wide)) + SLACK
+                    near = bound >= np.maximum(floor, p["kth"].fillna(-2.0).to_numpy(float))[:, None]
+                    near &= names[None, :] != p["near"].to_numpy()[:, None]
+                    i, lists = np.nonzero(near)
+                yield pd.DataFrame({"row": p["row"].to_numpy()[i], "q": p["q"].to_numpy()[i], "list": names[lists]})
+
+    return asked.mapInPandas(run, f"row long, q {asked.schema['q'].dataType.simpleString()}, list int")
+
+
 def _numbers(n: str) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1)
 
 
 def best_in_group(k: int, least: float | None):
-    """For cogroup: the k best rows (key, e) for each query (q, e) of one group, as (q, key, similarity)."""
+    """For cogroup: the k best rows (key, e) for each query (q, e) of one group, as (q, key, similarity); PAIRS scores are held at once."""
 
     def run(rows: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
+        out = [(np.array([], int), np.array([], int), np.array([]))]
         if len(rows) and len(asked):
-            x, y = (np.stack(p["e"].to_numpy()).astype(float) for p in (rows, asked))
-            sx, sy = (np.sqrt((v * v).sum(axis=1)) for v in (x, y))
-            rough, keys = (y / sy[:, None]) @ (x / sx[:, None]).T, rows["key"].to_numpy()
-            kth = np.partition(rough, max(0, len(x) - k), axis=1)[:, max(0, len(x) - k)]
-            for i, q in enumerate(asked["q"].tolist()):
-                near = np.flatnonzero(rough[i] >= max(kth[i], -2.0 if least is None else least) - SLACK)
-                s = (x[near] * y[i]).sum(axis=1) / (sx[near] * sy[i])  # one by one, so that equal vectors score alike
-                found = sorted((-v, key) for v, key in zip(s.tolist(), keys[near].tolist(), strict=True) if least is None or v >= least)
-                out += [(q, key, -v) for v, key in found[:k]]
-        return pd.DataFrame(out, columns=["q", "key", "similarity"])
+            rows = rows.sort_values("key", ignore_index=True)
+            x = np.stack(rows["e"].to_numpy()).astype(float)
+            sx = np.sqrt((x * x).sum(axis=1))
+            directions, step = (x / sx[:, None]).T, max(1, PAIRS // len(x))
+            for at in range(0, len(asked), step):
+                y = np.stack(asked["e"].iloc[at : at + step].to_numpy()).astype(float)
+                sy = np.sqrt((y * y).sum(axis=1))
+                rough = (y / sy[:, None]) @ directions
+                floor = np.full(len(y), -2.0 if least is None else least)
+                if k < len(x):
+                    floor = np.maximum(floor, np.partition(rough, len(x) - k, axis=1)[:, len(x) - k])
+                for i in range(len(y)):
+                    near = np.flatnonzero(rough[i] >= floor[i] - SLACK)
+                    s = (x[near] * y[i]).sum(axis=1) / (sx[near] * sy[i])  # one by one, so that equal vectors score alike
+                    if least is not None:
+                        near, s = near[s >= least], s[s >= least]
+                    first = np.argsort(-s, kind="stable")[:k]  # rows stand by key, so ties go to the smaller one
+                    out.append((np.full(len(first), at + i), near[first], s[first]))
+        i, j, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pd.DataFrame({"q": asked["q"].to_numpy()[i], "key": rows["key"].to_numpy()[j], "similarity": s})
 
     return run
 
@@ -189,24 +228,23 @@ class VectorIndex:
         return sum(n for n, _ in self.state()["lists"].values())
 
     def _asked(self, queries: DataFrame) -> DataFrame:
-        return queries.where(usable("query_embedding", self.state()["dim"])).select(F.col("query_id").alias("q"), F.col("query_embedding").cast("array<double>").alias("e"))
+        return queries.where(usable("query_embedding", self.state()["dim"])).select(F.monotonically_increasing_id().alias("row"), F.col("query_id").alias("q"), F.col("query_embedding").cast("array<double>").alias("e"))
 
-    def _visits(self, asked: DataFrame, probes: int) -> DataFrame:
-        """q, e, list and cos of the probes nearest lists that have rows."""
+    def _lists(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the lists that have rows: their centroids, numbers and angles."""
         state = self.state()
         numbers = np.array(sorted(int(x) for x in state["lists"]), np.int32)
-        found = _near_lists(asked, np.array(state["centroids"])[numbers], probes, ["q"])
-        return found.withColumn("list", F.element_at(F.array(*[F.lit(int(i)) for i in numbers]), F.col("list") + 1))
+        return np.array(state["centroids"])[numbers], numbers, np.arccos(np.clip([state["lists"][str(i)][1] for i in numbers], -1, 1))
 
-    def _scored(self, visits: DataFrame, k: int, least: float | None) -> DataFrame:
-        """q, key and similarity of the k best rows of each group of a list's rows and queries; visits (q, e, list), a written table."""
+    def _scored(self, visits: DataFrame, asked: DataFrame, k: int, least: float | None) -> DataFrame:
+        """q, key and similarity of the k best rows of each group of a list's rows and queries; visits (row, q, list) of asked (row, e), both written tables."""
         state = self.state()
         lists = [(int(x), -(-n // CELL)) for x, (n, _) in state["lists"].items()]
         per = visits.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
         cut = F.broadcast(per.join(F.broadcast(self.spark.createDataFrame(lists, "list int, cells int")), "list"))  # a row a list
         rows = self._part([f for x, f in state["parts"].items() if x.startswith("list/")], "key {}, e array<double>, list int").join(cut, "list")
         rows = rows.select("list", F.pmod(F.xxhash64("key"), F.col("cells").cast("long")).alias("cell"), F.explode(_numbers("blocks")).alias("block"), "key", "e")
-        asked = visits.join(cut, "list").select("list", F.explode(_numbers("cells")).alias("cell"), F.pmod(F.xxhash64("q"), F.col("blocks").cast("long")).alias("block"), "q", "e")
+        asked = visits.join(asked.select("row", "e").hint("merge"), "row").join(cut, "list").select("list", F.explode(_numbers("cells")).alias("cell"), F.pmod(F.xxhash64("q"), F.col("blocks").cast("long")).alias("block"), "q", "e")
         ship(self.spark)
         group, kinds = ["list", "cell", "block"], f"q {visits.schema['q'].dataType.simpleString()}, key {state['key']}, similarity double"
         return rows.groupBy(*group).cogroup(asked.groupBy(*group)).applyInPandas(best_in_group(k, least), kinds)
@@ -225,23 +263,21 @@ class VectorIndex:
         lists = len(self.state()["lists"])
         if not lists:
             return self._nothing(queries)
-        visits = written(self._visits(self._asked(queries), min(lists, probes or -(-lists // 2))), "index-visits")
-        return self._ranked(self._scored(visits, k, min_similarity), k, self.key)
+        asked, (centroids, numbers, _) = written(self._asked(queries), "index-asked"), self._lists()
+        visits = written(_visited(asked, centroids, numbers, None, min(lists, probes or -(-lists // 2)), floor=-2.0), "index-visits")
+        return self._ranked(self._scored(visits, asked, k, min_similarity), k, self.key)
 
     def exact(self, queries: DataFrame, k: int = 5, min_similarity: float | None = None) -> DataFrame:
         """As top_k(), with the rows that a full scan gives; `last_visits` is then the table of lists looked through (q, list)."""
         state = self.state()
         if not state["lists"]:
             return self._nothing(queries)
-        every = written(self._visits(self._asked(queries), len(state["lists"])), "index-bounds")
-        angle = F.create_map(*[F.lit(v) for x, (_, cos) in state["lists"].items() for v in (int(x), float(np.arccos(np.clip(cos, -1, 1))))])
-        bound = F.cos(F.greatest(F.lit(0.0), F.acos(F.least(F.greatest("cos", F.lit(-1.0)), F.lit(1.0))) - angle[F.col("list")])) + SLACK
-        every = every.withColumn("bound", bound).withColumn("turn", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("cos"), "list")))
-        floor = F.lit(-2.0 if min_similarity is None else float(min_similarity))
-        nearest = written(every.where("turn = 1").where(F.col("bound") >= floor).select("q", "e", "list"), "index-nearest")
-        first = written(self._scored(nearest, k, min_similarity), "index-first")
-        kth = first.groupBy("q").agg(F.sort_array(F.collect_list("similarity"), asc=False).alias("s")).select("q", F.get("s", F.lit(k - 1)).alias("kth"))
-        others = every.where("turn > 1").join(kth, "q", "left").where(F.col("bound") >= F.greatest(floor, F.coalesce("kth", floor))).select("q", "e", "list")
-        others = written(others, "index-others")
-        self.last_visits = nearest.select("q", "list").unionByName(others.select("q", "list"))
-        return self._ranked(first.unionByName(self._scored(others, k, min_similarity)), k, self.key)
+        asked, (centroids, numbers, angles) = written(self._asked(queries), "index-asked"), self._lists()
+        floor = -2.0 if min_similarity is None else float(min_similarity)
+        nearest = written(_visited(asked, centroids, numbers, None, 1, floor), "index-nearest")
+        first = written(self._scored(nearest, asked, k, min_similarity), "index-first")
+        kth = first.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("similarity"), "key"))).where(F.col("place") == k).select("q", F.col("similarity").alias("kth"))
+        bounded = asked.join(nearest.select("row", F.col("list").alias("near")), "row").join(kth, "q", "left")
+        others = written(_visited(bounded, centroids, numbers, angles, 0, floor), "index-others")
+        self.last_visits = nearest.unionByName(others).select("q", "list")
+        return self._ranked(first.unionByName(self._scored(others, asked, k, min_similarity)), k, self.key)

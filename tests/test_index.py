@@ -114,3 +114,37 @@ def test_indexed_topk_recall(spark, sf):
     c.sql(f"create view embeddings as select * from '{sf}/embeddings.parquet'")
     want = {(r[0], r[1]) for r in c.sql(f"select query_id, vec_id from ({catalogue.TOP})").fetchall()}
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_workers_hold_a_bounded_number_of_scores():
+    """Large groups and many lists go through strip by strip, whatever the batch."""
+    import tracemalloc
+
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    frame = lambda name, n: pd.DataFrame({name: range(n), "e": list(rng.normal(size=(n, 8)))})
+    rows, asked = frame("key", 16_000), frame("q", 1000)
+    tracemalloc.start()
+    try:
+        got = index.best_in_group(5, None)(rows, asked)
+        assert tracemalloc.get_traced_memory()[1] < 40e6
+    finally:
+        tracemalloc.stop()
+    x, y = np.stack(rows["e"].to_numpy()), np.stack(asked["e"].to_numpy()[:50])
+    s = (y @ x.T) / np.sqrt((x * x).sum(axis=1)) / np.sqrt((y * y).sum(axis=1))[:, None]
+    want = np.argsort(-s, axis=1)[:, :5]
+    assert len(got) == 5000 and got["key"].to_numpy().reshape(-1, 5)[:50].tolist() == want.tolist()
+
+
+def test_visits_leave_vectors_behind(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(index, "written", lambda df, label, real=index.written: (seen.append((label, df.columns)), real(df, label))[1])
+    monkeypatch.setattr(index, "PAIRS", 50)
+    rows = clustered(400)
+    ix = VectorIndex(spark, str(tmp_path / "ix"))
+    ix.build(spark.createDataFrame(rows, SCHEMA))
+    asked = [(7, rows[0][1]), *rows[:30]]
+    assert {x for x in keyed(ix.exact(ask(spark, asked), 5)) if x[0] != 7} == {x for x in exactly(rows, asked[1:], 5) if x[0] != 7}
+    tables = {label: columns for label, columns in seen}
+    assert "index-others" in tables and all("e" not in tables[x] for x in ("index-nearest", "index-others"))
