@@ -7,7 +7,7 @@ hands on its k best rows for each query.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from ..session import ship
 
 TOP_K, LIST_K, MIN_SIMILARITY = 5, 30, 0.5
 #: Bytes of the query vectors that a task holds; queries multiplied at once, and pairs whose exact score is taken at once.
-QUERY_BYTES, QUERY_STRIP, PAIRS = 32 << 20, 1024, 1 << 18
+QUERY_BYTES, QUERY_STRIP, PAIRS = 32 << 20, 256, 1 << 18
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -67,7 +67,7 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, min_simil
     ship(spark)
     for b in range(blocks):
         block = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b)
-        shared = spark.sparkContext.broadcast([(r["q"], r["e"]) for r in block.collect() if r["e"] and None not in r["e"] and any(r["e"])])
+        shared = spark.sparkContext.broadcast(by_length((r["q"], r["e"]) for r in block.collect() if r["e"] and None not in r["e"] and any(r["e"])))
 
         def run(batches, shared=shared):
             return best_of(batches, shared.value, k, min_similarity)
@@ -78,14 +78,23 @@ def top_k_batch(corpus: DataFrame, queries: DataFrame, k: int = TOP_K, min_simil
     return ranked.select(F.col("q").alias(query_key), "rank", F.col("key").alias(key), "similarity")
 
 
-def best_of(batches: Iterator[pd.DataFrame], asked: list[tuple], k: int, least: float | None) -> Iterator[pd.DataFrame]:
-    """q, key, similarity: of all batches (key, e) the k best rows for each query (q, e).
+def by_length(asked: Iterable[tuple]) -> dict[int, tuple[list, np.ndarray]]:
+    """Queries (q, e) as q and a matrix for each length of e: a quarter of what lists of numbers take."""
+    names, vectors = {}, {}
+    for q, e in asked:
+        names.setdefault(len(e), []).append(q)
+        vectors.setdefault(len(e), []).append(np.array(e, dtype=float))
+    return {d: (names[d], np.stack(vectors.pop(d))) for d in sorted(names)}
+
+
+def best_of(batches: Iterator[pd.DataFrame], asked: dict[int, tuple[list, np.ndarray]] | list[tuple], k: int, least: float | None) -> Iterator[pd.DataFrame]:
+    """q, key, similarity: of all batches (key, e) the k best rows for each query (q, e), given as such or by_length().
 
     A product of matrices says which rows can be among them; their scores are then taken one by one, so that equal
     vectors score alike and ties go by key."""
-    dims = sorted({len(e) for _, e in asked})
-    names = {d: [q for q, e in asked if len(e) == d] for d in dims}
-    queries = {d: np.array([e for _, e in asked if len(e) == d], dtype=float) for d in dims}
+    asked = asked if isinstance(asked, dict) else by_length(asked)
+    dims = sorted(asked)
+    names, queries = ({d: asked[d][n] for d in dims} for n in (0, 1))
     sizes = {d: np.sqrt((x * x).sum(axis=1)) for d, x in queries.items()}
     floor = {d: np.full(len(names[d]), -2.0 if least is None else least) for d in dims}  # the k-th best score so far
     kept: dict[tuple, pd.DataFrame] = {}  # by length of the vectors and strip of queries

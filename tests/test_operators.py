@@ -249,3 +249,18 @@ def test_large_containers_are_numbered_in_ranges(spark, range_rows):
         own = sorted((r for r in rows if r[0] == c), key=lambda r: (r[1] is not None, r[1]))
         assert [got[c, r[1]] for r in own] == [(n, f"[{r[2]}] {r[3] or ''}") for n, r in enumerate(own, 1)]
     assert len(out) == len(rows)
+
+
+def test_batch_search_holds_bounded_strips():
+    """Queries travel as matrices, and a batch of Spark's size meets few of them at once."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    asked = vector.by_length((i, v.tolist()) for i, v in enumerate(rng.normal(size=(2000, 8))))
+    batch = pd.DataFrame({"key": range(10_000), "e": list(rng.normal(size=(10_000, 8)))})
+    tracemalloc.start()
+    try:
+        found = pd.concat(list(vector.best_of(iter([batch]), asked, 5, None)))
+        assert tracemalloc.get_traced_memory()[1] < 100e6 and len(found) == 10_000
+    finally:
+        tracemalloc.stop()
