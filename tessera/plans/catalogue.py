@@ -81,7 +81,8 @@ def clean_korean_fixture(spark, sf_dir):
     """The documents in Korean letters, with full-width stops and page footers, and a few odd texts."""
     rows = spark.createDataFrame(fx.KOREAN, "id long, t string").unionByName(table(spark, sf_dir, "documents").select((F.col("doc_id") + 1000).alias("id"), inputs.korean(F.col("text")).alias("t")))
     cleaned = text.clean_korean_text(F.col("t"))
-    return rows.select("id", cleaned.alias("cleaned"), F.array_join(text.split_sentences(cleaned), "|").alias("sentences"))
+    # In two steps, so that a text is cleaned once.
+    return rows.select("id", cleaned.alias("cleaned")).select("id", "cleaned", F.array_join(text.split_sentences(F.col("cleaned")), "|").alias("sentences"))
 
 
 @query(f"with s as (select doc_id, {sentences_sql(clean_sql('text'))} as ss from documents) select doc_id, unnest(range(len(ss)))::int as pos, unnest(ss) as sentence from s")

@@ -264,3 +264,10 @@ def test_batch_search_holds_bounded_strips():
         assert tracemalloc.get_traced_memory()[1] < 100e6 and len(found) == 10_000
     finally:
         tracemalloc.stop()
+
+
+def test_korean_texts_are_cleaned_once(spark, sf):
+    from tessera.plans import catalogue
+
+    plan = catalogue.QUERIES["clean_korean_fixture"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("- \\p{Nd}++ -") <= 2  # one for the odd texts, one for the documents
