@@ -19,7 +19,8 @@ What SimHash leaves out (a pair that no bucket holds, or beyond the radius, or i
 stands) is found exactly by left_out(), among texts that are not joined yet: the groups are those of all pairs of the
 threshold. Texts of similarity t share t of the shingles of each, so of their least hashes
 (1 - t + SHARED of all) they share SHARED of all; texts that have less in common with all others are set aside, and of
-the rest those hashes meet that fewest texts have.
+the rest those hashes meet that fewest texts have. What meets is compared within its bucket by size and by parities of the
+sets, so only pairs that may be similar leave it.
 
 Equal sets of shingles are one from the start. Buckets of more than CELL fingerprints are compared as
 pairs of cells, each in a task of its own. Components as in simhash.
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hot_keys, join_one, keyed, map_arrow, utf8, whole_rows, written
+from .common import hot_keys, join_one, keyed, map_arrow, placed, release, settle, utf8, whole_rows, written, written_at
 from .simhash import components
 
 SHINGLE = 5
@@ -58,6 +59,8 @@ HUB = 500
 ROUNDS = 0
 #: Share of a text's shingles that must be among the least hashes of both texts of a pair.
 SHARED = 0.05
+#: Places of the parities of a set of up to NARROW_SET hashes; twice as many for sets up to twice as large, and so on.
+NARROW, NARROW_SET = 256, 448
 QUERIES = 128
 #: Shares of the radius within which links are taken, one after the other.
 STEPS = (0.3, 0.55, 0.8, 1.0)
@@ -117,6 +120,15 @@ def prefix_sizes(n: int, similarity: float) -> tuple[int, int]:
     return n - common(n) + asked(n), asked(common(n))
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """Of a set of hashes: whether an odd number of them falls in a place, a bit for each of at least NARROW places, which grow with the set.
+
+    Sets differ in no fewer hashes than their parities in bits, so parities too far apart rule a pair out. Halves laid upon each other are those of half as many places."""
+    places = NARROW << max(0, math.ceil(math.log2(max(1, len(shingles)) / NARROW_SET)))
+    odd = np.bincount((shingles & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
 def csa(a, b, c):
     x = a ^ b
     return x ^ c, (a & b) | (x & c)
@@ -278,9 +290,9 @@ def proposed(groups: DataFrame, radius: int) -> DataFrame:
 
 
 def signatures(docs: DataFrame, words: int, *beside: str, similarity: float = SIMILARITY) -> DataFrame:
-    """gid, fp and keys of each row of docs (text), its number of shingles n, `shared` and the least hashes of prefix_sizes(), and the long columns named beside."""
+    """gid, fp and keys of each row of docs (text), its number of shingles n, `shared` and the least hashes of prefix_sizes(), its parities, and the long columns named beside."""
     longs = pa.list_(pa.int64())
-    schema = pa.schema([("gid", pa.int64()), ("fp", longs), ("keys", longs), ("n", pa.int64()), ("shared", pa.int64()), ("least", longs), *((c, pa.int64()) for c in beside)])
+    schema = pa.schema([("gid", pa.int64()), ("fp", longs), ("keys", longs), ("n", pa.int64()), ("shared", pa.int64()), ("least", longs), ("parity", longs), *((c, pa.int64()) for c in beside)])
 
     def run(batches):
         for b in batches:
@@ -291,33 +303,137 @@ def signatures(docs: DataFrame, words: int, *beside: str, similarity: float = SI
             sizes = [(len(x), *prefix_sizes(len(x), similarity)) for x in sets]
             n, shared = (pa.array([z[k] for z in sizes], pa.int64()) for k in (0, 2))
             least = pa.array([x[: z[1]].view(np.int64) for x, z in zip(sets, sizes, strict=True)], longs)  # sets are sorted
-            yield pa.RecordBatch.from_arrays([gid, *lists, n, shared, least, *b.columns[1:]], schema=schema)
+            parity = pa.array([parities(x).view(np.int64) for x in sets], longs)
+            yield pa.RecordBatch.from_arrays([gid, *lists, n, shared, least, parity, *b.columns[1:]], schema=schema)
 
-    return map_arrow(docs.select("text", *beside), run, ", ".join(["gid long, fp array<long>, keys array<long>, n long, shared long, least array<long>", *(f"{c} long" for c in beside)]))
+    return map_arrow(docs.select("text", *beside), run, ", ".join(["gid long, fp array<long>, keys array<long>, n long, shared long, least array<long>, parity array<long>", *(f"{c} long" for c in beside)]))
 
 
 def left_out(groups: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Links (a, b) to be confirmed that hold every pair of groups (gid, n, shared, least) of the similarity with different roots (gid, root; others are alone)."""
+    """A written table of links (a, b) to be confirmed that hold every pair of groups (gid, n, shared, least, parity) of the similarity with different roots (gid, root; others are alone)."""
+    spark, before = groups.sparkSession, placed(groups.sparkSession)
     rooted = written(groups.join(roots, "gid", "left").select("gid", F.coalesce("root", "gid").alias("root"), "n", "shared", "least"), "copies-least")
+    settle(spark)
     # A hash within one root joins nothing new and counts as one that no other text has.
     counts = rooted.select("root", F.explode("least").alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
     counts = written(counts.where("low <> high").select("key", "n"), "copies-counts")
+    settle(spark)
     hot = hot_keys(counts, "key", counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     met = join_one(rooted.select("gid", F.explode("least").alias("key")), counts.hint("merge"), "key", hot).groupBy("gid").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("count"), "key"))).alias("keys"))
     # By rarity, hashes that no other root has come first; a pair shares `shared` of a text's hashes, so the rarest of these is not among its last shared - 1.
     met = rooted.drop("least").join(met.where(F.size("keys") > 0).hint("merge"), "gid").where(F.size("keys") >= F.col("shared"))
     kept = met.select("gid", "root", "n", F.explode(F.slice("keys", F.lit(1), (F.size("keys") - F.col("shared") + 1).cast("int"))).alias("k")).select("gid", "root", "n", "k.key", "k.count")
     kept = written(kept, "copies-rare")
-    cells = F.ceil(F.col("count") / CELL).cast("int")
-    cell, other = F.pmod(F.xxhash64("gid"), cells).cast("int"), F.explode(F.sequence(F.lit(0), cells - 1))
-    x = kept.select(F.col("gid").alias("a"), F.col("root").alias("root_a"), F.col("n").alias("n_a"), "key", cell.alias("i"), other.alias("j"))
-    y = kept.select(F.col("gid").alias("b"), F.col("root").alias("root_b"), F.col("n").alias("n_b"), "key", cell.alias("j"), other.alias("i"))
-    alike = F.least("n_a", "n_b") >= F.lit(float(similarity)) * F.greatest("n_a", "n_b") - F.lit(1e-9)
-    return x.join(y.hint("merge"), ["key", "i", "j"]).where((F.col("a") > F.col("b")) & (F.col("root_a") != F.col("root_b")) & alike).select("a", "b").distinct()
+    settle(spark)
+    # Buckets of the same texts make the same pairs: one of them stands for all.
+    buckets = kept.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("gid")).alias("h1"), F.bit_xor(F.xxhash64(F.lit(SEED), "gid")).alias("h2")).where("n > 1")
+    buckets = written(buckets.groupBy("n", "h1", "h2").agg(F.min("key").alias("key")).select("key", F.col("n").alias("count")), "copies-buckets")
+    hot = hot_keys(buckets.withColumnRenamed("count", "n"), "key", buckets.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0])
+    met = join_one(kept.select("gid", "root", "n", "key"), buckets.hint("merge"), "key", hot).join(groups.select("gid", "parity").hint("merge"), "gid")
+    path, found = written_at(alike(met.withColumn("cells", F.ceil(F.col("count") / CELL).cast("int")), similarity).distinct(), "copies-proposed")
+    release(spark, keep={*before, path})
+    settle(spark)
+    return found
+
+
+def alike(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of rows (gid, root, n, parity, key, cells) of one key that may be similar and have different roots, all of them: sizes and parities leave nothing similar out."""
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("gid"), "cells").cast("int"))
+    dealt = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)).alias("other")).select(
+        "gid", "root", "n", "parity", "key", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"), (F.col("other") < F.col("cell")).cast("int").alias("side")
+    )
+    ident = ["key", "i", "j"]
+    dealt = dealt.repartition(*ident).sortWithinPartitions(*ident)
+
+    def run(batches):
+        for t in whole_groups(batches, ident):
+            p = t.drop_columns("parity").to_pandas()
+            same = np.cumsum((p[ident] != p[ident].shift()).any(axis=1).to_numpy())
+            flat, ids = t.column("parity").combine_chunks(), p["gid"].to_numpy()
+            words, ends = flat.flatten().to_numpy().view(np.uint64), flat.value_lengths().to_numpy().cumsum()
+            a, b = pairs_of(same, p["side"].to_numpy(), (p["i"] == p["j"]).to_numpy(), p["root"].to_numpy(), p["n"].to_numpy(), words, ends, similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], names=["a", "b"])
+
+    return map_arrow(dealt, run, "a long, b long")
+
+
+def whole_groups(batches, ident: list[str]):
+    """Tables of the batches' rows, sorted by ident, none of which ends within a group."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        ends = [b.column(c).to_numpy() for c in ident]
+        cut = int(np.logical_or.reduce([x != x[-1] for x in ends]).sum())
+        if cut or kept and any(x[-1] != kept[-1].column(c)[-1].as_py() for x, c in zip(ends, ident, strict=True)):
+            yield pa.Table.from_batches([*kept, b.slice(0, cut)])
+            kept = []
+        kept.append(b.slice(cut))
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def pairs_of(groups, sides, within_cell, roots, n, words, ends, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs within equal groups (sorted) that may be similar and have different roots; of two cells only pairs across the sides."""
+    out = [(np.array([], int), np.array([], int))]
+    widths = np.diff(ends, prepend=0)
+    place, folded = {}, {}
+    for w in np.unique(widths).tolist():  # texts of similar sizes have as many words or twice as many
+        at = np.flatnonzero((widths == w) | (widths == 2 * w))
+        m = np.empty((w, len(at)), np.uint64)
+        wide = widths[at] == 2 * w
+        starts = (ends - widths)[at]
+        for k in range(w):
+            m[k] = words[starts + k]
+            m[k, wide] ^= words[starts[wide] + k + w]
+        place[w] = np.zeros(len(n), int)
+        place[w][at] = np.arange(len(at))
+        folded[w] = m
+    differ = (1 - similarity) / (1 + similarity)
+
+    def take(w, x, y):
+        """x against y (places that broadcast), by parities of w words."""
+        m, u, v = folded[w], place[w][x], place[w][y]
+        d = np.zeros(np.broadcast_shapes(x.shape, y.shape), np.int32)
+        for k in range(w):
+            d += np.bitwise_count(m[k][u] ^ m[k][v])
+        small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        return (d <= differ * (small + large) + 1e-6) & (small >= similarity * large - 1e-9) & (roots[x] != roots[y])
+
+    cuts = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1], True]) if len(n) else np.array([0])
+    small = np.ones(len(n), bool)
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if b - a <= SMALL:
+            continue
+        small[a:b] = False
+        rows = np.arange(a, b)
+        for w in np.unique(widths[a:b]).tolist():
+            for ours, theirs in ((w, w), (w, 2 * w), (2 * w, w)):
+                x, y = rows[(widths[a:b] == ours) & (sides[a:b] == 0)], rows[(widths[a:b] == theirs) & (sides[a:b] == (not within_cell[a]))]
+                if within_cell[a] and ours > theirs:
+                    continue
+                for k in range(0, len(x), QUERIES):
+                    q = x[k : k + QUERIES]
+                    i, j = np.nonzero(take(w, q[:, None], y[None, :]))
+                    i, j = q[i], y[j]
+                    once = (i < j) | (ours != theirs) | (not within_cell[a])
+                    out.append((i[once], j[once]))
+    for d in range(1, SMALL):
+        i = np.flatnonzero((groups[d:] == groups[:-d]) & small[d:]) if d < len(n) else np.array([], int)
+        if not len(i):
+            break
+        i = i[(within_cell[i] | (sides[i] != sides[i + d])) & (roots[i] != roots[i + d])]
+        least = np.minimum(widths[i], widths[i + d])
+        for w in np.unique(least).tolist():
+            x = i[(least == w) & (np.maximum(widths[i], widths[i + d]) <= 2 * w)]
+            x = x[take(w, x, x + d)]
+            out.append((x, x + d))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def confirmed(edges: DataFrame, groups: DataFrame, rows: DataFrame, similarity: float, words: int) -> DataFrame:
-    """The edges (a, b), a written table, whose texts are similar enough. Only texts that take part are read again."""
+    """A written table of the edges (a, b), a written table too, whose texts are similar enough. Only texts that take part are read again."""
+    spark, before = edges.sparkSession, placed(edges.sparkSession)
     ends = edges.select(F.explode(F.array("a", "b")).alias("gid")).distinct()
     places = written(groups.join(ends, "gid").select("gid", F.struct("first.file", F.col("first.place").alias("row")).alias("k")), "copies-ends")
 
@@ -326,6 +442,7 @@ def confirmed(edges: DataFrame, groups: DataFrame, rows: DataFrame, similarity:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t, words).view(np.int64) for t in utf8(b.column(1))], pa.list_(pa.int64()))], names=["gid", "set"])
 
     sets = written(map_arrow(rows.select("k", "text").join(places, "k").select("gid", "text"), run, "gid long, set array<long>"), "copies-sets")
+    settle(spark)
     # A set travels with the edges of the end that has fewer; the other end's stands in as many parts as hold HUB edges each.
     parts = written(edges.select(F.explode(F.array("a", "b")).alias("gid")).groupBy("gid").agg(F.count(F.lit(1)).alias("n")).withColumn("parts", F.ceil(F.col("n") / HUB)), "copies-degrees")
     pairs = edges
@@ -339,14 +456,17 @@ def confirmed(edges: DataFrame, groups: DataFrame, rows: DataFrame, similarity:
     for c in ("s", "t"):
         pairs = pairs.join(dealt.select(F.col("gid").alias(c), F.col("part").alias(f"part_{c}"), F.col("set").alias(f"{c}_set")), [c, f"part_{c}"])
     both = F.size(F.array_intersect("s_set", "t_set"))
-    return pairs.where(both >= F.lit(similarity) * (F.size("s_set") + F.size("t_set") - both)).select("a", "b")
+    path, good = written_at(pairs.where(both >= F.lit(similarity) * (F.size("s_set") + F.size("t_set") - both)).select("a", "b"), "copies-links")
+    release(spark, keep={*before, path})
+    settle(spark)
+    return good
 
 
 def linked(groups: DataFrame, rows: DataFrame, similarity: float, words: int, rounds: int) -> DataFrame:
     """gid and root of the groups that confirmed links join."""
     radius = radius_of(similarity)
     edges = written(proposed(groups, radius), "copies-proposed")
-    good = written(confirmed(edges, groups, rows, similarity, words), "copies-links")
+    good = confirmed(edges, groups, rows, similarity, words)
     failed = written(edges.join(good, ["a", "b"], "left_anti"), "copies-failed") if rounds else None
     for left in range(rounds, -1, -1):
         roots = components(good, "copies-rounds").withColumnRenamed("node", "gid")
@@ -362,12 +482,12 @@ def linked(groups: DataFrame, rows: DataFrame, similarity: float, words: int, ro
         edges = written(proposed(written(again, "copies-again"), radius), "copies-proposed")
         if edges.isEmpty():
             break
-        new = written(confirmed(edges, groups, rows, similarity, words), "copies-links")
+        new = confirmed(edges, groups, rows, similarity, words)
         failed = written(failed.unionByName(edges.join(new, ["a", "b"], "left_anti")), "copies-failed")
         good = written(good.unionByName(new), "copies-links")
     roots = written(roots, "copies-roots")
-    edges = written(left_out(groups, roots, similarity), "copies-proposed")
-    new = written(confirmed(edges, groups, rows, similarity, words), "copies-links")
+    edges = left_out(groups, roots, similarity)
+    new = confirmed(edges, groups, rows, similarity, words)
     return roots if new.isEmpty() else components(good.unionByName(new), "copies-rounds").withColumnRenamed("node", "gid")
 
 
@@ -379,12 +499,16 @@ def keep_first(docs: DataFrame, similarity: float = SIMILARITY, words: int = SHI
     no_id, some_id = F.col("doc_id").isNull().cast("long").alias("no_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long")).alias("id")
     h1, h2 = F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(SEED), "text").alias("h2")
     rows = keyed(whole_rows(docs, "doc_id", "text"), "k")
+    spark, before = docs.sparkSession, placed(docs.sparkSession)
     order = ["no_id", "id", "h1", "h2", "file", "place"]
     signed = signatures(rows.select("text", no_id, some_id, h1, h2, F.col("k.file").alias("file"), F.col("k.row").alias("place")), words, *order, similarity=similarity)
     # Equal sets have equal fingerprints and keys, so those of the first row are the group's.
-    groups = signed.groupBy("gid").agg(F.min(F.struct(*order, "fp", "keys", "n", "shared", "least")).alias("first"))
-    groups = written(groups.select("gid", F.struct(*[f"first.{c}" for c in order]).alias("first"), *[f"first.{c}" for c in ("fp", "keys", "n", "shared", "least")]), "copies-groups")
+    groups = signed.groupBy("gid").agg(F.min(F.struct(*order, "fp", "keys", "n", "shared", "least", "parity")).alias("first"))
+    groups = written(groups.select("gid", F.struct(*[f"first.{c}" for c in order]).alias("first"), *[f"first.{c}" for c in ("fp", "keys", "n", "shared", "least", "parity")]), "copies-groups")
+    settle(spark)
     roots = linked(groups, rows, similarity, words, rounds)
     least = groups.select("gid", F.struct(*[f"first.{c}" for c in order]).alias("first")).join(roots, "gid", "left").groupBy(F.coalesce("root", "gid").alias("root")).agg(F.min("first").alias("first"))
-    keep = least.select(F.struct(F.col("first.file").alias("file"), F.col("first.place").alias("row")).alias("k"))
+    path, keep = written_at(least.select(F.struct(F.col("first.file").alias("file"), F.col("first.place").alias("row")).alias("k")), "copies-keep")
+    release(spark, keep={*before, path})  # the rows are scanned again, so nothing else is needed
+    settle(spark)
     return rows.select("row", "k").join(keep, "k", "left_semi").select("row.*")

@@ -201,6 +201,45 @@ def test_links_that_simhash_leaves_out_are_found(spark, monkeypatch, lost):
     assert got == least_rows(rows) and len(got) < len(rows) - 12
 
 
+def test_unlike_texts_that_share_a_passage_are_not_proposed(spark, monkeypatch):
+    """What meets by a common passage leaves its bucket only if it may be similar, so links do not grow with the square of a group."""
+    monkeypatch.setattr(near_copies, "SMALL", 8)
+    shared = h.prose("en", 60, 4000)
+    texts = [f"{shared} {h.prose('de', 60, 4100 + i)}" for i in range(40)] + [h.prose("de", 150, 4200), h.prose("de", 150, 4200) + " end"]
+    signed = near_copies.signatures(spark.createDataFrame([(t,) for t in texts], "text string"), near_copies.SHINGLE)
+    roots = spark.createDataFrame([], "gid long, root long")
+    alike = {tuple(sorted(r)) for r in near_copies.left_out(near_copies.written(signed, "signed"), roots, 0.8).collect()}
+    want = tuple(sorted(int(np.uint64(near_copies.shingle_set(t.encode()).sum(dtype=np.uint64)).view(np.int64)) for t in texts[-2:]))
+    assert alike == {want}
+
+
+@pytest.mark.parametrize("small", [1, 5, 1000])
+def test_pairs_of_a_bucket_by_brute_force(monkeypatch, small):
+    """No similar pair of different roots is lost, whatever the sizes of the sets, and none is given that sizes or parities rule out."""
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "QUERIES", 7)
+    rng, sets, groups, sides, cells = np.random.default_rng(3), [], [], [], []
+    for g, (count, size) in enumerate([(2, 3), (30, 40), (40, 447), (25, 900), (1, 10), (20, 1800)]):
+        x = rng.integers(0, 2**64, size * 2, dtype=np.uint64)
+        side = np.sort(rng.integers(0, 2, count)) if g % 2 else np.zeros(count, int)
+        for k in range(count):
+            n = int(size * rng.uniform(0.85, 1.2)) + 1
+            sets.append(np.unique(np.concatenate([x[: n - n * k // 300], rng.integers(0, 2**64, n * k // 300, dtype=np.uint64)])))
+            groups.append(g), sides.append(int(side[k])), cells.append(g % 2 == 0)
+    roots, n = rng.integers(0, 40, len(sets)), np.array([len(x) for x in sets])
+    bits = [near_copies.parities(x) for x in sets]
+    got = near_copies.pairs_of(np.array(groups), np.array(sides), np.array(cells), roots, n, np.concatenate(bits), np.cumsum([len(b) for b in bits]), 0.8)
+    found = [tuple(sorted(p)) for p in zip(*(x.tolist() for x in got), strict=True)]
+    want = set()
+    for j in range(len(sets)):
+        for i in range(j):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if groups[i] == groups[j] and roots[i] != roots[j] and (cells[i] or sides[i] != sides[j]) and both >= 0.8 * (n[i] + n[j] - both):
+                want.add((i, j))
+    assert len(found) == len(set(found)) and want <= set(found) and len(want) > 200 and len(found) < 2 * len(want)
+    assert len(set(near_copies.parities(x).size for x in sets)) == 4
+
+
 def test_similar_sets_share_least_hashes():
     rng = np.random.default_rng(5)
     for n in [*range(1, 40), 100, 333]:
