@@ -60,7 +60,7 @@ ROUNDS = 0
 #: Share of a text's shingles that must be among the least hashes of both texts of a pair.
 SHARED = 0.05
 #: Places of the parities of a set of up to NARROW_SET hashes; twice as many for sets up to twice as large, and so on.
-NARROW, NARROW_SET = 256, 448
+NARROW, NARROW_SET = 1024, 448
 QUERIES = 128
 #: Shares of the radius within which links are taken, one after the other.
 STEPS = (0.3, 0.55, 0.8, 1.0)
@@ -352,7 +352,8 @@ def alike(rows: DataFrame, similarity: float) -> DataFrame:
             flat, ids = t.column("parity").combine_chunks(), p["gid"].to_numpy()
             words, ends = flat.flatten().to_numpy().view(np.uint64), flat.value_lengths().to_numpy().cumsum()
             a, b = pairs_of(same, p["side"].to_numpy(), (p["i"] == p["j"]).to_numpy(), p["root"].to_numpy(), p["n"].to_numpy(), words, ends, similarity)
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(ids[a], ids[b])), pa.array(np.minimum(ids[a], ids[b]))], names=["a", "b"])
+            found = pd.DataFrame({"a": np.maximum(ids[a], ids[b]), "b": np.minimum(ids[a], ids[b])}).drop_duplicates()
+            yield pa.RecordBatch.from_arrays([pa.array(found[c].to_numpy()) for c in ("a", "b")], names=["a", "b"])
 
     return map_arrow(dealt, run, "a long, b long")
 
